@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import html_extraction, mixing
-from loomgraph.llm.common import read
+from loomgraph.llm import html_extraction, mixing, packing, warc
+from loomgraph.llm.common import new_path, read
 
 QUERIES = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -29,3 +29,38 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mixing.draws(read(spark, sf_dir, "documents"))
     taken = F.expr("aggregate(draws, 0L, (a, d) -> a + d.words)").alias("taken")
     return drawn.select("doc_id", "size", "source_size", "target", taken, F.expr("array_sort(transform(draws, d -> d.shard))").alias("shards"))
+
+
+def tokenizer() -> str:
+    """The vocabulary file that op3 and the pipeline use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document."""
+    pieces = packing.pieces(read(spark, sf_dir, "documents"), tokenizer()).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.pack(pieces, ["doc_id", "piece"])
+
+
+@query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of the archives written for all pages."""
+    path = new_path(spark, "warc")
+    warc.write_archives(read(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE_SQL["op5_warc"] = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), m AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS original FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> original THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> original THEN original END AS refers_to
+FROM m
+"""
