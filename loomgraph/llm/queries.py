@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import html_extraction, mixing, near_dedup, packing, warc
+from loomgraph.llm import html_extraction, mixing, near_dedup, packing, toxicity, warc
 from loomgraph.llm.common import new_path, read
 
 QUERIES = {}
@@ -88,3 +88,11 @@ least AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, d.doc_id = c AS kept
 FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id JOIN least ON least.a = d.doc_id
 """
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = read(spark, sf_dir, "documents")
+    grammar = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, grammar).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "clauses")
