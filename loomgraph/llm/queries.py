@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import html_extraction, mixing, near_dedup, packing, toxicity, warc
+from loomgraph.llm import additive_quantisation, bit_sliced, html_extraction, mixing, near_dedup, packing, toxicity, warc
 from loomgraph.llm.common import new_path, read
 
 QUERIES = {}
@@ -96,3 +96,28 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     grammar = toxicity.fit(docs, read(spark, sf_dir, "labels"))
     return toxicity.score(docs, grammar).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "clauses")
+
+
+@query
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest integer inner products of every fiftieth vector."""
+    return bit_sliced.top_k(read(spark, sf_dir, "embeddings"))
+
+
+ORACLE_SQL["op6_exact_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors found for every hundredth vector."""
+    return additive_quantisation.neighbours(read(spark, sf_dir, "embeddings"))
