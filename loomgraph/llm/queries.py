@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import additive_quantisation, bit_sliced, html_extraction, mixing, near_dedup, packing, toxicity, warc
+from loomgraph.llm import additive_quantisation, bit_sliced, html_extraction, license_scan, mixing, near_dedup, packing, toxicity, warc
 from loomgraph.llm.common import new_path, read
 
 QUERIES = {}
@@ -121,3 +121,9 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors found for every hundredth vector."""
     return additive_quantisation.neighbours(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license notices of every document."""
+    return license_scan.scan(read(spark, sf_dir, "documents"))
