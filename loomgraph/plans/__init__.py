@@ -1 +1,3 @@
+"""Queries of the catalog operators. Importing this package registers them."""
 
+from loomgraph.plans import component_queries, session_queries  # noqa: F401
