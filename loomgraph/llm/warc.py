@@ -16,10 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import materialize
+
 #: Payloads of fewer bytes are never deduplicated.
 LEAST_BYTES = 1000
 #: About so many bytes of records go to an archive; a reader's task holds one archive.
 ARCHIVE_BYTES = 16_000_000
+#: Up to so many repeated payloads are broadcast to the pages; more are joined by a shuffle of the pages.
+MAX_BROADCAST_ORIGINALS = 500_000
 DATE = "2024-01-01T00:00:00Z"
 _ID = "urn:page:"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -46,8 +50,9 @@ def with_record_type(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFr
     Rows that repeat the original's page_id are responses too, and so are pages without an id.
     """
     found = payloads(pages)
-    heads = payloads(pages).select("page_id", "payload_bytes", "payload_digest")
-    out = found.join(originals(heads, least_bytes), "payload_digest", "left")
+    repeated = materialize(originals(found.select("page_id", "payload_bytes", "payload_digest"), least_bytes), "originals")
+    few = repeated.count() <= MAX_BROADCAST_ORIGINALS
+    out = found.join(F.broadcast(repeated) if few else repeated, "payload_digest", "left")
     again = (F.col("payload_bytes") >= least_bytes) & (F.col("page_id") != F.col("original"))
     out = out.withColumn("record_type", F.when(again, "revisit").otherwise("response"))
     return out.withColumn("refers_to", F.when(again, F.col("original"))).drop("original")
