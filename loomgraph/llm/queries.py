@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import additive_quantisation, bit_sliced, html_extraction, license_scan, mixing, near_dedup, packing, toxicity, warc
+from loomgraph.llm import additive_quantisation, bit_sliced, html_extraction, license_scan, lm_score, mixing, near_dedup, packing, toxicity, warc
 from loomgraph.llm.common import new_path, read
 
 QUERIES = {}
@@ -127,3 +127,21 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The license notices of every document."""
     return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
+@query
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff score of every document, by counts over all of them."""
+    scores = lm_score.score(read(spark, sf_dir, "documents"))
+    return scores.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
+ORACLE_SQL["op7_lm_scoring"] = """
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, i, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS v FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM t)),
+u AS (SELECT w, count(*) AS n FROM w GROUP BY 1), b AS (SELECT v, w, count(*) AS n FROM w WHERE v IS NOT NULL GROUP BY 1, 2), z AS (SELECT count(*) AS n FROM w),
+s AS (SELECT w.doc_id, CASE WHEN w.v IS NULL THEN ln(u.n) - ln(z.n) WHEN b.n >= 2 THEN ln(b.n) - ln(c.n) ELSE ln(0.4 * u.n) - ln(z.n) END AS s
+  FROM w JOIN u ON u.w = w.w LEFT JOIN b ON b.v = w.v AND b.w = w.w LEFT JOIN u c ON c.w = w.v CROSS JOIN z),
+d AS (SELECT doc_id, count(*) AS n, sum(s) AS s FROM s GROUP BY 1)
+SELECT t.doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(s, 6) AS log_score, round(s / n, 6) AS mean_log_score FROM t LEFT JOIN d ON d.doc_id = t.doc_id
+"""
