@@ -3,9 +3,11 @@
 1. A document's set is its distinct 5-word shingles (64-bit hashes). Documents with equal sets form a class.
 2. A class has a SetSketch: each register keeps the least of exponential hashes of the set's elements, on a scale of
    powers of `base`. Runs of `ROWS` registers are bands; classes that agree in a band are candidates.
-3. In each bucket all members are paired with one of them; later rounds pair only members of different components,
-   with another member, and the last round takes every pair that is left between components. So a large group costs
-   about one pair for each member and band, and no candidate between components stays untested.
+3. In each bucket all members are paired with one of them; a second round does so with another member, in buckets that
+   still hold several components. What is left is examined in full: tasks get a bucket's members in blocks and compare
+   all pairs of different components by their registers, then tasks get the full sets of the members that weren't
+   ruled out, in blocks again. They give out forests that connect what is linked, never the pairs of a group, and no
+   candidate between components stays untested.
 4. A pair is judged by the joint likelihood of its registers for all similarities; it is put aside only if every
    similarity from the threshold up is e^-12 times less likely than the best. The others are confirmed on full sets.
 5. Links make components (large-star and small-star rounds).
@@ -31,7 +33,9 @@ BASE, RATE, TOP = 1.001, 20.0, 65534
 #: Ids up to this many are broadcast to filter the documents that are read again; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 2_000_000
 #: Rounds that pair a bucket's members with one of them, before all pairs left are taken.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+#: A task compares at most so many members of a bucket with as many others at a time.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 1000, 500_000
 _RULED_OUT = 12.0
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _FACTORS = np.random.default_rng(11).integers(1 << 62, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -113,7 +117,7 @@ def possible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, lea
     tiny = 1e-12
 
     def likelihood(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        j = low + (high - low) * np.linspace(0, 1, 60)[None, :]
+        j = low + (high - low) * np.linspace(0, 1, 30)[None, :]
         p, q = np.maximum(_log_scale(np.maximum(u - v * j, 0)), tiny), np.maximum(_log_scale(np.maximum(v - u * j, 0)), tiny)
         return (up * np.log(p) + down * np.log(q) + same * np.log(np.maximum(1 - p - q, tiny))).max(1)
 
@@ -138,6 +142,134 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "bands_a", "n_a", "bands_b", "n_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _dealt(members: DataFrame, group: str, blocks, columns: list[str]) -> DataFrame:
+    """Members of each group dealt to the pairs of its blocks (i, j), rows of a pair together and sorted; own is a row's block."""
+    own = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("blocks")))
+    cut = own.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("other"))
+    keys = [group, "i", "j"]
+    cut = cut.select(group, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *columns)
+    return cut.repartition(*keys).sortWithinPartitions(*keys)
+
+
+def _forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and the least row each is connected to, for a matrix of links between rows left and right of size rows in all."""
+    x, y = np.nonzero(linked)
+    x, y, least = left[x], right[y], np.arange(size)
+    while True:
+        new = least.copy()
+        np.minimum.at(new, x, least[y])
+        np.minimum.at(new, y, least[x])
+        new = new[new]
+        if (new == least).all():
+            moved = np.flatnonzero(least != np.arange(size))
+            return moved, least[moved]
+        least = new
+
+
+def _by_group(group: str, names: list[str], linked):
+    """A function for mapInArrow: links found by linked(rows, left, right) in each pair of blocks, as a forest of (a, b)."""
+    keys = [group, "i", "j"]
+
+    def compare(rows: pa.RecordBatch) -> pa.RecordBatch:
+        column = lambda n: np.asarray(rows.column(names.index(n)))
+        i, j, own = (column(n) for n in ("i", "j", "own"))
+        everyone = np.arange(rows.num_rows)
+        left, right = (everyone, everyone) if i[0] == j[0] else (everyone[own == i[0]], everyone[own == j[0]])
+        found = linked(rows, column, left, right) if len(left) and len(right) else np.zeros((len(left), len(right)), bool)
+        a, b = _forest(found, left, right, rows.num_rows)
+        ids = rows.column(names.index("class_id"))
+        return pa.record_batch([ids.take(pa.array(a)), ids.take(pa.array(b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            whole = pa.Table.from_batches([*rest, batch]).combine_chunks().to_batches()
+            if not whole:
+                continue
+            starts = _group_starts(whole[0], keys)
+            for start, stop in zip(starts[:-1], starts[1:], strict=True):
+                yield compare(whole[0].slice(start, stop - start))
+            rest = [whole[0].slice(starts[-1])]  # the last group may go on in the next batch
+        for whole in pa.Table.from_batches(rest).combine_chunks().to_batches() if rest else ():
+            yield compare(whole)
+
+    return run
+
+
+def _group_starts(rows: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """Where each group of equal keys starts in sorted rows."""
+    new = np.zeros(rows.num_rows, bool)
+    new[0] = True
+    for k in keys:
+        x = np.asarray(rows.column(k))
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def _suspects(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect members (bucket, class_id, component) of one bucket and different components that their registers don't rule out.
+
+    A bucket's pairs are compared in tasks, by blocks; what comes out is a forest, not the pairs.
+    """
+    kind = classes.schema["class_id"].dataType.simpleString()
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
+    rows = members.join(sizes, "bucket").join(classes, "class_id")
+    columns = ["class_id", "component", "n_shingles", "bands"]
+    dealt = _dealt(rows, "bucket", F.ceil(F.col("n") / BLOCK_MEMBERS), columns)
+
+    def linked(rows: pa.RecordBatch, column, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        sketch = np.asarray(rows.column(rows.schema.get_field_index("bands")).flatten()).view(np.uint16).reshape(rows.num_rows, -1)
+        component, size = column("component"), column("n_shingles").astype(np.int64)
+        a, b = sketch[left], sketch[right]
+        same = np.zeros((len(left), len(right)), np.uint8)
+        for r in range(sketch.shape[1]):
+            same += a[:, r, None] == b[None, :, r]
+        # far fewer equal registers than the threshold asks for: no need of likelihoods
+        near = same >= (percent / 100 - 0.4) * sketch.shape[1]
+        near &= component[left][:, None] != component[right][None, :]
+        x, y = np.nonzero(near)
+        for part in range(0, len(x), 20_000):
+            u, v = x[part : part + 20_000], y[part : part + 20_000]
+            near[u, v] = possible(a[u], b[v], size[left][u].astype(np.float64), size[right][v].astype(np.float64), percent / 100)
+        return near
+
+    return dealt.mapInArrow(_by_group("bucket", dealt.columns, linked), f"a {kind}, b {kind}")
+
+
+def _confirmed_within(groups: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect all members of each group (node, component) whose full sets overlap enough, as a forest."""
+    kind = classes.schema["class_id"].dataType.simpleString()
+    members = groups.select(F.col("node").alias("class_id"), F.col("component").alias("suspects"))
+    few = members.count() <= MAX_BROADCAST_IDS
+    ids = members.select(F.col("class_id").alias("doc_id"))
+    sets = _sets(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), size).dropDuplicates(["class_id"])
+    weight = members.join(classes.select("class_id", "n_shingles"), "class_id").groupBy("suspects").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_MEMBERS, F.col("total") / BLOCK_SHINGLES))
+    dealt = _dealt(materialize(sets, "sets").join(members, "class_id").join(weight, "suspects"), "suspects", blocks, ["class_id", "shingles"])
+
+    def linked(rows: pa.RecordBatch, column, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        sets = rows.column(rows.schema.get_field_index("shingles"))
+        lengths = np.asarray(sets.value_lengths()).astype(np.int64)
+        owner = np.repeat(np.arange(rows.num_rows), lengths)
+        _, place, times = np.unique(np.asarray(sets.flatten()), return_inverse=True, return_counts=True)
+        shared = times[place] > 1
+        owner, (_, place) = owner[shared], np.unique(place[shared], return_inverse=True)
+        order = np.argsort(place, kind="stable")
+        owner, place = owner[order], place[order]
+        both = np.zeros((len(left), len(right)), np.float32)
+        for start in range(0, int(place[-1]) + 1 if len(place) else 0, 1024):
+            of = slice(*np.searchsorted(place, [start, start + 1024]))
+            held = np.zeros((rows.num_rows, 1024), np.float32)
+            held[owner[of], place[of] - start] = 1
+            both += held[left] @ held[right].T
+        out = 100 * both >= percent * (lengths[left][:, None] + lengths[right][None, :] - both)
+        if left is right:
+            np.fill_diagonal(out, False)
+        return out
+
+    return dealt.mapInArrow(_by_group("suspects", dealt.columns, linked), f"a {kind}, b {kind}")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) of doc_ids whose full sets overlap by percent or more of their union."""
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
@@ -204,14 +336,16 @@ def _components_of(docs: DataFrame, classes: DataFrame, size: int, percent: int)
             break
         if turn < STAR_ROUNDS:
             pairs = members.filter("component <> centre.component").select("class_id", F.col("centre.class_id").alias("other"))
+            pairs = pairs.select(F.least("class_id", "other").alias("a"), F.greatest("class_id", "other").alias("b")).distinct()
+            pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+            tested = tested.unionByName(pairs)
+            found = materialize(confirmed(materialize(_likely(pairs, classes, percent), "likely"), docs, size, percent), "links")
         else:
-            other = members.select("bucket", F.col("class_id").alias("other"), F.col("component").alias("theirs"))
-            pairs = members.join(other, "bucket").filter("class_id < other AND component <> theirs").select("class_id", "other")
-        pairs = pairs.select(F.least("class_id", "other").alias("a"), F.greatest("class_id", "other").alias("b")).distinct()
-        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+            suspects = materialize(_suspects(members.drop("centre"), classes, percent).distinct(), "suspects")
+            if suspects.isEmpty():
+                break
+            found = materialize(_confirmed_within(components(suspects), classes, docs, size, percent).distinct(), "links")
         members = members.select("bucket", "class_id")
-        found = materialize(confirmed(materialize(_likely(pairs, classes, percent), "likely"), docs, size, percent), "links")
-        tested = tested.unionByName(pairs)
         if found.isEmpty():
             continue
         links = links.unionByName(found)
