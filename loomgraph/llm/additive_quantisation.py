@@ -17,7 +17,7 @@ from loomgraph.llm import tiles
 
 K, EVERY = 10, 100
 #: Codebooks and their size, beam width, rounds of joint fitting, and the rows (by hash order) they are fitted on at most.
-BOOKS, WORDS, BEAM, ROUNDS, SAMPLE, RIDGE = 16, 256, 4, 2, 20_000, 1.0
+BOOKS, WORDS, BEAM, ROUNDS, SAMPLE, RIDGE = 16, 256, 4, 1, 10_000, 1.0
 BLOCK_ROWS, TILE_QUERIES = 16_384, 256
 #: Rows of a block that a query reranks exactly.
 SHORTLIST = 400
@@ -128,10 +128,10 @@ def neighbours(vectors: DataFrame, every: int = EVERY, k: int = K, sample: int =
     rows; every row is in the index. Extra columns are left out; an empty table gives none.
     """
     rows = tiles.usable(vectors, zero=False)
-    seen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").collect()
-    if not seen:
+    seen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()
+    if not seen.num_rows:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    code = fit(np.array([r.embedding for r in seen]))
+    code = fit(tiles.matrix(seen["embedding"].combine_chunks(), seen.num_rows))
     index = tiles.blocks(rows, block_rows, lambda ids, x: build(ids, x, code), _SCHEMA)
     asked = tiles.query_tiles(rows.filter(F.col("vec_id") % every == 0), tile_queries)
     return tiles.nearest(index, asked, lambda row, ids, x: search(row, ids, x, code, k, shortlist), k, "double", F.asc)

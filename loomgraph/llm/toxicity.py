@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import materialize
 
 FOLDS = 5
-#: The lexicon holds at most so many entries, and the logistic model is fitted on at most so many labelled rows.
+#: The lexicon holds at most so many entries, and the logistic model is fitted on about so many labelled rows, chosen by hash.
 MAX_ENTRIES, MAX_FITTED = 20_000, 20_000
 LEAST_DOCS, LEAST_WINS, LEAST_WEIGHT, WINS_FROM = 3, 2, 2.0, 0.3
 STEMS = (4, 5, 6, 7, 8)
@@ -195,7 +195,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_entries: int = MAX_ENTRIES, max_
     candidates = {r.feature: (r.weight, r.toxic) for r in top}
     wins = {r.feature: r.wins for r in _wins(rows, candidates).filter(F.col("wins") >= LEAST_WINS).collect()}
     grammar = Grammar({x: candidates[x][0] for x in wins})
-    sample = rows.orderBy(F.xxhash64("text")).limit(max_fitted)
+    share = max_fitted / (sizes[True] + sizes[False])
+    sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < math.ceil(1e6 * share))
     seen = sample.mapInArrow(_featured(grammar), "features array<double>, toxic int").collect()
     x, y = np.array([r.features for r in seen]), np.array([float(r.toxic) for r in seen])
     grammar.weights = tuple(_logistic(np.c_[np.ones(len(x)), x], y))
