@@ -1,3 +1,3 @@
 """Queries of the catalog operators. Importing this package registers them."""
 
-from loomgraph.plans import component_queries, edge_queries, graph_queries, session_queries  # noqa: F401
+from loomgraph.plans import change_queries, component_queries, edge_queries, graph_queries, session_queries  # noqa: F401
