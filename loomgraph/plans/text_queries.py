@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomgraph.operators import files as S
+from loomgraph.operators import inspection as Z
 from loomgraph.operators import parsing as P
-from loomgraph.plans.carriers import CARRIERS, carrier, with_carriers
+from loomgraph.plans.carriers import carrier, with_carriers
 from loomgraph.plans.component_queries import nested
 from loomgraph.plans.registry import query
 
@@ -269,3 +270,37 @@ def c16(spark, sf):
 def d13(spark, sf):
     carrier(spark, sf, "steps")
     return S.extraction_summary(nested(spark, sf), spark.sql(_WARN).withColumn("session_id", F.col("session_id") % 4))
+
+
+# ---- sources of components
+
+_SOURCES = """SELECT p_partkey AS component_id, CASE WHEN p_size % 2 = 0 THEN '/a/x-gql.ts' ELSE '/a/x.tsx' END AS source, CASE p_size % 5 WHEN 0 THEN 'import { useQ } from "../__generated/q"; import { Card } from "./Card"; const d = useCardQuery(); return <Card {...d} />;'
+  WHEN 1 THEN 'if (loading) return null; return <div>x</div>;' WHEN 2 THEN 'import { Card } from "./Card"; return (<Card {...props} />);' WHEN 3 THEN 'const a = 1;' END AS text FROM part"""
+
+
+@query("b6_inspect_source", f"""
+WITH s AS ({_SOURCES}), c AS (SELECT *, CASE WHEN text IS NULL THEN 0 ELSE (contains(source, 'gql'))::INT + CASE component_id % 3 WHEN 0 THEN 2 ELSE 0 END + CASE WHEN contains(text, '__generated') THEN 3 + 1 + 3 WHEN contains(text, 'loading') THEN 1 WHEN contains(text, './Card') AND component_id % 3 = 0 THEN 1 ELSE 0 END END AS score FROM s)
+SELECT component_id, CASE WHEN score <= 0 THEN 0 WHEN score <= 2 THEN 2 WHEN score <= 4 THEN 3 WHEN score <= 6 THEN 4 ELSE 5 END AS wrapper_confidence, component_id % 3 = 1 AND coalesce(contains(text, 'return <') OR contains(text, 'return ('), false) AS keep_despite_zero_surface FROM c""")
+def b6(spark, sf):
+    carrier(spark, sf, "nodes")
+    rows = spark.sql(_SOURCES).selectExpr("*", "CASE component_id % 3 WHEN 0 THEN array(named_struct('name', 'id')) WHEN 1 THEN CAST(array() AS ARRAY<STRUCT<name: STRING>>) ELSE array(named_struct('name', 'label')) END AS props", "CAST(array() AS ARRAY<STRING>) AS slots")
+    return Z.inspect_source(rows).select("component_id", "wrapper_confidence", "keep_despite_zero_surface")
+
+
+@query("b17_extract_declared_children", "SELECT p_partkey AS component_id, 's' AS slot, CASE WHEN p_size % 2 = 0 THEN 'Card,Hero' ELSE 'Card' END AS children FROM part")
+def b17(spark, sf):
+    slots = spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey AS component_id", "'s' AS slot", "'React.ReactElement<CardProps>[]' AS type", "CASE WHEN p_size % 2 = 0 THEN '/** @allowedComponents Hero, Odd */' END AS doc")
+    names = spark.sql("SELECT explode(array('Card', 'Hero')) AS name")
+    return Z.extract_declared_children(slots, names).select("component_id", "slot", F.array_join("children", ",").alias("children"))
+
+
+@query("b19_doc_edges", "SELECT concat('C', p_partkey) AS parent, concat('C', p_partkey - 1) AS child FROM part WHERE p_partkey - 1 IN (SELECT p_partkey FROM part)")
+def b19(spark, sf):
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    files = part.selectExpr("concat('/d', p_partkey, '/AGENTS.md') AS path", "concat('It accepts **`C', p_partkey - 1, '`** and **`C', p_partkey, '`**.\nSee **`C0`** too.') AS content")
+    return Z.doc_edges(files, part.selectExpr("concat('/d', p_partkey, '/c.tsx') AS path", "concat('C', p_partkey) AS name", "p_partkey AS arrival"))
+
+
+@query("c15_resolver_references", with_carriers("+w AS (SELECT path, unnest(list_distinct(regexp_extract_all(content, '(\\w+)', 1))) AS name FROM files WHERE contains(content, 'track(1') OR contains(path, 'track(1')), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY path) AS n FROM w WHERE name IN ('article', 'nav')) SELECT path, name, n FROM r WHERE n <= 3", "files"))
+def c15(spark, sf):
+    return Z.resolver_references(spark.sql("SELECT explode(array('article', 'nav')) AS name"), carrier(spark, sf, "files"), ("track(1",)).select("path", "name", "n")
