@@ -224,10 +224,10 @@ def _suspects(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame
         same = np.zeros((len(left), len(right)), np.uint8)
         for r in range(sketch.shape[1]):
             same += a[:, r, None] == b[None, :, r]
-        # far fewer equal registers than the threshold asks for: no need of likelihoods
-        near = same >= (percent / 100 - 0.4) * sketch.shape[1]
+        # at the threshold, so few equal registers are 7 deviations off; many are left to the full sets as they are
+        near = same >= (percent / 100 - 0.25) * sketch.shape[1]
         near &= component[left][:, None] != component[right][None, :]
-        x, y = np.nonzero(near)
+        x, y = np.nonzero(near & (same < (percent / 100 - 0.125) * sketch.shape[1]))
         for part in range(0, len(x), 20_000):
             u, v = x[part : part + 20_000], y[part : part + 20_000]
             near[u, v] = possible(a[u], b[v], size[left][u].astype(np.float64), size[right][v].astype(np.float64), percent / 100)
