@@ -12,7 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Fields that later versions of run records added.
-RUN_FIELDS = T.StructType.fromDDL("run_id string, project string, created_at timestamp, version int, fingerprint map<string,double>, pushed_to string, artifacts map<string,string>")
+RUN_FIELDS = {
+    "run_id": "string",
+    "project": "string",
+    "created_at": "timestamp",
+    "version": "int",
+    "fingerprint": "map<string,double>",
+    "pushed_to": "string",
+    "artifacts": "map<string,string>",
+}
 
 
 def load_tokens(groups: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -66,8 +74,8 @@ def upgrade_run_records(*versions: DataFrame) -> DataFrame:
     """Run records of versions 1 to 3 in one shape, what a version lacks null; another version is an error when read."""
     out = None
     for rows in versions:
-        missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in RUN_FIELDS if f.name not in rows.columns]
-        part = rows.select("*", *missing).select(*RUN_FIELDS.names)
+        missing = [F.lit(None).cast(kind).alias(name) for name, kind in RUN_FIELDS.items() if name not in rows.columns]
+        part = rows.select("*", *missing).select(*RUN_FIELDS)
         out = part if out is None else out.unionByName(part)
     known = F.col("version").isin(1, 2, 3)
     return out.withColumn("version", F.when(known, F.col("version")).otherwise(F.raise_error(F.concat(F.lit("unknown run record version "), F.col("version").cast("string"))).cast("int")))

@@ -26,19 +26,24 @@ def _forwards(text: Column, siblings: Column) -> Column:
     return F.exists(siblings, lambda n: spread(n) & closed(n))
 
 
-def inspect_source(components: DataFrame) -> DataFrame:
-    """Add wrapper_confidence (0, 2 to 5), inspection_reasons and keep_despite_zero_surface to components with props, slots, source and text. A null text says nothing."""
+def inspect_source(components: DataFrame, runtime_calls: tuple[str, ...] = ()) -> DataFrame:
+    """Add wrapper_confidence (0, 2 to 5), inspection_reasons and keep_despite_zero_surface to components with props, slots, source and text.
+
+    runtime_calls are texts, such as a call of a content service's hooks, that hint at a data wrapper. A null text says nothing.
+    """
     text = F.coalesce("text", F.lit(""))
     rows = components.withColumn("__s", F.array_distinct(F.regexp_extract_all(text, F.lit(SIBLING_IMPORT), 1)))
     hook = text.rlike(GENERATED_IMPORT) & text.rlike(GENERATED_HOOK)
     infra = (F.size("props") > 0) & F.forall("props", lambda p: p["name"].isin(INFRA_PROPS))
-    siblings = F.col("__s")
+    siblings, used = F.col("__s"), F.lit(False)
+    for call in runtime_calls:
+        used = used | text.contains(call)
     signs = [
         ("gql-filename", 1, F.col("source").rlike(GQL_FILE)),
         ("generated-query-hook", 3, hook),
         ("sibling-renderer-import", 1, (F.size(siblings) > 0) & (hook | infra)),
         ("fetch-forward-render", 3, _forwards(text, siblings)),
-        ("contentful-runtime", 1, text.contains("useContentfulLiveUpdates(") | text.contains("useContentfulContext(")),
+        ("runtime-hooks", 1, used),
         ("infra-props", 2, infra),
         ("loading-null-guard", 1, text.rlike(LOADING_GUARD)),
     ]
