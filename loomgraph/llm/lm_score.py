@@ -24,7 +24,9 @@ from loomgraph.llm.common import materialize
 
 BACKOFF, LEAST = 0.4, 2
 #: Documents that a task packs together, and about how many words a partition holds.
-BATCH_DOCS, PARTITION_WORDS = 8192, 4_000_000
+BATCH_DOCS, PARTITION_WORDS = 4096, 4_000_000
+#: A task sorts about so many of its partition's words at once.
+RANGE_WORDS = 500_000
 _MASK, _START = (1 << 48) - 1, (1 << 48) - 1
 _ID = np.dtype("<u8")
 
@@ -103,50 +105,70 @@ def _table(rows: list[tuple], names: str, kinds: list) -> pa.Table:
 
 
 def _counted(table: pa.Table, parts: int, least: int, backoff: float) -> pa.Table:
-    """One partition's words: their counts, each batch's sums, and for bigrams that count the contexts to look up."""
+    """One partition's words: their counts, each batch's sums, and for bigrams that count the contexts to look up.
+
+    The words are taken in ranges of their hashes, RANGE_WORDS places at a time or so.
+    """
     rows = table.to_pylist()
     chunks = [c for c in rows if c["places"]]
-    heads = [(-1, c["batch"], c["docs"], "head", c["words"], c["counts"], c["before"], b"", b"") for c in rows if not c["places"]]
-    if not chunks:
-        return _table(heads, _SENT, _KINDS)
-    word = np.concatenate([np.repeat(_wide(c["words"]), np.frombuffer(c["counts"], np.uint32)) for c in chunks])
-    before = np.concatenate([_wide(c["before"]) for c in chunks])
-    place = np.concatenate([np.frombuffer(c["places"], np.uint16) for c in chunks])
-    chunk = np.repeat(np.arange(len(chunks)), [len(c["places"]) // 2 for c in chunks])
-    order = np.lexsort((before, word))
-    word, before, place, chunk = word[order], before[order], place[order], chunk[order]
-    values, totals = _runs(word)
-    of_word = np.repeat(totals, totals)
-    new = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (before[1:] != before[:-1])])
-    pairs = np.diff(np.r_[new, len(word)])
-    of_pair = np.repeat(pairs, pairs)
-    hit = (of_pair >= least) & (before != _START)
-    worth = np.where(hit, np.log(of_pair), np.log(backoff * of_word))
-    worth = np.where(before == _START, np.log(of_word), worth)  # a first word has no context to back off from
-    rows = [(int(values[0] % np.uint64(parts)), -1, 0, "count", _narrow(values), totals.astype(np.int64).tobytes(), b"", b"", b"")]
-    by = np.argsort(chunk, kind="stable")
-    edges = np.searchsorted(chunk[by], np.arange(len(chunks) + 1))
-    ask_part, ask = (before % np.uint64(parts)).astype(np.int64), []
-    for i, c in enumerate(chunks):
-        own = by[edges[i] : edges[i + 1]]
-        sums = np.bincount(place[own], weights=worth[own], minlength=c["docs"])
-        misses = np.bincount(place[own], weights=~hit[own], minlength=c["docs"])
-        rows.append((-1, c["batch"], c["docs"], "sum", b"", b"", b"", sums.tobytes(), misses.astype(np.int32).tobytes()))
-        asked = own[hit[own]]
-        asked = asked[np.lexsort((before[asked], ask_part[asked]))]
-        for p, start, stop in zip(*_bounds(ask_part[asked]), strict=True):
-            contexts, counts = _runs(before[asked[start:stop]])
-            ask.append((p, c["batch"], c["docs"], "ask", _narrow(contexts), counts.astype(np.uint32).tobytes(), place[asked[start:stop]].tobytes(), b"", b""))
-    return _table(heads + rows + ask, _SENT, _KINDS)
+    out = [(-1, c["batch"], c["docs"], "head", c["words"], c["counts"], c["before"], b"", b"") for c in rows if not c["places"]]
+    del table, rows
+    starts, words = [], []
+    for c in chunks:
+        words.append(_wide(c["words"]))
+        starts.append(np.r_[0, np.cumsum(np.frombuffer(c["counts"], np.uint32), dtype=np.int64)])
+    sums, misses = [np.zeros(c["docs"]) for c in chunks], [np.zeros(c["docs"]) for c in chunks]
+    ranges = max(1, -(-sum(int(s[-1]) for s in starts) // RANGE_WORDS)) if chunks else 0
+    edges = [np.uint64((_MASK + 1) * r // ranges) for r in range(ranges + 1)]
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        cuts = [np.searchsorted(w, [low, high]) for w in words]
+        places = [(int(s[a]), int(s[b])) for s, (a, b) in zip(starts, cuts, strict=True)]
+        word = np.concatenate([np.repeat(w[a:b], np.diff(s[a : b + 1])) for w, s, (a, b) in zip(words, starts, cuts, strict=True)])
+        if not len(word):
+            continue
+        before = np.concatenate([_wide(c["before"][6 * a : 6 * b]) for c, (a, b) in zip(chunks, places, strict=True)])
+        place = np.concatenate([np.frombuffer(c["places"], np.uint16)[a:b] for c, (a, b) in zip(chunks, places, strict=True)])
+        chunk = np.repeat(np.arange(len(chunks), dtype=np.int32), [b - a for a, b in places])
+        order = np.lexsort((before, word))
+        word, before, place, chunk = word[order], before[order], place[order], chunk[order]
+        del order
+        values, totals = _runs(word)
+        new = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (before[1:] != before[:-1])])
+        pairs = np.diff(np.r_[new, len(word)])
+        of_pair, of_word = np.repeat(pairs, pairs), np.repeat(totals, totals)
+        del word
+        first = before == _START
+        hit = (of_pair >= least) & ~first
+        # a first word has no context to back off from
+        worth = np.where(hit, np.log(of_pair), np.log(np.where(first, 1.0, backoff) * of_word))
+        out.append((int(values[0] % np.uint64(parts)), -1, 0, "count", _narrow(values), totals.astype(np.int64).tobytes(), b"", b"", b""))
+        del of_pair, of_word
+        by = np.argsort(chunk, kind="stable")
+        bounds = np.searchsorted(chunk[by], np.arange(len(chunks) + 1))
+        for i, c in enumerate(chunks):
+            own = by[bounds[i] : bounds[i + 1]]
+            sums[i] += np.bincount(place[own], weights=worth[own], minlength=c["docs"])
+            misses[i] += np.bincount(place[own], weights=~hit[own], minlength=c["docs"])
+            asked = own[hit[own]]
+            ask_part = (before[asked] % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((before[asked], ask_part))
+            asked, ask_part = asked[order], ask_part[order]
+            for p, start, stop in zip(*_bounds(ask_part), strict=True):
+                contexts, counts = _runs(before[asked[start:stop]])
+                out.append((p, c["batch"], c["docs"], "ask", _narrow(contexts), counts.astype(np.uint32).tobytes(), place[asked[start:stop]].tobytes(), b"", b""))
+    for c, s, m in zip(chunks, sums, misses, strict=True):
+        out.append((-1, c["batch"], c["docs"], "sum", b"", b"", b"", s.tobytes(), m.astype(np.int32).tobytes()))
+    return _table(out, _SENT, _KINDS)
 
 
 def _looked_up(table: pa.Table) -> pa.Table:
     """One partition's contexts: what their counts take from the batches' sums."""
     rows = table.to_pylist()
-    known = next((r for r in rows if r["kind"] == "count"), None)
+    known = [(_wide(r["words"]), np.frombuffer(r["counts"], np.int64)) for r in rows if r["kind"] == "count"]
     out = []
     if known:
-        values, totals = _wide(known["words"]), np.frombuffer(known["counts"], np.int64)
+        known.sort(key=lambda k: int(k[0][0]))  # ranges don't overlap
+        values, totals = (np.concatenate(x) for x in zip(*known, strict=True))
         for r in rows:
             if r["kind"] == "ask":
                 logs = np.log(totals[np.searchsorted(values, _wide(r["words"]))])

@@ -210,7 +210,9 @@ def test_notices_and_their_spans(spark):
 # ---- language model
 
 
-def test_scores_equal_the_formula(spark):
+def test_scores_equal_the_formula(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "RANGE_WORDS", 300)
+    monkeypatch.setattr(lm_score, "PARTITION_WORDS", 700)
     rows = [(i, words(i, 40, 60), "a") for i in range(50)] + [(90, None, "a"), (91, "  ", "a"), (92, "solo", "a"), (92, "solo", "a")]
     texts = [(i, (t or "").split()) for i, t, _ in rows]
     one, two = {}, {}
