@@ -134,7 +134,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         unit = cut(unit.join(colour, "node"))
         on_cycle = unit.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1").select("label")
         selfish = core.filter("src = dst").select(F.col("src").alias("label"))
-        kept = unit.join(on_cycle.union(selfish).distinct(), "label", "left_semi").select("node", F.col("label").alias("unit"))
+        kept = cut(unit.join(on_cycle.union(selfish).distinct(), "label", "left_semi").select("node", F.col("label").alias("unit")))
         found = kept if found is None else found.unionByName(kept)
         gone = unit.select("node")
         rest = core.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
@@ -155,6 +155,7 @@ def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _reach(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """All nodes reached from any start."""
+    edges = cut(edges)
     front = seen = cut(starts.select("node").distinct())
     while not front.isEmpty():
         grown = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
