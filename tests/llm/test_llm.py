@@ -207,6 +207,54 @@ def test_notices_and_their_spans(spark):
     assert license_scan.scan(table.limit(0)).count() == 0
 
 
+def brute_spans(template, words, least, lo=0):
+    """Spans of a template's notices: the best local alignment of all cells, then those left and right of it."""
+    top = None
+    before = [(0, 0, 0)] * (len(words) + 1)
+    for w in template:
+        row = [(0, 0, 0)]
+        for j, x in enumerate(words):
+            s, m, f = before[j] if before[j][0] > 0 else (0, 0, j)
+            cell = (s + (2 if x == w else -1), m + (x == w), f)
+            for o in (before[j + 1], row[j]):
+                if o[0] - 1 > cell[0]:
+                    cell = (o[0] - 1, *o[1:])
+            row.append(cell)
+            if cell[1] >= least and cell[0] > 0 and (top is None or (-cell[0], j) < (-top[0], top[2])):
+                top = (cell[0], cell[2], j)
+        before = row
+    if top is None:
+        return []
+    return brute_spans(template, words[: top[1]], least, lo) + [(lo + top[1], lo + top[2] + 1)] + brute_spans(template, words[top[2] + 1 :], least, lo + top[2] + 1)
+
+
+def test_repeated_notices_are_all_found(spark):
+    text = " ".join(f"{c}: Released under the MIT License." for c in "abcdefghij") + " Released under a MIT License. Licensed CC BY-SA 4.0."
+    got = license_scan.scan(docs(spark, [(1, text, "a")])).orderBy("start").collect()
+    assert [r.license for r in got] == ["MIT"] * 11 + ["CC-BY-SA-4.0"]
+    assert {text[r.start : r.stop] for r in got[:10]} == {"Released under the MIT License"} and got[10].matched == 4 and got[11].matched == 6
+
+
+@pytest.mark.parametrize("name", ["MIT", "CC-BY-SA-4.0", "Apache-2.0", "GPL-3.0", "Unlicense", "CC0-1.0"])
+def test_notices_equal_brute_force(name):
+    index = license_scan.Index({name: license_scan.TEMPLATES[name]})
+    template, r = index.words[0], random.Random(name)
+    found = 0
+    for _ in range(150):
+        words = []
+        for _ in range(r.choice([1, 2, 5, 9])):
+            copy = list(template)
+            for _ in range(r.randrange(len(template) // 4 + 2)):
+                at = r.randrange(len(copy))
+                copy[at : at + 1] = r.choice([[], ["zz"], [copy[at], "zz"], [copy[at], "zz", "yy"]]) if len(copy) > 1 else copy
+            words += copy + ["qq"] * r.choice([0, 0, 1, 3, 12, 60])
+        ends = list(np.cumsum([len(w) + 1 for w in words]))
+        want = [(0 if a == 0 else int(ends[a - 1]), int(ends[b - 1]) - 1) for a, b in brute_spans(template, words, index.least[0])]
+        assert [m[4:] for m in license_scan.matches(" ".join(words), index)] == want
+        found += len(want)
+    assert found > 150
+
+
 # ---- language model
 
 
