@@ -43,6 +43,34 @@ def test_surge_and_dive_without_an_article():
     assert text.count("\n") == 4 and "link" not in text and "more" not in text
 
 
+STORY = [f"{'long text of the story ' * 8}{i}" for i in range(5)]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body>{divs}<article><a href=x>Read this too</a></article></body>",
+        "<body>{divs}<article class='teaser'><p>A teaser of another story that goes on and on, longer than the threshold of a surge point.</p></article></body>",
+        "<body><article>{divs}</article><div class=related><article><p>{other}</p></article></div></body>",
+        "<body><main>{divs}<article class=comment><p>{other}</p></article></main><div id=comments>{comments}</div></body>",
+        "<body><form action=x><nav><a href=y>Home</a></nav><article>{divs}</article></form></body>",
+        "<body><form action=x>{divs}<div class=ad>{other}</div></form><footer>{other}</footer></body>",
+        "<body><div class='page has-sidebar'>{divs}<div class=sidebar>{other}</div></div></body>",
+        "<body><nav><ul><li><a href=y>Home</a><article>{divs}</article></body>",
+        "<head><body>{divs}</body>",
+    ],
+)
+def test_main_text_beside_articles_and_in_wrappers(page):
+    other = "What someone else has to say on this, longer than the threshold that a surge point needs."
+    html = page.format(divs="".join(f"<div>{x}</div>" for x in STORY), other=other, comments=f"<article><p>{other}</p></article>" * 20)
+    assert html_extraction.extract_text(html) == "\n".join(STORY)
+
+
+def test_short_lines_of_an_article_stay():
+    page = f"<body><article><h1><a href=x>Eggs</a></h1><p>By me</p><p>May 1</p><p>One</p><p>{STORY[0]}</p><p>End</p></article><p>us</p></body>"
+    assert html_extraction.extract_text(page).split("\n") == ["Eggs", "By me", "May 1", "One", STORY[0], "End"]
+
+
 # ---- mixing
 
 
