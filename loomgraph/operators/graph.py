@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,12 +79,18 @@ def ancestors(edges: DataFrame, nodes: DataFrame, targets: DataFrame, include_se
     return found if include_self else found.filter("node <> ancestor")
 
 
-def ancestor_chains(edges: DataFrame, nodes: DataFrame, targets: DataFrame, max_len: int = 30) -> DataFrame:
-    """Upward paths from each target that end at a node without parents or before a repeat: node, chain and slots, up to max_len nodes."""
+def _check_length(length: int, max_len: int | None) -> None:
+    if max_len is not None and length > max_len:
+        raise ValueError(f"a path has more than {max_len} nodes")
+
+
+def ancestor_chains(edges: DataFrame, nodes: DataFrame, targets: DataFrame, max_len: int | None = None) -> DataFrame:
+    """Upward paths from each target that end at a node without parents or before a repeat: node, chain and slots. A path of more than max_len nodes is an error."""
     up = cut(edges.filter("src <> dst").join(_known(edges, nodes), ["src", "dst"], "left_semi").select(F.col("dst").alias("at"), F.col("src").alias("parent"), "slot").distinct())
     front = cut(targets.select("node", F.array("node").alias("chain"), F.array().cast("array<string>").alias("slots"), F.col("node").alias("at")))
     done = None
-    for _ in range(max_len):
+    for length in itertools.count(1):
+        _check_length(length, max_len)
         grown = front.join(up, "at", "left")
         ahead = F.col("parent").isNotNull() & ~F.array_contains("chain", F.coalesce("parent", "at"))
         go = grown.filter(ahead).select("node", F.concat("chain", F.array("parent")).alias("chain"), F.concat("slots", F.array("slot")).alias("slots"), F.col("parent").alias("at"))
@@ -90,8 +98,7 @@ def ancestor_chains(edges: DataFrame, nodes: DataFrame, targets: DataFrame, max_
         done = stop if done is None else done.unionByName(stop)
         front = cut(go)
         if front.isEmpty():
-            break
-    return done
+            return done
 
 
 def neighborhood(edges: DataFrame, matches: DataFrame) -> DataFrame:
@@ -164,21 +171,21 @@ def _reach(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return seen
 
 
-def elementary_cycles(edges: DataFrame, max_len: int = 30) -> DataFrame:
-    """Each simple cycle of up to max_len nodes, once for each choice of slots: path (from its least node) and slots."""
+def elementary_cycles(edges: DataFrame, max_len: int | None = None) -> DataFrame:
+    """Each simple cycle, once for each choice of slots: path (from its least node) and slots. An open path of more than max_len nodes is an error."""
     units = strong_components(edges)
     inner = edges.join(units.select(F.col("node").alias("src"), F.col("unit").alias("a")), "src").join(units.select(F.col("node").alias("dst"), F.col("unit").alias("b")), "dst")
     inner = cut(inner.filter("a = b").select("src", "slot", "dst").distinct())
     front = cut(inner.filter("dst >= src").select(F.array("src").alias("path"), F.array("slot").alias("slots"), F.col("src").alias("start"), F.col("dst").alias("at")))
     cycles = None
-    for _ in range(max_len):
+    for length in itertools.count(1):
+        _check_length(length, max_len)
         closed = front.filter("at = start").select("path", "slots")
         cycles = closed if cycles is None else cycles.unionByName(closed)
         open_ = front.filter("at > start AND NOT array_contains(path, at)")
         front = cut(open_.join(inner, open_["at"] == inner["src"]).select(F.concat("path", F.array("at")).alias("path"), F.concat("slots", F.array("slot")).alias("slots"), "start", F.col("dst").alias("at")).filter("at >= start"))
         if front.isEmpty():
-            break
-    return cycles
+            return cycles
 
 
 def cycle_edges(cycles: DataFrame) -> DataFrame:

@@ -92,7 +92,7 @@ def selection_context(components: DataFrame, imports: DataFrame, siblings: DataF
     return rows.select("name", "file_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("imports", "siblings", "references")))
 
 
-def stored_cycles(edges: DataFrame, max_len: int = 30) -> DataFrame:
+def stored_cycles(edges: DataFrame, max_len: int | None = None) -> DataFrame:
     """Cycles with a number in order of their path and the edge to break."""
     cycles = break_edge(elementary_cycles(edges, max_len))
     return cycles.withColumn("number", F.row_number().over(Window.orderBy("path", "slots")) - 1)  # as many rows as cycles

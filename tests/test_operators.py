@@ -1,5 +1,7 @@
 """Operators on small tables, with cases that the driver's tables don't hold."""
 
+import pytest
+
 from loomgraph.functions import naming as N
 from loomgraph.operators import components as C
 from loomgraph.operators import dedupe as D
@@ -32,6 +34,17 @@ def test_strong_components_and_cycles(spark):
     assert G.strong_components(edges(spark, ("a", "b"))).count() == 0
 
 
+def test_long_chains_and_cycles_are_whole_or_an_error(spark):
+    names = [f"n{i:02}" for i in range(32)]
+    line, ring = edges(spark, *zip(names, names[1:])), edges(spark, ("a", "b"), ("b", "c"), ("c", "a"))
+    chains = G.ancestor_chains(line, nodes(spark, names), nodes(spark, names[-1:])).collect()
+    assert [list(r.chain) for r in chains] == [names[::-1]]
+    with pytest.raises(ValueError):
+        G.ancestor_chains(line, nodes(spark, names), nodes(spark, names[-1:]), max_len=2)
+    with pytest.raises(ValueError):
+        G.elementary_cycles(ring, max_len=2)
+
+
 def test_cascades_are_idempotent(spark):
     e = edges(spark, ("a", "b"), ("b", "c"), ("c", "b"), ("z", "c"))
     units = G.strong_components(e)
