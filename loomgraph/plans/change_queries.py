@@ -261,6 +261,14 @@ def c11(spark, sf):
     return U.seed_from_prior(props, 1, sessions).select("component_id", "cdf_type", "category")
 
 
+@query("c11_seed_from_prior_whole", with_carriers("""+p AS (SELECT CASE WHEN component_id % 2 = 0 THEN 1 ELSE 2 END AS session_id, component_id // 2 AS component_id, position, name, cdf_type, category FROM cat_props)
+SELECT a.component_id, a.position, coalesce(a.cdf_type, b.cdf_type) AS cdf_type, CASE WHEN a.cdf_type IS NULL THEN coalesce(b.category, a.category) ELSE a.category END AS category FROM p a LEFT JOIN p b ON b.session_id = 2 AND b.component_id = a.component_id AND b.name = a.name WHERE a.session_id = 1""", "cat_props"))
+def c11_whole(spark, sf):
+    props = carrier(spark, sf, "cat_props").selectExpr("CASE WHEN component_id % 2 = 0 THEN 1 ELSE 2 END AS session_id", "component_id DIV 2 AS component_id", "position", "name", "cdf_type", "category")
+    sessions = props.select("session_id").distinct().withColumn("started_at", F.col("session_id"))
+    return U.seed_from_prior(props, 1, sessions).select("component_id", "position", "cdf_type", "category")
+
+
 @query("j6_copy_from_cache", with_carriers("""SELECT a.component_id, a.position, CASE WHEN a.component_id % 5 = 1 THEN b.cdf_type ELSE a.cdf_type END AS cdf_type FROM cat_props a LEFT JOIN cat_props b ON a.component_id % 5 = 1 AND b.component_id = a.component_id + 1 AND b.name = a.name""", "cat_props"))
 def j6(spark, sf):
     props = carrier(spark, sf, "cat_props")

@@ -218,6 +218,13 @@ def a5(spark, sf):
     return found.selectExpr("component_id", "name", "array_join(transform(props, p -> concat(p.name, ':', p.type)), ',') AS props", "array_join(transform(slots, s -> s.name), ',') AS slots")
 
 
+@query("a5_load_components_whole", with_carriers(_LISTS + " WHERE (session_id, name) IN (SELECT (session_id, name) FROM cat_components WHERE status = 'accepted')", *_CAT))
+def a5_whole(spark, sf):
+    components = carrier(spark, sf, "cat_components")
+    found = T.load_components(components, carrier(spark, sf, "cat_props"), carrier(spark, sf, "cat_slots"), components.filter("status = 'accepted'"))
+    return found.selectExpr("component_id", "name", "array_join(transform(props, p -> concat(p.name, ':', p.type)), ',') AS props", "array_join(transform(slots, s -> s.name), ',') AS slots")
+
+
 @query("a4_normalize_components", with_carriers("""
 SELECT substr(sha256(concat(c.name, ':', c.source)), 1, 12) AS component_id, CAST(row_number() OVER (PARTITION BY p.component_id ORDER BY p.position) - 1 AS INT) AS position, p.name, p.type FROM cat_components c JOIN cat_props p USING (component_id)""", "cat_components", "cat_props"))
 def a4(spark, sf):

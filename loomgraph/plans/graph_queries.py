@@ -203,3 +203,57 @@ def d9(spark, sf):
 def d10(spark, sf):
     edges, nodes = _known(spark, sf)
     return G.group_dependency_counts(G.all_closures(edges, nodes), _state(nodes), G.strong_components(edges))
+
+
+# The queries above with modulo filters are samples that DuckDB can follow. These take every node, or the components of a status.
+
+
+def _of_status(spark, sf, status):
+    return carrier(spark, sf, "cat_components").filter(F.col("status") == status).selectExpr("component_id AS node")
+
+
+@query("h3_closure_whole")
+def h3_whole(spark, sf):
+    edges, nodes = _edges(spark, sf)
+    return G.closure(edges, nodes, nodes).select("root", "node", "depth")
+
+
+@query("h6_direct_parents_whole", graph_sql(_E, "SELECT DISTINCT dst AS node, src AS parent, slot FROM slot_edges WHERE src <> dst AND dst IN (SELECT node FROM nodes)"))
+def h6_whole(spark, sf):
+    return G.direct_parents(*_edges(spark, sf))
+
+
+@query("h7_ancestors_whole")
+def h7_whole(spark, sf):
+    edges, nodes = _edges(spark, sf)
+    return G.ancestors(edges, nodes, nodes)
+
+
+@query("h8_ancestor_chains_whole")
+def h8_whole(spark, sf):
+    edges, nodes = _edges(spark, sf)
+    return G.ancestor_chains(edges, nodes, nodes).select("node", "chain", "slots")
+
+
+@query("h10_neighborhood_whole", with_carriers("+a AS (SELECT component_id AS node FROM cat_components WHERE status = 'accepted')\nSELECT node FROM a UNION SELECT dst FROM slot_edges WHERE src IN (SELECT node FROM a) UNION SELECT src FROM slot_edges WHERE dst IN (SELECT node FROM a)", "slot_edges", "cat_components"))
+def h10_whole(spark, sf):
+    return G.neighborhood(carrier(spark, sf, "slot_edges"), _of_status(spark, sf, "accepted"))
+
+
+@query("h14_accept_cascade_whole")
+def h14_whole(spark, sf):
+    edges, _ = _known(spark, sf)
+    return G.accept_cascade(edges, _of_status(spark, sf, "accepted"), G.strong_components(edges))
+
+
+@query("h15_reject_cascade_whole")
+def h15_whole(spark, sf):
+    edges, _ = _known(spark, sf)
+    rejected, deselected, _ = G.reject_cascade(edges, _of_status(spark, sf, "rejected"), G.strong_components(edges))
+    return rejected.withColumn("kind", F.lit("rejected")).unionByName(deselected.withColumn("kind", F.lit("deselected")))
+
+
+@query("h16_reachable_cycle_units_whole")
+def h16_whole(spark, sf):
+    edges, _ = _known(spark, sf)
+    return G.reachable_cycle_units(edges, _of_status(spark, sf, "accepted"), G.strong_components(edges))

@@ -67,6 +67,15 @@ def e12(spark, sf):
     return P.first_call_per_component(spark.range(40).selectExpr("concat('c', id) AS name"), calls).select("name", "decision")
 
 
+@query("e12_first_call_whole", """
+WITH f AS (SELECT conv_id, arg_min(turn % 3, turn) FILTER (turn % 3 < 2) AS t FROM conversations GROUP BY 1)
+SELECT concat('c', conv_id) AS name, CASE t WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' ELSE 'failed' END AS decision FROM f""")
+def e12_whole(spark, sf):
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").withColumn("name", F.concat(F.lit("c"), "conv_id"))
+    calls = rows.filter("turn % 3 < 2").selectExpr("name", "CASE turn % 3 WHEN 0 THEN 'accept_component' ELSE 'reject_component' END AS tool", "'r' AS reason", "turn AS seq")
+    return P.first_call_per_component(rows.select("name").distinct(), calls).select("name", "decision")
+
+
 _PATCH = """+k AS (SELECT l_partkey AS component_id, CASE l_linenumber WHEN 1 THEN 'onClick' WHEN 2 THEN 'label' WHEN 3 THEN 'bgColor' ELSE 'missing' END AS name, CASE WHEN l_suppkey % 3 = 0 THEN 'exclude_prop' ELSE 'classify_prop' END AS tool, l_returnflag AS cdf_type, l_linestatus = 'O' AS required, l_orderkey * 10 + l_linenumber AS seq FROM lineitem),
 w AS (SELECT component_id, name, arg_max(tool, seq) AS tool, arg_max(cdf_type, seq) AS t, max(seq) FILTER (tool = 'classify_prop') AS cs, arg_max(required, seq) FILTER (tool = 'classify_prop') AS r FROM k GROUP BY 1, 2)
 """

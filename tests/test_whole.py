@@ -1,0 +1,24 @@
+"""Queries over whole tables whose namesakes take a sample, against SQL and on all nodes."""
+
+import os
+
+import pytest
+from test_oracle import DATA, duck, plain  # noqa: F401
+
+from loomgraph.plans import registry
+
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+
+
+@pytest.mark.parametrize("name", ["h6_direct_parents_whole", "h10_neighborhood_whole", "e12_first_call_whole", "c11_seed_from_prior_whole", "a5_load_components_whole"])
+def test_whole_query_equals_its_sql(spark, duck, name):  # noqa: F811
+    got = registry.QUERIES[name](spark, DATA)
+    want = duck.sql(registry.ORACLE_SQL[name])
+    places = [want.columns.index(c) for c in got.columns]
+    rows = sorted(map(repr, (tuple(map(plain, r)) for r in got.collect())))
+    assert rows and rows == sorted(repr(tuple(plain(r[i]) for i in places)) for r in want.fetchall())
+
+
+def test_closure_starts_at_every_node(spark):
+    nodes = spark.read.parquet(f"{DATA}/part.parquet").count()
+    assert registry.QUERIES["h3_closure_whole"](spark, DATA).filter("depth = 0").count() == nodes
