@@ -1,212 +1,123 @@
-"""Language-model scores of documents by stupid backoff over word bigrams.
-
-S(w | v) = c(v w) / c(v) where the corpus has the bigram at least `least` times, else BACKOFF * c(w) / N. A document's
-score is the sum of the logarithms of its words' S, the first word by the unigram.
-
-N-grams are partitioned by the hash of their last word, so that a partition has all counts c(w) and c(v w) of its
-words. Counts c(v) of contexts are in the partition of v, where a second shuffle looks them up. Between tasks, what a
-batch of documents sends to a partition is one packed row: the words, sorted, and for each word's places the word
-before and the document's place in the batch. Sums come back by batch. Words are 48-bit hashes.
+"""Language-model scores of documents by stupid backoff over word bigrams, as count tables, joins and sums.
+
+S(w | v) = c(v w) / c(v) where the corpus has the bigram at least `least` times, else BACKOFF * c(w) / N; a document's
+first word has c(w) / N. A document's score is the sum of the logarithms of its words' S.
+
+1. The table of words, with their counts, is grouped by the words themselves. Words get a number: frequent ones, with
+   more than 1 / FREQUENT of all places and so fewer than FREQUENT, a small one, the others their 63-bit hash, which no
+   two words of the corpus share.
+2. Bigrams of two common words, with more than 1 / COMMON of all places each, are counted apart. Where one of them is
+   frequent, its places add to their document's sum where the document is read, by a broadcast of fewer than FREQUENT
+   rows, so that no bigram in many documents meets in one task. So do frequent words that open documents.
+3. All other places are exploded to rows (document, v, w), hash-partitioned by their rare word or, without one, by the
+   bigram. A partition has all places of its rare words and bigrams, so their part of the count tables is made there and
+   joined to the rows by windows. No key of this shuffle has more than 1 / COMMON of the rows. What a row still needs,
+   the count of v after a bigram that counts and of w after one that doesn't, comes by broadcast for a frequent word and
+   by a join with the table of words for the first of two rare ones.
+4. Sums by document, combined before each shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import materialize
+from loomgraph.llm.common import WORD, materialize
 
 BACKOFF, LEAST = 0.4, 2
-#: Documents that a task packs together, and about how many words a partition holds.
-BATCH_DOCS, PARTITION_WORDS = 4096, 4_000_000
-#: A task sorts about so many of its partition's words at once.
-RANGE_WORDS = 500_000
-_MASK, _START = (1 << 48) - 1, (1 << 48) - 1
-_ID = np.dtype("<u8")
-
-
-def word_ids(text: str | None) -> np.ndarray:
-    raw = (text or "").encode().split()  # bytes split at ASCII white space only
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, raw), _ID, len(raw)) & np.uint64(_MASK)
-
-
-def _narrow(ids: np.ndarray) -> bytes:
-    """48-bit numbers in six bytes each."""
-    return np.ascontiguousarray(ids.astype(_ID).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+#: Words and bigrams with a share over 1 / FREQUENT are broadcast: fewer than so many rows of two or three numbers each.
+FREQUENT, COMMON = 2_000_000, 50_000
+_SEED = 29
 
 
-def _wide(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view(_ID).ravel()
+def words_of(text: str) -> Column:
+    """The words of a text as an array; null if it has none."""
+    bare = F.btrim(text, F.lit("".join(map(chr, (32, *range(9, 14))))))
+    return F.split(F.when(bare != "", bare), r"[\x20\x09-\x0D]+")
 
 
-def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Values and lengths of the runs of a sorted array."""
-    if not len(x):
-        return x, np.empty(0, np.int64)
-    starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-    return x[starts], np.diff(np.r_[starts, len(x)])
+def _hash(word: str | Column) -> Column:
+    """A negative number, apart from the small ones of frequent words."""
+    return F.xxhash64(F.lit(_SEED), word).bitwiseOR(F.lit(-(1 << 63)))
 
 
-_PACKED = "part int, batch long, docs int, words binary, counts binary, before binary, places binary"
+def places(docs: DataFrame) -> DataFrame:
+    """A row for each word of docs: doc_id, the word's hash w and that of the word before it, v (null for a document's first)."""
+    hashes = docs.select("doc_id", F.transform(words_of("text"), _hash).alias("ws"))
+    each = hashes.select("doc_id", "ws", F.posexplode("ws").alias("at", "w"))
+    return each.select("doc_id", F.get("ws", F.col("at") - 1).alias("v"), "w")
 
 
-def _packed(docs: DataFrame, parts: int) -> DataFrame:
-    """What each batch of documents sends to each partition; and to one of them, without places, its doc_ids and lengths."""
-    kind = docs.schema["doc_id"].dataType
+def word_counts(docs: DataFrame) -> DataFrame:
+    """The table of words: h (hash) and n (count). Two words with one hash are an error."""
+    words = docs.select(F.explode(words_of("text")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    found = materialize(words.select(_hash("w").alias("h"), "n"), "words")
+    if not found.groupBy("h").count().filter("count > 1").isEmpty():
+        raise ValueError("two words share a hash; another _SEED parts them")
+    return found
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, made = TaskContext.get().partitionId(), 0
-        for whole in batches:
-            for at in range(0, whole.num_rows, BATCH_DOCS):
-                batch = whole.slice(at, BATCH_DOCS)
-                ids = [word_ids(t) for t in batch.column(1).to_pylist()]
-                lengths = np.array([len(x) for x in ids])
-                word = np.concatenate(ids) if ids else np.empty(0, _ID)
-                before = np.r_[np.uint64(_START), word[:-1]].astype(_ID) if len(word) else word
-                before[(np.cumsum(lengths) - lengths)[lengths > 0]] = _START
-                place = np.repeat(np.arange(len(ids)), lengths).astype(np.uint16)
-                part = (word % np.uint64(parts)).astype(np.int64)
-                order = np.lexsort((before, word, part))
-                word, before, place, part = word[order], before[order], place[order], part[order]
-                names = np.asarray(batch.column(0).cast(pa.int64()).fill_null(-1))
-                made += 1
-                number = xxhash.xxh3_64_intdigest(names.tobytes() + f"{task}/{made}".encode()) >> 1
-                rows = [(number % parts, number, len(ids), names.tobytes(), lengths.astype(np.int32).tobytes(), np.asarray(batch.column(0).is_null()).tobytes(), b"")]
-                for p, start, stop in zip(*_bounds(part), strict=True):
-                    values, counts = _runs(word[start:stop])
-                    rows.append((p, number, len(ids), _narrow(values), counts.astype(np.uint32).tobytes(), _narrow(before[start:stop]), place[start:stop].tobytes()))
-                kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _PACKED.split(", ")])
 
-    assert kind.simpleString() in ("bigint", "int", "smallint", "tinyint"), "doc_id must be an integer"
-    return docs.select("doc_id", "text").mapInArrow(run, _PACKED)
+def frequent_words(words: DataFrame, total: int, frequent: int) -> DataFrame:
+    """h, id and n of the words with a share over 1 / frequent, the most frequent first; fewer than that many rows."""
+    few = words.filter(F.col("n") * frequent > total)
+    return materialize(few.select("h", (F.row_number().over(Window.orderBy(F.desc("n"), "h")) - 1).cast("long").alias("id"), "n"), "frequent")
 
 
-def _bounds(sorted_part: np.ndarray) -> tuple[list[int], list[int], list[int]]:
-    values, counts = _runs(sorted_part)
-    stops = np.cumsum(counts)
-    return values.tolist(), (stops - counts).tolist(), stops.tolist()
+def _numbered(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """places() with numbers for words, and pair: a number for a bigram of two frequent words."""
+    side = lambda x: F.broadcast(known.select(F.col("h").alias(x), F.col("id").alias(f"{x}_id")))
+    rows = places(docs).join(side("w"), "w", "left").join(side("v"), "v", "left")
+    pair = F.shiftleft("v_id", 32) + F.col("w_id")
+    return rows.select("doc_id", F.coalesce("v_id", "v").alias("v"), F.coalesce("w_id", "w").alias("w"), pair.alias("pair"))
 
 
-_SENT = "part int, batch long, docs int, kind string, words binary, counts binary, places binary, sums binary, misses binary"
-_KINDS = [pa.int32(), pa.int64(), pa.int32(), pa.string(), *[pa.binary()] * 5]
-
-
-def _table(rows: list[tuple], names: str, kinds: list) -> pa.Table:
-    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * len(kinds), kinds, strict=True)], names=[x.split()[0] for x in names.split(", ")])
-
-
-def _counted(table: pa.Table, parts: int, least: int, backoff: float) -> pa.Table:
-    """One partition's words: their counts, each batch's sums, and for bigrams that count the contexts to look up.
-
-    The words are taken in ranges of their hashes, RANGE_WORDS places at a time or so.
-    """
-    rows = table.to_pylist()
-    chunks = [c for c in rows if c["places"]]
-    out = [(-1, c["batch"], c["docs"], "head", c["words"], c["counts"], c["before"], b"", b"") for c in rows if not c["places"]]
-    del table, rows
-    starts, words = [], []
-    for c in chunks:
-        words.append(_wide(c["words"]))
-        starts.append(np.r_[0, np.cumsum(np.frombuffer(c["counts"], np.uint32), dtype=np.int64)])
-    sums, misses = [np.zeros(c["docs"]) for c in chunks], [np.zeros(c["docs"]) for c in chunks]
-    ranges = max(1, -(-sum(int(s[-1]) for s in starts) // RANGE_WORDS)) if chunks else 0
-    edges = [np.uint64((_MASK + 1) * r // ranges) for r in range(ranges + 1)]
-    for low, high in zip(edges[:-1], edges[1:], strict=True):
-        cuts = [np.searchsorted(w, [low, high]) for w in words]
-        places = [(int(s[a]), int(s[b])) for s, (a, b) in zip(starts, cuts, strict=True)]
-        word = np.concatenate([np.repeat(w[a:b], np.diff(s[a : b + 1])) for w, s, (a, b) in zip(words, starts, cuts, strict=True)])
-        if not len(word):
-            continue
-        before = np.concatenate([_wide(c["before"][6 * a : 6 * b]) for c, (a, b) in zip(chunks, places, strict=True)])
-        place = np.concatenate([np.frombuffer(c["places"], np.uint16)[a:b] for c, (a, b) in zip(chunks, places, strict=True)])
-        chunk = np.repeat(np.arange(len(chunks), dtype=np.int32), [b - a for a, b in places])
-        order = np.lexsort((before, word))
-        word, before, place, chunk = word[order], before[order], place[order], chunk[order]
-        del order
-        values, totals = _runs(word)
-        new = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (before[1:] != before[:-1])])
-        pairs = np.diff(np.r_[new, len(word)])
-        of_pair, of_word = np.repeat(pairs, pairs), np.repeat(totals, totals)
-        del word
-        first = before == _START
-        hit = (of_pair >= least) & ~first
-        # a first word has no context to back off from
-        worth = np.where(hit, np.log(of_pair), np.log(np.where(first, 1.0, backoff) * of_word))
-        out.append((int(values[0] % np.uint64(parts)), -1, 0, "count", _narrow(values), totals.astype(np.int64).tobytes(), b"", b"", b""))
-        del of_pair, of_word
-        by = np.argsort(chunk, kind="stable")
-        bounds = np.searchsorted(chunk[by], np.arange(len(chunks) + 1))
-        for i, c in enumerate(chunks):
-            own = by[bounds[i] : bounds[i + 1]]
-            sums[i] += np.bincount(place[own], weights=worth[own], minlength=c["docs"])
-            misses[i] += np.bincount(place[own], weights=~hit[own], minlength=c["docs"])
-            asked = own[hit[own]]
-            ask_part = (before[asked] % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((before[asked], ask_part))
-            asked, ask_part = asked[order], ask_part[order]
-            for p, start, stop in zip(*_bounds(ask_part), strict=True):
-                contexts, counts = _runs(before[asked[start:stop]])
-                out.append((p, c["batch"], c["docs"], "ask", _narrow(contexts), counts.astype(np.uint32).tobytes(), place[asked[start:stop]].tobytes(), b"", b""))
-    for c, s, m in zip(chunks, sums, misses, strict=True):
-        out.append((-1, c["batch"], c["docs"], "sum", b"", b"", b"", s.tobytes(), m.astype(np.int32).tobytes()))
-    return _table(out, _SENT, _KINDS)
-
-
-def _looked_up(table: pa.Table) -> pa.Table:
-    """One partition's contexts: what their counts take from the batches' sums."""
-    rows = table.to_pylist()
-    known = [(_wide(r["words"]), np.frombuffer(r["counts"], np.int64)) for r in rows if r["kind"] == "count"]
-    out = []
-    if known:
-        known.sort(key=lambda k: int(k[0][0]))  # ranges don't overlap
-        values, totals = (np.concatenate(x) for x in zip(*known, strict=True))
-        for r in rows:
-            if r["kind"] == "ask":
-                logs = np.log(totals[np.searchsorted(values, _wide(r["words"]))])
-                place = np.frombuffer(r["places"], np.uint16)
-                sums = -np.bincount(place, weights=np.repeat(logs, np.frombuffer(r["counts"], np.uint32)), minlength=r["docs"])
-                out.append((r["batch"], sums.tobytes(), b""))
-    return _table(out, "batch long, sums binary, misses binary", [pa.int64(), pa.binary(), pa.binary()])
-
-
-def _summed(table: pa.Table, total: int) -> pa.Table:
-    """One batch's documents with their scores."""
-    rows = table.to_pylist()
-    head = next(r for r in rows if r["ids"] is not None)
-    ids, lengths, nulls = np.frombuffer(head["ids"], np.int64), np.frombuffer(head["lengths"], np.int32).astype(np.int64), np.frombuffer(head["nulls"], bool)
-    score = np.zeros(len(ids))
-    for r in rows:
-        if r["sums"]:
-            score += np.frombuffer(r["sums"], np.float64)
-        if r["misses"]:
-            score -= np.frombuffer(r["misses"], np.int32) * np.log(max(total, 1))
-    mean = np.divide(score, lengths, out=np.full(len(ids), np.nan), where=lengths > 0)
-    return pa.table({"doc_id": pa.array(ids, mask=nulls), "n_words": pa.array(lengths), "log_score": pa.array(score, mask=lengths == 0), "mean_log_score": pa.array(mean, mask=lengths == 0)})
-
-
-def score(docs: DataFrame, least: int = LEAST, backoff: float = BACKOFF) -> DataFrame:
+def score(docs: DataFrame, least: int = LEAST, backoff: float = BACKOFF, frequent: int = FREQUENT, common: int = COMMON) -> DataFrame:
     """doc_id, n_words, log_score and mean_log_score of each row of docs (doc_id, text; other columns are left out), counted over all of them.
 
-    A null or empty text has no words and null scores. Repeated rows count and are scored as often as they are there.
-    An empty table gives none.
+    A null or empty text has no words and null scores. Repeated rows count and are scored as often as they are there;
+    rows that share a doc_id, null too, with other texts share the mean of their log_scores. An empty table gives none.
     """
-    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
-    total = docs.agg(F.sum(words).cast("long")).first()[0] or 0
-    parts = max(1, -(-total // PARTITION_WORDS))
-    counted = _packed(docs, parts).groupBy("part").applyInArrow(lambda t: _counted(t, parts, least, backoff), _SENT)
-    counted = materialize(counted, "counted")
-    empty = F.lit(None).cast("binary")
-    sums = counted.filter("kind = 'sum'").select("batch", "sums", "misses")
-    heads = counted.filter("kind = 'head'").select("batch", empty.alias("sums"), empty.alias("misses"), F.col("words").alias("ids"), F.col("counts").alias("lengths"), F.col("places").alias("nulls"))
-    contexts = counted.filter("kind IN ('count', 'ask')").groupBy("part").applyInArrow(_looked_up, "batch long, sums binary, misses binary")
-    everything = sums.unionByName(contexts).unionByName(heads, allowMissingColumns=True)
-    return everything.groupBy("batch").applyInArrow(lambda t: _summed(t, total), "doc_id long, n_words long, log_score double, mean_log_score double")
+    words = word_counts(docs)
+    total = words.agg(F.sum("n")).first()[0] or 0
+    known = frequent_words(words, total, frequent)
+    limit = known.filter(F.col("n") * common > total).count()  # ids below it are common words
+    rows = _numbered(docs, known)
+
+    of_id = lambda x: F.broadcast(known.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}")))
+    backed_off = F.log(F.lit(backoff)) - F.log(F.lit(max(total, 1)))
+
+    first, second = F.shiftright("pair", 32), F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))
+    counted = rows.filter((F.col("v") < limit) & (F.col("w") < limit) & F.col("pair").isNotNull()).groupBy("pair").agg(F.count("*").alias("n"))
+    counted = counted.filter(F.col("n") * frequent > total).select("pair", "n", first.alias("v"), second.alias("w"))
+    counted = counted.join(of_id("v"), "v").join(of_id("w"), "w")
+    values = F.when(F.col("n") >= least, F.log("n") - F.log("n_v")).otherwise(backed_off + F.log("n_w"))
+    bigrams = materialize(counted.select("pair", values.alias("s")), "bigrams")
+    at_once = rows.join(F.broadcast(bigrams), "pair").groupBy("doc_id").agg(F.sum("s").alias("s"))
+    start = F.log(F.lit(max(total, 1)))
+    openers = docs.select("doc_id", F.regexp_extract("text", WORD, 0).alias("w")).filter("w <> ''").select("doc_id", _hash("w").alias("h"))
+    openers = openers.join(F.broadcast(known), "h").select("doc_id", (F.log("n") - start).alias("s"))
+
+    rest = rows.filter((F.col("v").isNotNull()) | (F.col("w") < 0)).join(F.broadcast(bigrams.select("pair")), "pair", "left_anti").select("doc_id", "v", "w")
+    key = F.when(F.col("w") < 0, F.col("w")).when(F.col("v") < 0, F.col("v")).otherwise(F.shiftleft("v", 32) + F.col("w"))
+    rest = rest.repartition(key).withColumn("key", key)
+    rest = rest.withColumn("n", F.count("*").over(Window.partitionBy("key", "v", "w")))
+    rest = rest.withColumn("n_rare", F.count_if(F.col("w") == F.col("key")).over(Window.partitionBy("key")))
+    counts = F.col("v").isNotNull() & (F.col("n") >= least)
+    need = F.when(counts, F.col("v")).otherwise(F.col("w"))
+    part = F.when(counts, F.log("n")).when(F.col("v").isNull(), -start).otherwise(backed_off)
+    rest = rest.select("doc_id", need.alias("need"), F.when(counts, -1).otherwise(1).alias("sign"), part.alias("s"), F.when((need < 0) & (need == F.col("key")), F.col("n_rare")).alias("n_rare"))
+    rest = rest.join(of_id("need"), "need", "left").withColumn("n", F.coalesce("n_need", "n_rare"))
+    open_ = F.when(F.col("n").isNull(), F.col("need"))
+    found = F.col("s") + F.coalesce(F.col("sign") * F.log("n"), F.lit(0.0))
+    parts = materialize(rest.groupBy("doc_id", open_.alias("need")).agg(F.sum(found).alias("s"), F.count("*").alias("times")), "parts")
+
+    # only a bigram that counts leaves its first word open
+    rare = parts.filter("need IS NOT NULL").join(words.select(F.col("h").alias("need"), "n"), "need")
+    sums = rare.select("doc_id", (-F.col("times") * F.log("n")).alias("s"))
+    sums = parts.select("doc_id", "s").unionByName(sums).unionByName(at_once).unionByName(openers).groupBy(F.col("doc_id").alias("__id")).agg(F.sum("s").alias("s"))
+    own = docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    times = own.groupBy(F.col("doc_id").alias("__key")).agg(F.count("*").alias("times"))
+    sums = sums.join(times, F.col("__id").eqNullSafe(F.col("__key"))).select("__id", (F.col("s") / F.col("times")).alias("s"))
+    out = own.join(sums, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    value = F.when(F.col("n_words") > 0, F.col("s"))
+    return out.select("doc_id", "n_words", value.alias("log_score"), (value / F.col("n_words")).alias("mean_log_score"))

@@ -1,5 +1,6 @@
 """The training-data operators against brute force, round trips and planted cases, with nulls, ties, empty tables and clashing columns."""
 
+import gzip
 import random
 import zlib
 from array import array
@@ -94,6 +95,33 @@ def test_mix_of_nothing(spark):
     assert mixing.draws(docs(spark, []).limit(0)).count() == 0
 
 
+PLAN_NAMES = "weight passes cut quota shift n_blocks shard_of parts pass shard words d at_block rest ordinal places rank target source_size length offset".split()
+
+
+def test_mixing_and_packing_with_clashing_columns(spark):
+    rows = [(i, words(i, 1 + i % 40), "ab"[i % 2]) for i in range(60)]
+    plain = docs(spark, rows)
+    table = plain.select("*", *(F.lit(f"own {c}").alias(c) for c in PLAN_NAMES))
+    taken = F.expr("aggregate(draws, 0L, (a, d) -> a + d.words)").alias("taken")
+    pairs = [sorted(map(tuple, mixing.draws(t, shards=3).select("doc_id", taken).collect())) for t in (plain, table)]
+    assert pairs[0] == pairs[1]
+    mixed = mixing.mix(table, shards=3).collect()
+    assert all(r["weight"] == "own weight" and r["size"] == "extra" and r["target"] == "own target" for r in mixed) and len(mixed) >= len(rows)
+    pieces = packing.pieces(table, tokenizer()).select("*", *(F.lit(1).alias(c) for c in ("places", "rank", "p", "sequence")))
+    packed = packing.pack(pieces, ["doc_id", "piece"])
+    assert packed.filter("places = 1").count() == len(rows) and packed.select("sequence_id", "offset").distinct().count() == len(rows)
+
+
+def test_large_shards_are_written_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 100)
+    monkeypatch.setattr(mixing, "MAX_SHARDS", 4)
+    monkeypatch.setattr(mixing, "LEAST_SHARDS", 2)
+    table = docs(spark, [(i, words(i, 20), "a") for i in range(200)])
+    plan = mixing.plan_mix(table).first()
+    mixed = mixing.mix(table).collect()
+    assert plan["parts"] == 15 and {r.shard for r in mixed} == {0, 1, 2, 3} and sum(r["words"] for r in mixed) == 6000
+
+
 def test_quotas_are_split_exactly(spark):
     quotas = spark.createDataFrame([(0, 100), (1, 7), (2, 0), (3, 31)], "ordinal long, quota long")
     got = mixing.split_quotas(quotas, 6).groupBy("ordinal").agg(F.sum("quota").alias("q"), F.min("quota").alias("least")).collect()
@@ -138,13 +166,51 @@ def test_exact_complements_fill_sequences():
 # ---- toxicity
 
 
+def patterns(grammar, text):
+    return [[(toxicity.PATTERNS[p], w) for p, w in clause] for clause in grammar.matched(text)]
+
+
 def test_patterns_of_clauses():
     g = toxicity.Grammar({"idiot": 5.0, "lowei*": 4.0})
-    assert g.matched("you are an idiot") == [("aimed", 5.0)]
-    assert g.matched("not an idiot. fine") == [("negated", 5.0)]
-    assert g.matched('he said "what an idiot" then') == [("reported", 5.0)]
-    assert g.matched("das loweichen da") == [("plain", 4.0)] and g.matched(None) == g.matched("") == []
-    assert g.matched("i will kill you")[0][0] == "threat"
+    assert patterns(g, "you are an idiot") == [[("aimed", 5.0)]] == patterns(g, "an idiot is what they are")
+    assert patterns(g, "an idiot is what all of it ever was, you") == [[("plain", 5.0)]]
+    assert patterns(g, "not an idiot. fine") == [[("negated", 5.0)]]
+    assert patterns(g, 'he said "what an idiot" then. idiot') == [[("reported", 5.0)], [("plain", 5.0)]]
+    assert patterns(g, "das loweichen da") == [[("plain", 4.0)]] and g.matched(None) == g.matched("") == []
+    assert patterns(g, "i will kill you") == [[("threat", 4.0)]] and patterns(g, "i will not kill you") == [[("threat off", 4.0)]]
+    assert patterns(g, "to kill time") == []
+    assert len(patterns(g, "you idiot! " * 20_000)) == 20_000
+
+
+def test_negated_and_reported_clauses_score_below_aimed_ones():
+    r = np.random.default_rng(1)
+    sums = r.exponential(5, (400, 6)) * (r.random((400, 6)) < 0.3)
+    for toxic in ((sums[:, 2] > 0), (sums.sum(1) > 4), (sums[:, 0] > 0)):
+        factors, weights = toxicity._fitted(sums, toxic.astype(float))
+        g = toxicity.Grammar({"idiot": 5.0}, factors, weights)
+        aimed, plain, negated, reported = (g.score(g.features(t)) for t in ("you idiot", "what an idiot", "no idiot", "he said you idiot"))
+        assert aimed > plain > max(negated, reported) and all(f in v for f, v in zip(factors, toxicity.FACTORS, strict=True))
+
+
+def brute_patterns(clause):
+    """All that each insult or threat may be by the words around it."""
+    near = lambda i, kind, reach: any(k == kind for k, _ in clause[max(0, i - reach) : i])
+    for i, (kind, weight) in enumerate(clause):
+        off, said = near(i, toxicity.NEGATION, 3), any(k == toxicity.REPORT for k, _ in clause[:i])
+        target = near(i, toxicity.TARGET, 4) or any(k == toxicity.TARGET for k, _ in clause[i + 1 : i + 5])
+        if kind == toxicity.INSULT:
+            yield (2 if off else 3 if said else 1 if target else 0), weight
+        elif kind == toxicity.THREAT and near(i, toxicity.MODAL, 4) and target:
+            yield (5 if off or said else 4), weight
+
+
+def test_best_paths_equal_brute_force():
+    r = random.Random(4)
+    machine = toxicity.machine(False)
+    for _ in range(3000):
+        kinds = [r.choice([0, 0, 0, 0, 0, 1, 2, 3, 4, 5, 6]) for _ in range(r.randrange(14))]
+        clause = [(k, {5: 4.0, 6: 3.0}.get(k, 0.0)) for k in kinds]
+        assert machine.best_path(clause) == list(brute_patterns(clause))
 
 
 def test_labels_are_learned_and_held_out(spark):
@@ -186,6 +252,24 @@ def test_archives_round_trip(spark):
     assert warc.read_archives(spark, path).count() == 0
 
 
+def test_archives_are_bounded_by_bytes(spark):
+    rows = [(i, f"http://{i}", "é" * r) for i, r in enumerate([10, 3_000, 900_000, 20, 3_000, 5_000, 5_000, 40_000])]
+    path = new_path(spark, "bounded")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path, archive_bytes=30_000)
+    sizes = [r.length for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("length").collect()]
+    assert len(sizes) > 3 and sorted(s > 30_000 for s in sizes)[-3:] == [False, True, True]
+    got = {r.page_id: bytes(r.payload).decode() if r.payload is not None else None for r in warc.resolve(warc.read_archives(spark, path)).collect()}
+    assert got == {i: t for i, _, t in rows}
+
+
+def test_gzip_members_are_all_read():
+    record = "WARC/1.1\r\nWARC-Record-ID: <urn:page:{0}>\r\nContent-Length: 2\r\n\r\nh{0}\r\n\r\n"
+    content = b"".join(gzip.compress(record.format(i).encode()) for i in range(3))
+    assert [b for _, b in warc.parse_archive(content)] == [b"h0", b"h1", b"h2"]
+    with pytest.raises(ValueError, match="end"):
+        list(warc.parse_archive(content[:-9]))
+
+
 # ---- vectors
 
 
@@ -286,10 +370,9 @@ def test_notices_equal_brute_force(name):
 # ---- language model
 
 
-def test_scores_equal_the_formula(spark, monkeypatch):
-    monkeypatch.setattr(lm_score, "RANGE_WORDS", 300)
-    monkeypatch.setattr(lm_score, "PARTITION_WORDS", 700)
-    rows = [(i, words(i, 40, 60), "a") for i in range(50)] + [(90, None, "a"), (91, "  ", "a"), (92, "solo", "a"), (92, "solo", "a")]
+@pytest.mark.parametrize(("frequent", "common"), [(1, 1), (60, 30), (2_000_000, 20_000)])
+def test_scores_equal_the_formula(spark, frequent, common):
+    rows = [(i, words(i, 40, 60) + " very common" * (i % 9), "a") for i in range(50)] + [(90, None, "a"), (91, "  ", "a"), (92, "solo", "a"), (92, "solo", "a"), (93, words(3, 4000, 300), "a"), (None, "w1 w2", "a")]
     texts = [(i, (t or "").split()) for i, t, _ in rows]
     one, two = {}, {}
     for _, ws in texts:
@@ -298,11 +381,16 @@ def test_scores_equal_the_formula(spark, monkeypatch):
             if k:
                 two[ws[k - 1], w] = two.get((ws[k - 1], w), 0) + 1
     total = sum(one.values())
-    got = {r.doc_id: r for r in lm_score.score(docs(spark, rows)).collect()}
+    found = lm_score.score(docs(spark, rows).withColumnRenamed("size", "n"), frequent=frequent, common=common).collect()
+    got = {r.doc_id: r for r in found}
+    assert len(found) == len(rows)
     for i, ws in texts:
         want = sum(np.log(one[w] / total) if not k else np.log(two[ws[k - 1], w] / one[ws[k - 1]]) if two[ws[k - 1], w] >= 2 else np.log(0.4 * one[w] / total) for k, w in enumerate(ws))
         assert got[i].n_words == len(ws) and (got[i].log_score is None if not ws else got[i].log_score == pytest.approx(want))
-    assert lm_score.score(docs(spark, rows).limit(0)).count() == 0
+    if common == 30:
+        assert lm_score.score(docs(spark, rows).limit(0)).count() == 0
+        named = lm_score.score(docs(spark, rows).withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), frequent=frequent, common=common).collect()
+        assert sorted(r.log_score for r in named if r.log_score) == pytest.approx(sorted(r.log_score for r in found if r.log_score))
 
 
 # ---- near duplicates
