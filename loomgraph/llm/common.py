@@ -3,22 +3,33 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: A word: a run of characters that are no ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: spark.checkpoint.dir, or what the session was given by setCheckpointDir.
+
+    Where neither is set, a session in one process gets a temporary folder; on a cluster that is an error.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="loomgraph-")
-        spark.sparkContext.setCheckpointDir(base)
+        context.setCheckpointDir(base)
     return base.rstrip("/")
 
 
@@ -48,6 +59,18 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a few rows, sent as Arrow, which starts no Python worker on the executors."""
+    fields = to_arrow_schema(StructType.fromDDL(schema))
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields), schema=StructType.fromDDL(schema))
+
+
+def one_by_one(column: pa.Array) -> Iterator:
+    """The values of a column, each made when its turn comes, so that a batch isn't held twice."""
+    return (x.as_py() for x in column)
+
+
 def with_ordinal(df: DataFrame, keys: list, name: str) -> DataFrame:
     """Add the position (from 0) of each row in the order of keys, without one task for all rows.
 
@@ -65,7 +88,7 @@ def with_ordinal(df: DataFrame, keys: list, name: str) -> DataFrame:
         before += n
     if not offsets:
         return spread.withColumn(name, F.lit(0).cast("long")).drop(raw)
-    table = df.sparkSession.createDataFrame(offsets, "__p long, __before long")
+    table = small_table(df.sparkSession, offsets, "__p long, __before long")
     within = F.col(raw) - F.shiftleft(part, 33)
     out = spread.withColumn("__p", part).join(F.broadcast(table), "__p")
     return out.withColumn(name, F.col("__before") + within).drop(raw, "__p", "__before")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import materialize
+from loomgraph.llm.common import materialize, one_by_one, small_table
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 40, 4
@@ -78,7 +78,7 @@ def _sketched(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, keys, bands = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in one_by_one(batch.column(1)):
                 found = shingle_set(text, size)
                 counts.append(len(found))
                 keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
@@ -97,7 +97,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(t, size).view(np.int64) for t in batch.column(1).to_pylist()]
+            found = [shingle_set(t, size).view(np.int64) for t in one_by_one(batch.column(1))]
             yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["class_id", "shingles"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"class_id {kind}, shingles array<long>")
@@ -324,8 +324,8 @@ def _components_of(docs: DataFrame, classes: DataFrame, size: int, percent: int)
     shared = buckets.groupBy("band", "value").agg(F.min("class_id").alias("first"), F.max("class_id").alias("last")).filter("first < last")
     shared = shared.select("band", "value", F.monotonically_increasing_id().alias("bucket"))
     members = materialize(buckets.join(shared, ["band", "value"]).select("bucket", "class_id"), "members")
-    links = tested = spark.createDataFrame([], f"a {kind}, b {kind}")
-    where = spark.createDataFrame([], f"node {kind}, component {kind}")
+    links = tested = small_table(spark, [], f"a {kind}, b {kind}")
+    where = small_table(spark, [], f"node {kind}, component {kind}")
     for turn in range(STAR_ROUNDS + 1):
         at = members.join(where.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
         # a bucket is open while it holds more than one component; its centre is another member in each round

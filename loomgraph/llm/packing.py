@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import materialize
+from loomgraph.llm.common import materialize, one_by_one, small_table
 
 CAPACITY = 2048
 END_ID = 0
 #: Pieces of one length that one task ranks, about.
 RANKED_TOGETHER = 500_000
-_CACHE_WORDS, _CACHE_CHARS, _CHUNK_ROWS = 200_000, 64, 256
+_CACHE_WORDS, _CACHE_CHARS, _CHUNK_ROWS = 40_000, 32, 256
 # Fixed: how byte-level tokenizers of this kind split a text before they merge.
 _SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -43,10 +43,8 @@ class _Words(dict):
         if not word or word[0].isspace() or word[-1].isspace():
             raise _Odd
         ids = array("I", self.encode(self.before + word)).tobytes()
-        if len(word) <= _CACHE_CHARS:
-            if len(self) >= _CACHE_WORDS:
-                self.clear()
-            self[word] = ids
+        if len(word) <= _CACHE_CHARS and len(self) < _CACHE_WORDS:
+            self[word] = ids  # frequent words come early
         return ids
 
 
@@ -113,7 +111,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
             for at in range(0, batch.num_rows, _CHUNK_ROWS):
                 part = batch.slice(at, _CHUNK_ROWS)
                 rows, number, start, length, ids = [], [], [], [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
+                for i, text in enumerate(one_by_one(part.column(1))):
                     own = encoder.encode(text or "") + end
                     for k, (s, n) in enumerate(cut(len(own) // 4, capacity)):
                         rows.append(i)
@@ -247,9 +245,7 @@ def pack(lengths: DataFrame, order: list[str], capacity: int = CAPACITY) -> Data
     table = materialize(lengths.select(*own).withColumn("length", checked), "pieces")
     counts = {n: c for n, c in table.groupBy("length").count().collect()}
     salts = max(16, min(4096, -(-sum(counts.values()) // RANKED_TOGETHER)))
-    places = table.sparkSession.createDataFrame(
-        _places(plan_patterns(counts, capacity)), "length long, places array<struct<rank: long, sequence: long, many: long, offset: long>>"
-    )
+    places = small_table(table.sparkSession, _places(plan_patterns(counts, capacity)), "length long, __places array<struct<rank: long, sequence: long, many: long, offset: long>>")
     salted = table.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
     by_salt = salted.groupBy("length", "__salt").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.partitionBy("length").orderBy("__salt")) - F.col("__n")
@@ -257,7 +253,7 @@ def pack(lengths: DataFrame, order: list[str], capacity: int = CAPACITY) -> Data
     rank = F.row_number().over(Window.partitionBy("length", "__salt").orderBy(*order)) - 1
     ranked = salted.join(by_salt, ["length", "__salt"]).withColumn("__rank", F.col("__before") + rank)
     # one row for each length, at most capacity of them
-    placed = ranked.join(F.broadcast(places), "length").withColumn("__p", F.expr("element_at(places, size(filter(places, p -> p.rank <= __rank)))"))
+    placed = ranked.join(F.broadcast(places), "length").withColumn("__p", F.expr("element_at(__places, size(filter(__places, p -> p.rank <= __rank)))"))
     within = F.col("__rank") - F.col("__p.rank")
     sequence = F.col("__p.sequence") + F.floor(within / F.col("__p.many")).cast("long")
     offset = F.col("__p.offset") + within % F.col("__p.many") * F.col("length")
