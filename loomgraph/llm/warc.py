@@ -1,9 +1,10 @@
 """WARC archives with revisit records.
 
 Writing: headers (page, digest, size) are grouped by payload digest to find each payload's original; pages join the
-originals of repeated payloads and become response or revisit records with fresh headers. Spark's text writer, with
-the two line ends that close a record as its separator, writes the archives, so a lost task is written anew by the
-commit protocol. Reading follows Content-Length, so a payload may hold anything.
+originals of repeated payloads and become response or revisit records with fresh headers. Tasks join records to archives
+of a bounded size, and Spark's text writer writes a file for each, with the two line ends that close the last record as
+its separator, so a lost task is written anew by the commit protocol. Reading follows Content-Length, so a payload may
+hold anything.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import materialize
+from loomgraph.llm.common import materialize, one_by_one
 
 #: Payloads of fewer bytes are never deduplicated.
 LEAST_BYTES = 1000
-#: About so many bytes of records go to an archive; a reader's task holds one archive.
+#: So many bytes of records go to an archive, or one record if it is larger; a reader's task holds one archive.
 ARCHIVE_BYTES = 16_000_000
 #: Up to so many repeated payloads are broadcast to the pages; more are joined by a shuffle of the pages.
 MAX_BROADCAST_ORIGINALS = 500_000
@@ -86,18 +87,54 @@ def record_text(date: str = DATE) -> Column:
     )
 
 
+def _archives(archive_bytes: int):
+    """A function for mapInArrow: values, of the sizes given, joined to archives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+        joined = lambda: pa.record_batch([pa.array([(_END * 2).join(held)])], names=["value"])
+        for batch in batches:
+            for value, size in zip(one_by_one(batch.column(0)), one_by_one(batch.column(1)), strict=True):
+                if held and total + size + 4 > archive_bytes:
+                    yield joined()
+                    held, total = [], 0
+                held.append(value)
+                total += size + 4
+        if held:
+            yield joined()
+
+    return run
+
+
 def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES, date: str = DATE, compression: str = "none") -> None:
-    """Write a record for each row of pages (page_id, url, html; other columns are left out) to archives under path."""
-    n, total = payloads(pages).agg(F.count("*"), F.sum("payload_bytes")).first()
-    each = max(1, int(archive_bytes / (600 + (total or 0) / max(n, 1))))
-    text = with_record_type(pages, least_bytes).select(record_text(date).alias("value"))
-    text.write.option("lineSep", _END * 2).option("compression", compression).option("maxRecordsPerFile", each).text(path)
+    """Write a record for each row of pages (page_id, url, html; other columns are left out) to archives under path.
+
+    Null html is an empty payload, and records of null ids or urls have the name none or no address. Rows that repeat a
+    page_id are records each. No archive exceeds archive_bytes unless a single record does. An empty table leaves an
+    empty folder.
+    """
+    records = with_record_type(pages, least_bytes).select(record_text(date).alias("value"))
+    records = records.select("value", F.octet_length("value").alias("size")).mapInArrow(_archives(archive_bytes), "value string")
+    records.write.option("lineSep", _END * 2).option("compression", compression).option("maxRecordsPerFile", 1).text(path)
+
+
+def _unpacked(content: bytes) -> bytes:
+    """content, of any number of gzip members if it is gzip."""
+    parts = []
+    while content[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        parts.append(member.decompress(content) + member.flush())
+        if not member.eof:
+            raise ValueError("a gzip member has no end")
+        content = member.unused_data
+    if parts and content.strip(b"\0"):
+        raise ValueError("something else follows a gzip member")
+    return b"".join(parts) if parts else content
 
 
 def parse_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record."""
-    if content[:2] == b"\x1f\x8b":
-        content = zlib.decompressobj(31).decompress(content)
+    """Headers (names in lower case) and block of each record of an archive, plain or of gzip members."""
+    content = _unpacked(content)
     at = 0
     while at < len(content):
         stop = content.index(b"\r\n\r\n", at)
@@ -116,11 +153,15 @@ def _page(name: str | None) -> int | None:
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """The records of the archives under path. A response's size and digest are taken from its payload, a revisit's from its headers."""
+    """The records of the archives under path. A response's size and digest are taken from its payload, a revisit's from its headers.
+
+    A record named none has a null page_id, one without an address a null url. Repeated records are rows each; a folder
+    without archives gives an empty table; a record that doesn't hold the payload of its headers is an error.
+    """
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for file, content in zip(one_by_one(batch.column(0)), batch.column(1), strict=True):
                 rows = []
                 for head, block in parse_archive(content.as_buffer().to_pybytes()):
                     http, _, payload = block.partition(b"\r\n\r\n")
