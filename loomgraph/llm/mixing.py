@@ -9,7 +9,8 @@
    left half's share is a multivariate hypergeometric draw from the node's quotas. A shard's blocks follow one
    another in the permuted order, so shards are disjoint; rows are shuffled inside a shard by hash order.
 
-The plan has one row for each source and at most a fixed number of blocks, whatever the size of the input.
+The plan has one row for each source and a bounded number of blocks. Shards grow in number with the words drawn, up to
+MAX_SHARDS, and beyond that a shard is written by several tasks.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from loomgraph.llm.common import WORD, materialize, with_ordinal
 
 WEIGHTS = (3.0, 1.0, 2.0)
 TOTAL, MOST = 1.5, 2.0
-SHARDS, BLOCKS_PER_SHARD, SEED = 64, 32, 17
+BLOCKS_PER_SHARD, SEED = 32, 17
+#: Shards are so many, or as many as hold SHARD_WORDS words each; a task writes about so many words.
+LEAST_SHARDS, MAX_SHARDS, SHARD_WORDS = 64, 4096, 20_000_000
 #: A plan of more sources than this is joined as a table of unknown size, not broadcast.
 MAX_BROADCAST_SOURCES = 100_000
 _FINE = 1024
@@ -132,20 +135,22 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     return tree.select(F.col("first").alias("shard"), F.explode("q").alias("q")).select("q.ordinal", "shard", "q.quota")
 
 
-def _keyed(docs: DataFrame, plan: DataFrame, seed: int, bounded: bool) -> DataFrame:
-    """docs (with source and size) joined to their source's plan row, with the keys of the permuted order."""
-    plan = plan.withColumnRenamed("source", "__source")
+def _keyed(docs: DataFrame, plan: DataFrame, seed: int, bounded: bool, kept: list[str] | None = None) -> DataFrame:
+    """docs (with doc_id, source and __size) joined to their source's plan row as __p, with the keys of the permuted order."""
+    plan = plan.select(F.col("source").alias("__source"), F.struct(*(kept or plan.columns)).alias("__p"))
     out = docs.join(F.broadcast(plan) if bounded else plan, docs["source"].eqNullSafe(plan["__source"]), "left").drop("__source")
-    block = F.pmod(_hash("doc_id", "size", seed=seed), F.col("n_blocks"))
-    out = out.withColumn("__block", F.pmod(block * F.lit(_PRIME) + F.col("shift"), F.col("n_blocks")))
-    return out.withColumn("__fine", F.pmod(_hash("doc_id", "size", seed=seed + 1), F.lit(_FINE))).withColumn("__last", _hash("doc_id", "size", seed=seed + 2))
+    block = F.pmod(_hash("doc_id", "__size", seed=seed), F.col("__p.n_blocks"))
+    out = out.withColumn("__block", F.pmod(block * F.lit(_PRIME) + F.col("__p.shift"), F.col("__p.n_blocks")))
+    return out.withColumn("__fine", F.pmod(_hash("doc_id", "__size", seed=seed + 1), F.lit(_FINE))).withColumn("__last", _hash("doc_id", "__size", seed=seed + 2))
 
 
-def plan_mix(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: float = MOST, shards: int = SHARDS, blocks_per_shard: int = BLOCKS_PER_SHARD, seed: int = SEED) -> DataFrame:
-    """One row for each source: its target, where its draws end, and the shard of each of its blocks."""
+def plan_mix(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: float = MOST, shards: int | None = None, blocks_per_shard: int = BLOCKS_PER_SHARD, seed: int = SEED) -> DataFrame:
+    """One row for each source: its target, where its draws end, the shard of each of its blocks, and how many parts a shard has."""
     sizes = materialize(docs.select("doc_id", "source", words_in("text").alias("size")), "sizes")
     plan = targets(sizes, weights, total, most)
     words = plan.agg(F.sum("target")).first()[0] or 0.0
+    shards = shards or min(MAX_SHARDS, max(LEAST_SHARDS, math.ceil(words / SHARD_WORDS)))
+    parts = max(1, math.ceil(words / shards / SHARD_WORDS))
     per_block = max(1, math.ceil(words / (shards * blocks_per_shard)))
     size = F.col("source_size")
     passes = F.when(size > 0, F.floor(F.round("target") / size)).otherwise(0).cast("long")
@@ -153,7 +158,7 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: float
     plan = plan.withColumn("rest", F.round("target").cast("long") - F.col("passes") * size)
     plan = materialize(plan.withColumn("shift", F.pmod(F.xxhash64(F.lit(seed), "ordinal"), "n_blocks")), "plan")
     bounded = plan.count() <= MAX_BROADCAST_SOURCES
-    keyed = _keyed(sizes, plan.select("source", "n_blocks", "shift"), seed, bounded).drop("n_blocks", "shift")
+    keyed = _keyed(sizes.withColumn("__size", F.col("size")), plan, seed, bounded, ["n_blocks", "shift"]).drop("__p", "__size")
     plan = materialize(_descend(keyed, plan, "__block", "at_block"), "blocks")
     near = materialize(_inside(keyed, plan, {"__block": "at_block"}), "border")
     plan = materialize(_descend(near, plan, "__fine", "at_fine"), "fine")
@@ -167,47 +172,57 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: float
     shards_of = shares.groupBy("ordinal").agg(
         F.expr("flatten(transform(array_sort(collect_list(struct(shard, quota))), s -> array_repeat(s.shard, int(s.quota))))").alias("shard_of")
     )
-    plan = plan.join(shards_of, "ordinal", "left")
-    return materialize(plan.select("source", "source_size", "weight", "target", "passes", "n_blocks", "shift", "at_block", "at_fine", "at_last", "cut", "quota", "shard_of"), "mix")
+    plan = plan.join(shards_of, "ordinal", "left").withColumn("parts", F.lit(parts))
+    return materialize(plan.select("source", "source_size", "weight", "target", "passes", "n_blocks", "shift", "at_block", "at_fine", "at_last", "cut", "quota", "shard_of", "parts"), "mix")
+
+
+def _drawn(docs: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """docs, all columns as they are, with __size, __p (the plan's row) and __draws."""
+    bounded = plan.count() <= MAX_BROADCAST_SOURCES
+    keyed = _keyed(docs.withColumn("__size", words_in("text")), plan, seed, bounded)
+    at = [F.col("__p.at_block"), F.col("__p.at_fine"), F.col("__p.at_last")]
+    keys = [F.col("__block"), F.col("__fine"), F.col("__last")]
+    part = F.when(keys[0] < at[0], F.col("__size")).when(keys[0] > at[0], 0)
+    part = part.when(keys[1] < at[1], F.col("__size")).when(keys[1] > at[1], 0)
+    part = part.when(keys[2] < at[2], F.col("__size")).when(keys[2] > at[2], 0).when(at[2].isNotNull(), F.least("__p.cut", "__size")).otherwise(0)
+    keyed = keyed.withColumn("__part", part.cast("long"))
+    each = F.expr(
+        "filter(transform(sequence(0L, __p.passes), p -> named_struct('pass', int(p), 'shard', get(__p.shard_of, int(p * __p.n_blocks + __block)),"
+        " 'words', CASE WHEN p < __p.passes THEN __size ELSE __part END)), d -> d.words > 0)"
+    )
+    return keyed.select(*docs.columns, "__size", "__p", each.alias("__draws"))
 
 
 def draws(docs: DataFrame, plan: DataFrame | None = None, seed: int = SEED, **settings) -> DataFrame:
     """Add to each row of docs what the mix takes of it: size, source_size, target and draws, an array of (pass, shard, words).
 
-    Columns of these names are replaced; others stay. A null or empty text has size 0 and is never drawn, its row
-    stays with no draws. Null is a source of its own. Equal rows share what falls on them. An empty table gives none.
+    Columns of these names are replaced; others stay, whatever their names. A null or empty text has size 0 and is never
+    drawn, its row stays with no draws. Null is a source of its own. Equal rows share what falls on them. An empty table
+    gives none.
     """
     plan = plan_mix(docs, seed=seed, **settings) if plan is None else plan
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "draws")]
-    bounded = plan.count() <= MAX_BROADCAST_SOURCES
-    sized = docs.select(*own, words_in("text").alias("size"))
-    keyed = _keyed(sized, plan, seed, bounded)
-    at = [F.col("at_block"), F.col("at_fine"), F.col("at_last")]
-    keys = [F.col("__block"), F.col("__fine"), F.col("__last")]
-    part = F.when(keys[0] < at[0], F.col("size")).when(keys[0] > at[0], 0)
-    part = part.when(keys[1] < at[1], F.col("size")).when(keys[1] > at[1], 0)
-    part = part.when(keys[2] < at[2], F.col("size")).when(keys[2] > at[2], 0).when(at[2].isNotNull(), F.least("cut", "size")).otherwise(0)
-    keyed = keyed.withColumn("__part", part.cast("long"))
-    each = F.expr(
-        "filter(transform(sequence(0L, passes), p -> named_struct('pass', int(p), 'shard', get(shard_of, int(p * n_blocks + __block)),"
-        " 'words', CASE WHEN p < passes THEN size ELSE __part END)), d -> d.words > 0)"
-    )
-    return keyed.select(*own, "size", "source_size", "target", each.alias("draws"))
+    drawn = _drawn(docs, plan, seed)
+    return drawn.select(*own, F.col("__size").alias("size"), F.col("__p.source_size").alias("source_size"), F.col("__p.target").alias("target"), F.col("__draws").alias("draws"))
 
 
 def mix(docs: DataFrame, seed: int = SEED, **settings) -> DataFrame:
     """The mix itself: a row for each draw with the columns of docs, its text cut to the words drawn, and pass, shard and words.
 
-    Rows of a shard lie together in a random order that reruns repeat.
+    Columns named pass, shard or words are replaced; others stay as they are. Rows of a shard lie together in a random
+    order that reruns repeat; a very large shard is written in parts. Texts without words, null ones too, are never
+    drawn. Equal rows share what falls on them. An empty table gives none.
     """
-    drawn = draws(docs, seed=seed, **settings)
-    out = drawn.select("*", F.explode("draws").alias("d")).select("*", "d.pass", "d.shard", "d.words")
+    plan = plan_mix(docs, seed=seed, **settings)
+    out = _drawn(docs, plan, seed).withColumn("__d", F.explode("__draws"))
     cut = F.regexp_extract("text", r"^[\x20\x09-\x0D]*", 0)
-    head = F.when(F.col("words") >= F.col("size"), F.col("text")).otherwise(F.concat(cut, first_words("text", "words")))
-    out = out.withColumn("text", head).withColumn("__order", _hash("doc_id", "pass", "size", seed=seed + 3))
+    head = F.when(F.col("__d.words") >= F.col("__size"), F.col("text")).otherwise(F.concat(cut, first_words("text", "__d.words")))
+    out = out.withColumn("text", head).withColumn("__order", _hash("doc_id", "__d.pass", "__size", seed=seed + 3))
+    out = out.withColumn("__part", F.pmod("__order", "__p.parts"))
     own = [c for c in docs.columns if c not in ("pass", "shard", "words")]
-    shuffled = out.repartition("shard").sortWithinPartitions("shard", "__order", "doc_id")
-    return shuffled.select(*own, "pass", "shard", "words")
+    out = out.select(*own, F.col("__d.pass").alias("pass"), F.col("__d.shard").alias("shard"), F.col("__d.words").alias("words"), "__part", "__order")
+    shuffled = out.repartition("shard", "__part").sortWithinPartitions("shard", "__part", "__order", "doc_id")
+    return shuffled.drop("__part", "__order")
 
 
 def first_words(text: str, n: str) -> Column:
