@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import tiles
+from loomgraph.llm.common import small_table
 
 K, EVERY = 10, 100
 #: Codebooks and their size, beam width, rounds of joint fitting, and the rows (by hash order) they are fitted on at most.
 BOOKS, WORDS, BEAM, ROUNDS, SAMPLE, RIDGE = 16, 256, 4, 1, 10_000, 1.0
-BLOCK_ROWS, TILE_QUERIES = 16_384, 256
+BLOCK_ROWS, TILE_QUERIES = 16_384, 4096
 #: Rows of a block that a query reranks exactly.
 SHORTLIST = 400
 
@@ -86,23 +87,23 @@ def decoded(codes: np.ndarray, code: np.ndarray) -> np.ndarray:
     return sum(book[codes[:, i]] for i, book in enumerate(code))
 
 
-def build(ids: np.ndarray, x: np.ndarray, code: np.ndarray, beam: int = BEAM) -> dict[str, bytes]:
+def build(ids: np.ndarray, x: np.ndarray, code: np.ndarray, kind: str = "<f8", beam: int = BEAM) -> dict[str, bytes]:
+    """A block: ids, codes by book, norms of the coded vectors, and the vectors themselves in the type they came in."""
     codes = encode(x, code, beam)
     norms = (decoded(codes, code) ** 2).sum(1).astype(np.float32)
-    return {"ids": ids.astype(np.int64).tobytes(), "codes": codes.T.tobytes(), "norms": norms.tobytes(), "vectors": x.tobytes()}
+    return {"ids": ids.astype(np.int64).tobytes(), "codes": codes.T.tobytes(), "norms": norms.tobytes(), "vectors": x.astype(kind).tobytes()}
 
 
 _SCHEMA = "ids binary, codes binary, norms binary, vectors binary"
 
 
-def search(row: dict, query_ids: np.ndarray, queries: np.ndarray, code: np.ndarray, k: int = K, shortlist: int = SHORTLIST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search(row: dict, query_ids: np.ndarray, queries: np.ndarray, code: np.ndarray, kind: str = "<f8", k: int = K, shortlist: int = SHORTLIST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids, norms = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["norms"], np.float32)
     codes = np.frombuffer(row["codes"], np.uint8).reshape(len(code), -1)
-    vectors = np.frombuffer(row["vectors"], np.float64).reshape(len(ids), -1)
-    tables = (2 * np.einsum("qd,bwd->qbw", queries, code)).astype(np.float32)
+    vectors = np.frombuffer(row["vectors"], kind).reshape(len(ids), -1)
     asked, got, scores = [], [], []
-    for query_id, query, table in zip(query_ids, queries, tables, strict=True):
-        far = norms.copy()
+    for query_id, query in zip(query_ids, queries, strict=True):
+        far, table = norms.copy(), (2 * (code @ query)).astype(np.float32)
         for products, places in zip(table, codes, strict=True):
             far -= products[places]
         # rows with the query's own id don't use up its shortlist
@@ -110,7 +111,7 @@ def search(row: dict, query_ids: np.ndarray, queries: np.ndarray, code: np.ndarr
         far[own[0] : own[1]] = np.inf
         some = np.argpartition(far, shortlist)[:shortlist] if len(far) > shortlist else np.arange(len(far))
         some = some[(some < own[0]) | (some >= own[1])]
-        exact = np.sqrt(((vectors[some] - query) ** 2).sum(1))
+        exact = np.sqrt(((vectors[some].astype(np.float64) - query) ** 2).sum(1))
         order = np.lexsort((ids[some], exact))[:k]
         asked.append(np.full(len(order), query_id))
         got.append(ids[some[order]])
@@ -125,13 +126,15 @@ def neighbours(vectors: DataFrame, every: int = EVERY, k: int = K, sample: int =
     Queries are the rows of vectors (vec_id, embedding) whose vec_id is divisible by every, each against all rows with
     another vec_id. Zero vectors, nulls, and vectors with null, NaN or infinite components take no part. Repeated rows
     count as candidates as often as they are there, and once as queries. The codebooks are fitted on at most `sample`
-    rows; every row is in the index. Extra columns are left out; an empty table gives none.
+    rows; every row is in the index. Extra columns are left out; an empty table gives none; vectors of different lengths
+    are an error.
     """
     rows = tiles.usable(vectors, zero=False)
     seen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()
     if not seen.num_rows:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return small_table(rows.sparkSession, [], "query_id long, rank int, vec_id long, score double")
     code = fit(tiles.matrix(seen["embedding"].combine_chunks(), seen.num_rows))
-    index = tiles.blocks(rows, block_rows, lambda ids, x: build(ids, x, code), _SCHEMA)
+    kind = tiles.kind_of(rows)
+    index = tiles.blocks(rows, block_rows, lambda ids, x: build(ids, x, code, kind), _SCHEMA)
     asked = tiles.query_tiles(rows.filter(F.col("vec_id") % every == 0), tile_queries)
-    return tiles.nearest(index, asked, lambda row, ids, x: search(row, ids, x, code, k, shortlist), k, "double", F.asc)
+    return tiles.nearest(index, asked, lambda row, ids, x: search(row, ids, x, code, kind, k, shortlist), kind, k, "double", F.asc)

@@ -15,11 +15,15 @@ from pyspark.sql import functions as F
 from loomgraph.llm import tiles
 
 SCALE, K, EVERY = 256, 5, 50
-BLOCK_ROWS, TILE_QUERIES = 16_384, 128
+BLOCK_ROWS, TILE_QUERIES = 16_384, 4096
 
 
 def quantised(x: np.ndarray, scale: int = SCALE) -> np.ndarray:
-    return np.floor(scale * x).astype(np.int64)
+    """Whole numbers; components so large that an inner product might leave 64 bits are an error."""
+    found = np.floor(scale * x)
+    if np.abs(found).max(initial=0) ** 2 * x.shape[1] >= 2.0**61:
+        raise ValueError("components are too large: an inner product of 64 bits can't hold theirs")
+    return found.astype(np.int64)
 
 
 def build(ids: np.ndarray, x: np.ndarray, scale: int = SCALE) -> dict[str, bytes | int]:
@@ -135,9 +139,9 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K, scale: int = SCALE
     Queries are the rows whose vec_id is divisible by every, each against all rows with another vec_id. Rows whose
     vector is null or has a null, NaN or infinite component take no part, nor do empty vectors and null ids. Repeated
     rows count as candidates as often as they are there, and once as queries. Extra columns are left out; an empty
-    table gives none.
+    table gives none. Vectors of different lengths and components over about 1e6 are errors.
     """
     rows = tiles.usable(vectors, zero=True)
     index = tiles.blocks(rows, block_rows, lambda ids, x: build(ids, x, scale), _SCHEMA)
     asked = tiles.query_tiles(rows.filter(F.col("vec_id") % every == 0), tile_queries)
-    return tiles.nearest(index, asked, lambda row, ids, x: search(row, ids, x, k, scale), k, "long", F.desc)
+    return tiles.nearest(index, asked, lambda row, ids, x: search(row, ids, x, k, scale), tiles.kind_of(rows), k, "long", F.desc)
