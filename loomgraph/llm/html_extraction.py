@@ -14,10 +14,12 @@ import itertools
 import re
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import one_by_one
+
 WINDOW = 3
 THRESHOLD = 80
 
@@ -236,8 +238,8 @@ def extract(df: DataFrame, html: str | Column = "html", text_column: str = "text
     each read on its own, and an empty table stays empty.
     """
 
-    @F.pandas_udf("string")
-    def text_of(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda x: extract_text(x, window, threshold), na_action=None)
+    @F.arrow_udf("string")
+    def text_of(pages: pa.Array) -> pa.Array:
+        return pa.array((extract_text(x, window, threshold) for x in one_by_one(pages)), pa.string())
 
     return df.withColumn(text_column, text_of(html)).withColumn("n_chars", F.char_length(text_column).cast("long"))
