@@ -66,6 +66,18 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields), schema=StructType.fromDDL(schema))
 
 
+#: Rows of an Arrow batch where texts go to Python.
+TEXT_ROWS = 500
+
+
+def of_texts(df: DataFrame) -> DataFrame:
+    """df, whose texts go to Python: from now on Arrow batches of its session hold TEXT_ROWS rows at most, for texts may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= TEXT_ROWS:
+        df.sparkSession.conf.set(name, TEXT_ROWS)
+    return df
+
+
 def one_by_one(column: pa.Array) -> Iterator:
     """The values of a column, each made when its turn comes, so that a batch isn't held twice."""
     return (x.as_py() for x in column)

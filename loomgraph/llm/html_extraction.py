@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import one_by_one
+from loomgraph.llm.common import of_texts, one_by_one
 
 WINDOW = 3
 THRESHOLD = 80
@@ -242,4 +242,4 @@ def extract(df: DataFrame, html: str | Column = "html", text_column: str = "text
     def text_of(pages: pa.Array) -> pa.Array:
         return pa.array((extract_text(x, window, threshold) for x in one_by_one(pages)), pa.string())
 
-    return df.withColumn(text_column, text_of(html)).withColumn("n_chars", F.char_length(text_column).cast("long"))
+    return of_texts(df).withColumn(text_column, text_of(html)).withColumn("n_chars", F.char_length(text_column).cast("long"))

@@ -21,6 +21,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
+from loomgraph.llm.common import of_texts
+
 BAND, COVERAGE = 8, 0.75
 #: The index goes to each task whole: templates may have so many words in all.
 MAX_TEMPLATE_WORDS = 2_000_000
@@ -214,4 +216,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, band: int = B
             yield pa.record_batch(made, names=["doc_id", *(x.split()[0] for x in _SCHEMA.split(", "))])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {_SCHEMA}")
+    return of_texts(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {_SCHEMA}")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import materialize, one_by_one, small_table
+from loomgraph.llm.common import materialize, of_texts, one_by_one, small_table
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 40, 4
@@ -88,7 +88,7 @@ def _sketched(docs: DataFrame, size: int) -> DataFrame:
                 names=["doc_id", "n_shingles", "set_hash", "bands"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_hash binary, bands array<long>")
+    return of_texts(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_hash binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -100,7 +100,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
             found = [shingle_set(t, size).view(np.int64) for t in one_by_one(batch.column(1))]
             yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["class_id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"class_id {kind}, shingles array<long>")
+    return of_texts(docs).select("doc_id", "text").mapInArrow(run, f"class_id {kind}, shingles array<long>")
 
 
 def _log_scale(x: np.ndarray) -> np.ndarray:

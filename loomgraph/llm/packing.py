@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import materialize, one_by_one, small_table
+from loomgraph.llm.common import materialize, of_texts, one_by_one, small_table
 
 CAPACITY = 2048
 END_ID = 0
@@ -124,7 +124,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                     names=["doc_id", "piece", "start", "length", "ids"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(tokenized, schema)
+    return of_texts(docs).select("doc_id", "text").mapInArrow(tokenized, schema)
 
 
 def _highest(bits: int) -> int:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import materialize, one_by_one
+from loomgraph.llm.common import materialize, of_texts, one_by_one
 
 FOLDS = 5
 #: The logistic model is fitted on about so many labelled rows, chosen by hash.
@@ -288,7 +288,7 @@ def _counts(rows: DataFrame) -> DataFrame:
                     yield out()
         yield out()
 
-    return rows.mapInArrow(run, "feature string, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    return of_texts(rows).mapInArrow(run, "feature string, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
 def _wins(rows: DataFrame, candidates: dict[str, tuple[float, int]]) -> DataFrame:
@@ -382,5 +382,5 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array([grammar.score(_sums(m)) for m in found], pa.float64()), pa.array([len(m) for m in found], pa.int32())], names=["score", "clauses"])
 
     own = [c for c in docs.columns if c not in ("score", "predicted", "clauses")]
-    out = docs.select(*own, scored("text").alias("__s")).select(*own, F.col("__s.score").alias("score"), F.col("__s.clauses").alias("clauses"))
+    out = of_texts(docs).select(*own, scored("text").alias("__s")).select(*own, F.col("__s.score").alias("score"), F.col("__s.clauses").alias("clauses"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import materialize, one_by_one
+from loomgraph.llm.common import materialize, of_texts, one_by_one
 
 #: Payloads of fewer bytes are never deduplicated.
 LEAST_BYTES = 1000
@@ -113,7 +113,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES,
     page_id are records each. No archive exceeds archive_bytes unless a single record does. An empty table leaves an
     empty folder.
     """
-    records = with_record_type(pages, least_bytes).select(record_text(date).alias("value"))
+    records = with_record_type(of_texts(pages), least_bytes).select(record_text(date).alias("value"))
     records = records.select("value", F.octet_length("value").alias("size")).mapInArrow(_archives(archive_bytes), "value string")
     records.write.option("lineSep", _END * 2).option("compression", compression).option("maxRecordsPerFile", 1).text(path)
 
