@@ -107,13 +107,16 @@ def provenance_rank(provenance: str | Column) -> Column:
 
 
 def merge_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per parent and child the edge of the best rank, the first of equals; and a conflict for each edge whose slot differs from that of the winner so far."""
+    """Per parent and child the edge of the best rank, the first of equals; and a conflict for each edge whose slot differs from that of the winner so far.
+
+    Of edges that repeat each other one wins.
+    """
     ranked = edges.withColumn("__rank", provenance_rank("provenance"))
-    order = Window.partitionBy("parent", "child").orderBy("seq")
-    best = F.struct("__rank", "seq", "slot", "provenance")
-    so_far = F.min(best).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = ranked.withColumn("__w", so_far).withColumn("__best", F.min(best).over(Window.partitionBy("parent", "child")))
-    merged = rows.filter(F.col("seq") == F.col("__best.seq")).drop("__rank", "__w", "__best")
+    pair, first = Window.partitionBy("parent", "child"), ("seq", "slot", "provenance")
+    best = F.struct("__rank", *first)
+    so_far = F.min(best).over(pair.orderBy(*first).rowsBetween(Window.unboundedPreceding, -1))
+    rows = ranked.withColumn("__w", so_far).withColumn("__place", F.row_number().over(pair.orderBy("__rank", *first)))
+    merged = rows.filter("__place = 1").drop("__rank", "__w", "__place")
     differs = F.coalesce(F.col("__w.slot"), F.lit("")) != F.coalesce("slot", F.lit(""))
     wins = F.col("__rank") < F.col("__w.__rank")
     conflicts = rows.filter(F.col("__w").isNotNull() & differs).select(
