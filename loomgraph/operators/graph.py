@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.lineage import cut
+from loomgraph.functions.lineage import cut, drop, rows
 
 
 def build_slot_edges(slots: DataFrame, nodes: DataFrame, stripped: DataFrame | None = None) -> DataFrame:
@@ -34,18 +34,43 @@ def roots(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame, nodes: DataFrame, starts: DataFrame) -> DataFrame:
-    """root, node, depth and path (a shortest, the least of them) of all that each start reaches; a start outside the graph reaches itself."""
+    """root, node, depth and parent of all that each start reaches; a start outside the graph reaches itself.
+
+    depth is the shortest, parent the least node one step nearer from which the node is reached; null for the start.
+    """
     steps = cut(_known(edges, nodes))
-    front = cut(starts.select(F.col("node").alias("root"), "node").distinct().withColumn("depth", F.lit(0)).withColumn("path", F.array("node")))
+    start = F.col("node")
+    front = cut(starts.select(start.alias("root"), start).distinct().select("root", "node", F.lit(0).alias("depth"), F.when(F.lit(False), start).alias("parent")))
     seen = front
-    while not front.isEmpty():
-        grown = front.join(steps, front["node"] == steps["src"]).select("root", F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("dst")).alias("path"))
-        grown = grown.groupBy("root", "node").agg(F.min("depth").alias("depth"), F.min("path").alias("path"))
-        front = cut(grown.join(seen.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", "depth", "path"))
+    while rows(front):
+        grown = front.select("root", F.col("node").alias("src"), "depth").join(steps, "src").groupBy("root", F.col("dst").alias("node"))
+        grown = grown.agg((F.min("depth") + 1).alias("depth"), F.min("src").alias("parent"))
+        front = cut(grown.join(seen.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", "depth", "parent"))
         seen = seen.unionByName(front)
+    drop(steps)
     return seen
 
 
+def closure_paths(closures: DataFrame) -> DataFrame:
+    """closures with path: from the root over the parents to the node."""
+    closures = cut(closures)
+    front = cut(closures.filter("depth = 0").withColumn("path", F.array("node")))
+    found = front
+    while rows(front):
+        last = front.select("root", F.col("node").alias("parent"), F.col("path").alias("before"))
+        depth = F.lit(front.agg(F.max("depth")).first()[0] + 1)
+        front = cut(closures.filter(F.col("depth") == depth).join(last, ["root", "parent"]).select(*closures.columns, F.concat("before", F.array("node")).alias("path")))
+        found = found.unionByName(front)
+    drop(closures)
+    return found
+
+
+def contains_cycle(closures: DataFrame, units: DataFrame) -> DataFrame:
+    """root and contains_cycle: whether its closure has a node on a cycle."""
+    marks = units.select("node").distinct().withColumn("__cycle", F.lit(True))
+    return closures.join(marks, "node", "left").groupBy("root").agg(F.coalesce(F.bool_or("__cycle"), F.lit(False)).alias("contains_cycle"))
+
+
 def all_closures(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The closure of every root."""
     return closure(edges, nodes, roots(edges, nodes))
@@ -94,10 +119,12 @@ def ancestor_chains(edges: DataFrame, nodes: DataFrame, targets: DataFrame, max_
         grown = front.join(up, "at", "left")
         ahead = F.col("parent").isNotNull() & ~F.array_contains("chain", F.coalesce("parent", "at"))
         go = grown.filter(ahead).select("node", F.concat("chain", F.array("parent")).alias("chain"), F.concat("slots", F.array("slot")).alias("slots"), F.col("parent").alias("at"))
-        stop = grown.groupBy("node", "chain", "slots").agg(F.max(ahead.cast("int")).alias("more")).filter("more = 0").drop("more")
+        stop = cut(grown.groupBy("node", "chain", "slots").agg(F.max(ahead.cast("int")).alias("more")).filter("more = 0").drop("more"))
         done = stop if done is None else done.unionByName(stop)
-        front = cut(go)
-        if front.isEmpty():
+        front, before = cut(go), front
+        drop(before)
+        if not rows(front):
+            drop(front, up)
             return done
 
 
@@ -112,14 +139,14 @@ def neighborhood(edges: DataFrame, matches: DataFrame) -> DataFrame:
 def cyclic_core(edges: DataFrame) -> DataFrame:
     """Distinct (src, dst) left when nodes without in- or out-edges are taken away again and again."""
     core = cut(_pairs(edges))
-    size = core.count()
     while True:
         inner = core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
-        inner = cut(inner.join(inner.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        now = inner.count()
-        if now == size:
+        inner = cut(inner.join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        done = rows(inner) == rows(core)
+        drop(core)
+        if done:
             return inner
-        core, size = inner, now
+        core = inner
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
@@ -130,22 +157,22 @@ def strong_components(edges: DataFrame) -> DataFrame:
     """
     core = cyclic_core(edges)
     found = None
-    while not core.isEmpty():
-        nodes = cut(core.select(F.col("src").alias("node")).union(core.select("dst")).distinct())
+    while rows(core):
+        nodes = core.select(F.col("src").alias("node")).union(core.select("dst")).distinct()
         colour = _spread(core, nodes.withColumn("label", F.col("node")))
         same = core.join(colour.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst").filter("a = b")
-        back = cut(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         owners = colour.filter("node = label").select("node")
         # a unit's nodes are those from which its owner is reached without leaving the colour
-        unit = _reach(back, owners)
-        unit = cut(unit.join(colour, "node"))
+        unit = cut(_reach(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")), owners).join(colour, "node"))
         on_cycle = unit.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1").select("label")
         selfish = core.filter("src = dst").select(F.col("src").alias("label"))
         kept = cut(unit.join(on_cycle.union(selfish).distinct(), "label", "left_semi").select("node", F.col("label").alias("unit")))
         found = kept if found is None else found.unionByName(kept)
         gone = unit.select("node")
         rest = core.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
-        core = cyclic_core(rest)
+        core, before = cyclic_core(rest), core
+        drop(before, colour, unit)
+    drop(core)
     return found if found is not None else edges.select(F.col("src").alias("node"), F.col("src").alias("unit")).limit(0)
 
 
@@ -154,20 +181,27 @@ def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
     front = labels = cut(labels)
     while True:
         given = front.join(edges, front["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("new"))
-        front = cut(given.join(labels, "node").filter("new < label").select("node", F.col("new").alias("label")))
-        if front.isEmpty():
+        new = cut(given.join(labels, "node").filter("new < label").select("node", F.col("new").alias("label")))
+        if front is not labels:
+            drop(front)
+        front = new
+        if not rows(front):
+            drop(front)
             return labels
-        labels = cut(labels.join(front.withColumnRenamed("label", "new"), "node", "left").select("node", F.coalesce("new", "label").alias("label")))
+        better = cut(labels.join(front.withColumnRenamed("label", "new"), "node", "left").select("node", F.coalesce("new", "label").alias("label")))
+        drop(labels)
+        labels = better
 
 
 def _reach(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """All nodes reached from any start."""
     edges = cut(edges)
     front = seen = cut(starts.select("node").distinct())
-    while not front.isEmpty():
+    while rows(front):
         grown = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
         front = cut(grown.join(seen, "node", "left_anti"))
         seen = seen.unionByName(front)
+    drop(edges)
     return seen
 
 
@@ -180,11 +214,13 @@ def elementary_cycles(edges: DataFrame, max_len: int | None = None) -> DataFrame
     cycles = None
     for length in itertools.count(1):
         _check_length(length, max_len)
-        closed = front.filter("at = start").select("path", "slots")
+        closed = cut(front.filter("at = start").select("path", "slots"))
         cycles = closed if cycles is None else cycles.unionByName(closed)
         open_ = front.filter("at > start AND NOT array_contains(path, at)")
-        front = cut(open_.join(inner, open_["at"] == inner["src"]).select(F.concat("path", F.array("at")).alias("path"), F.concat("slots", F.array("slot")).alias("slots"), "start", F.col("dst").alias("at")).filter("at >= start"))
-        if front.isEmpty():
+        front, before = cut(open_.join(inner, open_["at"] == inner["src"]).select(F.concat("path", F.array("at")).alias("path"), F.concat("slots", F.array("slot")).alias("slots"), "start", F.col("dst").alias("at")).filter("at >= start")), front
+        drop(before)
+        if not rows(front):
+            drop(front, inner)
             return cycles
 
 
@@ -220,11 +256,12 @@ def accept_cascade(edges: DataFrame, targets: DataFrame, units: DataFrame | None
 def _cascade(steps: DataFrame, targets: DataFrame, units: DataFrame | None) -> DataFrame:
     steps = cut(steps)
     front = seen = cut(targets.select("node").distinct())
-    while not front.isEmpty():
+    while rows(front):
         grown = front.join(steps, front["node"] == steps["src"]).select(F.col("dst").alias("node")).union(front.select("node"))
         grown = grown.distinct() if units is None else _with_units(grown, units)
         front = cut(grown.join(seen, "node", "left_anti"))
         seen = seen.unionByName(front)
+    drop(steps)
     return seen
 
 
@@ -248,11 +285,31 @@ def cycle_auto_reject(edges: DataFrame, units: DataFrame) -> DataFrame:
     return _reach(_pairs(_reversed(edges)), units.select("node"))
 
 
+def cycle_units(edges: DataFrame) -> DataFrame:
+    """unit and its sorted members: cycles that share nodes are one unit."""
+    return strong_components(edges).groupBy("unit").agg(F.array_sort(F.collect_list("node")).alias("members"))
+
+
 def cycle_view(edges: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Nodes on cycles: blocking if the cycle is still there without the rejected nodes' out-edges."""
-    left = edges.join(rejected.select(F.col("node").alias("src")).distinct(), "src", "left_anti")
+    """Nodes on cycles of the graph with or without its rejected nodes, which is what structural says; blocking if one is left without them."""
+    gone = lambda c: rejected.select(F.col("node").alias(c)).distinct()
+    left = edges.join(gone("src"), "src", "left_anti").join(gone("dst"), "dst", "left_anti")
     blocking = strong_components(left).select("node").withColumn("blocking", F.lit(True))
-    return strong_components(edges).select("node").join(blocking, "node", "left").withColumn("blocking", F.coalesce("blocking", F.lit(False)))
+    every = strong_components(edges).select("node").withColumn("structural", F.lit(True))
+    out = every.join(blocking, "node", "full_outer")
+    return out.select("node", F.lit(True).alias("structural"), F.coalesce("blocking", F.lit(False)).alias("blocking"))
+
+
+def without_cycle_edges(edges: DataFrame, units: DataFrame) -> DataFrame:
+    """The edges that don't stay inside a unit."""
+    end = lambda c, name: units.select(F.col("node").alias(c), F.col("unit").alias(name))
+    rows = edges.join(end("src", "__a"), "src", "left").join(end("dst", "__b"), "dst", "left")
+    return rows.filter(F.coalesce(F.col("__a") != F.col("__b"), F.lit(True))).select(*edges.columns)
+
+
+def cycle_gate(edges: DataFrame) -> DataFrame:
+    """One row: whether cycles block a write, and how many nodes and units are on them."""
+    return strong_components(edges).agg((F.count("*") > 0).alias("blocked"), F.count("*").alias("nodes"), F.countDistinct("unit").alias("units"))
 
 
 def assert_acyclic(edges: DataFrame) -> DataFrame:

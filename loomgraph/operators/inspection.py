@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.lineage import cut
+from loomgraph.functions.lineage import cut, rows
 from loomgraph.operators.graph import break_edge, cyclic_core, elementary_cycles
 
 # Props of data wrappers, patterns of their sources, and the weight of each sign.
@@ -15,10 +15,20 @@ GENERATED_IMPORT = r"from\s+['\"][^'\"]*__generated[^'\"]*['\"]"
 GENERATED_HOOK = r"\buse[A-Z][A-Za-z0-9]*(?:Lazy|Suspense)?Query\s*\("
 GQL_FILE = r"(?i)(?:-gql|-ggl)\.[cm]?[jt]sx?$"
 LOADING_GUARD = r"if\s*\([^)]*(?:isLoading|loading|!data|!\w+)\s*[^)]*\)\s*return\s+null\b"
-SIBLING_IMPORT = r"import\s+(?:type\s+)?(?:\{\s*)?(\w+)[^;'\"]*?\s+from\s+['\"]\./(?![^'\"]*__generated)(?![^'\"]*-g(?:ql|gl)(?:['\".]))[^'\"]+['\"]"
+IMPORT = r"import\s+(?:type\s+)?(.+?)\s+from\s+['\"]([^'\"]+)['\"]"
+GQL_PATH = r"(?i)-g(?:ql|gl)(?:$|\.)"
 RESOLVER_HINTS = ("resolver", "mapping", "registry", "componentMap")
 
 
+def _siblings(text: Column) -> Column:
+    """The names that a text imports from files beside it, as they are called there: all of a clause, without generated files."""
+    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(IMPORT), 1).alias("clause"), F.regexp_extract_all(text, F.lit(IMPORT), 2).alias("path"))
+    beside = F.filter(found, lambda m: m["path"].startswith("./") & ~m["path"].contains("__generated") & ~m["path"].rlike(GQL_PATH))
+    parts = F.flatten(F.transform(beside, lambda m: F.split(m["clause"], "[{},]")))
+    names = F.transform(parts, lambda p: F.regexp_replace(F.trim(p), r"(?i)^type\s+|\s+as\s+.*$", ""))
+    return F.array_distinct(F.filter(names, lambda n: n.rlike(r"^[\w$]+$")))
+
+
 def _forwards(text: Column, siblings: Column) -> Column:
     """Whether a sibling is rendered with spread data other than the component's own props."""
     spread = lambda n: F.regexp_like(text, F.concat(F.lit("<"), n, F.lit(r"\b[^>]*\{\.\.\.(?!props\b)[^}]+\}")))
@@ -32,7 +42,7 @@ def inspect_source(components: DataFrame, runtime_calls: tuple[str, ...] = ()) -
     runtime_calls are texts, such as a call of a content service's hooks, that hint at a data wrapper. A null text says nothing.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = components.withColumn("__s", F.array_distinct(F.regexp_extract_all(text, F.lit(SIBLING_IMPORT), 1)))
+    found = components.withColumn("__s", _siblings(text))
     hook = text.rlike(GENERATED_IMPORT) & text.rlike(GENERATED_HOOK)
     infra = (F.size("props") > 0) & F.forall("props", lambda p: p["name"].isin(INFRA_PROPS))
     siblings, used = F.col("__s"), F.lit(False)
@@ -53,7 +63,7 @@ def inspect_source(components: DataFrame, runtime_calls: tuple[str, ...] = ()) -
     keep = (F.size("props") == 0) & (F.size("slots") == 0) & text.rlike(r"return\s*(?:\(|<)") & text.rlike(VISIBLE_TAG)
     summary = F.when(confidence >= 4, "data-fetch-wrapper").when(confidence == 3, "possible-data-fetch-wrapper")
     reasons = F.array_compact(F.array(summary, *(F.when(there & t, F.lit(f"data-wrapper:{n}")) for n, _, t in signs), F.when(keep, "zero-surface:rendered-ui")))
-    return rows.withColumn("wrapper_confidence", confidence).withColumn("inspection_reasons", reasons).withColumn("keep_despite_zero_surface", keep).drop("__s")
+    return found.withColumn("wrapper_confidence", confidence).withColumn("inspection_reasons", reasons).withColumn("keep_despite_zero_surface", keep).drop("__s")
 
 
 def extract_declared_children(slots: DataFrame, names: DataFrame) -> DataFrame:
@@ -84,30 +94,43 @@ def resolver_references(names: DataFrame, files: DataFrame, hints=RESOLVER_HINTS
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("name").orderBy("path"))).filter(F.col("n") <= k)
 
 
-def selection_context(components: DataFrame, imports: DataFrame, siblings: DataFrame, references: DataFrame) -> DataFrame:
-    """Per component (name, file_id, path) how many imports, siblings and references its context has."""
+def selection_context(components: DataFrame, imports: DataFrame, siblings: DataFrame, references: DataFrame, usage: DataFrame, root: str = "") -> DataFrame:
+    """Per component (name, file_id, path) how many imports, siblings and references its context has, and the file that uses it first; all null for a source outside root."""
     count = lambda df, key, name: df.groupBy(key).agg(F.count("*").alias(name))
     rows = components.join(count(imports, "file_id", "imports"), "file_id", "left").join(count(siblings.withColumnRenamed("own", "p"), "p", "siblings").withColumnRenamed("p", "path"), "path", "left")
     rows = rows.join(count(references.select("name"), "name", "references"), "name", "left")
-    return rows.select("name", "file_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("imports", "siblings", "references")))
+    rows = rows.join(usage.select("name", F.col("file_id").alias("used_in")), "name", "left")
+    inside = F.col("path").startswith(root)
+    return rows.select("name", "file_id", *(F.when(inside, F.coalesce(c, F.lit(0))).alias(c) for c in ("imports", "siblings", "references")), F.when(inside, F.col("used_in")).alias("used_in"))
+
+
+def suggested_cycles(edges: DataFrame, max_len: int | None = None) -> DataFrame:
+    """Cycles (path, slots) with the edge (src, slot, dst) to break."""
+    return break_edge(elementary_cycles(edges, max_len))
+
+
+def store_cycles(stored: DataFrame, found: DataFrame, sessions: DataFrame) -> DataFrame:
+    """The table of cycles (session_id, cycle_index, path, slots, suggested_break) with those of the sessions replaced by what was found for them, numbered by path."""
+    number = F.row_number().over(Window.partitionBy("session_id").orderBy("path", "slots")).cast("long") - 1
+    new = found.join(sessions.select("session_id").distinct(), "session_id", "left_semi").withColumn("cycle_index", number)
+    return stored.join(sessions, "session_id", "left_anti").unionByName(new.select(*stored.columns))
 
 
-def stored_cycles(edges: DataFrame, max_len: int | None = None) -> DataFrame:
-    """Cycles with a number in order of their path and the edge to break."""
-    cycles = break_edge(elementary_cycles(edges, max_len))
-    return cycles.withColumn("number", F.row_number().over(Window.orderBy("path", "slots")) - 1)  # as many rows as cycles
+def load_cycles(stored: DataFrame, session_id) -> DataFrame:
+    """A session's cycles, by cycle_index."""
+    return stored.filter(F.col("session_id") == session_id).orderBy("cycle_index")
 
 
 def exclude_until_valid(edges: DataFrame, entries: DataFrame, offenders, max_iter: int = 2) -> DataFrame:
     """Entries (node) left after dropping offenders(entries) up to max_iter times, and once the targets of edges that break cycles."""
     for _ in range(max_iter):
         bad = cut(offenders(entries).select("node").distinct())
-        if bad.isEmpty():
+        if not rows(bad):
             break
         entries = cut(entries.join(bad, "node", "left_anti"))
     keep = lambda c: entries.select(F.col("node").alias(c))
     left = edges.join(keep("src"), "src", "left_semi").join(keep("dst"), "dst", "left_semi")
-    if cyclic_core(left).isEmpty():
+    if not rows(cyclic_core(left)):
         return entries
     targets = break_edge(elementary_cycles(left.select("src", "slot", "dst"))).select(F.col("dst").alias("node")).distinct()
     return entries.join(targets, "node", "left_anti")

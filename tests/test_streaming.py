@@ -1,6 +1,7 @@
 """Streams against their batch twins."""
 
 from pyspark.sql import functions as F
+from test_catalog import CALLS, call, full_catalog
 
 from loomgraph.operators import parsing, sessions
 from loomgraph.streaming import jobs
@@ -21,17 +22,58 @@ def test_arriving_transcripts(spark, tmp_path):
     assert sorted(r.warning for r in run(warnings, "warnings").collect()) == ["bad JSON", "unknown tool"]
 
 
-def test_starts_and_step_status(spark, tmp_path):
+def test_starts_once(spark, tmp_path):
     rows = [(i, i % 3, f"2024-01-01 00:00:{i:02d}", "started") for i in range(9)]
     events = spark.createDataFrame(rows, "event_id long, session_id long, ts string, kind string").withColumn("ts", F.to_timestamp("ts"))
     events.coalesce(1).write.parquet(str(tmp_path / "events"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "events"))
     assert run(jobs.stream_session_started_once(stream), "starts").count() == sessions.session_started_once(events).count() == 3
-    steps = [(1, 1, "import", "pending", 1), (2, 1, "import", "pending", 2), (3, 1, "import", "complete", 3), (4, 2, "import", "pending", 1)]
-    table = spark.createDataFrame(steps, "step_id long, session_id long, command string, status string, started_at long")
-    table.coalesce(1).write.parquet(str(tmp_path / "steps"))
-    stream = spark.readStream.schema(table.schema).parquet(str(tmp_path / "steps"))
-    got = {(r.session_id, r.status, r.interrupted) for r in run(jobs.stream_step_status(stream), "status", "update").collect()}
-    assert got == {(1, "complete", 2), (2, "pending", 0)}
-    stale = sessions.interrupt_stale_steps(table).filter("status = 'interrupted'").groupBy("session_id").count().collect()
+
+
+def stamped(spark, rows, schema, *times):
+    table = spark.createDataFrame(rows, schema)
+    return table.withColumns({t: F.to_timestamp(F.concat(F.lit("2024-01-01 "), t)) for t in times})
+
+
+def arriving(spark, folder, *tables):
+    """A stream that takes a table at a time."""
+    for i, table in enumerate(tables):
+        table.coalesce(1).write.parquet(f"{folder}/{i}")
+    return spark.readStream.schema(tables[0].schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(folder)
+
+
+def test_step_status_in_order_of_time(spark, tmp_path):
+    kind = "step_id long, session_id long, command string, status string, started_at string"
+    first = stamped(spark, [(1, 1, "import", "pending", "00:00:01"), (3, 1, "import", "complete", "00:00:03"), (4, 2, "import", "pending", "00:00:01")], kind, "started_at")
+    late = stamped(spark, [(2, 1, "import", "pending", "00:00:02")], kind, "started_at")
+    stream = jobs.stream_step_status(arriving(spark, str(tmp_path / "steps"), first, late), "1 hour")
+    last = {(r.session_id, r.status, r.interrupted, r.step_id) for r in run(stream, "status", "update").collect()}
+    assert {(1, "complete", 2, 3), (2, "pending", 0, 4)} <= last
+    stale = sessions.interrupt_stale_steps(first.unionByName(late)).filter("status = 'interrupted'").groupBy("session_id").count().collect()
     assert {(r.session_id, r["count"]) for r in stale} == {(1, 2)}
+
+
+def test_commands_and_their_ends(spark, tmp_path):
+    kind = "event_id long, session_id long, ts string, kind string, exit_code int"
+    rows = [(1, 1, "00:00:01", "invoked", None), (2, 1, "00:00:03", "completed", None), (3, 1, "00:00:04", "failed", 1), (4, 1, "00:00:05", "invoked", None), (5, 1, "00:00:06", "invoked", None), (6, 1, "00:00:08", "failed", 130), (7, 2, "00:00:01", "invoked", None), (8, 3, "00:00:01", "completed", None)]
+    first = stamped(spark, rows, kind, "ts")
+    late = stamped(spark, [(9, 2, "00:00:04", "failed", 2)], kind, "ts")
+    end = stamped(spark, [(10, 9, "09:00:00", "other", None)], kind, "ts")
+    got = run(jobs.stream_command_lifecycle(arriving(spark, str(tmp_path / "events"), first, late, end), "10 minutes"), "lifecycle").collect()
+    ended = {(r.session_id, r.run, r.outcome, r.seconds) for r in got}
+    assert len(got) == len(ended) and ended == {(r.session_id, r.run, r.outcome, r.seconds) for r in sessions.command_lifecycle(first.unionByName(late).unionByName(end)).collect()}
+    assert (1, 3, "interrupted", 2.0) in ended and (2, 1, "error", 3.0) in ended and (1, 2, "open", None) in ended
+
+
+def test_calls_are_applied_once_even_when_run_again(spark, tmp_path):
+    start = full_catalog(spark)
+    folder = str(tmp_path / "catalog")
+    jobs.store_catalog(start, folder)
+    calls = [spark.createDataFrame([call(1, "classify_prop", "size", "enum", "design", list=["a"])], CALLS), spark.createDataFrame([call(2, "exclude_prop", "size", reason="no")], CALLS)]
+    stream = arriving(spark, str(tmp_path / "calls"), *calls)
+    jobs.stream_apply_calls(stream, folder, str(tmp_path / "first")).awaitTermination()
+    once = sorted(map(repr, jobs.load_catalog(spark, folder).props.collect()))
+    jobs.stream_apply_calls(stream, folder, str(tmp_path / "again")).awaitTermination()
+    assert sorted(map(repr, jobs.load_catalog(spark, folder).props.collect())) == once
+    size = jobs.load_catalog(spark, folder).props.filter("name = 'size' AND component_id = 'c1'").first()
+    assert (size.cdf_type, size.rationale) == ("excluded", "no") and jobs.load_catalog(spark, folder, before=1).props.filter("cdf_type = 'enum'").count() == 1
