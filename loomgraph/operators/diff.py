@@ -95,8 +95,10 @@ def breaking_rows(diff: DataFrame) -> DataFrame:
 
 
 def diff_summary(diff: DataFrame) -> DataFrame:
-    """Counts of each kind and bucket."""
-    return diff.groupBy("kind").agg(*(F.count_if(F.col("bucket") == b).alias(b) for b in ("new", "changed", "unchanged", "removed")))
+    """Counts of each kind and bucket; of the changed ones, those that break (a classification of breaking) and those over a draft (has_draft)."""
+    changed = F.col("bucket") == "changed"
+    buckets = [F.count_if(F.col("bucket") == b).alias(b) for b in ("new", "changed", "unchanged", "removed")]
+    return diff.groupBy("kind").agg(*buckets, F.count_if(changed & (F.col("classification") == "breaking")).alias("breaking"), F.count_if(changed & F.col("has_draft")).alias("draft_overwrites"))
 
 
 def is_empty_diff(diff: DataFrame) -> DataFrame:
@@ -109,6 +111,11 @@ def apply_summary(items: DataFrame) -> DataFrame:
     return items.groupBy("entity_type").agg(done("create").alias("created"), done("update").alias("updated"), F.count_if(F.col("status") == "failed").alias("failed"))
 
 
+def apply_failures(items: DataFrame) -> DataFrame:
+    """entity_type, id and error of the items that failed; an error without a message says so."""
+    return items.filter("status = 'failed'").select("entity_type", "id", F.coalesce("error", F.lit("unknown error")).alias("error"))
+
+
 def selectable_entities(diff: DataFrame) -> DataFrame:
     """New and changed entries with their key kind:id."""
     return diff.filter(F.col("bucket").isin("new", "changed")).select("kind", "id", "bucket", F.concat_ws(":", "kind", F.col("id").cast("string")).alias("key"))

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgraph.operators.edges import sanitize_edges
+
 #: Fields that later versions of run records added.
 RUN_FIELDS = {
     "run_id": "string",
@@ -23,6 +24,10 @@ RUN_FIELDS = {
 }
 
 
+#: Times of review events keep their microseconds.
+_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
 def load_tokens(groups: DataFrame, tokens: DataFrame) -> DataFrame:
     """Groups with the sorted paths of their direct tokens, empty where there are none."""
     parent = F.regexp_replace("path", r"\.[^.]*$", "").alias("group_path")
@@ -36,38 +41,41 @@ def replace_sessions(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("session_id").distinct(), "session_id", "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def store_definitions(props: DataFrame, entries: DataFrame) -> DataFrame:
-    """Props after new definitions (component_id, name, cdf_type, category): they overwrite what is there and add what isn't."""
-    new = entries.select("session_id", "component_id", "name", F.col("cdf_type").alias("__t"), F.col("category").alias("__c"), F.lit(True).alias("__new"))
-    rows = props.join(new, ["session_id", "component_id", "name"], "full_outer")
-    return rows.withColumn("cdf_type", F.when(F.col("__new"), F.col("__t")).otherwise(F.col("cdf_type"))).withColumn("category", F.when(F.col("__new"), F.col("__c")).otherwise(F.col("category"))).drop("__t", "__c", "__new")
+def _quoted(text: Column) -> Column:
+    """A JSON string."""
+    listed = F.to_json(F.array(text))
+    return F.when(text.isNotNull(), F.substring(listed, F.lit(2), F.length(listed) - 2))
 
 
-def write_token_tree(tokens: DataFrame) -> DataFrame:
-    """session_id and document: the tokens (path, type, value) of a session as nested JSON.
+def write_token_tree(tokens: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """session_id and document: the tokens (session_id, path, type, value) as nested JSON, a group's description first, then what is in it by name.
 
-    A tree of any depth is folded from one session's rows, so a session is one group.
+    groups has session_id, path and description. Levels are joined from the deepest upward, each group by itself. A path
+    that is a token and a group as well is an error.
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        root: dict = {}
-        for row in rows.sort_values("path").itertuples():
-            node = root
-            *folders, leaf = row.path.split(".")
-            for name in folders:
-                node = node.setdefault(name, {})
-            node[leaf] = {"$type": row.type, "$value": row.value}
-        return pd.DataFrame({"session_id": [rows.session_id.iloc[0]], "document": [json.dumps(root)]})
-
-    return tokens.select("session_id", "path", "type", "value").groupBy("session_id").applyInPandas(fold, "session_id long, document string")
+    at = F.split("path", r"\.")
+    leaf = F.to_json(F.create_map(F.lit("$type"), F.col("type"), F.lit("$value"), F.col("value")))
+    nodes = tokens.select("session_id", at.alias("at"), leaf.alias("json"), F.lit(True).alias("leaf"))
+    said = None if groups is None else groups.filter("description IS NOT NULL").select("session_id", at.alias("at"), "description").dropDuplicates(["session_id", "at"])
+    for level in range(tokens.agg(F.max(F.size(at))).first()[0] or 0, 0, -1):
+        here = nodes.filter(F.size("at") == level)
+        inside = here.groupBy("session_id", F.slice("at", 1, level - 1).alias("at")).agg(F.array_sort(F.collect_list(F.struct(F.element_at("at", -1).alias("key"), "json"))).alias("entries"))
+        clash = F.exists(F.sequence(F.lit(1), F.size("entries")), lambda i: F.get("entries", i)["key"] == F.get("entries", i - 1)["key"])
+        body = F.array_join(F.transform("entries", lambda x: F.concat(_quoted(x["key"]), F.lit(":"), x["json"])), ",")
+        body = F.when(F.coalesce(clash, F.lit(False)), F.raise_error(F.lit("a path is a token and a group"))).otherwise(body)
+        if said is not None:
+            inside = inside.join(said, ["session_id", "at"], "left")
+            body = F.concat(F.coalesce(F.concat(F.lit('"$description":'), _quoted(F.col("description")), F.lit(",")), F.lit("")), body)
+        nodes = nodes.filter(F.size("at") < level).unionByName(inside.select("session_id", "at", F.concat(F.lit("{"), body, F.lit("}")).alias("json"), F.lit(False).alias("leaf")))
+    return nodes.select("session_id", F.col("json").alias("document"))
 
 
 def append_review_events(events: DataFrame, path: str) -> None:
-    events.select("type", "timestamp", "payload").write.mode("append").json(path)
+    events.select("type", F.col("timestamp").cast("timestamp").alias("timestamp"), "payload").write.mode("append").option("timestampFormat", _TIME).json(path)
 
 
 def read_review_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("type string, timestamp timestamp, payload map<string,string>").json(path)
+    return spark.read.schema("type string, timestamp timestamp, payload map<string,string>").option("timestampFormat", _TIME).json(path)
 
 
 def upgrade_run_records(*versions: DataFrame) -> DataFrame:
@@ -81,12 +89,19 @@ def upgrade_run_records(*versions: DataFrame) -> DataFrame:
     return out.withColumn("version", F.when(known, F.col("version")).otherwise(F.raise_error(F.concat(F.lit("unknown run record version "), F.col("version").cast("string"))).cast("int")))
 
 
-def build_manifest(entries: DataFrame, tokens: DataFrame, delete_all: bool = False) -> DataFrame:
-    """kind, id and body of a manifest, slots without their required flag. With delete_all, sections are there though empty: nothing is listed."""
+def build_manifest(entries: DataFrame, tokens: DataFrame, delete_all: bool = False) -> tuple[DataFrame, DataFrame]:
+    """kind, id and body of a manifest, slots without their required flag; and its sections (kind, state).
+
+    A section is listed where it has entries, absent, which changes nothing, where it has none. With delete_all nothing
+    is listed and both sections are empty, which deletes everything.
+    """
     body = F.transform_values("slots", lambda _, s: F.struct(s["allowed"].alias("allowed")))
     components = entries.select(F.lit("component").alias("kind"), F.col("key").alias("id"), F.to_json(body).alias("body"))
-    rows = components.unionByName(tokens.select(F.lit("token").alias("kind"), F.col("path").alias("id"), F.col("value").alias("body")))
-    return rows.filter(F.lit(not delete_all))
+    rows = components.unionByName(tokens.select(F.lit("token").alias("kind"), F.col("path").alias("id"), F.col("value").alias("body"))).filter(F.lit(not delete_all))
+    kinds = entries.sparkSession.range(2).select(F.when(F.col("id") == 0, "component").otherwise("token").alias("kind"))
+    there = rows.select("kind").distinct().withColumn("__there", F.lit(True))
+    state = F.lit("empty") if delete_all else F.when(F.col("__there"), "listed").otherwise("absent")
+    return rows, kinds.join(there, "kind", "left").select("kind", state.alias("state"))
 
 
 def strip_children(slots: DataFrame) -> DataFrame:
@@ -146,3 +161,8 @@ def decide_with(chunks: DataFrame, decide: Callable[[list[str]], list[str]]) ->
         return pd.DataFrame({"name": rows.name, "decision": decide(list(rows.name))})
 
     return chunks.select("session_id", "chunk", "place", "name").groupBy("session_id", "chunk").applyInPandas(run, "name string, decision string")
+
+
+def edges_with(files: DataFrame, names: DataFrame, parser: Callable[[str, str], list[dict]]) -> tuple[DataFrame, DataFrame]:
+    """Edges (parent, child, slot, confidence) that a plug-in parser finds in each file's path and content, and those refused, with a reason: no plug-in's word is taken unchecked."""
+    return sanitize_edges(extract_with(files, parser, "parent string, child string, slot string, confidence int"), names)

@@ -112,10 +112,14 @@ def resolve_local_imports(imports: DataFrame, files: DataFrame, extensions=EXTEN
 
 
 def sibling_files(components: DataFrame, files: DataFrame, k: int = 5) -> DataFrame:
-    """The first k other files in each component's folder."""
+    """The first k other files in each component's folder. A folder's first k + 1 files are enough for all of its components."""
     folder = F.regexp_replace("path", "/[^/]*$", "")
-    rows = components.withColumn("folder", folder).withColumnRenamed("path", "own").join(files.select("path").withColumn("folder", folder), "folder").filter("path <> own")
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy("own").orderBy("path"))).filter(F.col("n") <= k).select("own", "path", "n")
+    place = F.row_number().over(Window.partitionBy("folder").orderBy("path"))
+    first = files.select("path").distinct().withColumn("folder", folder).withColumn("at", place).filter(F.col("at") <= k + 1)
+    listed = first.groupBy("folder").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "path"))), lambda x: x["path"]).alias("paths"))
+    rows = components.select(F.col("path").alias("own")).withColumn("folder", F.regexp_replace("own", "/[^/]*$", "")).join(listed, "folder")
+    others = F.slice(F.filter("paths", lambda p: p != F.col("own")), 1, k)
+    return rows.select("own", F.posexplode(others).alias("n", "path")).select("own", "path", (F.col("n") + 1).alias("n"))
 
 
 def parent_usage_site(names: DataFrame, files: DataFrame) -> DataFrame:
@@ -132,8 +136,9 @@ def manifest_edges(files: DataFrame, names: DataFrame) -> DataFrame:
     return rows.join(known("parent"), "parent", "left_semi").join(known("child"), "child", "left_semi").filter("parent <> child").select("parent", "child", "slot").distinct()
 
 
-def extraction_summary(components: DataFrame, warnings: DataFrame) -> DataFrame:
-    """Per session: files, components, props, slots and warnings."""
-    w = warnings.groupBy("session_id").agg(F.count("*").alias("warnings"))
+def extraction_summary(components: DataFrame, warnings: DataFrame, errors: DataFrame) -> DataFrame:
+    """Per session: files, components, props, slots, warnings and errors."""
+    count = lambda rows, name: rows.groupBy("session_id").agg(F.count("*").alias(name))
+    w = count(warnings, "warnings").join(count(errors, "errors"), "session_id", "full_outer")
     c = components.groupBy("session_id").agg(F.countDistinct("source").alias("files"), F.count("*").alias("components"), F.sum(F.size("props")).alias("props"), F.sum(F.size("slots")).alias("slots"))
-    return c.join(w, "session_id", "left").withColumn("warnings", F.coalesce("warnings", F.lit(0)))
+    return c.join(w, "session_id", "left").withColumns({n: F.coalesce(n, F.lit(0)) for n in ("warnings", "errors")})

@@ -83,27 +83,6 @@ def first_call_per_component(batch: DataFrame, calls: DataFrame) -> DataFrame:
     return rows.select("name", decision.alias("decision"), F.coalesce("c.reason", F.when(F.col("c").isNull(), "no call names it")).alias("reason"))
 
 
-def apply_tool_calls(props: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Props after the calls (name, tool, cdf_type, cdf_category, required, description, seq) of their component, in order; and calls without a prop.
-
-    classify_prop writes type, category, required and description, exclude_prop writes type and category only: each
-    column takes the last call that writes it.
-    """
-    keys = ["component_id", "name"]
-    classify = F.col("tool") == "classify_prop"
-    last = lambda value, mask: F.max_by(F.struct(value.alias("v")), F.when(mask, F.col("seq")))
-    done = calls.groupBy(*keys).agg(
-        last(F.when(classify, F.col("cdf_type")).otherwise("excluded"), F.col("tool").isin("classify_prop", "exclude_prop")).alias("t"),
-        last(F.when(classify, F.col("cdf_category")), F.col("tool").isin("classify_prop", "exclude_prop")).alias("c"),
-        last(F.coalesce("required", F.lit(False)), classify).alias("r"),
-        last(F.col("description"), classify).alias("d"),
-    )
-    rows = props.join(done, keys, "left")
-    use = lambda mark, column: F.when(F.col(mark).isNotNull(), F.col(f"{mark}.v")).otherwise(F.col(column))
-    out = rows.withColumn("cdf_type", use("t", "cdf_type")).withColumn("category", use("c", "category")).withColumn("required", use("r", "required")).withColumn("description", use("d", "description"))
-    return out.drop("t", "c", "r", "d"), calls.join(props.select(*keys).distinct(), keys, "left_anti")
-
-
 def walk_documents(docs: DataFrame, is_leaf, max_depth: int = 12) -> DataFrame:
     """doc, path, node (JSON text) and whether it is a leaf, for the objects of JSON documents (doc, value) below keys without a dollar sign.
 
@@ -130,12 +109,24 @@ def flatten_tokens(docs: DataFrame) -> DataFrame:
     return found.select("doc", "path", F.col("m")["$type"].alias("type"), F.col("m")["$value"].alias("value"))
 
 
-def validate_tokens(docs: DataFrame) -> DataFrame:
-    """Problems of token documents: doc, path and code (unknown type, value without type, type without value)."""
+def _token_nodes(docs: DataFrame) -> DataFrame:
     leaf = lambda n: F.array_contains(F.json_object_keys(n), "$value")
-    nodes = walk_documents(docs, leaf).withColumn("kind", F.from_json("node", "map<string,string>")["$type"])
+    return walk_documents(docs, leaf).withColumn("kind", F.from_json("node", "map<string,string>")["$type"])
+
+
+def validate_tokens(docs: DataFrame) -> DataFrame:
+    """Problems of token documents: doc, path and code (not an object, unknown type, value without type, type without value)."""
+    nodes = _token_nodes(docs)
     code = F.when(F.col("leaf") & F.col("kind").isNull(), "value without type").when(F.col("kind").isNotNull() & ~F.col("kind").isin(TOKEN_TYPES), "unknown type").when(~F.col("leaf") & F.col("kind").isNotNull(), "type without value")
-    return nodes.select("doc", "path", code.alias("code")).filter("code IS NOT NULL")
+    groups = nodes.filter(~F.col("leaf") & F.col("kind").isNull()).select("doc", "path", "node").unionByName(docs.select("doc", F.lit("").alias("path"), F.col("value").alias("node")))
+    inside = groups.select("doc", "path", F.explode(F.from_json("node", "map<string,string>")).alias("key", "child")).filter(~F.col("key").startswith("$") & ~F.coalesce(F.col("child").startswith("{"), F.lit(False)))
+    stray = inside.select("doc", F.when(F.col("path") == "", F.col("key")).otherwise(F.concat("path", F.lit("."), "key")).alias("path"), F.lit("not an object").alias("code"))
+    return nodes.select("doc", "path", code.alias("code")).filter("code IS NOT NULL").unionByName(stray)
+
+
+def token_counts(docs: DataFrame) -> DataFrame:
+    """Per document how many tokens and groups it has; nodes with a type alone are neither."""
+    return _token_nodes(docs).groupBy("doc").agg(F.count_if("leaf").alias("tokens"), F.count_if(~F.col("leaf") & F.col("kind").isNull()).alias("groups"))
 
 
 def read_component_documents(docs: DataFrame) -> DataFrame:
@@ -193,12 +184,56 @@ def parse_server_errors(bodies: DataFrame) -> DataFrame:
     return listed.unionByName(plain.filter("component <> ''"))
 
 
+# Prefixes of log lines and of failed calls, and the forms in which bindings are reported.
+LOG_PREFIX = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z\s+[0-9a-f-]+\s+ERROR\s+(?:\[dd\.[^\]]*\]\s*)?"
+LOG_TAG = r"\[dd\.(?:trace_id|span_id)=[^\]]*\]\s*"
+CALL_PREFIX = r"^((?:apply|preview|poll) failed: \d+)\n"
+BINDING = r"(?i)binding configurations are invalid|Pointer path does not exist"
+BINDING_CODE, BINDING_MESSAGE = "BindingValidationFailed", "One or more binding configurations are invalid."
+POINTER = r"(?i)Pointer path does not exist for '\[object Object\]':\s*(.+?)(?=\.\s*Default\s*›|$)"
+
+
 def parse_error_log(lines: DataFrame) -> DataFrame:
-    """code and message of log lines: prefix off, JSON first, then `code: message`."""
-    text = F.regexp_replace("line", r"^\[[^\]]*\]\s*|^Error:\s*", "")
-    code = F.coalesce(F.get_json_object(text, "$.code"), F.nullif(F.regexp_extract(text, r"^([A-Z][A-Z_]+):\s", 1), F.lit("")))
-    message = F.coalesce(F.get_json_object(text, "$.message"), F.nullif(F.regexp_extract(text, r"^[A-Z][A-Z_]+:\s+(.*)$", 1), F.lit("")), text)
-    return lines.withColumn("code", code).withColumn("message", message)
+    """code, message, cycle (an array of names) and diagnostics (component, path, message) of error texts (line).
+
+    Prefixes of failed calls and of logs go. Then the first form that fits counts: JSON (a code, message or cycle at the
+    top or under details; a message about bindings is read as such), a text about bindings, an object literal at the
+    end; a text of no form is its own message.
+    """
+    none = lambda c: F.nullif(c, F.lit(""))
+    body = F.regexp_replace("line", CALL_PREFIX, "")
+    text = F.trim(F.regexp_replace(F.regexp_replace(body, LOG_PREFIX, ""), LOG_TAG, ""))
+    rows = lines.withColumns({"__prefix": F.regexp_extract("line", CALL_PREFIX, 1), "__t": text})
+    rows = rows.withColumn("__j", F.when(F.try_parse_json("__t").isNotNull() & F.col("__t").startswith("{"), F.col("__t")))
+    get = lambda *paths: F.coalesce(*(F.get_json_object("__j", p) for p in paths))
+    rows = rows.withColumns({"__code": get("$.code", "$.details.code", "$.sys.id"), "__message": get("$.message", "$.details.message"), "__cycle": F.from_json(get("$.cycle", "$.details.cycle"), "array<string>")})
+    is_json = F.coalesce("__code", "__message", F.array_join("__cycle", ",")).isNotNull()
+    about = F.coalesce(F.when(is_json, F.col("__message")), F.when(~is_json, F.col("__t")))
+    binding = F.coalesce(about.rlike(BINDING), F.lit(False))
+    heading = none(F.trim(F.regexp_extract(about, r"(?i)^(.*?)(?=\.?\s*Pointer path does not exist|\.?\s*Default\s*›)", 1)))
+    literal = F.regexp_extract("__t", r"(\{[^{]*)$", 1)
+    literal_code = none(F.regexp_extract(literal, r"code:\s*['\"]([^'\"]+)['\"]", 1))
+    literal_cycle = none(F.trim(F.regexp_extract(literal, r"cycle:\s*\[\s*([^\]]*)\s*\]", 1)))
+    names = F.filter(F.transform(F.split(literal_cycle, ","), lambda x: F.regexp_replace(F.trim(x), "^['\"]|['\"]$", "")), lambda x: x != "")
+    is_literal = literal_code.isNotNull() | literal_cycle.isNotNull()
+    head = none(F.trim(F.regexp_replace("__t", r"\{[^{]*$", "")))
+    errors = F.from_json(get("$.details.errors"), "array<struct<message:string,details:string,error:string,name:string,path:array<string>,component:string,componentName:string,componentId:string>>")
+    place = lambda e: none(F.array_join(e["path"], " › "))
+    named = lambda e: F.coalesce(none(F.regexp_extract(place(e), "manifest:components/([^/›]+)", 1)), none(F.regexp_extract(place(e), r"(?:^|[›/])\s*components\s*[›/]\s*([^›/]+?)\s*(?:[›/]|$)", 1)))
+    component = lambda e: F.coalesce(e["component"], e["componentName"], e["componentId"], named(e))
+    listed = F.transform(errors, lambda e: F.struct(component(e).alias("component"), place(e).alias("path"), F.coalesce(e["message"], e["details"], e["error"], e["name"], F.lit("Validation failed")).alias("message")))
+    pointer = none(F.trim(F.regexp_extract(about, POINTER, 1)))
+    where = none(F.regexp_extract(about, r"(?:^|\.\s)([A-Za-z0-9_$-]+(?:\s*›\s*[A-Za-z0-9_$-]+){2,})(?!.*›.*›)", 1))
+    pointed = F.when(pointer.isNotNull(), F.array(F.struct(F.lit(None).cast("string").alias("component"), where.alias("path"), pointer.alias("message"))))
+    out = rows.withColumns(
+        {
+            "code": F.when(binding, BINDING_CODE).when(is_json, F.col("__code")).when(is_literal, literal_code),
+            "message": F.when(binding, F.coalesce(heading, F.lit(BINDING_MESSAGE))).when(is_json, F.coalesce("__message", none(F.col("__t")), "__prefix")).when(is_literal, F.coalesce(head, "__t")).otherwise(F.coalesce(none(F.col("__t")), none(F.col("__prefix")), "line")),
+            "cycle": F.when(~binding & is_json, F.col("__cycle")).when(~binding & is_literal & (F.size(names) > 0), names),
+            "diagnostics": F.when(binding, pointed).when(is_json, listed),
+        }
+    )
+    return out.drop("__prefix", "__t", "__j", "__code", "__message", "__cycle")
 
 
 def apply_patch(components: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -93,17 +93,17 @@ def without_pruned(children: DataFrame, pruned: DataFrame) -> DataFrame:
 
 
 def command_lifecycle(events: DataFrame) -> DataFrame:
-    """Each invocation with the event that ended it: outcome ok, error or open, and seconds between.
+    """Each invocation with the event that ended it: outcome ok, error, interrupted (a failure with exit_code 130) or open, and seconds between.
 
     An invocation ends with the next completed or failed event of its session before the next invocation.
     """
     order = Window.partitionBy("session_id").orderBy("ts", "event_id")
     run = F.count_if(F.col("kind") == "invoked").over(order)
-    ended = F.when(F.col("kind").isin("completed", "failed"), F.struct("ts", "event_id", "kind"))
+    ended = F.when(F.col("kind").isin("completed", "failed"), F.struct("ts", "event_id", "kind", "exit_code"))
     runs = events.withColumn("run", run).filter("run > 0").groupBy("session_id", "run").agg(
         F.min(F.when(F.col("kind") == "invoked", F.col("ts"))).alias("started_at"), F.min(ended).alias("ended")
     )
-    outcome = F.when(F.col("ended.kind") == "completed", "ok").when(F.col("ended.kind") == "failed", "error").otherwise("open")
+    outcome = F.when(F.col("ended.kind") == "completed", "ok").when(F.col("ended.exit_code") == 130, "interrupted").when(F.col("ended.kind") == "failed", "error").otherwise("open")
     seconds = (F.unix_micros(F.col("ended.ts").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1e6
     return runs.select("session_id", "run", "started_at", outcome.alias("outcome"), seconds.alias("seconds"))
 

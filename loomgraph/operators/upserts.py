@@ -31,6 +31,30 @@ def upsert_cache(cache: DataFrame, rows: DataFrame) -> DataFrame:
     return old.join(new, keys, "full_outer").select(*keys, at("entity"), at("source"), at("updated_at"), edited.alias("human_edited"), created)
 
 
+def upsert_keyed(cache: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The cache after rows (the last by updated_at of each key): they replace what is there, whose created_at stays."""
+    values = [c for c in cache.columns if c not in (*keys, "created_at")]
+    new = last_by_key(rows.select(*keys, *values), keys, ["updated_at", *[v for v in values if v != "updated_at"]])
+    both = cache.alias("o").join(new.withColumn("__new", F.lit(True)).alias("n"), keys, "full_outer")
+    pick = lambda c: F.when(F.col("__new"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
+    return both.select(*keys, *map(pick, values), F.coalesce("o.created_at", "n.updated_at").alias("created_at")).select(*cache.columns)
+
+
+def upsert_extract_cache(cache: DataFrame, rows: DataFrame) -> DataFrame:
+    """What files gave: file_path and components_json by file_hash and cli_version."""
+    return upsert_keyed(cache, rows, ["file_hash", "cli_version"])
+
+
+def upsert_select_cache(cache: DataFrame, rows: DataFrame) -> DataFrame:
+    """Decisions and reasons by component_hash, prompt_hash and cli_version."""
+    return upsert_keyed(cache, rows, ["component_hash", "prompt_hash", "cli_version"])
+
+
+def upsert_composition_cache(cache: DataFrame, rows: DataFrame) -> DataFrame:
+    """Agents' outputs by input_hash and cli_version."""
+    return upsert_keyed(cache, rows, ["input_hash", "cli_version"])
+
+
 def incremental_split(inputs: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Inputs whose content_hash and version are in the cache, and those that need work."""
     known = cache.select("content_hash", "version").distinct()
@@ -67,9 +91,9 @@ def backfill_unclassified(props: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def snapshot_decisions(components: DataFrame, accepted: DataFrame) -> DataFrame:
-    """Each component accepted or rejected."""
+    """Each component accepted or rejected, with what was proposed: a struct of its other columns but the ids."""
     named = accepted.select("session_id", "name").distinct().withColumn("__a", F.lit(True))
-    rows = components.join(named, ["session_id", "name"], "left")
+    rows = components.withColumn("proposal", F.struct(*(c for c in components.columns if c not in ("session_id", "component_id")))).join(named, ["session_id", "name"], "left")
     return rows.withColumn("decision", F.when(F.col("__a"), "accepted").otherwise("rejected")).drop("__a")
 
 
@@ -86,12 +110,22 @@ def composition_hash(files: DataFrame, agent: str, kind: str) -> DataFrame:
 
 
 def component_input_hash(components: DataFrame) -> DataFrame:
-    """Hash of what a component was made from: framework, name, source, props' names and types, slots' names; not what agents wrote."""
+    """Hash of what a component was made from: framework, name, source, props' names and types, slots' names with their children sorted; not what agents wrote.
+
+    slots may do without children.
+    """
+    fields = components.schema["slots"].dataType.elementType.names
+    kids = (lambda s: F.concat(F.lit("["), F.array_join(F.array_sort(F.coalesce(s["children"], F.array().cast("array<string>"))), ","), F.lit("]"))) if "children" in fields else (lambda s: F.lit(""))
     props = F.array_join(F.transform("props", lambda p: F.concat(p["name"], F.lit(":"), p["type"])), ",")
-    slots = F.array_join(F.transform("slots", lambda s: s["name"]), ",")
+    slots = F.array_join(F.transform("slots", lambda s: F.concat(s["name"], kids(s))), ",")
     return components.withColumn("input_hash", F.sha2(F.concat_ws("|", "framework", "name", "source", props, slots), 256))
 
 
+def token_input_hash(tokens: DataFrame) -> DataFrame:
+    """Hash of a token's path, type and value, each trimmed."""
+    return tokens.withColumn("input_hash", F.sha2(F.concat_ws("|", *(F.trim(c) for c in ("path", "type", "value"))), 256))
+
+
 def newest_run(runs: DataFrame) -> DataFrame:
     """Each project's newest run and how many older ones there are."""
     return runs.groupBy("project").agg(F.max_by("run_id", F.struct("created_at", "run_id")).alias("run_id"), (F.count("*") - 1).alias("older"))
@@ -116,24 +150,16 @@ def filter_runs(runs: DataFrame, project=None, before=None, after=None, pushed:
     return runs if pushed is None else runs.filter(F.col("pushed_to").isNotNull() == F.lit(pushed))
 
 
-def run_staleness(fingerprints: DataFrame, files: DataFrame) -> DataFrame:
-    """Per run whether a file of its fingerprint (run_id, path, mtime) is missing or changed now; a run without paths is unknown."""
-    now = files.select("path", F.col("mtime").alias("__now"))
-    rows = fingerprints.join(now, "path", "left")
-    stale = F.col("path").isNotNull() & (F.col("__now").isNull() | (F.col("__now") != F.col("mtime")))
-    out = rows.groupBy("run_id").agg(F.count("path").alias("files"), F.count_if(stale).alias("changed"))
-    return out.withColumn("state", F.when(F.col("files") == 0, "unknown").when(F.col("changed") > 0, "stale").otherwise("fresh"))
-
-
 def seed_from_prior(props: DataFrame, target, sessions: DataFrame) -> DataFrame:
-    """Missing classifications of the target session from the latest prior session that shares a component; sessions has session_id and started_at."""
+    """Missing classifications and descriptions of the target session from the latest prior session that shares a component; sessions has session_id and started_at."""
     own = props.filter(F.col("session_id") == target)
     prior = props.filter(F.col("session_id") != target).join(own.select("component_id").distinct(), "component_id", "left_semi").select("session_id").distinct()
     chosen = prior.join(sessions, "session_id").agg(F.max_by("session_id", F.struct("started_at", "session_id")).alias("session_id"))
-    old = props.join(chosen, "session_id", "left_semi").dropDuplicates(["component_id", "name"]).select("component_id", "name", F.col("cdf_type").alias("__t"), F.col("category").alias("__c"))
+    old = props.join(chosen, "session_id", "left_semi").dropDuplicates(["component_id", "name"]).select("component_id", "name", *(F.col(c).alias(f"__{c}") for c in ("cdf_type", "category", "description")))
     rows = own.join(old, ["component_id", "name"], "left")
     empty = F.col("cdf_type").isNull()
-    return rows.withColumn("category", F.when(empty, F.coalesce("__c", "category")).otherwise(F.col("category"))).withColumn("cdf_type", F.coalesce("cdf_type", "__t")).drop("__t", "__c")
+    rows = rows.withColumn("category", F.when(empty, F.coalesce("__category", "category")).otherwise(F.col("category")))
+    return rows.withColumn("cdf_type", F.coalesce("cdf_type", "__cdf_type")).withColumn("description", F.coalesce("description", "__description")).select(*props.columns)
 
 
 def seed_from_server(props: DataFrame, server: DataFrame) -> DataFrame:
@@ -148,18 +174,9 @@ def seed_from_server(props: DataFrame, server: DataFrame) -> DataFrame:
     )
 
 
-def restore_classification(old: DataFrame, new: DataFrame) -> DataFrame:
-    """After a new extraction, the old types by name; new props without one of their name take that of the old prop at their position, if it found no name either."""
-    keys = ["session_id", "component_id"]
-    named = old.select(*keys, "name", F.col("cdf_type").alias("__n")).dropDuplicates([*keys, "name"])
-    lost = old.join(new.select(*keys, "name").distinct(), [*keys, "name"], "left_anti").select(*keys, "position", F.col("cdf_type").alias("__p")).dropDuplicates([*keys, "position"])
-    rows = new.join(named, [*keys, "name"], "left").join(lost, [*keys, "position"], "left")
-    return rows.withColumn("cdf_type", F.coalesce("__n", "__p")).drop("__n", "__p")
-
-
-def copy_from_cache(props: DataFrame, hits: DataFrame) -> DataFrame:
-    """Props of target components with the classification of the source they hit: hits has component_id and source_id."""
-    source = props.select(F.col("component_id").alias("source_id"), "name", F.col("cdf_type").alias("__t"), F.col("category").alias("__c"))
-    rows = props.join(hits, "component_id", "left").join(source, ["source_id", "name"], "left")
-    hit = F.col("source_id").isNotNull()
-    return rows.withColumn("cdf_type", F.when(hit, F.col("__t")).otherwise(F.col("cdf_type"))).withColumn("category", F.when(hit, F.col("__c")).otherwise(F.col("category"))).drop("source_id", "__t", "__c")
+def seed_defaults_from_server(props: DataFrame, server: DataFrame) -> DataFrame:
+    """seed_from_server with defaults of any type: one that isn't text is written as JSON."""
+    kind = server.schema["server_default"].dataType.simpleString()
+    plain = kind == "string" or kind.startswith(("int", "bigint", "double", "float", "decimal", "boolean", "smallint", "tinyint"))
+    text = F.col("server_default").cast("string") if plain else F.to_json("server_default")
+    return seed_from_server(props, server.withColumn("server_default", text))

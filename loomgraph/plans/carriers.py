@@ -36,7 +36,7 @@ CARRIERS = {
     "catalog_proposed": """SELECT p_partkey AS k, CASE WHEN p_partkey % 10 = 3 THEN 'CHANGED' ELSE p_type END AS type, p_size > 25 OR p_partkey % 10 = 4 AS required, p_brand AS default_value
   FROM part WHERE p_partkey % 10 <> 2""",
     "runs": "SELECT o_orderkey AS run_id, o_custkey AS project, o_orderdate AS created_at, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS pushed_to FROM orders",
-    "command_events": """SELECT event_id, user_id AS session_id, ts, CASE event_type WHEN 'signup' THEN 'started' WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' ELSE 'invoked' END AS kind, value FROM events""",
+    "command_events": """SELECT event_id, user_id AS session_id, ts, CASE event_type WHEN 'signup' THEN 'started' WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' ELSE 'invoked' END AS kind, value, CASE WHEN event_type = 'error' THEN CASE WHEN event_id % 5 = 0 THEN 130 ELSE 1 END END AS exit_code FROM events""",
     "cache": """SELECT d.doc_id AS entity, sha256(d.text) AS content_hash, d.source AS source, coalesce(l.toxic, 0) = 1 AS human_edited, d.n_chars AS updated_at, d.lang AS version
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
 }
@@ -60,6 +60,20 @@ CARRIERS["cat_values"] = f"""SELECT session_id, component_id, position, idx, con
 CARRIERS["cat_slots"] = f"""SELECT src % 4 AS session_id, src AS component_id, CAST(row_number() OVER (PARTITION BY src ORDER BY slot) - 1 AS INT) AS position, CASE WHEN src % 9 = 2 THEN '' WHEN src % 13 = 1 THEN 'label' ELSE slot END AS name, slot = 'body' AS is_default, src % 3 = 0 AS required
   FROM (SELECT DISTINCT src, slot FROM ({CARRIERS["slot_edges"]}) t) u"""
 CARRIERS["cat_children"] = f"""SELECT src % 4 AS session_id, src AS component_id, slot AS slot_name, CAST(row_number() OVER (PARTITION BY src, slot ORDER BY dst) - 1 AS INT) AS position, dst AS child FROM ({CARRIERS["slot_edges"]}) t"""
+# A catalog in full: names are unique within their component.
+CARRIERS["k_components"] = """SELECT CAST(p_partkey % 4 AS INT) AS session_id, CAST(p_partkey AS STRING) AS component_id, concat('C', CAST(p_partkey AS STRING)) AS name, concat('/src/', p_name, '.tsx') AS source, 'react' AS framework, 'extracted' AS status,
+  CASE WHEN p_size % 5 <> 0 THEN p_type END AS description, CAST(NULL AS STRING) AS description_rationale, CAST(NULL AS STRING) AS props_rationale, CAST(NULL AS STRING) AS slots_rationale FROM part"""
+CARRIERS["k_props"] = f"""SELECT CAST(session_id AS INT) AS session_id, CAST(component_id AS STRING) AS component_id, name, position, type, required, cdf_type, category, CAST(NULL AS STRING) AS token_kind, description, default_value, CAST(NULL AS STRING) AS rationale FROM ({CARRIERS["cat_props"]}) p"""
+CARRIERS["k_values"] = f"""SELECT session_id, component_id, name AS prop_name, idx AS position, concat('v', CAST(idx AS STRING)) AS value FROM ({CARRIERS["k_props"]}) p CROSS JOIN (SELECT 0 AS idx UNION ALL SELECT 1 UNION ALL SELECT 2) v WHERE cdf_type = 'enum'"""
+CARRIERS["k_slots"] = f"""SELECT CAST(src % 4 AS INT) AS session_id, CAST(src AS STRING) AS component_id, slot AS name, CAST(row_number() OVER (PARTITION BY src ORDER BY slot) - 1 AS INT) AS position, slot = 'body' AS is_default, src % 3 = 0 AS required, CAST(NULL AS STRING) AS description, CAST(NULL AS STRING) AS rationale
+  FROM (SELECT DISTINCT src, slot FROM ({CARRIERS["slot_edges"]}) t) u"""
+CARRIERS["k_children"] = f"""SELECT CAST(session_id AS INT) AS session_id, CAST(component_id AS STRING) AS component_id, slot_name, position, CAST(child AS STRING) AS child FROM ({CARRIERS["cat_children"]}) c"""
+CARRIERS["k_calls"] = """SELECT CAST(l_partkey % 4 AS INT) AS session_id, CAST(l_partkey AS STRING) AS component_id, l_orderkey * 10 + l_linenumber AS seq,
+  CASE WHEN l_linenumber <= 3 THEN CASE WHEN l_suppkey % 3 = 0 THEN 'exclude_prop' ELSE 'classify_prop' END WHEN l_linenumber <= 5 THEN 'classify_slot' ELSE 'classify_component' END AS tool,
+  CASE l_linenumber WHEN 1 THEN 'onClick' WHEN 2 THEN 'label' WHEN 3 THEN 'absent' WHEN 4 THEN 'body' WHEN 5 THEN 'gone' END AS name, l_returnflag AS cdf_type, 'content' AS cdf_category, l_linestatus AS token_kind,
+  CASE WHEN l_suppkey % 4 <> 0 THEN l_linestatus = 'O' END AS required, CASE WHEN l_discount > 0.05 THEN 'said' END AS description, CASE WHEN l_tax > 0.04 THEN 'why' ELSE '' END AS reason,
+  CASE WHEN l_quantity > 25 THEN 'dv' END AS default_value, CASE WHEN l_quantity > 40 THEN 'x,y,x' WHEN l_quantity > 30 THEN 'z' END AS listed
+  FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_orderkey, l_linenumber ORDER BY l_suppkey, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) AS rn FROM lineitem) t WHERE rn = 1"""
 
 
 def tables(spark: SparkSession, sf_dir: str, sql: str) -> None:

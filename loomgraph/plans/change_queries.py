@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomgraph.functions.naming import COMPARED_TYPES
+from loomgraph.operators import inspection as Z
 from loomgraph.operators import diff as D
 from loomgraph.operators import upserts as U
 from loomgraph.plans.carriers import CARRIERS, carrier, with_carriers
@@ -77,9 +78,9 @@ def c6(spark, sf):
     return D.annotate_components(local, diff, diff.filter("name % 20 = 3"))
 
 
-@query("d3_diff_summary", with_carriers(_BUCKETS + "SELECT CASE WHEN k % 2 = 0 THEN 'token' ELSE 'component' END AS kind, count(*) FILTER (bucket = 'new') AS new, count(*) FILTER (bucket = 'changed') AS changed, count(*) FILTER (bucket = 'unchanged') AS unchanged, count(*) FILTER (bucket = 'removed') AS removed FROM d GROUP BY 1", *_CAT))
+@query("d3_diff_summary", with_carriers(_BUCKETS + "SELECT CASE WHEN k % 2 = 0 THEN 'token' ELSE 'component' END AS kind, count(*) FILTER (bucket = 'new') AS new, count(*) FILTER (bucket = 'changed') AS changed, count(*) FILTER (bucket = 'unchanged') AS unchanged, count(*) FILTER (bucket = 'removed') AS removed, count(*) FILTER (bucket = 'changed' AND k % 20 = 3) AS breaking, count(*) FILTER (bucket = 'changed' AND k % 4 = 0) AS draft_overwrites FROM d GROUP BY 1", *_CAT))
 def d3(spark, sf):
-    return D.diff_summary(_diff(spark, sf).withColumn("kind", F.expr("CASE WHEN k % 2 = 0 THEN 'token' ELSE 'component' END")))
+    return D.diff_summary(_diff(spark, sf).selectExpr("*", "CASE WHEN k % 2 = 0 THEN 'token' ELSE 'component' END AS kind", "CASE WHEN k % 20 = 3 THEN 'breaking' ELSE 'safe' END AS classification", "k % 4 = 0 AS has_draft"))
 
 
 @query("d4_is_empty_diff", with_carriers(_BUCKETS + "SELECT NOT bool_or(bucket <> 'unchanged') AS is_empty FROM d", *_CAT))
@@ -227,25 +228,6 @@ def b28(spark, sf):
     return U.filter_runs(carrier(spark, sf, "runs"), after=datetime.datetime(1996, 1, 1), limit=300, pushed=True)
 
 
-@query("c26_run_staleness", """
-WITH f AS (SELECT l_orderkey AS run_id, CASE WHEN l_orderkey % 7 <> 0 THEN l_partkey END AS path, l_quantity AS mtime FROM lineitem), now AS (SELECT p_partkey AS path, CAST(p_size AS DOUBLE) AS mtime FROM part WHERE p_partkey % 10 <> 0),
-s AS (SELECT run_id, count(f.path) AS files, count(*) FILTER (f.path IS NOT NULL AND (now.mtime IS NULL OR now.mtime <> f.mtime)) AS changed FROM f LEFT JOIN now ON now.path = f.path GROUP BY 1)
-SELECT run_id, files, changed, CASE WHEN files = 0 THEN 'unknown' WHEN changed > 0 THEN 'stale' ELSE 'fresh' END AS state FROM s""")
-def c26(spark, sf):
-    lines, part = spark.read.parquet(f"{sf}/lineitem.parquet"), spark.read.parquet(f"{sf}/part.parquet")
-    prints = lines.selectExpr("l_orderkey AS run_id", "CASE WHEN l_orderkey % 7 <> 0 THEN l_partkey END AS path", "l_quantity AS mtime")
-    return U.run_staleness(prints, part.filter("p_partkey % 10 <> 0").selectExpr("p_partkey AS path", "double(p_size) AS mtime"))
-
-
-@query("e9_restore_classification", with_carriers("""+nw AS (SELECT component_id, position, CASE WHEN component_id % 3 = 0 AND position = 2 THEN 'fresh' ELSE name END AS name FROM cat_props),
-named AS (SELECT component_id, name, any_value(cdf_type) AS t FROM cat_props GROUP BY 1, 2), lost AS (SELECT o.component_id, o.position, o.cdf_type AS t FROM cat_props o WHERE NOT EXISTS (SELECT 1 FROM nw WHERE nw.component_id = o.component_id AND nw.name = o.name))
-SELECT nw.component_id, nw.position, nw.name, coalesce(named.t, lost.t) AS cdf_type FROM nw LEFT JOIN named ON named.component_id = nw.component_id AND named.name = nw.name LEFT JOIN lost ON lost.component_id = nw.component_id AND lost.position = nw.position""", "cat_props"))
-def e9(spark, sf):
-    props = carrier(spark, sf, "cat_props")
-    new = props.selectExpr("session_id", "component_id", "position", "CASE WHEN component_id % 3 = 0 AND position = 2 THEN 'fresh' ELSE name END AS name")
-    return U.restore_classification(props, new).select("component_id", "position", "name", "cdf_type")
-
-
 @query("c12_seed_from_server", with_carriers("""SELECT component_id, position, coalesce(cdf_type, CASE WHEN component_id % 2 = 0 THEN 'enum' END) AS cdf_type, coalesce(category, CASE WHEN component_id % 2 = 0 THEN CASE WHEN component_id % 4 = 0 THEN 'content' ELSE 'state' END END) AS category, coalesce(default_value, CASE WHEN component_id % 2 = 0 THEN 'd' END) AS default_value FROM cat_props""", "cat_props"))
 def c12(spark, sf):
     props = carrier(spark, sf, "cat_props")
@@ -253,24 +235,65 @@ def c12(spark, sf):
     return U.seed_from_server(props, server).select("component_id", "position", "cdf_type", "category", "default_value")
 
 
-@query("c11_seed_from_prior", with_carriers("""+p AS (SELECT CASE WHEN component_id % 3 = 0 THEN 1 ELSE 2 END AS session_id, component_id // 3 AS component_id, name, cdf_type, category FROM cat_props WHERE position = 2 AND component_id % 3 < 2)
-SELECT a.component_id, coalesce(a.cdf_type, b.cdf_type) AS cdf_type, CASE WHEN a.cdf_type IS NULL THEN coalesce(b.category, a.category) ELSE a.category END AS category FROM p a LEFT JOIN p b ON b.session_id = 2 AND b.component_id = a.component_id AND b.name = a.name WHERE a.session_id = 1""", "cat_props"))
+@query("c11_seed_from_prior", with_carriers("""+p AS (SELECT CASE WHEN component_id % 2 = 0 THEN 1 ELSE 2 END AS session_id, component_id // 2 AS component_id, position, name, cdf_type, category, description FROM cat_props)
+SELECT a.component_id, a.position, coalesce(a.description, b.description) AS description, coalesce(a.cdf_type, b.cdf_type) AS cdf_type, CASE WHEN a.cdf_type IS NULL THEN coalesce(b.category, a.category) ELSE a.category END AS category FROM p a LEFT JOIN p b ON b.session_id = 2 AND b.component_id = a.component_id AND b.name = a.name WHERE a.session_id = 1""", "cat_props"))
 def c11(spark, sf):
-    props = carrier(spark, sf, "cat_props").filter("position = 2 AND component_id % 3 < 2").selectExpr("CASE WHEN component_id % 3 = 0 THEN 1 ELSE 2 END AS session_id", "component_id DIV 3 AS component_id", "name", "cdf_type", "category")
+    props = carrier(spark, sf, "cat_props").selectExpr("CASE WHEN component_id % 2 = 0 THEN 1 ELSE 2 END AS session_id", "component_id DIV 2 AS component_id", "position", "name", "cdf_type", "category", "description")
     sessions = props.select("session_id").distinct().withColumn("started_at", F.col("session_id"))
-    return U.seed_from_prior(props, 1, sessions).select("component_id", "cdf_type", "category")
+    return U.seed_from_prior(props, 1, sessions).select("component_id", "position", "cdf_type", "category", "description")
 
 
-@query("c11_seed_from_prior_whole", with_carriers("""+p AS (SELECT CASE WHEN component_id % 2 = 0 THEN 1 ELSE 2 END AS session_id, component_id // 2 AS component_id, position, name, cdf_type, category FROM cat_props)
-SELECT a.component_id, a.position, coalesce(a.cdf_type, b.cdf_type) AS cdf_type, CASE WHEN a.cdf_type IS NULL THEN coalesce(b.category, a.category) ELSE a.category END AS category FROM p a LEFT JOIN p b ON b.session_id = 2 AND b.component_id = a.component_id AND b.name = a.name WHERE a.session_id = 1""", "cat_props"))
-def c11_whole(spark, sf):
-    props = carrier(spark, sf, "cat_props").selectExpr("CASE WHEN component_id % 2 = 0 THEN 1 ELSE 2 END AS session_id", "component_id DIV 2 AS component_id", "position", "name", "cdf_type", "category")
-    sessions = props.select("session_id").distinct().withColumn("started_at", F.col("session_id"))
-    return U.seed_from_prior(props, 1, sessions).select("component_id", "position", "cdf_type", "category")
+@query("d2_apply_failures", "SELECT o_orderpriority AS entity_type, o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'no' ELSE 'unknown error' END AS error FROM orders WHERE o_orderstatus = 'F'")
+def d2_failures(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    return D.apply_failures(orders.selectExpr("o_orderpriority AS entity_type", "o_orderkey AS id", "CASE o_orderstatus WHEN 'F' THEN 'failed' ELSE 'succeeded' END AS status", "CASE WHEN o_orderkey % 2 = 0 THEN 'no' END AS error"))
+
+
+@query("b31_sanitize_breaking_changes", "SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN 'p:removed' WHEN 1 THEN 's:slot_removed' WHEN 2 THEN '' ELSE 'p:type_changed,s:slot_children_narrowed' END AS kept FROM part")
+def b31(spark, sf):
+    one = lambda p, s, r: f"named_struct('property_id', {p}, 'slot_id', {s}, 'reason', {r})"
+    none = "CAST(NULL AS STRING)"
+    listed = f"""CASE p_size % 4 WHEN 0 THEN array({one("'p'", none, "'removed'")}, {one("'p'", none, "'odd'")}) WHEN 1 THEN array({one(none, "'s'", "'slot_removed'")}, {one(none, "'s'", "'removed'")})
+      WHEN 2 THEN array({one(none, none, "'removed'")}, {one("'p'", none, none)}) ELSE array({one("'p'", none, "'type_changed'")}, {one(none, "'s'", "'slot_children_narrowed'")}) END AS breaking_changes"""
+    found = D.sanitize_breaking_changes(spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey AS id", listed))
+    return found.selectExpr("id", "array_join(transform(breaking_changes, b -> concat(CASE WHEN b.property_id IS NULL THEN 's:' ELSE 'p:' END, b.reason)), ',') AS kept")
 
 
-@query("j6_copy_from_cache", with_carriers("""SELECT a.component_id, a.position, CASE WHEN a.component_id % 5 = 1 THEN b.cdf_type ELSE a.cdf_type END AS cdf_type FROM cat_props a LEFT JOIN cat_props b ON a.component_id % 5 = 1 AND b.component_id = a.component_id + 1 AND b.name = a.name""", "cat_props"))
-def j6(spark, sf):
+@query("c13_seed_defaults_from_server", with_carriers("""SELECT component_id, position, coalesce(default_value, CASE WHEN component_id % 2 = 0 THEN concat('[', CAST(position AS VARCHAR), ',7]') END) AS default_value, coalesce(cdf_type, CASE WHEN component_id % 2 = 0 THEN 'enum' END) AS cdf_type FROM cat_props""", "cat_props"))
+def c13(spark, sf):
     props = carrier(spark, sf, "cat_props")
-    hits = props.filter("component_id % 5 = 1").select("component_id").distinct().withColumn("source_id", F.col("component_id") + 1)
-    return U.copy_from_cache(props, hits).select("component_id", "position", "cdf_type")
+    server = props.filter("component_id % 2 = 0").selectExpr("component_id", "name", "'Symbol' AS server_type", "'content' AS server_category", "array(position, 7) AS server_default")
+    return U.seed_defaults_from_server(props, server).select("component_id", "position", "default_value", "cdf_type")
+
+
+_KEYED = """+c AS (SELECT o_custkey AS k, o_orderstatus AS version, o_orderkey AS updated_at, o_orderpriority AS body FROM orders), o AS (SELECT k, version, max(updated_at) AS updated_at, arg_max(body, updated_at) AS body FROM c WHERE updated_at % 3 <> 0 GROUP BY 1, 2), n AS (SELECT k, version, max(updated_at) + 7 AS updated_at, arg_max(body, updated_at) AS body FROM c WHERE updated_at % 2 = 0 GROUP BY 1, 2)
+SELECT {keys}, coalesce(n.body, o.body) AS {body}, coalesce(n.updated_at, o.updated_at) AS updated_at, coalesce(o.updated_at - 1, n.updated_at) AS created_at FROM o FULL JOIN n USING (k, version)"""
+
+
+def _keyed(spark, sf, keys: dict[str, str], body: str):
+    rows = spark.read.parquet(f"{sf}/orders.parquet").selectExpr(*(f"{e} AS {n}" for n, e in keys.items()), f"o_orderpriority AS {body}", "o_orderkey AS updated_at")
+    old = U.last_by_key(rows.filter("updated_at % 3 <> 0"), list(keys), ["updated_at"]).withColumn("created_at", F.col("updated_at") - 1)
+    return old, rows.filter("updated_at % 2 = 0").withColumn("updated_at", F.col("updated_at") + 7)
+
+
+@query("j3_upsert_extract_cache", with_carriers(_KEYED.format(keys="concat('f', k) AS file_hash, version AS cli_version", body="components_json"), "runs"))
+def j3_extract(spark, sf):
+    return U.upsert_extract_cache(*_keyed(spark, sf, {"file_hash": "concat('f', o_custkey)", "cli_version": "o_orderstatus"}, "components_json"))
+
+
+@query("j3_upsert_select_cache", with_carriers(_KEYED.format(keys="concat('c', k) AS component_hash, 'p' AS prompt_hash, version AS cli_version", body="decision"), "runs"))
+def j3_select(spark, sf):
+    return U.upsert_select_cache(*_keyed(spark, sf, {"component_hash": "concat('c', o_custkey)", "prompt_hash": "'p'", "cli_version": "o_orderstatus"}, "decision"))
+
+
+@query("j3_upsert_composition_cache", with_carriers(_KEYED.format(keys="concat('i', k) AS input_hash, version AS cli_version", body="agent_output"), "runs"))
+def j3_composition(spark, sf):
+    return U.upsert_composition_cache(*_keyed(spark, sf, {"input_hash": "concat('i', o_custkey)", "cli_version": "o_orderstatus"}, "agent_output"))
+
+
+@query("j11_exclude_until_valid")
+def j11(spark, sf):
+    """Rounds and cycles are beyond plain SQL; tests hold it against a small graph."""
+    bad = carrier(spark, sf, "cat_components").filter("status = 'rejected'").selectExpr("component_id AS node")
+    nodes = carrier(spark, sf, "nodes")
+    return Z.exclude_until_valid(carrier(spark, sf, "slot_edges"), nodes, lambda left: left.join(bad, "node", "left_semi"))

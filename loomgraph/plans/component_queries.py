@@ -211,15 +211,8 @@ _LISTS = """
 SELECT component_id, name, coalesce(props, '') AS props, coalesce(slots, '') AS slots FROM cat_components c LEFT JOIN p USING (component_id) LEFT JOIN s USING (component_id)"""
 
 
-@query("a5_load_components", with_carriers(_LISTS + " WHERE component_id % 2 = 0", *_CAT))
+@query("a5_load_components", with_carriers(_LISTS + " WHERE (session_id, name) IN (SELECT (session_id, name) FROM cat_components WHERE status = 'accepted')", *_CAT))
 def a5(spark, sf):
-    allowed = carrier(spark, sf, "cat_components").filter("component_id % 2 = 0")
-    found = T.load_components(carrier(spark, sf, "cat_components"), carrier(spark, sf, "cat_props"), carrier(spark, sf, "cat_slots"), allowed).filter("component_id % 2 = 0")
-    return found.selectExpr("component_id", "name", "array_join(transform(props, p -> concat(p.name, ':', p.type)), ',') AS props", "array_join(transform(slots, s -> s.name), ',') AS slots")
-
-
-@query("a5_load_components_whole", with_carriers(_LISTS + " WHERE (session_id, name) IN (SELECT (session_id, name) FROM cat_components WHERE status = 'accepted')", *_CAT))
-def a5_whole(spark, sf):
     components = carrier(spark, sf, "cat_components")
     found = T.load_components(components, carrier(spark, sf, "cat_props"), carrier(spark, sf, "cat_slots"), components.filter("status = 'accepted'"))
     return found.selectExpr("component_id", "name", "array_join(transform(props, p -> concat(p.name, ':', p.type)), ',') AS props", "array_join(transform(slots, s -> s.name), ',') AS slots")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import documents as M
 from loomgraph.operators.dedupe import chunk
+from loomgraph.functions.lineage import new_folder
 from loomgraph.plans.carriers import carrier, with_carriers
 from loomgraph.plans.registry import query
 
@@ -23,17 +24,24 @@ def a15(spark, sf):
     return M.replace_sessions(files, files.filter("session_id = 1").withColumn("path", F.concat(F.lit("new/"), "path")))
 
 
-@query("a7_store_definitions", with_carriers("SELECT component_id, name, CASE WHEN component_id % 3 = 0 THEN 'media' ELSE cdf_type END AS cdf_type FROM cat_props WHERE trim(name) <> '' UNION ALL SELECT component_id, 'added', 'link' FROM (SELECT DISTINCT component_id FROM cat_props WHERE component_id % 3 = 0 AND trim(name) <> '')", "cat_props"))
-def a7(spark, sf):
-    props = carrier(spark, sf, "cat_props").filter("trim(name) <> ''")
-    base = props.filter("component_id % 3 = 0")
-    entries = base.selectExpr("session_id", "component_id", "name", "'media' AS cdf_type", "category").unionByName(base.selectExpr("session_id", "component_id", "'added' AS name", "'link' AS cdf_type", "'content' AS category").distinct())
-    return M.store_definitions(props, entries).select("component_id", "name", "cdf_type")
+@query("a10_write_token_tree", with_carriers("""
++t AS (SELECT length(path) % 4 AS session_id, string_split(path, '.') AS seg, type, value FROM tokens),
+l AS (SELECT session_id, seg[1] AS a, seg[2] AS b, string_agg(concat('"', seg[3], '":{"$type":"', type, '","$value":"', value, '"}'), ',' ORDER BY seg[3]) AS body FROM t GROUP BY 1, 2, 3),
+m AS (SELECT session_id, a, string_agg(concat('"', b, '":{', body, '}'), ',' ORDER BY b) AS body FROM l GROUP BY 1, 2)
+SELECT session_id, concat('{', string_agg(concat('"', a, '":{"$description":"of ', a, '",', body, '}'), ',' ORDER BY a), '}') AS document FROM m GROUP BY 1""", "tokens"))
+def a10(spark, sf):
+    tokens = carrier(spark, sf, "tokens").selectExpr("bigint(length(path) % 4) AS session_id", "path", "type", "value")
+    groups = tokens.select("session_id", F.substring_index("path", ".", 1).alias("path")).distinct().withColumn("description", F.concat(F.lit("of "), "path"))
+    return M.write_token_tree(tokens, groups)
 
 
-@query("a10_write_token_tree")
-def a10(spark, sf):
-    return M.write_token_tree(carrier(spark, sf, "tokens").withColumn("session_id", F.crc32(F.col("type").cast("binary"))))
+@query("a11_read_review_events", "SELECT event_type AS type, ts AS timestamp, props AS body, CAST(user_id AS VARCHAR) AS who FROM events")
+def a11(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet").selectExpr("event_type AS type", "ts AS timestamp", "map('body', props, 'who', string(user_id)) AS payload", "event_id % 2 AS half")
+    path = new_folder(spark)
+    for half in (0, 1):  # two appends
+        M.append_review_events(events.filter(F.col("half") == half), path)
+    return M.read_review_events(spark, path).selectExpr("type", "timestamp", "payload['body'] AS body", "payload['who'] AS who")
 
 
 @query("a12_read_run_records", with_carriers("SELECT CAST(run_id AS VARCHAR) AS run_id, CAST(project AS VARCHAR) AS project, CASE WHEN run_id % 3 = 0 THEN 1 ELSE 3 END AS version, CASE WHEN run_id % 3 <> 0 THEN pushed_to END AS pushed_to FROM runs", "runs"))
@@ -48,10 +56,27 @@ def a16(spark, sf):
     return M.concat_token_sources(carrier(spark, sf, "files").withColumn("project", F.col("file_id") % 3))
 
 
-@query("a14_build_manifest", with_carriers("SELECT 'token' AS kind, path AS id, value AS body FROM tokens", "tokens"))
+_ENTRIES = "SELECT concat('C', CAST(src AS STRING)) AS key, slot, CAST(dst AS STRING) AS child FROM slot_edges"
+
+
+def _entries(spark, sf):
+    carrier(spark, sf, "slot_edges").createOrReplaceTempView("slot_edges")
+    slots = spark.sql(_ENTRIES).groupBy("key", "slot").agg(F.array_sort(F.collect_list("child")).alias("allowed"))
+    listed = F.array_sort(F.collect_list(F.struct("slot", F.struct(F.lit(True).alias("required"), "allowed").alias("s"))))
+    return slots.groupBy("key").agg(F.map_from_entries(listed).alias("slots"))
+
+
+@query("a14_build_manifest", with_carriers(f"""+e AS (SELECT key, slot, string_agg(concat('"', child, '"'), ',' ORDER BY child) AS kids FROM ({_ENTRIES}) t GROUP BY 1, 2)
+SELECT 'token' AS kind, path AS id, value AS body FROM tokens UNION ALL SELECT 'component', key, concat('{{', string_agg(concat('"', slot, '":{{"allowed":[', kids, ']}}'), ',' ORDER BY slot), '}}') FROM e GROUP BY key""", "tokens", "slot_edges"))
 def a14(spark, sf):
-    empty = spark.createDataFrame([], "key string, slots map<string,struct<required:boolean,allowed:array<string>>>")
-    return M.build_manifest(empty, carrier(spark, sf, "tokens"))
+    return M.build_manifest(_entries(spark, sf), carrier(spark, sf, "tokens"))[0]
+
+
+@query("a14_manifest_sections", "SELECT 'plain' AS manifest, 'component' AS kind, 'listed' AS state FROM (SELECT count(*) FROM part) t UNION ALL SELECT 'plain', 'token', 'absent' FROM (SELECT count(*) FROM part) t UNION ALL SELECT 'delete', unnest(['component', 'token']), 'empty' FROM (SELECT count(*) FROM part) t")
+def a14_sections(spark, sf):
+    entries, tokens = _entries(spark, sf), carrier(spark, sf, "tokens")
+    plain, delete = M.build_manifest(entries, tokens.limit(0))[1], M.build_manifest(entries, tokens, delete_all=True)[1]
+    return plain.select(F.lit("plain").alias("manifest"), "*").unionByName(delete.select(F.lit("delete").alias("manifest"), "*"))
 
 
 @query("b26_composition_mode", with_carriers("SELECT src, slot, 0 AS children FROM slot_edges GROUP BY 1, 2", "slot_edges"))
@@ -95,3 +120,18 @@ def l1(spark, sf):
 def l3(spark, sf):
     chunks = chunk(carrier(spark, sf, "components"), "arrival")
     return M.decide_with(chunks, lambda names: ["accepted" if n.startswith("p") or len(n) % 2 == 0 else "rejected" for n in names])
+
+
+@query("l2_plugged_edge_parser", with_carriers("""+l AS (SELECT path AS parent, unnest(list_distinct(regexp_extract_all(content, 'href="([^"]*)"', 1))) AS child FROM files)
+SELECT DISTINCT parent, child, child IN (SELECT path FROM files) AS accepted FROM l WHERE child <> '' AND parent <> ''""", "files"))
+def l2(spark, sf):
+    files = carrier(spark, sf, "files")
+
+    def links(path: str, content: str) -> list[dict]:
+        import re
+
+        return [{"parent": path, "child": c, "slot": None, "confidence": 9} for c in set(re.findall(r'href="([^"]*)"', content or ""))]
+
+    good, bad = M.edges_with(files, files.select(F.col("path").alias("name")), links)
+    rows = good.filter("confidence IS NULL").select("parent", "child", F.lit(True).alias("accepted")).unionByName(bad.filter("reason <> 'empty endpoint'").select("parent", "child", F.lit(False).alias("accepted")))
+    return rows.distinct()

@@ -77,8 +77,8 @@ def b29(spark, sf):
 
 @query("k3_command_lifecycle", with_carriers("""
 +r AS (SELECT *, sum(CASE WHEN kind = 'invoked' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS run FROM command_events),
-e AS (SELECT session_id, run, min(CASE WHEN kind = 'invoked' THEN ts END) AS started_at, arg_min(kind, (ts, event_id)) FILTER (kind IN ('completed', 'failed')) AS kind, min(ts) FILTER (kind IN ('completed', 'failed')) AS ended_at FROM r WHERE run > 0 GROUP BY 1, 2)
-SELECT session_id, CAST(run AS BIGINT) AS run, started_at, CASE kind WHEN 'completed' THEN 'ok' WHEN 'failed' THEN 'error' ELSE 'open' END AS outcome, (epoch_us(ended_at) - epoch_us(started_at)) / 1e6 AS seconds FROM e""", "command_events"))
+e AS (SELECT session_id, run, min(CASE WHEN kind = 'invoked' THEN ts END) AS started_at, arg_min(CASE WHEN exit_code = 130 THEN 'interrupted' ELSE kind END, (ts, event_id)) FILTER (kind IN ('completed', 'failed')) AS kind, min(ts) FILTER (kind IN ('completed', 'failed')) AS ended_at FROM r WHERE run > 0 GROUP BY 1, 2)
+SELECT session_id, CAST(run AS BIGINT) AS run, started_at, CASE kind WHEN 'completed' THEN 'ok' WHEN 'failed' THEN 'error' WHEN 'interrupted' THEN 'interrupted' ELSE 'open' END AS outcome, (epoch_us(ended_at) - epoch_us(started_at)) / 1e6 AS seconds FROM e""", "command_events"))
 def k3(spark, sf):
     return S.command_lifecycle(carrier(spark, sf, "command_events"))
 

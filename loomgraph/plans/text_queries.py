@@ -57,37 +57,15 @@ def i4(spark, sf):
     return P.parse_edge_calls(spark.sql(_EDGES), names)[0].select("parent", "child", "confidence")
 
 
-@query("e12_first_call_per_component", f"""
-WITH l AS (SELECT concat('c', conv_id % 40) AS name, turn % 3 AS t, conv_id * 1000 + turn AS seq FROM conversations WHERE turn % 3 < 2 AND conv_id % 40 < 30),
-f AS (SELECT name, arg_min(t, seq) AS t FROM l GROUP BY 1)
-SELECT concat('c', i) AS name, CASE t WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' ELSE 'failed' END AS decision FROM range(40) r(i) LEFT JOIN f ON f.name = concat('c', i)""")
-def e12(spark, sf):
-    rows = spark.read.parquet(f"{sf}/conversations.parquet").filter("turn % 3 < 2 AND conv_id % 40 < 30")
-    calls = rows.selectExpr("concat('c', conv_id % 40) AS name", "CASE turn % 3 WHEN 0 THEN 'accept_component' ELSE 'reject_component' END AS tool", "'r' AS reason", "conv_id * 1000 + turn AS seq")
-    return P.first_call_per_component(spark.range(40).selectExpr("concat('c', id) AS name"), calls).select("name", "decision")
-
-
-@query("e12_first_call_whole", """
+@query("e12_first_call_per_component", """
 WITH f AS (SELECT conv_id, arg_min(turn % 3, turn) FILTER (turn % 3 < 2) AS t FROM conversations GROUP BY 1)
 SELECT concat('c', conv_id) AS name, CASE t WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' ELSE 'failed' END AS decision FROM f""")
-def e12_whole(spark, sf):
+def e12(spark, sf):
     rows = spark.read.parquet(f"{sf}/conversations.parquet").withColumn("name", F.concat(F.lit("c"), "conv_id"))
     calls = rows.filter("turn % 3 < 2").selectExpr("name", "CASE turn % 3 WHEN 0 THEN 'accept_component' ELSE 'reject_component' END AS tool", "'r' AS reason", "turn AS seq")
     return P.first_call_per_component(rows.select("name").distinct(), calls).select("name", "decision")
 
 
-_PATCH = """+k AS (SELECT l_partkey AS component_id, CASE l_linenumber WHEN 1 THEN 'onClick' WHEN 2 THEN 'label' WHEN 3 THEN 'bgColor' ELSE 'missing' END AS name, CASE WHEN l_suppkey % 3 = 0 THEN 'exclude_prop' ELSE 'classify_prop' END AS tool, l_returnflag AS cdf_type, l_linestatus = 'O' AS required, l_orderkey * 10 + l_linenumber AS seq FROM lineitem),
-w AS (SELECT component_id, name, arg_max(tool, seq) AS tool, arg_max(cdf_type, seq) AS t, max(seq) FILTER (tool = 'classify_prop') AS cs, arg_max(required, seq) FILTER (tool = 'classify_prop') AS r FROM k GROUP BY 1, 2)
-"""
-
-
-@query("e8_apply_tool_calls", with_carriers(_PATCH + "SELECT p.component_id, p.position, CASE WHEN w.tool IS NULL THEN p.cdf_type WHEN w.tool = 'exclude_prop' THEN 'excluded' ELSE w.t END AS cdf_type, CASE WHEN w.tool IS NULL THEN p.category WHEN w.tool = 'exclude_prop' THEN NULL ELSE 'content' END AS category, CASE WHEN w.cs IS NULL THEN p.required ELSE w.r END AS required FROM cat_props p LEFT JOIN w ON w.component_id = p.component_id AND w.name = p.name", "cat_props"))
-def e8(spark, sf):
-    lines = spark.read.parquet(f"{sf}/lineitem.parquet").dropDuplicates(["l_orderkey", "l_linenumber", "l_partkey"])
-    calls = lines.selectExpr("l_partkey AS component_id", "CASE l_linenumber WHEN 1 THEN 'onClick' WHEN 2 THEN 'label' WHEN 3 THEN 'bgColor' ELSE 'missing' END AS name", "CASE WHEN l_suppkey % 3 = 0 THEN 'exclude_prop' ELSE 'classify_prop' END AS tool", "l_returnflag AS cdf_type", "'content' AS cdf_category", "l_linestatus = 'O' AS required", "CAST(NULL AS STRING) AS description", "l_orderkey * 10 + l_linenumber AS seq")
-    return P.apply_tool_calls(carrier(spark, sf, "cat_props"), calls)[0].select("component_id", "position", "cdf_type", "category", "required")
-
-
 # ---- documents
 
 _TOKENS = "SELECT p_partkey AS doc, concat('{\"', replace(p_brand, '#', ''), '\":{\"$description\":\"d\",\"', p_type, '\":{\"t\":{\"$type\":\"', CASE p_size % 5 WHEN 0 THEN 'colour' ELSE 'color' END, '\",\"$value\":', CAST(p_size AS STRING), '},\"u\":{\"$value\":\"x\"}}}}') AS value FROM part"
@@ -100,10 +78,20 @@ def i5(spark, sf):
     return P.flatten_tokens(spark.sql(_TOKENS))
 
 
-@query("i6_validate_tokens", f"SELECT p_partkey AS doc, concat({_BRAND}, '.', p_type, '.t') AS path, 'unknown type' AS code FROM part WHERE p_size % 5 = 0 UNION ALL SELECT p_partkey, concat({_BRAND}, '.', p_type, '.u'), 'value without type' FROM part")
+_STRAY = _TOKENS.replace('"$description":"d",', '"$description":"d","odd":5,"list":[1],"half":{"$type":"color"},')
+
+
+@query("i6_validate_tokens", f"""SELECT p_partkey AS doc, concat({_BRAND}, '.', p_type, '.t') AS path, 'unknown type' AS code FROM part WHERE p_size % 5 = 0 UNION ALL SELECT p_partkey, concat({_BRAND}, '.', p_type, '.u'), 'value without type' FROM part
+  UNION ALL SELECT p_partkey, concat({_BRAND}, '.', k), 'not an object' FROM part CROSS JOIN (SELECT unnest(['odd', 'list']) AS k) t UNION ALL SELECT p_partkey, concat({_BRAND}, '.half'), 'type without value' FROM part""")
 def i6(spark, sf):
     carrier(spark, sf, "nodes")
-    return P.validate_tokens(spark.sql(_TOKENS))
+    return P.validate_tokens(spark.sql(_STRAY))
+
+
+@query("i6_token_counts", "SELECT p_partkey AS doc, 2 AS tokens, 2 AS groups FROM part")
+def i6_counts(spark, sf):
+    carrier(spark, sf, "nodes")
+    return P.token_counts(spark.sql(_STRAY))
 
 
 _DEFS = "SELECT p_partkey AS doc, concat('{\"$schema\":\"s\",\"forms\":{\"', replace(p_name, ' ', '_'), '\":{\"$type\":\"component\",\"$properties\":{\"a\":{\"$type\":\"', CASE p_size % 4 WHEN 0 THEN 'odd' ELSE 'string' END, '\",\"$category\":\"content\"},\"b\":{\"$type\":\"boolean\",\"extra\":1}}}}}') AS value FROM part"
@@ -152,10 +140,19 @@ def i8(spark, sf):
     return P.parse_server_errors(bodies)
 
 
-@query("i9_parse_error_log", "SELECT p_partkey AS id, CASE p_size % 3 WHEN 0 THEN 'E_JSON' WHEN 1 THEN 'NOT_FOUND' END AS code, CASE p_size % 3 WHEN 0 THEN 'm' WHEN 1 THEN 'gone' ELSE 'plain words' END AS message FROM part")
+_LOG = r"""CASE p_size % 6 WHEN 0 THEN concat('apply failed: 400', chr(10), '{"details":{"code":"E_JSON","message":"m","cycle":["A","B"]}}')
+  WHEN 1 THEN '2024-01-01T00:00:00.000Z 0a-1b ERROR [dd.trace_id=1 dd.span_id=2] Slot cycle { code: "CYCLE", cycle: [ "A", "B" ] }'
+  WHEN 2 THEN 'Entry invalid. Pointer path does not exist for ''[object Object]'': /a/b. Default › x › y'
+  WHEN 3 THEN '{"sys":{"id":"Failed"},"message":"bad","details":{"errors":[{"name":"n","path":["x","components","Card","y"]}]}}' WHEN 4 THEN concat('plain ', p_name) ELSE '{"nothing":1}' END"""
+
+
+@query("i9_parse_error_log", """SELECT p_partkey AS id, CASE p_size % 6 WHEN 0 THEN 'E_JSON' WHEN 1 THEN 'CYCLE' WHEN 2 THEN 'BindingValidationFailed' WHEN 3 THEN 'Failed' END AS code,
+  CASE p_size % 6 WHEN 0 THEN 'm' WHEN 1 THEN 'Slot cycle' WHEN 2 THEN 'Entry invalid' WHEN 3 THEN 'bad' WHEN 4 THEN concat('plain ', p_name) ELSE '{"nothing":1}' END AS message,
+  CASE WHEN p_size % 6 < 2 THEN 'A,B' END AS cycle, CASE p_size % 6 WHEN 2 THEN '|Default › x › y|/a/b' WHEN 3 THEN 'Card|x › components › Card › y|n' END AS diagnostics FROM part""")
 def i9(spark, sf):
-    lines = spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey AS id", """CASE p_size % 3 WHEN 0 THEN '[12:00] {"code":"E_JSON","message":"m"}' WHEN 1 THEN 'Error: NOT_FOUND: gone' ELSE '[x] plain words' END AS line""")
-    return P.parse_error_log(lines).select("id", "code", "message")
+    lines = spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey AS id", "p_name", f"{_LOG} AS line")
+    shown = F.expr("array_join(transform(diagnostics, d -> concat(coalesce(d.component, ''), '|', coalesce(d.path, ''), '|', d.message)), ';')")
+    return P.parse_error_log(lines).select("id", "code", "message", F.array_join("cycle", ",").alias("cycle"), shown.alias("diagnostics"))
 
 
 @query("i14_apply_patch", with_carriers("SELECT component_id, CASE WHEN name = (SELECT min(name) FROM cat_components) THEN 'accepted' ELSE status END AS status FROM cat_components", "cat_components"))
@@ -275,10 +272,10 @@ def c16(spark, sf):
     return S.parent_usage_site(spark.sql("SELECT explode(array('article', 'nav', 'track', 'footer', 'absent')) AS name"), carrier(spark, sf, "files"))
 
 
-@query("d13_extraction_summary", with_carriers(f"+w AS ({_WARN}) SELECT session_id, count(DISTINCT source) AS files, count(*) AS components, sum((SELECT count(*) FROM cat_props p WHERE p.component_id = c.component_id)) AS props, sum((SELECT count(*) FROM cat_slots p WHERE p.component_id = c.component_id)) AS slots, (SELECT count(*) FROM w WHERE w.session_id % 4 = c.session_id) AS warnings FROM cat_components c GROUP BY 1", "cat_components", "cat_props", "cat_slots"))
+@query("d13_extraction_summary", with_carriers(f"+w AS ({_WARN}) SELECT session_id, count(DISTINCT source) AS files, count(*) AS components, sum((SELECT count(*) FROM cat_props p WHERE p.component_id = c.component_id)) AS props, sum((SELECT count(*) FROM cat_slots p WHERE p.component_id = c.component_id)) AS slots, (SELECT count(*) FROM w WHERE w.session_id % 4 = c.session_id) AS warnings, (SELECT count(*) FROM steps t WHERE t.status = 'failed' AND t.session_id % 4 = c.session_id) AS errors FROM cat_components c GROUP BY 1", "cat_components", "cat_props", "cat_slots", "steps"))
 def d13(spark, sf):
     carrier(spark, sf, "steps")
-    return S.extraction_summary(nested(spark, sf), spark.sql(_WARN).withColumn("session_id", F.col("session_id") % 4))
+    return S.extraction_summary(nested(spark, sf), spark.sql(_WARN).withColumn("session_id", F.col("session_id") % 4), carrier(spark, sf, "steps").filter("status = 'failed'").selectExpr("session_id % 4 AS session_id"))
 
 
 # ---- sources of components
@@ -313,3 +310,14 @@ def b19(spark, sf):
 @query("c15_resolver_references", with_carriers("+w AS (SELECT path, unnest(list_distinct(regexp_extract_all(content, '(\\w+)', 1))) AS name FROM files WHERE contains(content, 'track(1') OR contains(path, 'track(1')), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY path) AS n FROM w WHERE name IN ('article', 'nav')) SELECT path, name, n FROM r WHERE n <= 3", "files"))
 def c15(spark, sf):
     return Z.resolver_references(spark.sql("SELECT explode(array('article', 'nav')) AS name"), carrier(spark, sf, "files"), ("track(1",)).select("path", "name", "n")
+
+
+@query("c18_selection_context", with_carriers("""+f AS (SELECT path, min(file_id) AS file_id, regexp_replace(path, '/[^/]*$', '') AS folder FROM files GROUP BY path), n AS (SELECT folder, count(*) AS n FROM f GROUP BY 1),
+i AS (SELECT file_id, count(*) AS n FROM (SELECT file_id, unnest(regexp_extract_all(content, '<a href="([^"]*)"', 1)) AS t FROM files) GROUP BY 1)
+SELECT f.file_id, CASE WHEN path LIKE '%/%' THEN coalesce(i.n, 0) END AS imports, CASE WHEN path LIKE '%/%' THEN least(5, n.n - 1) END AS siblings FROM f JOIN n USING (folder) LEFT JOIN i ON i.file_id = f.file_id""", "files"))
+def c18(spark, sf):
+    files = carrier(spark, sf, "files")
+    components = files.groupBy("path").agg(F.min("file_id").alias("file_id")).withColumn("name", F.col("path"))
+    imports = S.extract_links(files)
+    none = components.select("name", "file_id").limit(0)
+    return Z.selection_context(components, imports, S.sibling_files(components, files), none, none).select("file_id", "imports", "siblings")
