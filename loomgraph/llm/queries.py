@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import additive_quantisation, bit_sliced, html_extraction, license_scan, lm_score, mixing, near_dedup, packing, toxicity, warc
+from loomgraph.llm import additive_quantisation, alignment, bit_sliced, bk_trees, html_extraction, importance, license_scan, lm_score, mixing, near_dedup, packing, toxicity, warc
 from loomgraph.llm.common import new_path, read
 
 QUERIES = {}
@@ -145,3 +145,59 @@ s AS (SELECT w.doc_id, CASE WHEN w.v IS NULL THEN ln(u.n) - ln(z.n) WHEN b.n >=
 d AS (SELECT doc_id, count(*) AS n, sum(s) AS s FROM s GROUP BY 1)
 SELECT t.doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(s, 6) AS log_score, round(s / n, 6) AS mean_log_score FROM t LEFT JOIN d ON d.doc_id = t.doc_id
 """
+
+
+def piece_model() -> str:
+    """The sentencepiece model that op11 aligns with op3's vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alignment of both tokenizers' tokens over every document."""
+    return alignment.align(read(spark, sf_dir, "documents"), tokenizer(), piece_model())
+
+
+@query
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    return bk_trees.groups(read(spark, sf_dir, "documents"))
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and place in the draw of every document, towards the benchmark texts."""
+    drawn = importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+ORACLE_SQL["op13_importance_resampling"] = """
+WITH RECURSIVE step(i, k, c) AS (
+  SELECT range, 0, range FROM range(256)
+  UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8
+), crc AS (SELECT i, c FROM step WHERE k = 8),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
+dw AS (SELECT r, w, count(*) AS n FROM (SELECT r, unnest(ws) AS w FROM d) GROUP BY ALL),
+bw AS (SELECT w, count(*) AS n FROM (SELECT unnest(ws) AS w FROM b) GROUP BY ALL),
+h AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+run(w, h, i, c) AS (
+  SELECT w, h, 0, 4294967295 FROM h
+  UNION ALL SELECT w, h, run.i + 1, xor(crc.c, run.c >> 8)
+  FROM run JOIN crc ON crc.i = xor(run.c & 255, CAST('0x' || substr(h, 2 * run.i + 1, 2) AS BIGINT)) WHERE 2 * run.i < length(h)
+), bucket AS (SELECT w, xor(c, 4294967295) % 10000 AS k FROM run WHERE 2 * i = length(h)),
+s AS (SELECT k, CAST(sum(n) AS BIGINT) AS n FROM dw JOIN bucket USING (w) GROUP BY 1), t AS (SELECT k, CAST(sum(n) AS BIGINT) AS n FROM bw JOIN bucket USING (w) GROUP BY 1),
+z AS (SELECT coalesce((SELECT sum(n) FROM s), 0) AS s, coalesce((SELECT sum(n) FROM t), 0) AS t),
+gain AS (
+  SELECT range AS k, CAST(floor(1000 * ln(CAST(coalesce(t.n, 0) + 1 AS DOUBLE) * CAST(z.s + 10000 AS DOUBLE) / (CAST(coalesce(s.n, 0) + 1 AS DOUBLE) * CAST(z.t + 10000 AS DOUBLE)))) AS BIGINT) AS g
+  FROM range(10000) LEFT JOIN s ON s.k = range LEFT JOIN t ON t.k = range CROSS JOIN z
+), own AS (SELECT r, CAST(sum(n * g) AS BIGINT) AS weight FROM dw JOIN bucket USING (w) JOIN gain USING (k) GROUP BY 1),
+scored AS (
+  SELECT r, doc_id, CAST(len(ws) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('2024:' || doc_id)[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM d LEFT JOIN own USING (r)
+), placed AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20 AND score IS NOT NULL)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM scored LEFT JOIN placed USING (r)
+"""
