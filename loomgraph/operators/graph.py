@@ -1,13 +1,78 @@
-"""Graph operators over slot edges (src, slot, dst). Loops join whole tables and end when nothing new is found."""
+"""Graph operators over slot edges (src, slot, dst).
+
+Graphs of up to LOCAL_EDGES distinct edges are sent to the tasks, which deal the starts among themselves and walk the
+edges as arrays. Larger ones are worked on by joins: strong components contract blocks of edges until so few are left,
+closures keep a row of BITS starts as the bits of a long for each node.
+"""
 
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from loomgraph.functions.lineage import cut, drop, new_folder, rows
+from loomgraph.operators import local_graph as L
+
+#: Edges that one task holds and that are sent to all tasks, at most.
+LOCAL_EDGES = 1_000_000
+#: A round of contraction that leaves more than this part of the edges is the last one.
+SLOW_ROUND = 0.9
+_PATHS = 2000
+
+
+def _column(batch: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
+    column = batch.column(name)
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.to_numpy(zero_copy_only=False) if pa.types.is_integer(column.type) else np.array(column.to_pylist(), dtype=object)
+
+
+class Kind(str):
+    """The name of a column's type, with the Arrow type of its values."""
+
+    arrow: pa.DataType
+
+
+def _type(df: DataFrame, column: str) -> Kind:
+    kind = Kind(df.schema[column].dataType.simpleString())
+    kind.arrow = to_arrow_type(df.schema[column].dataType)
+    return kind
+
+
+def _arrow(values: np.ndarray, kind: Kind) -> pa.Array:
+    return pa.array(values.tolist() if values.dtype == object else values, kind.arrow)
+
+
+def _sent(edges: DataFrame, make) -> Broadcast:
+    """make(table of the edges) for every task; the caller has checked that there are at most LOCAL_EDGES of them."""
+    return edges.sparkSession.sparkContext.broadcast(make(edges.toArrow()))
+
+
+def _adjacency(edges: pa.Table) -> L.Adjacency:
+    return L.Adjacency(_column(edges, "src"), _column(edges, "dst"))
+
 
-from loomgraph.functions.lineage import cut, drop, rows
+def _dealt(starts: DataFrame) -> DataFrame:
+    """Starts dealt to as many tasks as there are cores."""
+    return starts.repartition(max(1, starts.sparkSession.sparkContext.defaultParallelism))
+
+
+def _in_bits(walk):
+    """A function for mapInArrow over starts (node): the record batches that walk gives for BITS of them at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = _column(batch, "node")
+            for at in range(0, len(names), L.BITS):
+                yield from walk(names[at : at + L.BITS])
+
+    return run
 
 
 def build_slot_edges(slots: DataFrame, nodes: DataFrame, stripped: DataFrame | None = None) -> DataFrame:
@@ -34,26 +99,116 @@ def roots(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame, nodes: DataFrame, starts: DataFrame) -> DataFrame:
-    """root, node, depth and parent of all that each start reaches; a start outside the graph reaches itself.
+    """root, node and depth (steps on the shortest way) of all that each start reaches; a start outside the graph reaches itself."""
+    steps, firsts = cut(_known(edges, nodes)), starts.select("node").distinct()
+    out = _local_closure(steps, firsts) if rows(steps) <= LOCAL_EDGES else _closure_in_rounds(steps, firsts)
+    drop(steps)
+    return out
+
+
+def _local_closure(steps: DataFrame, starts: DataFrame) -> DataFrame:
+    kind = _type(starts, "node")
+    graph = _sent(steps, _adjacency)
+
+    def walk(names: np.ndarray) -> Iterator[pa.RecordBatch]:
+        g, kept = graph.value, ["root", "node", "depth"]
+        at = g.find(names)
+        lone, known = names[at < 0], names[at >= 0]
+        if len(lone):
+            yield pa.record_batch([_arrow(lone, kind), _arrow(lone, kind), pa.array(np.zeros(len(lone), np.int32))], names=kept)
+        for depth, start, node in L.spread(g, at[at >= 0]) if len(known) else ():
+            yield pa.record_batch([_arrow(known[start], kind), _arrow(g.names[node], kind), pa.array(np.full(len(node), depth, np.int32))], names=kept)
 
-    depth is the shortest, parent the least node one step nearer from which the node is reached; null for the start.
+    return cut(_dealt(starts).mapInArrow(_in_bits(walk), f"root {kind}, node {kind}, depth int"))
+
+
+def _numbered_starts(starts: DataFrame) -> DataFrame:
+    """start, block and bit: each block holds at most BITS starts."""
+    number = F.monotonically_increasing_id()
+    return cut(starts.select(F.col("node").alias("start"), number.alias("n"))).select("start", F.shiftright("n", 6).alias("block"), F.col("n").bitwiseAND(63).cast("int").alias("bit"))
+
+
+def _closure_in_rounds(steps: DataFrame, starts: DataFrame) -> DataFrame:
+    """Level by level over the whole table of edges: a row for each node and block of starts, whose bits say which of them reach it.
+
+    A round joins only the bits that are new, and writes them to a partition of its own that is read once more, for
+    the result. What was seen is one table, replaced in each round.
     """
-    steps = cut(_known(edges, nodes))
-    start = F.col("node")
-    front = cut(starts.select(start.alias("root"), start).distinct().select("root", "node", F.lit(0).alias("depth"), F.when(F.lit(False), start).alias("parent")))
-    seen = front
+    spark, kind = steps.sparkSession, _type(starts, "node")
+    ids = _numbered_starts(starts)
+    one = F.expr("shiftleft(1L, bit)")
+    base, depth = new_folder(spark), 0
+    level = ids.select(F.col("start").alias("node"), "block", one.alias("bits")).groupBy("node", "block").agg(F.bit_or("bits").alias("bits"))
+    seen = cut(level)
+    front = seen
     while rows(front):
-        grown = front.select("root", F.col("node").alias("src"), "depth").join(steps, "src").groupBy("root", F.col("dst").alias("node"))
-        grown = grown.agg((F.min("depth") + 1).alias("depth"), F.min("src").alias("parent"))
-        front = cut(grown.join(seen.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", "depth", "parent"))
-        seen = seen.unionByName(front)
+        front.write.parquet(f"{base}/depth={depth}")
+        depth += 1
+        grown = front.join(steps, front["node"] == steps["src"]).groupBy(F.col("dst").alias("node"), "block").agg(F.bit_or("bits").alias("bits"))
+        fresh = grown.join(seen.withColumnRenamed("bits", "old"), ["node", "block"], "left")
+        fresh = cut(fresh.select("node", "block", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long")))).alias("bits")).filter("bits <> 0"))
+        both = cut(seen.unionByName(fresh).groupBy("node", "block").agg(F.bit_or("bits").alias("bits")))
+        drop(*({front, seen}))
+        front, seen = fresh, both
+    drop(*{front, seen})
+    if not depth:
+        return ids.select(F.col("start").alias("root"), F.col("start").alias("node"), F.lit(0).alias("depth"))
+    levels = spark.read.schema(f"node {kind}, block long, bits long, depth int").parquet(base)
+    each = levels.select("node", "block", "depth", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("bits", i) == 1)).alias("bit"))
+    return each.join(ids, ["block", "bit"]).select(F.col("start").alias("root"), "node", "depth")
+
+
+def reachable(edges: DataFrame, nodes: DataFrame, starts: DataFrame) -> DataFrame:
+    """root and node of all that each start reaches, itself included, over the condensation: strong components stand as one node and are unfolded in the result."""
+    steps, firsts = cut(_known(edges, nodes)), starts.select("node").distinct()
+    if rows(steps) <= LOCAL_EDGES:
+        out = _local_reach(steps, firsts)
+        drop(steps)
+        return out
+    units = cut(_all_units(steps))
+    unit_of = lambda df, c: df.join(units.select(F.col("node").alias(c), F.col("unit").alias(f"__{c}")), c, "left").withColumn(f"__{c}", F.coalesce(f"__{c}", c))
+    folded = unit_of(unit_of(steps, "src"), "dst").select(F.col("__src").alias("src"), F.col("__dst").alias("dst")).filter("src <> dst").distinct()
+    tops = cut(unit_of(firsts, "node").select("node", F.col("__node").alias("top")))
+    found = _closure_in_rounds(cut(folded), tops.select(F.col("top").alias("node")).distinct()).select(F.col("root").alias("top"), F.col("node").alias("unit"))
+    members = found.join(units, "unit", "left").select("top", F.coalesce("node", "unit").alias("member"))
+    out = cut(tops.join(members, "top").select(F.col("node").alias("root"), F.col("member").alias("node")))
     drop(steps)
-    return seen
+    return out
+
+
+def _local_reach(steps: DataFrame, starts: DataFrame) -> DataFrame:
+    kind = _type(starts, "node")
 
+    def condensed(edges: pa.Table) -> tuple[L.Adjacency, L.Condensed]:
+        graph = _adjacency(edges)
+        return graph, L.Condensed(graph)
 
-def closure_paths(closures: DataFrame) -> DataFrame:
-    """closures with path: from the root over the parents to the node."""
-    closures = cut(closures)
+    sent = _sent(steps, condensed)
+
+    def walk(names: np.ndarray) -> Iterator[pa.RecordBatch]:
+        g, c = sent.value
+        at = g.find(names)
+        lone, known = names[at < 0], names[at >= 0]
+        if len(lone):
+            yield pa.record_batch([_arrow(lone, kind), _arrow(lone, kind)], names=["root", "node"])
+        if len(known):
+            start, node = c.reach(at[at >= 0])
+            for part in range(0, len(start), 1 << 16):
+                yield pa.record_batch([_arrow(known[start[part : part + (1 << 16)]], kind), _arrow(g.names[node[part : part + (1 << 16)]], kind)], names=["root", "node"])
+
+    return cut(_dealt(starts).mapInArrow(_in_bits(walk), f"root {kind}, node {kind}"))
+
+
+def with_parents(closures: DataFrame, edges: DataFrame) -> DataFrame:
+    """closures with parent: the least node one step nearer from which a node is reached; null for the start."""
+    nearer = closures.select("root", F.col("node").alias("src"), (F.col("depth") + 1).alias("depth")).join(_pairs(edges), "src")
+    parents = nearer.groupBy("root", F.col("dst").alias("node"), "depth").agg(F.min("src").alias("parent"))
+    return closures.join(parents, ["root", "node", "depth"], "left")
+
+
+def closure_paths(closures: DataFrame, edges: DataFrame) -> DataFrame:
+    """closures with parent and path: from the root over the parents to the node."""
+    closures = cut(with_parents(closures, edges))
     front = cut(closures.filter("depth = 0").withColumn("path", F.array("node")))
     found = front
     while rows(front):
@@ -100,7 +255,7 @@ def _reversed(edges: DataFrame) -> DataFrame:
 
 def ancestors(edges: DataFrame, nodes: DataFrame, targets: DataFrame, include_self: bool = False) -> DataFrame:
     """node and ancestor for all that reach each target."""
-    found = closure(_reversed(edges), nodes, targets).select(F.col("root").alias("node"), F.col("node").alias("ancestor"))
+    found = reachable(_reversed(edges), nodes, targets).select(F.col("root").alias("node"), F.col("node").alias("ancestor"))
     return found if include_self else found.filter("node <> ancestor")
 
 
@@ -110,8 +265,45 @@ def _check_length(length: int, max_len: int | None) -> None:
 
 
 def ancestor_chains(edges: DataFrame, nodes: DataFrame, targets: DataFrame, max_len: int | None = None) -> DataFrame:
-    """Upward paths from each target that end at a node without parents or before a repeat: node, chain and slots. A path of more than max_len nodes is an error."""
+    """Upward paths from each target that end at a node without parents or before a repeat: node, chain and slots. A path of more than max_len nodes is an error.
+
+    Tasks walk up from their targets and give chains out as they end; more edges than LOCAL_EDGES are joined.
+    """
     up = cut(edges.filter("src <> dst").join(_known(edges, nodes), ["src", "dst"], "left_semi").select(F.col("dst").alias("at"), F.col("src").alias("parent"), "slot").distinct())
+    if rows(up) > LOCAL_EDGES:
+        return _joined_chains(up, targets, max_len)
+    kind, slot_kind = _type(targets, "node"), _type(up, "slot")
+
+    def climbed(table: pa.Table):
+        graph = L.Adjacency(_column(table, "at"), _column(table, "parent"))
+        slots = table.column("slot").to_pylist()
+        return graph, [slots[i] for i in graph.order.tolist()]
+
+    sent = _sent(up, climbed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph, slots = sent.value
+
+        def found() -> Iterator[tuple]:
+            for batch in batches:
+                names = _column(batch, "node")
+                for name, at in zip(names.tolist(), graph.find(names).tolist(), strict=True):
+                    if at < 0:
+                        yield [name], [], False
+                        continue
+                    for taken in L.chains(graph, at, max_len):
+                        over = taken is None
+                        yield [name, *(graph.names[graph.targets[e]] for e in taken or ())], [slots[e] for e in taken or ()], over
+
+        yield from _in_batches(found(), kind, slot_kind)
+
+    paths = cut(_dealt(targets.select("node")).mapInArrow(run, f"path array<{kind}>, slots array<string>, over boolean"))
+    drop(up)
+    return _none_over(paths, max_len).select(F.col("path")[0].alias("node"), F.col("path").alias("chain"), "slots")
+
+
+def _joined_chains(up: DataFrame, targets: DataFrame, max_len: int | None) -> DataFrame:
+    """Chains by joining all open paths with the edges, a step in each round."""
     front = cut(targets.select("node", F.array("node").alias("chain"), F.array().cast("array<string>").alias("slots"), F.col("node").alias("at")))
     done = None
     for length in itertools.count(1):
@@ -152,6 +344,120 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame) -> DataFrame:
     """node and unit (its least node) for the nodes on cycles, self edges included.
 
+    Tasks find the units inside blocks of edges and contract them, round by round, until what is left fits one block.
+    Where contraction gets stuck, the rest is coloured by labels that spread over the whole table.
+    """
+    pairs = cut(_pairs(edges))
+    units = _all_units(pairs)
+    alone = pairs.filter("src = dst").select(F.col("src").alias("node")).join(units.select("node"), "node", "left_anti")
+    out = cut(units.unionByName(alone.select("node", F.col("node").alias("unit"))))
+    drop(pairs)
+    return out
+
+
+def _all_units(pairs: DataFrame) -> DataFrame:
+    """node and unit of the strong components of several nodes."""
+    if rows(pairs) <= LOCAL_EDGES:
+        return _local_units(pairs)
+    core, moves, key = _trimmed(pairs), [], "src"
+    while (before := rows(core)) > LOCAL_EDGES:
+        told = _contracted(core, key)
+        moved = cut(told.filter("moved").select(F.col("a").alias("node"), F.col("b").alias("unit")))
+        to = lambda c: moved.select(F.col("node").alias(c), F.col("unit").alias(f"__{c}"))  # noqa: B023, E731
+        edges = told.filter("NOT moved").select(F.col("a").alias("src"), F.col("b").alias("dst")).join(to("src"), "src", "left").join(to("dst"), "dst", "left")
+        left = _trimmed(edges.select(F.coalesce("__src", "src").alias("src"), F.coalesce("__dst", "dst").alias("dst")).filter("src <> dst").distinct())
+        drop(core, told)
+        core, key = left, "dst" if key == "src" else "src"
+        moves.append(moved)
+        if rows(core) > SLOW_ROUND * before:
+            break
+    units = _local_units(core) if rows(core) <= LOCAL_EDGES else _coloured(core)
+    for moved in reversed(moves):
+        above = moved.withColumnRenamed("unit", "top").join(units.withColumnRenamed("node", "top"), "top", "left").select("node", F.coalesce("unit", "top").alias("unit"))
+        heads = moved.select(F.col("unit").alias("node")).distinct().join(units, "node", "left_anti").select("node", F.col("node").alias("unit"))
+        units = cut(units.unionByName(above).unionByName(heads))
+    return units
+
+
+def _local_units(pairs: DataFrame) -> DataFrame:
+    """node and unit of the components of several nodes, found in one task; pairs holds at most LOCAL_EDGES rows."""
+    kind = _type(pairs, "src")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            graph = _adjacency(pa.Table.from_batches(held))
+            unit = L.strong(graph)
+            own = np.flatnonzero(np.bincount(unit, minlength=len(graph))[unit] > 1)
+            yield pa.record_batch([_arrow(graph.names[own], kind), _arrow(graph.names[unit[own]], kind)], names=["node", "unit"])
+
+    return cut(pairs.select("src", "dst").coalesce(1).mapInArrow(run, f"node {kind}, unit {kind}"))
+
+
+def _contracted(core: DataFrame, key: str) -> DataFrame:
+    """moved, a and b: the components inside blocks of edges as rows (node, its unit) that are moved, and the edges between different units.
+
+    Rows are in ranges of key (src or dst) and a block holds all edges of a key, so that a node is moved by one block
+    only. The edges of a key that has more than a block holds pass as they are.
+    """
+    kind = _type(core, "src")
+    many = -(-rows(core) // LOCAL_EDGES)
+    limit = LOCAL_EDGES
+    names = ["moved", "a", "b"]
+
+    def told(table: pa.Table, contract: bool) -> Iterator[pa.RecordBatch]:
+        if not table.num_rows:
+            return
+        src, dst = _column(table, "src"), _column(table, "dst")
+        if contract:
+            graph = L.Adjacency(src, dst)
+            unit = L.strong(graph)
+            gone = np.flatnonzero(unit != np.arange(len(graph)))
+            yield pa.record_batch([pa.array(np.ones(len(gone), bool)), _arrow(graph.names[gone], kind), _arrow(graph.names[unit[gone]], kind)], names=names)
+            pairs = np.stack([unit[graph.find(src)], unit[graph.find(dst)]], 1)
+            pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+            src, dst = graph.names[pairs[:, 0]], graph.names[pairs[:, 1]]
+        yield pa.record_batch([pa.array(np.zeros(len(src), bool)), _arrow(src, kind), _arrow(dst, kind)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, passing = [], None
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < limit:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            keys = _column(table, key)
+            at = int(np.searchsorted(keys, keys[-1]))  # sorted: the last key may go on
+            if passing is not None and keys[0] == passing:
+                passed = int(np.searchsorted(keys, passing, "right"))
+                yield from told(table.slice(0, passed), False)
+                table, keys, at = table.slice(passed), keys[passed:], max(at - passed, 0)
+            if at:
+                yield from told(table.slice(0, at), True)
+            elif table.num_rows >= limit:
+                yield from told(table, False)
+                passing, at = keys[-1], table.num_rows
+            held = table.slice(at).to_batches()
+        if held:
+            table = pa.Table.from_batches(held).combine_chunks()
+            passed = int(np.searchsorted(_column(table, key), passing, "right")) if passing is not None else 0
+            yield from told(table.slice(0, passed), False)
+            yield from told(table.slice(passed), True)
+
+    dealt = core.select("src", "dst").repartitionByRange(many, key).sortWithinPartitions(key)
+    return cut(dealt.mapInArrow(run, f"moved boolean, a {kind}, b {kind}"))
+
+
+def _trimmed(pairs: DataFrame) -> DataFrame:
+    """Pairs without self edges whose source something points to and whose target points on; the others are on no cycle."""
+    pairs = pairs.filter("src <> dst").select("src", "dst")
+    inner = pairs.join(pairs.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+    return cut(inner.join(pairs.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+
+
+def _coloured(edges: DataFrame) -> DataFrame:
+    """node and unit for the nodes on cycles, self edges included, by joins only.
+
     In the core, each node takes the least label that reaches it; the nodes that reach a label's owner inside its
     colour are a unit. They go, and the rest is coloured again.
     """
@@ -195,21 +501,108 @@ def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _reach(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """All nodes reached from any start."""
-    edges = cut(edges)
-    front = seen = cut(starts.select("node").distinct())
+    edges, starts = cut(edges.select("src", "dst")), starts.select("node").distinct()
+    if rows(edges) <= LOCAL_EDGES:
+        out = _local_from_any(edges, starts)
+        drop(edges)
+        return out
+    front = cut(starts)
+    seen = cut(front)
     while rows(front):
         grown = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        front = cut(grown.join(seen, "node", "left_anti"))
-        seen = seen.unionByName(front)
-    drop(edges)
+        fresh = cut(grown.join(seen, "node", "left_anti"))
+        both = cut(seen.unionByName(fresh))
+        drop(front, seen)
+        front, seen = fresh, both
+    drop(edges, front)
     return seen
 
 
+def _local_from_any(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """Distinct nodes reached from any start; each task walks the edges once for its starts."""
+    kind = _type(starts, "node")
+    sent = _sent(edges, _adjacency)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph = sent.value
+        seen = np.zeros(len(graph), bool)
+        for batch in batches:
+            names = _column(batch, "node")
+            at = graph.find(names)
+            yield batch.select(["node"]).filter(pa.array(at < 0))
+            front = np.unique(at[at >= 0])
+            front = front[~seen[front]]
+            while len(front):
+                seen[front] = True
+                yield pa.record_batch([_arrow(graph.names[front], kind)], names=["node"])
+                front = np.unique(graph.steps(front)[1])
+                front = front[~seen[front]]
+
+    return cut(_dealt(starts).mapInArrow(run, f"node {kind}").distinct())
+
+
 def elementary_cycles(edges: DataFrame, max_len: int | None = None) -> DataFrame:
-    """Each simple cycle, once for each choice of slots: path (from its least node) and slots. An open path of more than max_len nodes is an error."""
+    """Each simple cycle, once for each choice of slots: path (from its least node) and slots. An open path of more than max_len nodes is an error.
+
+    The edges inside units are sent to the tasks, which deal the first steps of cycles among themselves and search on
+    by backtracking with blocked nodes; cycles go out as they are found. More edges than LOCAL_EDGES are joined.
+    """
     units = strong_components(edges)
     inner = edges.join(units.select(F.col("node").alias("src"), F.col("unit").alias("a")), "src").join(units.select(F.col("node").alias("dst"), F.col("unit").alias("b")), "dst")
     inner = cut(inner.filter("a = b").select("src", "slot", "dst").distinct())
+    if rows(inner) > LOCAL_EDGES:
+        return _joined_cycles(inner, max_len)
+    kind, slot_kind = _type(inner, "src"), _type(inner, "slot")
+
+    def searched(table: pa.Table):
+        names, (src, dst) = L.numbered(_column(table, "src"), _column(table, "dst"))
+        out, back, slots = [[] for _ in names], [[] for _ in names], {}
+        for s, d, slot in sorted(zip(src.tolist(), dst.tolist(), table.column("slot").to_pylist(), strict=True), key=lambda e: (e[0], e[1], e[2] or "")):
+            if (s, d) not in slots:
+                out[s].append(d)
+                back[d].append(s)
+            slots.setdefault((s, d), []).append(slot)
+        return names.tolist(), out, back, slots
+
+    sent = _sent(inner, searched)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, out, back, slots = sent.value
+        number = {n: i for i, n in enumerate(names)}
+
+        def found() -> Iterator[tuple]:
+            for batch in batches:
+                for first, second in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    for path in L.circuits(out, back, number[first], number[second], max_len):
+                        if path is None:
+                            yield None, None, True
+                        else:
+                            shown = [names[i] for i in path]
+                            yield from ((shown, list(chosen), False) for chosen in L.slot_choices(path, slots))
+
+        yield from _in_batches(found(), kind, slot_kind)
+
+    steps = inner.filter("dst >= src").select("src", "dst").distinct()
+    cycles = cut(_dealt(steps).mapInArrow(run, f"path array<{kind}>, slots array<{slot_kind}>, over boolean"))
+    drop(inner)
+    return _none_over(cycles, max_len).select("path", "slots")
+
+
+def _in_batches(found: Iterator[tuple], kind: Kind, slot_kind: Kind) -> Iterator[pa.RecordBatch]:
+    """Rows (path, slots, over) as record batches."""
+    while part := list(itertools.islice(found, _PATHS)):
+        path, slots, over = zip(*part, strict=True)
+        yield pa.record_batch([pa.array(path, pa.list_(kind.arrow)), pa.array(slots, pa.list_(slot_kind.arrow)), pa.array(over)], names=["path", "slots", "over"])
+
+
+def _none_over(found: DataFrame, max_len: int | None) -> DataFrame:
+    if max_len is not None and not found.filter("over").isEmpty():
+        raise ValueError(f"a path has more than {max_len} nodes")
+    return found
+
+
+def _joined_cycles(inner: DataFrame, max_len: int | None) -> DataFrame:
+    """Cycles by joining all open paths with the edges of units, a step in each round."""
     front = cut(inner.filter("dst >= src").select(F.array("src").alias("path"), F.array("slot").alias("slots"), F.col("src").alias("start"), F.col("dst").alias("at")))
     cycles = None
     for length in itertools.count(1):
@@ -254,15 +647,11 @@ def accept_cascade(edges: DataFrame, targets: DataFrame, units: DataFrame | None
 
 
 def _cascade(steps: DataFrame, targets: DataFrame, units: DataFrame | None) -> DataFrame:
-    steps = cut(steps)
-    front = seen = cut(targets.select("node").distinct())
-    while rows(front):
-        grown = front.join(steps, front["node"] == steps["src"]).select(F.col("dst").alias("node")).union(front.select("node"))
-        grown = grown.distinct() if units is None else _with_units(grown, units)
-        front = cut(grown.join(seen, "node", "left_anti"))
-        seen = seen.unionByName(front)
-    drop(steps)
-    return seen
+    """What targets reach over steps, and over edges to and from the least member of each unit, which is its name."""
+    if units is not None:
+        to = units.filter("node <> unit").select(F.col("node").alias("src"), F.col("unit").alias("dst"))
+        steps = steps.unionByName(to).unionByName(to.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    return _reach(steps, targets)
 
 
 def reject_cascade(edges: DataFrame, targets: DataFrame, units: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

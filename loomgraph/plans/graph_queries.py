@@ -61,7 +61,7 @@ def h2(spark, sf):
 @query("h3_closure", graph_sql(_closed("nodes"), "SELECT root, node, depth, path FROM cl"))
 def h3(spark, sf):
     edges, nodes = _edges(spark, sf)
-    paths = G.closure_paths(G.closure(edges, nodes, nodes))
+    paths = G.closure_paths(G.closure(edges, nodes, nodes), edges)
     return paths.selectExpr("root", "node", "depth", "array_join(transform(path, x -> string(x)), '>') AS path")
 
 
