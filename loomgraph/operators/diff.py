@@ -11,7 +11,7 @@ from loomgraph.functions.naming import compared_type
 
 # Reasons of breaking changes that are passed on.
 PROPERTY_REASONS = ["removed", "added_required_no_default", "type_changed", "validation_narrowed"]
-SLOT_REASONS = ["slot_removed", "slot_children_narrowed"]
+SLOT_REASONS = ["slot_removed", "slot_allowed_components_narrowed"]
 
 
 def catalog_diff(current: DataFrame, proposed: DataFrame, key: str) -> DataFrame:
@@ -26,9 +26,12 @@ def catalog_diff(current: DataFrame, proposed: DataFrame, key: str) -> DataFrame
 def property_diff(current: DataFrame, proposed: DataFrame, keys: list[str]) -> DataFrame:
     """keys, change (added, removed or modified) and what differs; props without a change are left out.
 
-    Types compare by kind, an empty one equals any; category, required and default compare as they are.
+    Types compare by kind, an empty one equals any; category, required and default compare as they are. Where both
+    sides have values (an array), it counts that a value that was allowed isn't any more; no values allow any.
     """
     fields = ["type", "category", "required", "default_value"]
+    if "values" in current.columns and "values" in proposed.columns:
+        fields.append("values")
     side = lambda df, mark: df.select(*keys, *(F.col(f).alias(f"{f}_{mark}") for f in fields), F.lit(True).alias(f"__{mark}"))
     both = side(current, "old").join(side(proposed, "new"), keys, "full_outer")
     given = (F.coalesce("type_old", F.lit("")) != "") & (F.coalesce("type_new", F.lit("")) != "")
@@ -38,6 +41,9 @@ def property_diff(current: DataFrame, proposed: DataFrame, keys: list[str]) -> D
         "required": ~F.coalesce("required_old", F.lit(False)).eqNullSafe(F.coalesce("required_new", F.lit(False))),
         "default": ~F.col("default_value_old").eqNullSafe(F.col("default_value_new")),
     }
+    if "values" in fields:
+        old, new = (F.coalesce(f"values_{x}", F.array().cast("array<string>")) for x in ("old", "new"))
+        differs["values"] = (F.size(new) > 0) & ((F.size(old) == 0) | (F.size(F.array_except(old, new)) > 0))
     what = F.array_compact(F.array(*(F.when(test, F.lit(n)) for n, test in differs.items())))
     change = F.when(F.col("__old").isNull(), "added").when(F.col("__new").isNull(), "removed").when(F.size(what) > 0, "modified")
     out = both.withColumn("change", change).withColumn("differs", F.when(change == "modified", F.array_join(what, ",")).otherwise(""))
@@ -53,20 +59,21 @@ def slot_diff(current: DataFrame, proposed: DataFrame, keys: list[str]) -> DataF
 
 
 def breaking_reasons(diff: DataFrame) -> DataFrame:
-    """Add reason to rows of property_diff: removed, added_required_no_default or type_changed, null where it doesn't break. These rules are our own."""
+    """Add reason to rows of property_diff: removed, added_required_no_default, type_changed or validation_narrowed, null where it doesn't break. These rules are our own."""
     reason = (
         F.when(F.col("change") == "removed", "removed")
         .when((F.col("change") == "added") & F.coalesce("required_new", F.lit(False)) & F.col("default_value_new").isNull(), "added_required_no_default")
-        .when((F.col("change") == "modified") & F.col("differs").contains("type"), "type_changed")
+        .when((F.col("change") == "modified") & F.array_contains(F.split("differs", ","), "type"), "type_changed")
+        .when((F.col("change") == "modified") & F.array_contains(F.split("differs", ","), "values"), "validation_narrowed")
     )
     return diff.withColumn("reason", reason)
 
 
 def breaking_slots(diff: DataFrame) -> DataFrame:
-    """Add reason to rows of slot_diff: slot_removed, or slot_children_narrowed where a child let in before isn't any more."""
+    """Add reason to rows of slot_diff: slot_removed, or slot_allowed_components_narrowed where a child let in before isn't any more."""
     old, new = F.col("children_old"), F.col("children_new")
     narrowed = (F.size(new) > 0) & ((F.size(old) == 0) | (F.size(F.array_except(old, new)) > 0))
-    return diff.withColumn("reason", F.when(F.col("change") == "removed", "slot_removed").when((F.col("change") == "children") & narrowed, "slot_children_narrowed"))
+    return diff.withColumn("reason", F.when(F.col("change") == "removed", "slot_removed").when((F.col("change") == "children") & narrowed, "slot_allowed_components_narrowed"))
 
 
 def push_gate(components: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions.naming import kebab_to_pascal
+
 # Files that are scanned and folders, suffixes and names that aren't.
 CODE = r"\.(astro|js|jsx|svelte|ts|tsx|vue)$"
 IGNORED_FOLDERS = ".changeset .git .github .idea .next .nuxt .vscode build coverage demo demos dist example examples node_modules out storybook-static".split()
@@ -14,7 +16,16 @@ NOISE = r"^tsconfig(\..+)?\.json$|^\.?eslintrc(\..+)?\.json$|^\.?prettierrc(\..+
 # Names and markers of files that say what goes into what.
 NAME_PATTERNS = ("mapping", "meta", "registry", "schema", "composition")
 MARKERS = ("requiredParent", "withParentType", "allowedTagNames", "createContext", "MappingContext", "allowedComponents")
-EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".vue", ".svelte", ".astro")
+EXTENSIONS = (".astro", ".js", ".jsx", ".svelte", ".ts", ".tsx", ".vue")
+# How imports, exports and slots are written.
+IMPORT = r"import\s+(?:type\s+)?(.+?)\s+from\s+['\"]([^'\"]+)['\"]"
+EXPORT_NAMED = r"export\s+(?:const|function|class|type|interface|enum)\s+([A-Za-z0-9_]+)"
+EXPORT_DEFAULT = r"export\s+default\s+([A-Za-z0-9_]+)"
+EXPORT_LIST = r"export\s*\{([^}]+)\}"
+TAG_SLOT = r"<slot(?:\s+name=[\"']([^\"']+)[\"'])?\s*/?>"
+RENDERED_SLOT = r"Astro\.slots\.render\(\s*['\"]([^'\"]+)['\"]\s*\)"
+ELEMENT_SLOT = r"<slot\b([^>]*)>"
+DOC_SLOT = r"@slot[ \t]+([^\n@]*)"
 
 
 def scanned(path: Column) -> Column:
@@ -77,25 +88,75 @@ def slice_regions(files: DataFrame, markers=MARKERS, window: int = 3) -> DataFra
     return spans.join(files.select("file_id", "content"), "file_id").select("file_id", "start", "stop", body.alias("text"))
 
 
+def folder_of(path: str | Column) -> Column:
+    return F.regexp_replace(path, "/[^/]*$", "")
+
+
+def truncated(text: Column, most: int) -> Column:
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, most), F.lit("\n/* truncated */")))
+
+
+def _imported_names(clause: Column) -> Column:
+    """What an import clause names, split at commas; the braces of a list of several stay with its first and last name."""
+    parts = F.filter(F.transform(F.split(clause, ","), lambda p: F.trim(p)), lambda p: p != "")
+    bare = F.transform(parts, lambda p: F.when(p.startswith("{") & p.endswith("}"), F.trim(F.substring(p, F.lit(2), F.length(p) - 2))).otherwise(p))
+    names = F.transform(F.filter(bare, lambda p: p != ""), lambda p: F.trim(F.regexp_replace(p, r"(?is)\s+as\s+.*$", "")))
+    return F.array_distinct(F.filter(names, lambda n: n != ""))
+
+
 def extract_imports(files: DataFrame) -> DataFrame:
-    """file_id, clause, source and local of each import of a file's text."""
-    pattern = r"import\s+(?:type\s+)?([^;'\"]+?)\s+from\s+['\"]([^'\"]+)['\"]"
-    rows = files.select("file_id", F.explode(F.arrays_zip(F.regexp_extract_all("content", F.lit(pattern), 1).alias("clause"), F.regexp_extract_all("content", F.lit(pattern), 2).alias("source"))).alias("i"))
-    return rows.select("file_id", "i.clause", "i.source", F.col("i.source").startswith(".").alias("local")).distinct()
+    """file_id, place, clause, source, names and local of each import of a file's text, in the order in which they stand."""
+    found = F.arrays_zip(F.regexp_extract_all("content", F.lit(IMPORT), 1).alias("clause"), F.regexp_extract_all("content", F.lit(IMPORT), 2).alias("source"))
+    rows = files.select("file_id", F.posexplode(found).alias("place", "i")).select("file_id", "place", F.trim("i.clause").alias("clause"), F.trim("i.source").alias("source"))
+    return rows.select("file_id", "place", "clause", "source", _imported_names(F.col("clause")).alias("names"), F.col("source").startswith(".").alias("local"))
+
+
+def exported(content: str | Column) -> Column:
+    """What a text exports, each once: declared names, then defaults as default:name, then the items of lists as they are written."""
+    defaults = F.transform(F.regexp_extract_all(content, F.lit(EXPORT_DEFAULT), 1), lambda n: F.concat(F.lit("default:"), n))
+    items = F.flatten(F.transform(F.regexp_extract_all(content, F.lit(EXPORT_LIST), 1), lambda x: F.filter(F.transform(F.split(x, ","), lambda i: F.regexp_replace(i, r"^\s+|\s+$", "")), lambda i: i != "")))
+    return F.array_distinct(F.concat(F.regexp_extract_all(content, F.lit(EXPORT_NAMED), 1), defaults, items))
 
 
 def extract_exports(files: DataFrame) -> DataFrame:
-    """file_id and name of what a file exports, each once."""
-    named = F.regexp_extract_all("content", F.lit(r"export\s+(?:default\s+)?(?:async\s+)?(?:function|class|const|let|var|interface|type|enum)\s+(\w+)"), 1)
-    return files.select("file_id", F.explode(F.array_distinct(named)).alias("name"))
+    """file_id, place and name of what a file exports, each once."""
+    return files.select("file_id", F.posexplode(exported("content")).alias("place", "name"))
+
+
+def _slots(names: Column, descriptions: Column | None = None) -> Column:
+    texts = F.transform(names, lambda n: F.lit(None).cast("string")) if descriptions is None else descriptions
+    return F.transform(F.arrays_zip(names.alias("name"), texts.alias("text")), lambda x: F.struct(F.coalesce(F.nullif(x["name"], F.lit("")), F.lit("default")).alias("name"), x["text"].alias("description")))
+
+
+def _documented_slots(content: Column) -> Column:
+    """Slots of @slot tags: a name and a description after a dash, a description of the default slot after a dash, or a description alone."""
+    comments = F.filter(F.transform(F.regexp_extract_all(content, F.lit(DOC_SLOT), 1), lambda c: F.trim(F.regexp_replace(c, r"\s*\*/.*$", ""))), lambda c: c != "")
+    named = r"(?s)^(\S+)\s*-\s*(.*)$"
+    is_named = lambda c: ~c.startswith("-") & c.rlike(named)
+    name = F.transform(comments, lambda c: F.when(is_named(c), F.regexp_extract(c, named, 1)).otherwise(F.lit("default")))
+    text = F.transform(comments, lambda c: F.nullif(F.trim(F.when(c.startswith("-"), F.substring(c, F.lit(2), F.length(c))).when(is_named(c), F.regexp_extract(c, named, 2)).otherwise(c)), F.lit("")))
+    return _slots(name, text)
 
 
 def extract_template_slots(files: DataFrame) -> DataFrame:
-    """file_id and name of the slots of a template, each once; one without a name is the default slot."""
-    tags = F.regexp_extract_all("content", F.lit(r"<slot\b([^>]*)>"), 1)
-    rows = files.select("file_id", F.posexplode(tags).alias("at", "attrs"))
-    name = F.coalesce(F.nullif(F.regexp_extract("attrs", r"name\s*=\s*[\"']([^\"']*)[\"']", 1), F.lit("")), F.lit("default"))
-    return rows.withColumn("name", name).groupBy("file_id", "name").agg(F.min("at").alias("place")).select("file_id", "name", "place")
+    """file_id, name, is_default, description and place of the slots of files (path, content), each name once.
+
+    Three dialects, by a file's ending. .astro: slot tags of the template, then slots rendered in the frontmatter, in
+    that order. .js, .jsx, .ts, .tsx (custom elements): @slot tags of comments, then slot tags, the first description
+    counts, sorted by name. Others: slot tags by their name attribute, in order. A slot without a name is the default.
+    """
+    path, content = F.col("path"), F.col("content")
+    front = F.when(content.rlike(r"(?s)^---\r?\n.*?\r?\n---"), F.regexp_extract(content, r"(?s)^---\r?\n(.*?)\r?\n---", 1)).otherwise(F.lit(""))
+    template = F.regexp_replace(content, r"(?s)^---\r?\n.*?\r?\n---", "")
+    astro = F.concat(_slots(F.regexp_extract_all(template, F.lit(TAG_SLOT), 1)), _slots(F.regexp_extract_all(front, F.lit(RENDERED_SLOT), 1)))
+    attributes = F.regexp_extract_all(content, F.lit(ELEMENT_SLOT), 1)
+    tags = _slots(F.transform(attributes, lambda a: F.regexp_extract(a, r"\bname=[\"']([^\"']+)[\"']", 1)))
+    element = path.rlike(r"\.[jt]sx?$")
+    found = F.when(path.endswith(".astro"), astro).when(element, F.concat(_documented_slots(content), tags)).otherwise(tags)
+    rows = files.select("file_id", element.alias("__sorted"), F.posexplode(found).alias("at", "s")).select("file_id", "__sorted", "at", "s.*")
+    merged = rows.groupBy("file_id", "__sorted", "name").agg(F.min("at").alias("at"), F.min_by("description", F.when(F.col("description").isNotNull(), F.col("at"))).alias("description"))
+    order = Window.partitionBy("file_id").orderBy(F.when(F.col("__sorted"), F.col("name")), "at")
+    return merged.select("file_id", "name", (F.col("name") == "default").alias("is_default"), "description", (F.row_number().over(order) - 1).alias("place"))
 
 
 def extract_links(files: DataFrame) -> DataFrame:
@@ -103,37 +164,57 @@ def extract_links(files: DataFrame) -> DataFrame:
     return files.select("file_id", F.explode(F.regexp_extract_all("content", F.lit(r'<a href="([^"]*)"'), 1)).alias("target"))
 
 
-def resolve_local_imports(imports: DataFrame, files: DataFrame, extensions=EXTENSIONS) -> DataFrame:
-    """The file each import (importer, target without its ending) means: the path itself, with an ending, or its index file; the first that exists."""
+def resolved(path: Column) -> Column:
+    """An absolute path without . and .. parts."""
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    step = lambda kept, p: F.when(p == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(p)))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+
+
+def within(path: Column, root: str) -> Column:
+    """Whether a path is root or below it."""
+    root = root.rstrip("/")
+    return (path == root) | path.startswith(f"{root}/")
+
+
+def resolve_local_imports(imports: DataFrame, files: DataFrame, root: str, extensions=EXTENSIONS) -> DataFrame:
+    """imports (importer, an absolute path; source) with path, the file that a source beginning with a dot means, from root on.
+
+    The path itself, with an ending, or its index file: the first that is among files and in root. Where none is, the
+    path as it is written, if it is in root. Null for other sources.
+    """
+    root = root.rstrip("/")
+    base = F.when(F.col("source").startswith("."), resolved(F.concat(folder_of("importer"), F.lit("/"), F.col("source"))))
     tries = ["", *extensions, *(f"/index{e}" for e in extensions)]
-    offered = imports.select("importer", "target", F.posexplode(F.array(*(F.concat("target", F.lit(t)) for t in tries))).alias("place", "path"))
-    found = offered.join(files.select("path").distinct(), "path", "left_semi")
-    return imports.join(found.groupBy("importer", "target").agg(F.min_by("path", "place").alias("path")), ["importer", "target"], "left")
+    local = imports.select("importer", "source", base.alias("base")).distinct().filter("base IS NOT NULL")
+    offered = local.select("importer", "source", F.posexplode(F.array(*(F.concat("base", F.lit(t)) for t in tries))).alias("at", "candidate"))
+    there = offered.join(files.select(F.col("path").alias("candidate")).distinct(), "candidate", "left_semi").filter(within(F.col("candidate"), root))
+    first = local.join(there.groupBy("importer", "source").agg(F.min_by("candidate", "at").alias("candidate")), ["importer", "source"], "left")
+    found = F.coalesce("candidate", F.when(within(F.col("base"), root), F.col("base")))
+    return imports.join(first.select("importer", "source", F.substring(found, F.lit(len(root) + 2), F.length(found)).alias("path")), ["importer", "source"], "left")
 
 
-def sibling_files(components: DataFrame, files: DataFrame, k: int = 5) -> DataFrame:
-    """The first k other files in each component's folder. A folder's first k + 1 files are enough for all of its components."""
-    folder = F.regexp_replace("path", "/[^/]*$", "")
+def sibling_files(components: DataFrame, files: DataFrame, k: int = 5, snippet_chars: int = 1200) -> DataFrame:
+    """own, path, n, exports and snippet of the first k other files in each component's folder. A folder's first k + 1 files are enough for all of its components."""
     place = F.row_number().over(Window.partitionBy("folder").orderBy("path"))
-    first = files.select("path").distinct().withColumn("folder", folder).withColumn("at", place).filter(F.col("at") <= k + 1)
+    first = files.select("path").distinct().withColumn("folder", folder_of("path")).withColumn("at", place).filter(F.col("at") <= k + 1)
     listed = first.groupBy("folder").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "path"))), lambda x: x["path"]).alias("paths"))
-    rows = components.select(F.col("path").alias("own")).withColumn("folder", F.regexp_replace("own", "/[^/]*$", "")).join(listed, "folder")
+    rows = components.select(F.col("path").alias("own")).distinct().withColumn("folder", folder_of("own")).join(listed, "folder")
     others = F.slice(F.filter("paths", lambda p: p != F.col("own")), 1, k)
-    return rows.select("own", F.posexplode(others).alias("n", "path")).select("own", "path", (F.col("n") + 1).alias("n"))
-
-
-def parent_usage_site(names: DataFrame, files: DataFrame) -> DataFrame:
-    """The first file whose text uses each name as a word. Words are an equi-join, not a search of every file for every name."""
-    used = files.select("file_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"(\w+)"), 1))).alias("name"))
-    return used.join(names.select("name").distinct(), "name", "left_semi").groupBy("name").agg(F.min("file_id").alias("file_id"))
+    named = rows.select("own", F.posexplode(others).alias("n", "path")).select("own", "path", (F.col("n") + 1).alias("n"))
+    texts = files.join(first.select("path"), "path", "left_semi").groupBy("path").agg(F.min("content").alias("content"))
+    return named.join(texts, "path").select("own", "path", "n", exported("content").alias("exports"), truncated(F.col("content"), snippet_chars).alias("snippet"))
 
 
 def manifest_edges(files: DataFrame, names: DataFrame) -> DataFrame:
-    """Edges that JSON manifests (content) name: slots' preferred values, between known names."""
-    kind = "map<string,struct<properties:map<string,struct<type:string,preferredValues:array<string>>>>>"
-    rows = files.select(F.explode(F.from_json("content", kind)).alias("parent", "m")).select("parent", F.explode("m.properties").alias("slot", "p")).filter("p.type = 'SLOT'").select("parent", "slot", F.explode("p.preferredValues").alias("child"))
+    """parent and child of the preferred values of SLOT definitions in manifest.json files (path, content), between known names in Pascal case; text of another shape gives none."""
+    text = lambda v, at: F.when(F.schema_of_variant(F.try_variant_get(v, at, "variant")) == "STRING", F.try_variant_get(v, at, "string"))
+    docs = files.filter(F.col("path").endswith("manifest.json")).select(F.try_parse_json("content").alias("v"))
+    owned = docs.select(kebab_to_pascal(text(F.col("v"), "$.component.name")).alias("parent"), F.explode(F.map_values(F.try_variant_get("v", "$.variantsMeta.componentPropertyDefinitions", "map<string,variant>"))).alias("d"))
+    slots = owned.filter(text(F.col("d"), "$.type") == "SLOT").select("parent", F.explode(F.try_variant_get("d", "$.preferredValues", "array<variant>")).alias("p"))
+    rows = slots.select("parent", kebab_to_pascal(text(F.col("p"), "$.name")).alias("child"))
     known = lambda c: names.select(F.col("name").alias(c)).distinct()
-    return rows.join(known("parent"), "parent", "left_semi").join(known("child"), "child", "left_semi").filter("parent <> child").select("parent", "child", "slot").distinct()
+    return rows.join(known("parent"), "parent", "left_semi").join(known("child"), "child", "left_semi").filter("parent <> child").select("parent", "child").distinct()
 
 
 def extraction_summary(components: DataFrame, warnings: DataFrame, errors: DataFrame) -> DataFrame:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.lineage import cut, rows
+from loomgraph.functions.naming import kebab_to_pascal
+from loomgraph.operators.files import extract_exports, extract_imports, folder_of, resolve_local_imports, sibling_files, truncated, within
 from loomgraph.operators.graph import break_edge, cyclic_core, elementary_cycles
 
 # Props of data wrappers, patterns of their sources, and the weight of each sign.
@@ -17,7 +23,15 @@ GQL_FILE = r"(?i)(?:-gql|-ggl)\.[cm]?[jt]sx?$"
 LOADING_GUARD = r"if\s*\([^)]*(?:isLoading|loading|!data|!\w+)\s*[^)]*\)\s*return\s+null\b"
 IMPORT = r"import\s+(?:type\s+)?(.+?)\s+from\s+['\"]([^'\"]+)['\"]"
 GQL_PATH = r"(?i)-g(?:ql|gl)(?:$|\.)"
-RESOLVER_HINTS = ("resolver", "mapping", "registry", "componentMap")
+RESOLVER_HINT = "resolver|registry|componentmap|component-map|componentresolver|resolvecomponent"
+ELEMENT_TYPE = r"(?:React\.)?ReactElement\s*<\s*([A-Za-z_$][\w$.]*)(?![\w$.])"
+SNIPPET_TUPLE = r"Snippet\s*<\s*\[([^\]]*)\]\s*>"
+IDENTIFIER = r"[A-Za-z_$][\w$.]*"
+ALLOWED_TAG = r"@allowedComponents\s+([^\n*]+)"
+DOC_KEYWORDS = ("slot", "child", "children", "compose", "nested", "contains", "wraps")
+BOLD_CODE = r"\*\*`([^`]+)`\*\*"
+#: Names of one automaton, at most; it is sent to every executor.
+MAX_NAMES = 200_000
 
 
 def _siblings(text: Column) -> Column:
@@ -31,8 +45,9 @@ def _siblings(text: Column) -> Column:
 
 def _forwards(text: Column, siblings: Column) -> Column:
     """Whether a sibling is rendered with spread data other than the component's own props."""
-    spread = lambda n: F.regexp_like(text, F.concat(F.lit("<"), n, F.lit(r"\b[^>]*\{\.\.\.(?!props\b)[^}]+\}")))
-    closed = lambda n: F.regexp_like(text, F.concat(F.lit("(?s)<"), n, F.lit(r"\b.*?(?:/>|</"), n, F.lit(">)")))
+    quoted = lambda n: F.concat(F.lit(r"\Q"), n, F.lit(r"\E"))
+    spread = lambda n: F.regexp_like(text, F.concat(F.lit("<"), quoted(n), F.lit(r"\b[^>]*\{\.\.\.(?!props\b)[^}]+\}")))
+    closed = lambda n: F.regexp_like(text, F.concat(F.lit("(?s)<"), quoted(n), F.lit(r"\b.*?(?:/>|</"), quoted(n), F.lit(">)")))
     return F.exists(siblings, lambda n: spread(n) & closed(n))
 
 
@@ -66,42 +81,158 @@ def inspect_source(components: DataFrame, runtime_calls: tuple[str, ...] = ()) -
     return found.withColumn("wrapper_confidence", confidence).withColumn("inspection_reasons", reasons).withColumn("keep_despite_zero_surface", keep).drop("__s")
 
 
-def extract_declared_children(slots: DataFrame, names: DataFrame) -> DataFrame:
-    """Known names that a slot's type text (ReactElement<XProps>) or doc comment (@allowedComponents A, B) declares: component_id, slot and sorted children."""
-    typed = F.transform(F.regexp_extract_all("type", F.lit(r"Element<\s*(?:typeof\s+)?(\w+)\s*>"), 1), lambda t: F.regexp_replace(t, "Props$", ""))
-    listed = F.regexp_extract_all(F.regexp_extract("doc", r"@allowedComponents\s+([^\n*]*)", 1), F.lit(r"(\w+)"), 1)
-    rows = slots.select("component_id", "slot", F.explode(F.concat(F.coalesce(typed, F.array().cast("array<string>")), F.coalesce(listed, F.array().cast("array<string>")))).alias("name"))
-    return rows.join(names.select("name").distinct(), "name", "left_semi").groupBy("component_id", "slot").agg(F.array_sort(F.collect_set("name")).alias("children"))
-
-
-def doc_edges(files: DataFrame, components: DataFrame, keywords=("contains", "accepts", "inside", "children", "slot")) -> DataFrame:
-    """Edges from the component of a document's folder (the first by arrival) to known names that it sets in bold code on lines with a composition keyword."""
-    folder = F.regexp_replace("path", "/[^/]*$", "")
-    lines = files.select(folder.alias("folder"), F.explode(F.split("content", "\n")).alias("line")).filter(F.lower("line").rlike("|".join(keywords)))
-    mentions = lines.select("folder", F.explode(F.regexp_extract_all("line", F.lit(r"\*\*`(\w+)`\*\*"), 1)).alias("child"))
-    owners = components.withColumn("folder", folder).groupBy("folder").agg(F.min_by("name", "arrival").alias("parent"))
-    known = components.select(F.col("name").alias("child")).distinct()
-    return mentions.join(owners, "folder").join(known, "child", "left_semi").filter("parent <> child").select("parent", "child").distinct()
-
-
-def resolver_references(names: DataFrame, files: DataFrame, hints=RESOLVER_HINTS, k: int = 3) -> DataFrame:
-    """The first k files with a resolver hint in path or text that use each name as a word."""
-    hit = F.lit(False)
-    for h in hints:
-        hit = hit | F.col("path").contains(h) | F.col("content").contains(h)
-    used = files.filter(hit).select("path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"(\w+)"), 1))).alias("name"))
-    rows = used.join(names.select("name").distinct(), "name", "left_semi")
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy("name").orderBy("path"))).filter(F.col("n") <= k)
-
-
-def selection_context(components: DataFrame, imports: DataFrame, siblings: DataFrame, references: DataFrame, usage: DataFrame, root: str = "") -> DataFrame:
-    """Per component (name, file_id, path) how many imports, siblings and references its context has, and the file that uses it first; all null for a source outside root."""
-    count = lambda df, key, name: df.groupBy(key).agg(F.count("*").alias(name))
-    rows = components.join(count(imports, "file_id", "imports"), "file_id", "left").join(count(siblings.withColumnRenamed("own", "p"), "p", "siblings").withColumnRenamed("p", "path"), "path", "left")
-    rows = rows.join(count(references.select("name"), "name", "references"), "name", "left")
-    rows = rows.join(usage.select("name", F.col("file_id").alias("used_in")), "name", "left")
-    inside = F.col("path").startswith(root)
-    return rows.select("name", "file_id", *(F.when(inside, F.coalesce(c, F.lit(0))).alias(c) for c in ("imports", "siblings", "references")), F.when(inside, F.col("used_in")).alias("used_in"))
+def extract_declared_children(slots: DataFrame, names: DataFrame, props_types: DataFrame) -> DataFrame:
+    """Known names that a slot's type text or doc comment declares: component_id, slot and sorted children.
+
+    In types, ReactElement<P, ...> and each identifier of a Snippet<[P, ...]> name a props type, which props_types
+    (props_type, name) maps to its component. In comments, names follow @allowedComponents, separated by commas.
+    """
+    none = F.array().cast("array<string>")
+    tuples = F.transform(F.regexp_extract_all("type", F.lit(SNIPPET_TUPLE), 1), lambda t: F.regexp_extract_all(t, F.lit(IDENTIFIER), 0))
+    typed = slots.select("component_id", "slot", F.explode(F.array_distinct(F.concat(F.coalesce(F.regexp_extract_all("type", F.lit(ELEMENT_TYPE), 1), none), F.coalesce(F.flatten(tuples), none)))).alias("props_type"))
+    typed = typed.join(props_types.select("props_type", "name").distinct(), "props_type").select("component_id", "slot", "name")
+    listed = slots.select("component_id", "slot", F.explode(F.split(F.regexp_extract("doc", ALLOWED_TAG, 1), ",")).alias("name")).withColumn("name", F.trim("name"))
+    rows = typed.unionByName(listed).join(names.select("name").distinct(), "name", "left_semi")
+    return rows.groupBy("component_id", "slot").agg(F.array_sort(F.collect_set("name")).alias("children"))
+
+
+def doc_edges(files: DataFrame, components: DataFrame, keywords=DOC_KEYWORDS) -> DataFrame:
+    """Edges from the component of an AGENTS.md file's folder (the first by arrival) to known names that it sets in bold code on lines with a keyword.
+
+    A name that isn't known as it stands is tried in Pascal case.
+    """
+    docs = files.filter(F.col("path").endswith("AGENTS.md"))
+    lines = docs.select(folder_of("path").alias("folder"), F.explode(F.split("content", "\n")).alias("line")).filter(F.lower("line").rlike("|".join(keywords)))
+    mentions = lines.select("folder", F.explode(F.regexp_extract_all("line", F.lit(BOLD_CODE), 1)).alias("raw")).withColumn("pascal", kebab_to_pascal("raw"))
+    owners = components.withColumn("folder", folder_of("path")).groupBy("folder").agg(F.min_by("name", "arrival").alias("parent"))
+    known = components.select("name").distinct()
+    as_is, changed = known.select(F.col("name").alias("raw"), F.col("name").alias("__raw")), known.select(F.col("name").alias("pascal"), F.col("name").alias("__pascal"))
+    found = mentions.join(owners, "folder").join(as_is, "raw", "left").join(changed, "pascal", "left").withColumn("child", F.coalesce("__raw", "__pascal"))
+    return found.filter("child IS NOT NULL AND parent <> child").select("parent", "child").distinct()
+
+
+def mentions(names: DataFrame, files: DataFrame, max_names: int = MAX_NAMES) -> DataFrame:
+    """name, path and role for each file (path, content) whose text holds a name: reference for files with a resolver hint in path or text, usage for others that render, pass or register the name.
+
+    The names are compiled into an automaton that finds all of them in one pass over a text. An automaton holds
+    max_names of them; more names take more passes.
+    """
+    listed = cut(names.select("name").filter("name <> ''").distinct())
+    passes = max(1, -(-rows(listed) // max_names))
+    out = None
+    for i in range(passes):
+        part = listed.filter(F.pmod(F.xxhash64("name"), F.lit(passes)) == i)
+        sent = part.sparkSession.sparkContext.broadcast([r.name for r in part.collect()])  # about max_names rows
+        found = files.select("path", "content").mapInArrow(_finder(sent), "name string, path string, role string")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _finder(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for name in sent.value:
+            automaton.add_word(name, name)
+        automaton.make_automaton()
+        hint = re.compile(RESOLVER_HINT, re.IGNORECASE)
+        for batch in batches:
+            found = []
+            for path, text in zip(batch.column(0), batch.column(1), strict=True):
+                path, text = path.as_py(), text.as_py() or ""
+                if not len(automaton) or not text:
+                    continue
+                held, used = {}, set()
+                for end, name in automaton.iter(text):
+                    held[name] = True
+                    if name not in used and is_used(text, end + 1 - len(name), end + 1):
+                        used.add(name)
+                if held:
+                    hinted = hint.search(path or "") or hint.search(text)
+                    found += [(n, path, "reference") for n in held] if hinted else [] if text.startswith("// stub") else [(n, path, "usage") for n in held if n in used]
+            columns = zip(*found, strict=True) if found else ([], [], [])
+            yield pa.record_batch([pa.array(c, pa.string()) for c in columns], names=["name", "path", "role"])
+
+    return run
+
+
+def _word(c: str) -> bool:
+    return c.isascii() and (c.isalnum() or c == "_")
+
+
+def is_used(text: str, start: int, stop: int) -> bool:
+    """Whether text[start:stop] stands there as a tag's name, or as a word before one of ) , } and :."""
+    def edge(at: int) -> bool:
+        return (at > 0 and _word(text[at - 1])) != (at < len(text) and _word(text[at]))
+
+    if text[start - 1 : start] == "<" and edge(stop):
+        return True
+    if not edge(start):
+        return False
+    at = stop
+    while at < len(text) and text[at].isspace():
+        at += 1
+    ahead = text[at : at + 1]
+    return ahead in (")", ",", "}", ":")
+
+
+def snippet(text: Column, token: Column, most: int = 800) -> Column:
+    """The lines of text around the first place of token, half of `most` characters each way, cut at `most`."""
+    half = most // 2
+    at = F.instr(text, token) - 1
+    head = F.substring(text, F.lit(1), F.greatest(F.lit(0), at - half) + 1)  # up to where the snippet's first line may begin
+    start = F.when(F.instr(head, F.lit("\n")) > 0, F.length(head) - F.length(F.substring_index(head, "\n", -1))).otherwise(0)
+    tail = F.substring(text, at + half + 1, F.length(text))
+    ahead = F.instr(tail, F.lit("\n"))
+    stop = F.when(ahead > 0, at + half + ahead - 1).otherwise(F.length(text))
+    return F.when(at < 0, truncated(text, most)).otherwise(truncated(F.regexp_replace(F.substring(text, start + 1, stop - start), r"^\s+|\s+$", ""), most))
+
+
+def _first_files(found: DataFrame, components: DataFrame, files: DataFrame, k: int) -> DataFrame:
+    """Of each component (name, path) the first k files in which it is found, but for its own, with place n and a snippet."""
+    own = components.select("name", F.col("path").alias("own")).distinct()
+    rows = found.distinct().join(own, "name").filter("path <> own")
+    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("name", "own").orderBy("path"))).filter(F.col("n") <= k)
+    texts = files.join(first.select("path"), "path", "left_semi").groupBy("path").agg(F.min("content").alias("content"))
+    return first.join(texts, "path").select("name", "own", "path", "n", snippet(F.col("content"), F.col("name")).alias("snippet"))
+
+
+def resolver_references(components: DataFrame, files: DataFrame, k: int = 3, found: DataFrame | None = None) -> DataFrame:
+    """name, own, path, n and snippet: the first k files with a resolver hint that hold each component's name, other than its own. found: what mentions() gave, if it is there."""
+    found = mentions(components, files) if found is None else found
+    return _first_files(found.filter("role = 'reference'").select("name", "path"), components, files, k)
+
+
+def parent_usage_site(components: DataFrame, files: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """name, own, path and snippet: the first file without hints that renders, passes or registers each component, other than its own and stubs."""
+    found = mentions(components, files) if found is None else found
+    return _first_files(found.filter("role = 'usage'").select("name", "path"), components, files, 1).drop("n")
+
+
+def selection_context(components: DataFrame, files: DataFrame, root: str, max_source: int = 8000) -> DataFrame:
+    """What a decision about each component (name, path) is made on: code, imports, exports, siblings, references and usage, and their counts.
+
+    Null in all for a component whose file isn't there or is outside root.
+    """
+    own = components.select("name", "path").distinct().join(files.select("path", "content"), "path")
+    inside = own.filter(within(F.col("path"), root))
+    hits = cut(mentions(inside, files))
+    by_file = inside.select("path", "content").distinct().withColumn("file_id", F.col("path"))
+    imports = resolve_local_imports(extract_imports(by_file).withColumn("importer", F.col("file_id")), files, root)
+    lists = {
+        "imports": imports.groupBy(F.col("importer").alias("path")).agg(F.array_sort(F.collect_list(F.struct("place", "source", "names", "local", F.col("path").alias("resolved")))).alias("imports")),
+        "exports": extract_exports(by_file).groupBy(F.col("file_id").alias("path")).agg(F.array_sort(F.collect_list(F.struct("place", "name"))).alias("exports")),
+        "siblings": sibling_files(by_file, files).groupBy(F.col("own").alias("path")).agg(F.array_sort(F.collect_list(F.struct("n", "path", "exports", "snippet"))).alias("siblings")),
+    }
+    out = inside.select("name", "path", truncated(F.col("content"), max_source).alias("code"))
+    for table in lists.values():
+        out = out.join(table, "path", "left")
+    references = resolver_references(inside, files, found=hits).groupBy("name", F.col("own").alias("path")).agg(F.array_sort(F.collect_list(F.struct("n", F.col("path").alias("file"), "snippet"))).alias("references"))
+    usage = parent_usage_site(inside, files, found=hits).select("name", F.col("own").alias("path"), F.struct(F.col("path").alias("file"), "snippet").alias("usage"))
+    out = out.join(references, ["name", "path"], "left").join(usage, ["name", "path"], "left")
+    counts = {f"n_{c}": F.coalesce(F.size(c), F.lit(0)) for c in ("imports", "siblings", "references")}
+    return components.select("name", "path").distinct().join(out.withColumns(counts), ["name", "path"], "left")
 
 
 def suggested_cycles(edges: DataFrame, max_len: int | None = None) -> DataFrame:

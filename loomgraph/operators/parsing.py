@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 # Vocabularies of calls.
 CALL_TYPES = ["string", "enum", "richtext", "media", "boolean", "token", "link"]
 CATEGORIES = ["content", "design", "state"]
 PROP_TOOLS = ["classify_prop", "exclude_prop", "classify_slot", "classify_component"]
 TOKEN_TYPES = ["color", "dimension", "fontFamily", "fontWeight", "duration", "cubicBezier", "number", "strokeStyle", "border", "transition", "shadow", "gradient", "typography"]
-# Keys whose values are masked, and shapes of secrets.
-SECRET_KEYS = r"(?i)(token|secret|password|authorization|api[-_]?key|credential)"
-SECRET_SHAPES = r"(?i)^(bearer\s+\S+|CFPAT-\S+|sk-[A-Za-z0-9_-]{16,}|eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.\S*)$"
+# Keys whose values are masked, shapes of secrets inside texts, and what stands for them.
+SECRET_KEYS = ["token", "secret", "password", "authorization", "^auth$", "apikey", "api_key", "credential", "bearer", "^cma$", "cmaToken"]
+SECRET_SHAPES = [r"^(?i:Bearer)\s+\S+", r"CFPAT-[A-Za-z0-9_-]{20,}", r"sk-[A-Za-z0-9_-]{20,}", r"xox[baprs]-[A-Za-z0-9-]{10,}"]
+REDACTED, MAX_TEXT = "«redacted»", 4000
 
 
 def _calls(transcripts: DataFrame) -> DataFrame:
@@ -158,13 +164,62 @@ def token_group_members(groups: DataFrame, tokens: DataFrame) -> DataFrame:
     return groups.join(members, ["session_id", "group_path"], "left")
 
 
+def _is_secret(key: str) -> bool:
+    return re.search("|".join(SECRET_KEYS), key, re.IGNORECASE) is not None
+
+
+def _masked(value: Column, kind: DataType) -> Column:
+    """A value of a type with the secrets inside it masked, to any depth; what a struct's key hides becomes a text."""
+    if isinstance(kind, StringType):
+        long = F.concat(F.substring(value, 1, MAX_TEXT), F.lit("…«+"), (F.length(value) - MAX_TEXT).cast("string"), F.lit("»"))
+        return F.when(value.rlike("|".join(SECRET_SHAPES)), REDACTED).when(F.length(value) > MAX_TEXT, long).otherwise(value)
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: _masked(x, kind.elementType))
+    if isinstance(kind, MapType):
+        hidden = lambda k: k.rlike(f"(?i){'|'.join(SECRET_KEYS)}")
+        if isinstance(kind.valueType, StringType):
+            return F.transform_values(value, lambda k, v: F.when(hidden(k), F.lit(REDACTED)).otherwise(_masked(v, kind.valueType)))
+        return F.transform_values(value, lambda k, v: F.when(~hidden(k), _masked(v, kind.valueType)))
+    if isinstance(kind, StructType):
+        fields = [F.lit(REDACTED).alias(f.name) if _is_secret(f.name) else _masked(value[f.name], f.dataType).alias(f.name) for f in kind]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    return value
+
+
 def redact(payload: DataFrame, column: str) -> DataFrame:
-    """Mask a map's values by key or shape, and cut long ones with a count."""
-    def mask(k: Column, v: Column) -> Column:
-        cut = F.concat(v.substr(1, 4000), F.lit("... ["), (F.length(v) - 4000).cast("string"), F.lit(" more]"))
-        return F.when(k.rlike(SECRET_KEYS) | v.rlike(SECRET_SHAPES), "[redacted]").when(F.length(v) > 4000, cut).otherwise(v)
+    """Mask a column's values by key or shape at every level of its type, and cut long texts with a count.
 
-    return payload.withColumn(column, F.transform_values(column, mask))
+    Keys are fields of structs and keys of maps; a masked value of a map that doesn't hold texts is null.
+    """
+    return payload.withColumn(column, _masked(F.col(column), payload.schema[column].dataType))
+
+
+def redact_json(payload: DataFrame, column: str) -> DataFrame:
+    """redact for a column of JSON texts of any shape. Text that isn't JSON is masked as a text, null stays."""
+    shapes = re.compile("|".join(SECRET_SHAPES))
+
+    def masked(v):
+        if isinstance(v, str):
+            return REDACTED if shapes.search(v) else v if len(v) <= MAX_TEXT else f"{v[:MAX_TEXT]}…«+{len(v) - MAX_TEXT}»"
+        if isinstance(v, list):
+            return [masked(x) for x in v]
+        if isinstance(v, dict):
+            return {k: REDACTED if _is_secret(k) else masked(x) for k, x in v.items()}
+        return v
+
+    def line(text: str | None) -> str | None:
+        if text is None:
+            return None
+        try:
+            return json.dumps(masked(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+        except (ValueError, RecursionError):
+            return masked(text)
+
+    @F.pandas_udf("string")
+    def lines(texts: pd.Series) -> pd.Series:
+        return texts.map(line)
+
+    return payload.withColumn(column, lines(column))
 
 
 def validate_interchange(docs: DataFrame) -> DataFrame:

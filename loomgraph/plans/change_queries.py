@@ -58,12 +58,23 @@ def c5(spark, sf):
     return D.breaking_reasons(_versions(spark, sf)).select("component_id", "position", "reason")
 
 
+_NARROWED = """SELECT p_partkey AS k, CASE WHEN p_size % 4 = 0 THEN '' ELSE 'a,b,c' END AS was, CASE p_size % 5 WHEN 0 THEN 'a,b,c,d' WHEN 1 THEN 'a,c' WHEN 2 THEN '' WHEN 3 THEN 'c,b,a' ELSE 'x' END AS now FROM part"""
+
+
+@query("c5_validation_narrowed", f"SELECT k, CASE WHEN len(n) > 0 AND (len(w) = 0 OR len(list_filter(w, lambda x: NOT list_contains(n, x))) > 0) THEN 'validation_narrowed' END AS reason FROM (SELECT k, list_filter(string_split(was, ','), lambda x: x <> '') AS w, list_filter(string_split(now, ','), lambda x: x <> '') AS n FROM ({_NARROWED})) WHERE len(n) > 0 AND (len(w) = 0 OR len(list_filter(w, lambda x: NOT list_contains(n, x))) > 0)")
+def c5_narrowed(spark, sf):
+    carrier(spark, sf, "nodes")
+    rows = spark.sql(_NARROWED)
+    side = lambda c: rows.selectExpr("k", "'enum' AS type", "'content' AS category", "false AS required", "CAST(NULL AS STRING) AS default_value", f"filter(split({c}, ','), x -> x <> '') AS values")
+    return D.breaking_reasons(D.property_diff(side("was"), side("now"), ["k"])).select("k", "reason")
+
+
 _SLOTS = """+old AS (SELECT src, slot, list_sort(list(CAST(dst AS VARCHAR))) AS c FROM slot_edges WHERE src % 10 <> 1 GROUP BY 1, 2), new AS (SELECT src, slot, list_sort(list(CAST(CASE WHEN src % 10 = 3 THEN dst + 1 ELSE dst END AS VARCHAR))) AS c FROM slot_edges WHERE src % 10 <> 2 GROUP BY 1, 2),
 j AS (SELECT coalesce(o.src, n.src) AS src, coalesce(o.slot, n.slot) AS slot, CASE WHEN o.src IS NULL THEN 'added' WHEN n.src IS NULL THEN 'removed' WHEN o.c <> n.c THEN 'children' END AS change FROM old o FULL JOIN new n ON o.src = n.src AND o.slot = n.slot)
 """
 
 
-@query("c4_slot_diff", with_carriers(_SLOTS + "SELECT src, slot, change, CASE change WHEN 'removed' THEN 'slot_removed' WHEN 'children' THEN 'slot_children_narrowed' END AS reason FROM j WHERE change IS NOT NULL", "slot_edges"))
+@query("c4_slot_diff", with_carriers(_SLOTS + "SELECT src, slot, change, CASE change WHEN 'removed' THEN 'slot_removed' WHEN 'children' THEN 'slot_allowed_components_narrowed' END AS reason FROM j WHERE change IS NOT NULL", "slot_edges"))
 def c4(spark, sf):
     edges = carrier(spark, sf, "slot_edges")
     lists = lambda df: df.groupBy("src", "slot").agg(F.collect_list(F.col("dst").cast("string")).alias("children"))
@@ -249,12 +260,12 @@ def d2_failures(spark, sf):
     return D.apply_failures(orders.selectExpr("o_orderpriority AS entity_type", "o_orderkey AS id", "CASE o_orderstatus WHEN 'F' THEN 'failed' ELSE 'succeeded' END AS status", "CASE WHEN o_orderkey % 2 = 0 THEN 'no' END AS error"))
 
 
-@query("b31_sanitize_breaking_changes", "SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN 'p:removed' WHEN 1 THEN 's:slot_removed' WHEN 2 THEN '' ELSE 'p:type_changed,s:slot_children_narrowed' END AS kept FROM part")
+@query("b31_sanitize_breaking_changes", "SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN 'p:removed' WHEN 1 THEN 's:slot_removed' WHEN 2 THEN '' ELSE 'p:type_changed,s:slot_allowed_components_narrowed' END AS kept FROM part")
 def b31(spark, sf):
     one = lambda p, s, r: f"named_struct('property_id', {p}, 'slot_id', {s}, 'reason', {r})"
     none = "CAST(NULL AS STRING)"
     listed = f"""CASE p_size % 4 WHEN 0 THEN array({one("'p'", none, "'removed'")}, {one("'p'", none, "'odd'")}) WHEN 1 THEN array({one(none, "'s'", "'slot_removed'")}, {one(none, "'s'", "'removed'")})
-      WHEN 2 THEN array({one(none, none, "'removed'")}, {one("'p'", none, none)}) ELSE array({one("'p'", none, "'type_changed'")}, {one(none, "'s'", "'slot_children_narrowed'")}) END AS breaking_changes"""
+      WHEN 2 THEN array({one(none, none, "'removed'")}, {one("'p'", none, none)}) ELSE array({one("'p'", none, "'type_changed'")}, {one(none, "'s'", "'slot_allowed_components_narrowed'")}) END AS breaking_changes"""
     found = D.sanitize_breaking_changes(spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey AS id", listed))
     return found.selectExpr("id", "array_join(transform(breaking_changes, b -> concat(CASE WHEN b.property_id IS NULL THEN 's:' ELSE 'p:' END, b.reason)), ',') AS kept")
 
@@ -293,7 +304,7 @@ def j3_composition(spark, sf):
 
 @query("j11_exclude_until_valid")
 def j11(spark, sf):
-    """Rounds and cycles are beyond plain SQL; tests hold it against a small graph."""
+    """Rounds and cycles are beyond plain SQL; tests/test_graph.py holds it against a small graph."""
     bad = carrier(spark, sf, "cat_components").filter("status = 'rejected'").selectExpr("component_id AS node")
     nodes = carrier(spark, sf, "nodes")
     return Z.exclude_until_valid(carrier(spark, sf, "slot_edges"), nodes, lambda left: left.join(bad, "node", "left_semi"))

@@ -122,10 +122,24 @@ def c25(spark, sf):
     return P.token_group_members(groups, tokens).select("group_path", F.array_join("members", ",").alias("members"))
 
 
-@query("i16_redact", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '[redacted]' WHEN length(text) > 4000 THEN concat(text[1:4000], '... [', length(text) - 4000, ' more]') ELSE text END AS value FROM documents")
+_MASKED = "CASE WHEN regexp_matches({v}, '^(?i:bearer)\\s+\\S+') OR regexp_matches({v}, 'CFPAT-[A-Za-z0-9_-]{{20,}}|sk-[A-Za-z0-9_-]{{20,}}|xox[baprs]-[A-Za-z0-9-]{{10,}}') THEN '«redacted»' WHEN length({v}) > 4000 THEN concat({v}[1:4000], '…«+', length({v}) - 4000, '»') ELSE {v} END"
+_SAID = "CASE doc_id % 7 WHEN 0 THEN concat('Bearer ', lang) WHEN 1 THEN concat('key sk-abcdefghijklmnopqrst', doc_id, ' of ', lang) WHEN 2 THEN concat('a Bearer ', lang) ELSE text END"
+
+
+@query("i16_redact", f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '«redacted»' ELSE {_MASKED.format(v='said')} END AS head, '«redacted»' AS auth, {_MASKED.format(v='said')} AS note, {_MASKED.format(v='lang')} AS author, '«redacted»' AS keyed
+FROM (SELECT doc_id, lang, {_SAID} AS said FROM documents)""")
 def i16(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("m", F.expr("map(CASE WHEN doc_id % 2 = 0 THEN 'apiKey' ELSE 'body' END, text)"))
-    return P.redact(docs, "m").select("doc_id", F.map_values("m")[0].alias("value"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "lang", f"{_SAID} AS said")
+    payload = "named_struct('headers', map(CASE WHEN doc_id % 3 = 0 THEN 'X-ApiKey' ELSE 'X-Id' END, said), 'items', array(named_struct('auth', lang, 'author', lang, 'note', said)), 'cma', named_struct('id', doc_id)) AS payload"
+    seen = P.redact(docs.selectExpr("doc_id", payload), "payload")
+    return seen.selectExpr("doc_id", "map_values(payload.headers)[0] AS head", "payload.items[0].auth AS auth", "payload.items[0].note AS note", "payload.items[0].author AS author", "payload.cma AS keyed")
+
+
+@query("i16_redact_json", f"SELECT doc_id, {_MASKED.format(v='said')} AS said, '«redacted»' AS secret, 2 AS n FROM (SELECT doc_id, {_SAID} AS said FROM documents WHERE text IS NOT NULL)")
+def i16_json(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("text IS NOT NULL").selectExpr("doc_id", f"to_json(named_struct('deep', array(named_struct('said', {_SAID}, 'n', 2, 'client_Secret', array(1, 2))))) AS line")
+    get = lambda at: f"get_json_object(line, '$.deep[0].{at}')"
+    return P.redact_json(docs, "line").selectExpr("doc_id", f"{get('said')} AS said", f"{get('client_Secret')} AS secret", f"int({get('n')}) AS n")
 
 
 @query("i17_validate_interchange", "SELECT p_partkey AS doc, CASE p_size % 4 WHEN 0 THEN 'bad JSON' WHEN 1 THEN 'version must be 1' WHEN 2 THEN 'groups must map names to lists' ELSE '' END AS errors FROM part")
@@ -226,50 +240,96 @@ def b14(spark, sf):
     return S.slice_regions(docs, ("tion",), 1).select("file_id", "start", "stop")
 
 
-_CODE = """SELECT p_partkey AS file_id, concat('import { A, B } from ''./', p_type, ''';', chr(10), 'import X from "lib";', chr(10), 'export const c', CAST(p_size AS STRING), ' = 1; export default function F() {}', chr(10), '<slot name="s', CAST(p_size AS STRING), '"/><slot/><slot name="s', CAST(p_size AS STRING), '"/>') AS content FROM part"""
+#: Source files of a project: imports of neighbours, exports of all kinds, and uses of other components.
+_CODE = """SELECT p_partkey AS file_id, concat('/repo/pkg', CAST(p_partkey % 40 AS STRING), '/src/', CASE p_size % 3 WHEN 0 THEN 'ui/' WHEN 1 THEN 'pages/' ELSE '' END, 'C', CAST(p_partkey AS STRING), CASE p_partkey % 7 WHEN 0 THEN '.astro' WHEN 1 THEN '.tsx' WHEN 2 THEN '.ts' WHEN 3 THEN '.vue' WHEN 4 THEN '.svelte' WHEN 5 THEN '.js' ELSE '/index.jsx' END) AS path,
+  concat(CASE WHEN p_size % 11 = 0 THEN '// stub' ELSE '// code' END, chr(10), 'import { C', CAST(p_partkey + 40 AS STRING), ' } from ''./C', CAST(p_partkey + 40 AS STRING), ''';', chr(10), 'import X, { A as B } from "../ui/C', CAST(p_partkey + 80 AS STRING), '";', chr(10), 'import type T from ''lib/', p_type, ''';', chr(10), 'import { up } from ''../../../../out'';', chr(10),
+  'export const c', CAST(p_size AS STRING), ' = 1; export class K {}', chr(10), 'export default function F() {}', chr(10), 'export { a, b as D, a };', chr(10),
+  CASE p_size % 5 WHEN 0 THEN concat('<C', CAST(p_partkey + 40 AS STRING), ' id="x" />') WHEN 1 THEN concat('register(C', CAST(p_partkey + 2 AS STRING), ' );') WHEN 2 THEN concat('const all = { hero: C', CAST(p_partkey + 2 AS STRING), ' }; // Registry') WHEN 3 THEN concat('// C', CAST(p_partkey + 3 AS STRING), ' is old') ELSE concat('{ C', CAST(p_partkey + 1 AS STRING), ' : 1 }') END) AS content FROM part"""
+_DUCK_CODE = _CODE.replace("AS STRING", "AS VARCHAR")
+_IMPORT_SQL = """imp AS (SELECT file_id, path AS importer, i - 1 AS place, trim(cs[i]) AS clause, ss[i] AS source FROM (SELECT file_id, path, regexp_extract_all(content, 'import\\s+(?:type\\s+)?(.+?)\\s+from\\s+[''"]([^''"]+)[''"]', 1) AS cs, regexp_extract_all(content, 'import\\s+(?:type\\s+)?(.+?)\\s+from\\s+[''"]([^''"]+)[''"]', 2) AS ss, unnest(range(1, 5)) AS i FROM code))"""
+_EXPORT_SQL = """exp AS (SELECT file_id, path, list_sort(list_distinct(list_concat(regexp_extract_all(content, 'export\\s+(?:const|function|class|type|interface|enum)\\s+([A-Za-z0-9_]+)', 1), list_transform(regexp_extract_all(content, 'export\\s+default\\s+([A-Za-z0-9_]+)', 1), lambda x: concat('default:', x)), list_filter(list_transform(string_split(array_to_string(regexp_extract_all(content, 'export\\s*\\{([^}]+)\\}', 1), ','), ','), lambda x: trim(x)), lambda x: x <> '')))) AS names FROM code)"""
 
 
-@query("b15_extract_imports", "SELECT p_partkey AS file_id, '{ A, B }' AS clause, concat('./', p_type) AS source, true AS local FROM part UNION ALL SELECT p_partkey, 'X', 'lib', false FROM part")
-def b15(spark, sf):
+def _code(spark, sf):
     carrier(spark, sf, "nodes")
-    return S.extract_imports(spark.sql(_CODE))
+    return spark.sql(_CODE)
+
+
+def _code_components(spark, sf):
+    return _code(spark, sf).selectExpr("concat('C', file_id) AS name", "path")
 
 
-@query("b15_extract_exports", "SELECT p_partkey AS file_id, unnest([concat('c', p_size), 'F']) AS name FROM part")
+@query("b15_extract_imports", f"WITH code AS ({_DUCK_CODE}), {_IMPORT_SQL} SELECT file_id, CAST(place AS INTEGER) AS place, clause, source, array_to_string(list_transform(list_filter(string_split(clause, ','), lambda x: trim(x) <> ''), lambda x: trim(regexp_replace(regexp_replace(trim(x), '^\\{{(.*)\\}}$', '\\1'), ' as .*$', ''))), ';') AS names, starts_with(source, '.') AS local FROM imp")
+def b15(spark, sf):
+    return S.extract_imports(_code(spark, sf)).withColumn("names", F.array_join("names", ";"))
+
+
+@query("b15_extract_exports", f"WITH code AS ({_DUCK_CODE}), {_EXPORT_SQL} SELECT file_id, unnest(names) AS name FROM exp")
 def b15_exports(spark, sf):
-    carrier(spark, sf, "nodes")
-    return S.extract_exports(spark.sql(_CODE))
+    return S.extract_exports(_code(spark, sf)).select("file_id", "name")
 
 
-@query("b16_extract_template_slots", "SELECT p_partkey AS file_id, concat('s', p_size) AS name, 0 AS place FROM part UNION ALL SELECT p_partkey, 'default', 1 FROM part")
+_SLOTTED = """SELECT p_partkey AS file_id, concat('/s/T', CAST(p_partkey AS STRING), CASE p_size % 3 WHEN 0 THEN '.astro' WHEN 1 THEN '.ts' ELSE '.vue' END) AS path, CASE p_size % 3
+  WHEN 0 THEN concat('---', chr(10), 'const a = Astro.slots.render("r', p_brand, '"); Astro.slots.render("s', CAST(p_size AS STRING), '")', chr(10), '---', chr(10), '<slot name="s', CAST(p_size AS STRING), '" /><slot /><slot class="no"/>')
+  WHEN 1 THEN concat('/** @slot - Main ', p_type, chr(10), ' * @slot z', CAST(p_size AS STRING), ' - Last */', chr(10), 'html`<slot></slot><slot id="i" name="a"></slot><slot name=''z', CAST(p_size AS STRING), '''></slot>`')
+  ELSE concat('<template><slot v-if="x" name="n', CAST(p_size AS STRING), '"/><slot/><slot name="n', CAST(p_size AS STRING), '"/></template>') END AS content FROM part"""
+
+
+@query("b16_extract_template_slots", f"""
+WITH f AS ({_SLOTTED.replace("AS STRING", "AS VARCHAR")}), t AS (
+  SELECT file_id, path, unnest(regexp_extract_all(regexp_replace(content, '(?s)^---.*---', ''), '<slot(?:\\s+name=["'']([^"'']+)["''])?\\s*/?>', 1)) AS name, generate_subscripts(regexp_extract_all(regexp_replace(content, '(?s)^---.*---', ''), '<slot(?:\\s+name=["'']([^"'']+)["''])?\\s*/?>', 1), 1) AS pl, NULL AS description FROM f WHERE path LIKE '%.astro'
+  UNION ALL SELECT file_id, path, unnest(regexp_extract_all(content, 'render\\("([^"]+)"', 1)), 100 + generate_subscripts(regexp_extract_all(content, 'render\\("([^"]+)"', 1), 1), NULL FROM f WHERE path LIKE '%.astro'
+  UNION ALL SELECT file_id, path, '', 1, regexp_extract(content, '@slot - (.*)', 1) FROM f WHERE path LIKE '%.ts'
+  UNION ALL SELECT file_id, path, regexp_extract(content, '@slot (z\\d+) - (\\w+)', 1), 2, regexp_extract(content, '@slot (z\\d+) - (\\w+)', 2) FROM f WHERE path LIKE '%.ts'
+  UNION ALL SELECT file_id, path, regexp_extract(a, 'name=["'']([^"'']+)["'']', 1), 100 + i, NULL FROM (SELECT file_id, path, unnest(regexp_extract_all(content, '<slot\\b([^>]*)>', 1)) AS a, generate_subscripts(regexp_extract_all(content, '<slot\\b([^>]*)>', 1), 1) AS i FROM f WHERE path NOT LIKE '%.astro')
+), m AS (SELECT file_id, any_value(path) AS path, CASE coalesce(name, '') WHEN '' THEN 'default' ELSE name END AS name, min(pl) AS pl, arg_min(description, pl) FILTER (description IS NOT NULL) AS description FROM t GROUP BY file_id, 3)
+SELECT file_id, name, name = 'default' AS is_default, description, CAST(row_number() OVER (PARTITION BY file_id ORDER BY CASE WHEN path LIKE '%.ts' THEN name END, pl) - 1 AS INTEGER) AS place FROM m""")
 def b16(spark, sf):
     carrier(spark, sf, "nodes")
-    return S.extract_template_slots(spark.sql(_CODE))
+    return S.extract_template_slots(spark.sql(_SLOTTED))
+
 
+_MANIFESTS = """SELECT concat('/d/N', CAST(p_partkey AS STRING), CASE WHEN p_size % 7 = 0 THEN '/other.json' ELSE '/design/manifest.json' END) AS path,
+  CASE p_size % 5 WHEN 0 THEN '{"component":' WHEN 1 THEN concat('{"component":{"name":"n', CAST(p_partkey AS STRING), '-x"}}') ELSE concat('{"component":{"name":"n', CAST(p_partkey AS STRING), '-x"},"variantsMeta":{"componentPropertyDefinitions":{"Slot#1":{"type":"SLOT","preferredValues":[{"name":"n', CAST(p_partkey - 1 AS STRING), '-x"},{"name":"n', CAST(p_partkey AS STRING), '-x"},{"name":"none"},7,{"name":3}]},"Size":{"type":"VARIANT","preferredValues":[{"name":"n', CAST(p_partkey - 2 AS STRING), '-x"}]},"odd":null,"Slot#2":{"type":"SLOT","preferredValues":[{"name":"n', CAST(p_partkey - 3 AS STRING), '-x"}]}}}}') END AS content FROM part"""
 
-@query("b18_manifest_edges", "SELECT concat('N', p_partkey) AS parent, concat('N', p_partkey - 1) AS child, 'body' AS slot FROM part WHERE p_partkey - 1 IN (SELECT p_partkey FROM part)")
+
+@query("b18_manifest_edges", f"""
+WITH m AS ({_MANIFESTS.replace("AS STRING", "AS VARCHAR")}), j AS (SELECT CAST(content AS JSON) AS j FROM m WHERE path LIKE '%manifest.json' AND json_valid(content)),
+d AS (SELECT j ->> '$.component.name' AS parent, unnest(from_json(json_extract(j, '$.variantsMeta.componentPropertyDefinitions.*'), '["JSON"]')) AS d FROM (SELECT j, 1 FROM j) WHERE json_extract(j, '$.variantsMeta') IS NOT NULL),
+v AS (SELECT parent, unnest(from_json(json_extract(d, '$.preferredValues'), '["JSON"]')) AS v FROM d WHERE d ->> '$.type' = 'SLOT'),
+e AS (SELECT regexp_extract(parent, 'n(\\d+)', 1)::BIGINT AS a, TRY_CAST(regexp_extract(v ->> '$.name', 'n(\\d+)', 1) AS BIGINT) AS b FROM v WHERE json_type(v, '$.name') = 'VARCHAR')
+SELECT DISTINCT concat('N', a, 'X') AS parent, concat('N', b, 'X') AS child FROM e WHERE a <> b AND a IN (SELECT p_partkey FROM part) AND b IN (SELECT p_partkey FROM part)""".replace("unnest(from_json(json_extract(j, '$.variantsMeta.componentPropertyDefinitions.*'), '[\"JSON\"]'))", "unnest(json_extract(j, '$.variantsMeta.componentPropertyDefinitions.*'))"))
 def b18(spark, sf):
-    part = spark.read.parquet(f"{sf}/part.parquet")
-    docs = part.selectExpr("concat('{\"N', p_partkey, '\":{\"properties\":{\"body\":{\"type\":\"SLOT\",\"preferredValues\":[\"N', p_partkey - 1, '\",\"N', p_partkey, '\",\"zz\"]},\"t\":{\"type\":\"TEXT\"}}}}') AS content")
-    return S.manifest_edges(docs, part.selectExpr("concat('N', p_partkey) AS name"))
+    carrier(spark, sf, "nodes")
+    return S.manifest_edges(spark.sql(_MANIFESTS), carrier(spark, sf, "nodes").selectExpr("concat('N', node, 'X') AS name"))
+
 
+_RESOLVED_SQL = f"""{_IMPORT_SQL},
+base AS (SELECT importer, source, CASE WHEN starts_with(source, '.') THEN regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(concat(regexp_replace(importer, '/[^/]*$', ''), '/', source), '/\\./', '/'), '/[^/.]+/\\.\\./', '/'), '/[^/.]+/\\.\\./', '/'), '/[^/.]+/\\.\\./', '/'), '/[^/.]+/\\.\\./', '/'), '/[^/.]+/\\.\\./', '/'), '^(/\\.\\.)+', '') END AS base FROM imp),
+tried AS (SELECT importer, source, base, n, concat(base, ['', '.astro', '.js', '.jsx', '.svelte', '.ts', '.tsx', '.vue', '/index.astro', '/index.js', '/index.jsx', '/index.svelte', '/index.ts', '/index.tsx', '/index.vue'][n]) AS path FROM base, range(1, 16) r(n)),
+ok AS (SELECT importer, source, arg_min(path, n) AS path FROM tried WHERE path IN (SELECT path FROM code) GROUP BY 1, 2)"""
 
-@query("c14_resolve_local_imports", "SELECT p_partkey AS importer, concat('f', p_partkey + 1) AS target, CASE WHEN p_partkey + 1 IN (SELECT p_partkey FROM part) THEN concat('f', p_partkey + 1, CASE (p_partkey + 1) % 3 WHEN 0 THEN '.tsx' WHEN 1 THEN '/index.ts' ELSE '.vue' END) END AS path FROM part")
+
+@query("c14_resolve_local_imports", f"WITH code AS ({_DUCK_CODE}), {_RESOLVED_SQL} SELECT b.importer, b.source, CASE WHEN coalesce(ok.path, b.base) LIKE '/repo/%' THEN coalesce(ok.path, b.base)[7:] END AS path FROM base b LEFT JOIN ok ON ok.importer = b.importer AND ok.source = b.source")
 def c14(spark, sf):
-    part = spark.read.parquet(f"{sf}/part.parquet")
-    files = part.selectExpr("concat('f', p_partkey, CASE p_partkey % 3 WHEN 0 THEN '.tsx' WHEN 1 THEN '/index.ts' ELSE '.vue' END) AS path")
-    return S.resolve_local_imports(part.selectExpr("p_partkey AS importer", "concat('f', p_partkey + 1) AS target"), files)
+    code = _code(spark, sf)
+    return S.resolve_local_imports(S.extract_imports(code.withColumn("file_id", F.col("path"))).withColumnRenamed("file_id", "importer").select("importer", "source"), code, "/repo")
 
 
-@query("c17_sibling_files", with_carriers("+f AS (SELECT DISTINCT path, regexp_replace(path, '/[^/]*$', '') AS folder FROM files), j AS (SELECT a.path AS own, b.path, row_number() OVER (PARTITION BY a.path ORDER BY b.path) AS n FROM f a JOIN f b ON a.folder = b.folder AND a.path <> b.path) SELECT own, path, n FROM j WHERE n <= 5", "files"))
+@query("c17_sibling_files", f"WITH code AS ({_DUCK_CODE}), {_EXPORT_SQL}, f AS (SELECT c.path, regexp_replace(c.path, '/[^/]*$', '') AS folder, content, names FROM code c JOIN exp ON exp.path = c.path), j AS (SELECT a.path AS own, b.path, row_number() OVER (PARTITION BY a.path ORDER BY b.path) AS n, array_to_string(b.names, ';') AS exports, b.content AS snippet FROM f a JOIN f b ON a.folder = b.folder AND a.path <> b.path) SELECT own, path, n, exports, snippet FROM j WHERE n <= 5")
 def c17(spark, sf):
-    files = carrier(spark, sf, "files").select("path").distinct()
-    return S.sibling_files(files, files)
+    code = _code(spark, sf)
+    return S.sibling_files(code, code).withColumn("exports", F.array_join(F.array_sort("exports"), ";"))
+
 
+_HITS_SQL = """own AS (SELECT concat('C', file_id) AS name, path AS own FROM code), hits AS (SELECT name, own, path, content, regexp_matches(lower(content), 'resolver|registry|componentmap|component-map') OR regexp_matches(lower(path), 'resolver|registry') AS hinted FROM own JOIN code ON contains(content, name) AND path <> own),
+used AS (SELECT name, own, path, trim(content) AS snippet, row_number() OVER (PARTITION BY name ORDER BY path) AS n FROM hits WHERE NOT hinted AND NOT starts_with(content, '// stub') AND regexp_matches(content, concat('<', name, '\\b|\\b', name, '\\s*[),}]|\\b', name, '\\s*:'))),
+refs AS (SELECT name, own, path, row_number() OVER (PARTITION BY name ORDER BY path) AS n, trim(content) AS snippet FROM hits WHERE hinted)"""
 
-@query("c16_parent_usage_site", with_carriers("+w AS (SELECT file_id, unnest(list_distinct(regexp_extract_all(content, '(\\w+)', 1))) AS name FROM files) SELECT name, min(file_id) AS file_id FROM w WHERE name IN ('article', 'nav', 'track', 'footer', 'absent') GROUP BY 1", "files"))
+
+@query("c16_parent_usage_site", f"WITH code AS ({_DUCK_CODE}), {_HITS_SQL} SELECT name, own, path, snippet FROM used WHERE n = 1")
 def c16(spark, sf):
-    return S.parent_usage_site(spark.sql("SELECT explode(array('article', 'nav', 'track', 'footer', 'absent')) AS name"), carrier(spark, sf, "files"))
+    return Z.parent_usage_site(_code_components(spark, sf), _code(spark, sf))
 
 
 @query("d13_extraction_summary", with_carriers(f"+w AS ({_WARN}) SELECT session_id, count(DISTINCT source) AS files, count(*) AS components, sum((SELECT count(*) FROM cat_props p WHERE p.component_id = c.component_id)) AS props, sum((SELECT count(*) FROM cat_slots p WHERE p.component_id = c.component_id)) AS slots, (SELECT count(*) FROM w WHERE w.session_id % 4 = c.session_id) AS warnings, (SELECT count(*) FROM steps t WHERE t.status = 'failed' AND t.session_id % 4 = c.session_id) AS errors FROM cat_components c GROUP BY 1", "cat_components", "cat_props", "cat_slots", "steps"))
@@ -293,31 +353,40 @@ def b6(spark, sf):
     return Z.inspect_source(rows).select("component_id", "wrapper_confidence", "keep_despite_zero_surface")
 
 
-@query("b17_extract_declared_children", "SELECT p_partkey AS component_id, 's' AS slot, CASE WHEN p_size % 2 = 0 THEN 'Card,Hero' ELSE 'Card' END AS children FROM part")
+_TYPED = """SELECT p_partkey AS component_id, 's' AS slot, CASE p_size % 4 WHEN 0 THEN concat('React.ReactElement<P', CAST(p_partkey AS STRING), ', any>[]') WHEN 1 THEN concat('Snippet<[P', CAST(p_partkey AS STRING), ', { x: P', CAST(p_partkey - 1 AS STRING), ' }]>') WHEN 2 THEN 'ReactNode' END AS type,
+  CASE WHEN p_size % 3 = 0 THEN concat('/** @allowedComponents C', CAST(p_partkey - 2 AS STRING), ' , C', CAST(p_partkey AS STRING), 'x') END AS doc FROM part"""
+
+
+@query("b17_extract_declared_children", f"""
+WITH t AS ({_TYPED.replace("AS STRING", "AS VARCHAR")}), i AS (SELECT component_id, slot, unnest(regexp_extract_all(type, '[A-Za-z_$][\\w$.]*')) AS p FROM t WHERE type LIKE 'Snippet%' UNION ALL SELECT component_id, slot, regexp_extract(type, 'ReactElement\\s*<\\s*([\\w$.]+)', 1) FROM t WHERE type LIKE '%ReactElement<%'),
+c AS (SELECT component_id, slot, concat('C', p[2:]) AS name FROM i WHERE regexp_matches(p, '^P\\d+$') UNION SELECT component_id, slot, trim(unnest(string_split(regexp_extract(doc, '@allowedComponents\\s+([^*]+)', 1), ','))) FROM t WHERE doc IS NOT NULL)
+SELECT component_id, slot, string_agg(DISTINCT name, ',' ORDER BY name) AS children FROM c WHERE name IN (SELECT concat('C', p_partkey) FROM part) GROUP BY 1, 2""")
 def b17(spark, sf):
-    slots = spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey AS component_id", "'s' AS slot", "'React.ReactElement<CardProps>[]' AS type", "CASE WHEN p_size % 2 = 0 THEN '/** @allowedComponents Hero, Odd */' END AS doc")
-    names = spark.sql("SELECT explode(array('Card', 'Hero')) AS name")
-    return Z.extract_declared_children(slots, names).select("component_id", "slot", F.array_join("children", ",").alias("children"))
+    nodes = carrier(spark, sf, "nodes")
+    names, props = nodes.selectExpr("concat('C', node) AS name"), nodes.selectExpr("concat('P', node) AS props_type", "concat('C', node) AS name")
+    return Z.extract_declared_children(spark.sql(_TYPED), names, props).select("component_id", "slot", F.array_join("children", ",").alias("children"))
 
 
-@query("b19_doc_edges", "SELECT concat('C', p_partkey) AS parent, concat('C', p_partkey - 1) AS child FROM part WHERE p_partkey - 1 IN (SELECT p_partkey FROM part)")
+_DOCS = """SELECT concat('/d', CAST(p_partkey AS STRING), CASE WHEN p_size % 6 = 0 THEN '/README.md' ELSE '/AGENTS.md' END) AS path, concat('Direct **`c', CAST(p_partkey + 1 AS STRING), '-y`** CHILDREN only, with **`C', CAST(p_partkey AS STRING), 'Y`**.', chr(10), 'See **`C', CAST(p_partkey + 2 AS STRING), 'Y`**.', chr(10), 'It ', CASE p_size % 3 WHEN 0 THEN 'wraps' WHEN 1 THEN 'accepts' ELSE 'contains' END, ' **`C', CAST(p_partkey + 3 AS STRING), 'Y`** and `C1Y`') AS content FROM part"""
+
+
+@query("b19_doc_edges", "SELECT concat('C', p_partkey, 'Y') AS parent, concat('C', c, 'Y') AS child FROM (SELECT p_partkey, p_size, unnest([p_partkey + 1, p_partkey + 3]) AS c FROM part) WHERE p_size % 6 <> 0 AND c IN (SELECT p_partkey FROM part) AND (c = p_partkey + 1 OR p_size % 3 <> 1)")
 def b19(spark, sf):
-    part = spark.read.parquet(f"{sf}/part.parquet")
-    files = part.selectExpr("concat('/d', p_partkey, '/AGENTS.md') AS path", "concat('It accepts **`C', p_partkey - 1, '`** and **`C', p_partkey, '`**.\nSee **`C0`** too.') AS content")
-    return Z.doc_edges(files, part.selectExpr("concat('/d', p_partkey, '/c.tsx') AS path", "concat('C', p_partkey) AS name", "p_partkey AS arrival"))
+    nodes = carrier(spark, sf, "nodes")
+    return Z.doc_edges(spark.sql(_DOCS), nodes.selectExpr("concat('/d', node, '/c.tsx') AS path", "concat('C', node, 'Y') AS name", "node AS arrival"))
 
 
-@query("c15_resolver_references", with_carriers("+w AS (SELECT path, unnest(list_distinct(regexp_extract_all(content, '(\\w+)', 1))) AS name FROM files WHERE contains(content, 'track(1') OR contains(path, 'track(1')), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY path) AS n FROM w WHERE name IN ('article', 'nav')) SELECT path, name, n FROM r WHERE n <= 3", "files"))
+@query("c15_resolver_references", f"WITH code AS ({_DUCK_CODE}), {_HITS_SQL} SELECT name, own, path, n, snippet FROM refs WHERE n <= 3")
 def c15(spark, sf):
-    return Z.resolver_references(spark.sql("SELECT explode(array('article', 'nav')) AS name"), carrier(spark, sf, "files"), ("track(1",)).select("path", "name", "n")
+    return Z.resolver_references(_code_components(spark, sf), _code(spark, sf))
 
 
-@query("c18_selection_context", with_carriers("""+f AS (SELECT path, min(file_id) AS file_id, regexp_replace(path, '/[^/]*$', '') AS folder FROM files GROUP BY path), n AS (SELECT folder, count(*) AS n FROM f GROUP BY 1),
-i AS (SELECT file_id, count(*) AS n FROM (SELECT file_id, unnest(regexp_extract_all(content, '<a href="([^"]*)"', 1)) AS t FROM files) GROUP BY 1)
-SELECT f.file_id, CASE WHEN path LIKE '%/%' THEN coalesce(i.n, 0) END AS imports, CASE WHEN path LIKE '%/%' THEN least(5, n.n - 1) END AS siblings FROM f JOIN n USING (folder) LEFT JOIN i ON i.file_id = f.file_id""", "files"))
+@query("c18_selection_context", f"""WITH code AS ({_DUCK_CODE}), {_RESOLVED_SQL}, {_EXPORT_SQL}, {_HITS_SQL},
+folder AS (SELECT regexp_replace(path, '/[^/]*$', '') AS folder, count(*) AS n FROM code GROUP BY 1)
+SELECT concat('C', c.file_id) AS name, c.path, CASE WHEN ok THEN length(content) END AS chars, CASE WHEN ok THEN 4 END AS n_imports, CASE WHEN ok THEN (SELECT string_agg(CASE WHEN coalesce(o.path, b.base) LIKE '/repo/%' THEN coalesce(o.path, b.base)[7:] ELSE '-' END, ';' ORDER BY b.source) FROM base b LEFT JOIN ok o ON o.importer = b.importer AND o.source = b.source WHERE b.importer = c.path) END AS resolved,
+  CASE WHEN ok THEN array_to_string(names, ';') END AS exports, CASE WHEN ok THEN least(5, f.n - 1) END AS n_siblings, CASE WHEN ok THEN (SELECT count(*) FROM refs r WHERE r.own = c.path AND r.n <= 3) END AS n_references, CASE WHEN ok THEN (SELECT u.path FROM used u WHERE u.own = c.path AND u.n = 1) END AS used_in
+FROM (SELECT *, path LIKE '/repo/%' AS ok FROM code) c JOIN exp ON exp.path = c.path JOIN folder f ON f.folder = regexp_replace(c.path, '/[^/]*$', '')""")
 def c18(spark, sf):
-    files = carrier(spark, sf, "files")
-    components = files.groupBy("path").agg(F.min("file_id").alias("file_id")).withColumn("name", F.col("path"))
-    imports = S.extract_links(files)
-    none = components.select("name", "file_id").limit(0)
-    return Z.selection_context(components, imports, S.sibling_files(components, files), none, none).select("file_id", "imports", "siblings")
+    found = Z.selection_context(_code_components(spark, sf), _code(spark, sf), "/repo")
+    shown = "array_join(transform(array_sort(transform(imports, i -> struct(i.source, coalesce(i.resolved, '-') AS r))), x -> x.r), ';') AS resolved"
+    return found.selectExpr("name", "path", "length(code) AS chars", "n_imports", shown, "array_join(array_sort(transform(exports, e -> e.name)), ';') AS exports", "n_siblings", "n_references", "usage.file AS used_in")

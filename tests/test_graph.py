@@ -133,3 +133,20 @@ def test_cycles_and_chains_with_slots(spark, monkeypatch, limit):
     chains = G.ancestor_chains(e, n, n).collect()
     assert sorted({tuple(r.chain) for r in chains}) == sorted({c for i in range(9) for c in chains_of(up, i)})
     assert len(chains) == sum(int(np.prod([slots(a, b) for a, b in zip(c, c[1:])])) for i in range(9) for c in chains_of(up, i))
+
+
+def test_entries_go_until_what_is_left_is_valid(spark):
+    """Two rounds of offenders, the second only seen after the first; then the targets of the edges that break cycles."""
+    from loomgraph.operators.inspection import exclude_until_valid
+
+    e = spark.createDataFrame([(a, "s", b) for a, b in [(1, 2), (2, 3), (3, 1), (4, 1), (5, 6), (6, 5)]], "src long, slot string, dst long")
+    n = spark.createDataFrame([(i,) for i in range(1, 9)], "node long")
+    rounds = []
+
+    def offenders(left):
+        rounds.append(sorted(r.node for r in left.collect()))
+        return left.filter(f"node IN ({'5' if len(rounds) == 1 else '8' if len(rounds) == 2 else '7'})")
+
+    got = {r.node for r in exclude_until_valid(e, n, offenders).collect()}
+    assert rounds == [[1, 2, 3, 4, 5, 6, 7, 8], [1, 2, 3, 4, 6, 7, 8]]
+    assert got == {1, 3, 4, 6, 7}  # the cycle 1, 2, 3 breaks at its first edge, whose target is 2; 6 is on none any more
