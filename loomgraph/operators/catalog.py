@@ -27,6 +27,16 @@ class Catalog(NamedTuple):
     children: DataFrame
 
 
+#: The columns of each table, as a catalog in folders has them.
+SCHEMAS = {
+    "components": "session_id int, component_id string, name string, source string, framework string, status string, description string, description_rationale string, props_rationale string, slots_rationale string",
+    "props": "session_id int, component_id string, name string, position int, type string, required boolean, cdf_type string, category string, token_kind string, description string, default_value string, rationale string",
+    "allowed_values": "session_id int, component_id string, prop_name string, position int, value string",
+    "slots": "session_id int, component_id string, name string, position int, is_default boolean, required boolean, description string, rationale string",
+    "children": "session_id int, component_id string, slot_name string, position int, child string",
+}
+
+
 def _last(value: Column, when: Column) -> Column:
     """The value of the last call that `when` lets write it, in a struct, so that a null written differs from none."""
     return F.max_by(F.struct(value.alias("v")), F.when(when, F.col("seq")))

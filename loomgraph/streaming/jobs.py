@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomgraph.operators import catalog, parsing
+from loomgraph.sources.group_log import GroupLog
 
 DAY = 24 * 60 * 60 * 1000
 
@@ -25,32 +26,45 @@ def stream_tool_calls(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parsing.parse_prop_calls(lines)
 
 
-def stream_apply_calls(calls: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Apply each micro-batch of calls to the catalog under folder, which has a version of every table for each batch.
+def catalog_log(spark: SparkSession, folder: str, max_deltas: int = 20) -> GroupLog:
+    """The catalog under a folder, as a log of changed components."""
+    return GroupLog(spark, folder, catalog.COMPONENT, catalog.SCHEMAS, max_deltas)
 
-    A batch reads the newest version before its own number and writes its own anew, so that one that is run again after a
-    failure gives the same tables. The first version, of number -1, is written by store_catalog.
+
+def stream_apply_calls(calls: DataFrame, folder: str, checkpoint: str, max_deltas: int = 20) -> StreamingQuery:
+    """Apply each micro-batch of calls to the catalog under folder, whose first tables store_catalog has written.
+
+    A batch writes the rows of the components that it touches, made from those before it, so that one that is run again
+    after a failure gives the same tables.
     """
-    spark = calls.sparkSession
+    log = catalog_log(calls.sparkSession, folder, max_deltas)
 
     def apply(batch: DataFrame, number: int) -> None:
-        store_catalog(catalog.apply_calls(load_catalog(spark, folder, before=number), batch)[0], folder, number)
+        batch = batch.persist()
+        log.apply(number, batch, lambda old: catalog.apply_calls(catalog.Catalog(**old), batch)[0]._asdict())
+        batch.unpersist()
 
     return calls.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def store_catalog(tables: catalog.Catalog, folder: str, number: int = -1) -> None:
-    """Write a version of a catalog; the last file tells that it is whole."""
-    for name, table in zip(tables._fields, tables, strict=True):
-        table.write.mode("overwrite").parquet(f"{folder}/{number}/{name}")
-    tables.props.sparkSession.range(1).select(F.lit(number).alias("number")).write.mode("overwrite").parquet(f"{folder}/versions/{number}")
+    """Write a catalog as the base of a log."""
+    catalog_log(tables.props.sparkSession, folder).start(tables._asdict(), number)
 
 
 def load_catalog(spark: SparkSession, folder: str, before: int | None = None) -> catalog.Catalog:
-    """The newest whole version of a catalog, or the newest before a number."""
-    versions = spark.read.schema("number int").parquet(f"{folder}/versions/*")
-    number = versions.filter(F.lit(True) if before is None else F.col("number") < before).agg(F.max("number")).first()[0]
-    return catalog.Catalog(*(spark.read.parquet(f"{folder}/{number}/{name}") for name in catalog.Catalog._fields))
+    """The catalog after all batches, or after those before a number."""
+    return catalog.Catalog(**catalog_log(spark, folder).read(before))
+
+
+def stream_upserts(rows: DataFrame, folder: str, checkpoint: str, keys: list[str], schema: str, upsert: Callable[[DataFrame, DataFrame], DataFrame], max_deltas: int = 20) -> StreamingQuery:
+    """Put arriving rows into a keyed table under folder by upsert(old rows of their keys, new rows); reading it is GroupLog(...).read()."""
+    log = GroupLog(rows.sparkSession, folder, keys, {"rows": schema}, max_deltas)
+
+    def apply(batch: DataFrame, number: int) -> None:
+        log.apply(number, batch, lambda old: {"rows": upsert(old["rows"], batch)})
+
+    return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_session_started_once(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
