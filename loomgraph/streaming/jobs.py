@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomgraph.operators import catalog, parsing
 from loomgraph.sources.group_log import GroupLog
+from loomgraph.streaming.processors import Lifecycle, StepStatus, processed
 
 DAY = 24 * 60 * 60 * 1000
 
@@ -72,77 +71,15 @@ def stream_session_started_once(events: DataFrame, watermark: str = "1 hour") ->
     return events.filter("kind = 'started'").withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["session_id"])
 
 
-def _millis(times: pd.Series) -> list[int]:
-    return (times.astype("datetime64[us]").astype("int64") // 1000).tolist()
-
-
-def _followed(rows: DataFrame, keys: list[str], time: str, fields: list[str], fold: Callable, start: Callable, schema: str, keep: int) -> DataFrame:
-    """A state for each key that fold takes forward in order of event time, whatever the order of arrival.
-
-    Rows wait in the state until the watermark passes them. fold gives the new state and output rows; it sees the rows
-    that have settled and those that still wait, and only what it makes of the former stays. A key without rows for
-    `keep` milliseconds after the watermark leaves the state, by a last fold with over.
-    """
-
-    def follow(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        settled, waiting, last = json.loads(state.get[0]) if state.exists else (start(), [], 0)
-        for batch in batches:
-            waiting += [list(x) for x in zip(_millis(batch[time]), *(batch[f].tolist() for f in fields), strict=True)]
-        waiting.sort(key=lambda x: [(v is None, v) for v in x])
-        last = max([last, *(w[0] for w in waiting)])
-        mark = state.getCurrentWatermarkMs()
-        over = state.hasTimedOut and mark >= last + keep
-        ready = waiting if over else [w for w in waiting if w[0] < mark]
-        settled, shown = fold(key, settled, ready, waiting[len(ready) :], over)
-        if over:
-            state.remove()
-        else:
-            waiting = waiting[len(ready) :]
-            state.update((json.dumps([settled, waiting, last]),))
-            state.setTimeoutTimestamp(max(mark + 1, waiting[0][0] + 1 if waiting else last + keep))
-        if shown:
-            yield pd.DataFrame(shown, columns=[x.split()[0] for x in schema.split(", ")])
-
-    return rows.groupBy(*keys).applyInPandasWithState(follow, schema, "state string", "append" if "outcome" in schema else "update", "EventTimeTimeout")
-
-
 def stream_step_status(steps: DataFrame, watermark: str = "1 hour", keep: int = DAY) -> DataFrame:
-    """Per session and command, the last step and how many of its pending ones a later start interrupted, updated as steps arrive. Late steps within the watermark take their place in time."""
-
-    def run(state: list, steps: list) -> list:
-        step_id, status, interrupted = state
-        for _, new_id, new_status in steps:
-            step_id, status, interrupted = new_id, new_status, interrupted + (status == "pending")
-        return [step_id, status, interrupted]
-
-    def fold(key: tuple, settled: list, ready: list, waiting: list, over: bool) -> tuple[list, list]:
-        settled = run(settled, ready)
-        shown = run(settled, waiting)
-        return settled, [] if over else [(*key, *shown)]
+    """Per session and command, the last step and how many of its pending ones a later start interrupted, updated as steps arrive. Late steps within the watermark take their place in time.
 
-    schema = "session_id long, command string, step_id long, status string, interrupted long"
-    return _followed(steps.withWatermark("started_at", watermark), ["session_id", "command"], "started_at", ["step_id", "status"], fold, lambda: [None, None, 0], schema, keep)
+    A key without steps for `keep` milliseconds after the watermark leaves the state.
+    """
+    return processed(steps.withWatermark("started_at", watermark), ["session_id", "command"], StepStatus("started_at", "step_id", keep), "update")
 
 
 def stream_command_lifecycle(events: DataFrame, watermark: str = "1 hour", keep: int = DAY) -> DataFrame:
     """Each invocation once it has ended, by the rules of sessions.command_lifecycle: when its end is before the watermark, the next invocation is, or its session has been silent for so long."""
-
-    def fold(key: tuple, settled: list, ready: list, waiting: list, over: bool) -> tuple[list, list]:
-        number, started, closed = settled
-        ended = lambda outcome, at: (key[0], number, pd.Timestamp(started, unit="ms"), outcome, None if at is None else (at - started) / 1000)
-        shown = []
-        for at, _, kind, code in ready:
-            if kind == "invoked":
-                if started is not None and not closed:
-                    shown.append(ended("open", None))
-                number, started, closed = number + 1, at, False
-            elif kind in ("completed", "failed") and started is not None and not closed:
-                shown.append(ended("ok" if kind == "completed" else "interrupted" if code == 130 else "error", at))
-                closed = True
-        if over and started is not None and not closed:
-            shown.append(ended("open", None))
-        return [number, started, closed], shown
-
-    schema = "session_id long, run long, started_at timestamp, outcome string, seconds double"
     codes = events.withColumn("exit_code", F.coalesce("exit_code", F.lit(0)).cast("int"))
-    return _followed(codes.withWatermark("ts", watermark), ["session_id"], "ts", ["event_id", "kind", "exit_code"], fold, lambda: [0, None, True], schema, keep)
+    return processed(codes.withWatermark("ts", watermark), ["session_id"], Lifecycle("ts", "event_id", keep), "append")

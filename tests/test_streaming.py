@@ -1,5 +1,6 @@
 """Streams against their batch twins."""
 
+import pytest
 from pyspark.sql import functions as F
 from test_catalog import CALLS, call, full_catalog
 
@@ -77,3 +78,35 @@ def test_calls_are_applied_once_even_when_run_again(spark, tmp_path):
     assert sorted(map(repr, jobs.load_catalog(spark, folder).props.collect())) == once
     size = jobs.load_catalog(spark, folder).props.filter("name = 'size' AND component_id = 'c1'").first()
     assert (size.cdf_type, size.rationale) == ("excluded", "no") and jobs.load_catalog(spark, folder, before=1).props.filter("cdf_type = 'enum'").count() == 1
+
+
+def test_a_restart_goes_on_from_its_state(spark, tmp_path):
+    """The second half of the events, late ones among them, is taken up by another query from the checkpoint of the first."""
+    kind = "event_id long, session_id long, ts string, kind string, exit_code int"
+    first = stamped(spark, [(1, 1, "00:00:01", "invoked", None), (3, 1, "00:05:00", "invoked", None), (4, 2, "00:00:02", "invoked", None)], kind, "ts")
+    second = stamped(spark, [(2, 1, "00:00:03", "completed", None), (5, 1, "00:05:02", "failed", 130)], kind, "ts")
+    end = stamped(spark, [(6, 9, "09:00:00", "other", None)], kind, "ts")
+    folder, out, checkpoint = (str(tmp_path / x) for x in ("events", "out", "checkpoint"))
+
+    def go(*tables):
+        for i, table in enumerate(tables):
+            table.coalesce(1).write.parquet(f"{folder}/{len(list((tmp_path / 'events').glob('*'))) if (tmp_path / 'events').exists() else i}")
+        stream = jobs.stream_command_lifecycle(spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(folder), "10 minutes")
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        return {(r.session_id, r.run, r.outcome, r.seconds) for r in spark.read.schema(stream.schema).parquet(out).collect()} if (tmp_path / "out").exists() else set()
+
+    assert go(first) == set()
+    ended = go(second, end)
+    whole = sessions.command_lifecycle(first.unionByName(second).unionByName(end)).collect()
+    assert {e for e in ended if e[2] != "open"} == {(r.session_id, r.run, r.outcome, r.seconds) for r in whole if r.outcome != "open"} == {(1, 1, "ok", 2.0), (1, 2, "interrupted", 2.0)}
+
+
+def test_rocksdb_is_asked_for(spark):
+    from loomgraph.streaming import processors
+
+    other = spark.newSession()
+    other.conf.set(processors.PROVIDER, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    with pytest.raises(ValueError):
+        processors.needs_rocksdb(other)
+    processors.use_rocksdb(other)
+    processors.needs_rocksdb(other)
