@@ -23,7 +23,7 @@ from loomgraph.llm.common import of_texts, one_by_one
 WINDOW = 3
 THRESHOLD = 80
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</?([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</?([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?([a-zA-Z][\w:-]*)([^>]*)>", re.S)
 _RAW = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "select", "object", "canvas")}
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
@@ -33,10 +33,13 @@ _BLOCKS = frozenset(
 _DROPPED = frozenset("nav footer aside form head button menu dialog fieldset".split())
 _NOISE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|side-?bar\w*|footer|foot|header|masthead|top-?bar"
-    r"|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*"
-    r"|comments?|comment-\w+|disqus|replies|responses|widget|pagination|pager|skip-link|toolbar|legal|copyright)(?=$|[\s_-])",
+    r"|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*"
+    r"|comments?|comment-\w+|commentlist|discussion|disqus|replies|responses|widget|pagination|pager|skip-link|toolbar|legal|copyright)(?=$|[\s_-])",
     re.I,
 )
+#: What a paragraph or heading of its own may be beside text.
+_NOISY_TEXT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|newsletter|subscribe|breadcrumbs?|copyright)(?=$|[\s_-])", re.I)
+_TEXT_BLOCKS = ("p", "h1", "h2", "h3")
 _ROLES = re.compile(r"\brole\s*=\s*[\"']?(navigation|banner|contentinfo|complementary|search|form|dialog|alert|menu)\b", re.I)
 _NAMED = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
@@ -44,7 +47,7 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 _MAIN = frozenset(("article", "main"))
 #: Containers that are no wrappers of main text, however much they hold.
 _NEVER_WRAPS = frozenset("nav footer aside button menu dialog head article main".split())
-_TALK = re.compile(r"(?:^|[\s_-])(?:comments?|comment-\w+|disqus|replies|responses|related|recommend\w*)(?=$|[\s_-])", re.I)
+_TALK = re.compile(r"(?:^|[\s_-])(?:comments?|comment-\w+|commentlist|discussion|disqus|replies|responses|related|recommend\w*)(?=$|[\s_-])", re.I)
 _TEASER = re.compile(r"(?:^|[\s_-])(?:teasers?|cards?|previews?)(?=$|[\s_-])", re.I)
 
 
@@ -62,8 +65,10 @@ class _Container:
 def _noisy(name: str, attrs: str, in_main: bool) -> bool:
     if name in _DROPPED or (name == "header" and not in_main):
         return True
-    if not attrs or name in ("body", "html", "p", "h1", "h2", "h3"):
+    if not attrs or name in ("body", "html"):
         return False
+    if name in _TEXT_BLOCKS:
+        return any(_NOISY_TEXT.search(a or b or c) for a, b, c in _NAMED.findall(attrs))
     if _ROLES.search(attrs) or _HIDDEN.search(attrs):
         return True
     return any(_NOISE.search(a or b or c) or (name == "article" and _TEASER.search(a or b or c)) for a, b, c in _NAMED.findall(attrs))
@@ -107,14 +112,13 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
     """Lines of a page outside boilerplate: text, length outside links, and whether an article element holds it."""
     lines: list[tuple[str, int, bool]] = []
     buffer: list[str] = []
-    linked = in_link = breaks = 0
+    linked = in_link = 0
     mains: list[int] = []  # the open articles: how many containers were open before
     containers: list[_Container] = []
     inside: list[_Container] = []  # those that are open
 
     def flush() -> None:
-        nonlocal linked, breaks
-        breaks = 0
+        nonlocal linked
         text = " ".join(htmllib.unescape("".join(buffer)).split()) if buffer else ""
         buffer.clear()
         if text:
@@ -135,19 +139,17 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         if stop > at:
             piece = page[at:stop]
             buffer.append(piece)
-            if piece.strip():
-                breaks = 0
-                if in_link:
-                    linked += len(piece)
+            if in_link and piece.strip():
+                linked += len(piece)
         if not m:
             break
         at = m.end()
-        name = (m[1] or "").lower()
+        name = (m[1] or m[3] or "").lower()
         if not name:
             if m[0].startswith("<![CDATA["):
                 buffer.append(htmllib.escape(m[0][9:-3]))
             continue
-        closing, attrs = m[0][1] == "/", m[2] or ""
+        closing, attrs = m[0][1] == "/", m[2] or m[4] or ""
         if name in _RAW and not closing:
             if attrs.endswith("/"):
                 continue
@@ -158,9 +160,6 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             in_link = 0 if closing else 1
         elif name == "br":
             buffer.append(" ")
-            breaks += 1
-            if breaks > 1:
-                flush()
         if name in _BLOCKS:
             flush()
             in_link = 0
@@ -234,7 +233,8 @@ def extract_text(page: str | None, window: int = WINDOW, threshold: int = THRESH
 def extract(df: DataFrame, html: str | Column = "html", text_column: str = "text", window: int = WINDOW, threshold: int = THRESHOLD) -> DataFrame:
     """Add the main text of each page as text_column, and its code points as n_chars; they replace columns of these names.
 
-    Null or empty html gives an empty text. Nothing is cut from long pages; rows, repeated or not, stay as they are,
+    Null or empty html gives an empty text. A tag whose quotes don't close ends at its first >; one that never ends is
+    text, and what is left open is closed at the end of the page. Nothing is cut from long pages; rows, repeated or not, stay as they are,
     each read on its own, and an empty table stays empty.
     """
 

@@ -67,6 +67,35 @@ def test_main_text_beside_articles_and_in_wrappers(page):
     assert html_extraction.extract_text(html) == "\n".join(STORY)
 
 
+def test_lines_are_blocks_and_notices_go():
+    page = f"<body><article><p>{STORY[0]}<br><br>more<br/>still</p><p class='advert'>Buy</p><p class=notice>Mind</p><div class='alert'>Oh</div><h2 class='promo-line'>Now</h2><p class='lead text'>Lead</p><ol class='commentlist'><li>I say</li></ol><div id='discussion'>We say</div></article></body>"
+    assert html_extraction.extract_text(page).split("\n") == [f"{STORY[0]} more still", "Lead"]
+
+
+def test_broken_markup():
+    assert html_extraction.extract_text(f'<article><p>{STORY[0]}</p><p title="x>hello</p></article>').split("\n") == [STORY[0], "hello"]
+    assert html_extraction.extract_text(f"<article><p title='>{STORY[0]}<p>end <b").split("\n") == [STORY[0], "end <b"]
+
+
+def test_a_very_long_page():
+    text = [f"word{i} " * 20 for i in range(20_000)]
+    page = f"<article>{''.join(f'<p>{t}</p>' for t in text)}</article>"
+    assert html_extraction.extract_text(page) == "\n".join(t.strip() for t in text)
+
+
+def test_the_curve_is_that_of_its_definition():
+    """Surge and dive points by their definition, line for line, on random curves."""
+    r = random.Random(9)
+    for _ in range(300):
+        lines = [("x" * n, n if r.random() < 0.8 else 0, False) for n in (r.choice([0, 1, 5, 30, 90, 200]) + 1 for _ in range(r.randrange(1, 25)))]
+        sizes = [n if 2 * n >= len(t) else 0 for t, n, _ in lines]
+        curve = [sum(sizes[i : i + 3]) for i in range(len(sizes))]
+        surges = [i for i, c in enumerate(curve) if c >= 80]
+        inside = lambda i: any(s <= i and all(curve[k] > 0 for k in range(s, i + 1)) for s in surges)  # noqa: B023, E731
+        want = [t for i, (t, _, _) in enumerate(lines) if sizes[i] and (inside(i) if surges else True)]
+        assert html_extraction.main_span(lines) == want
+
+
 def test_short_lines_of_an_article_stay():
     page = f"<body><article><h1><a href=x>Eggs</a></h1><p>By me</p><p>May 1</p><p>One</p><p>{STORY[0]}</p><p>End</p></article><p>us</p></body>"
     assert html_extraction.extract_text(page).split("\n") == ["Eggs", "By me", "May 1", "One", STORY[0], "End"]
