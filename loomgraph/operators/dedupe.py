@@ -134,36 +134,26 @@ def first_component_per_file(components: DataFrame) -> DataFrame:
     return components.groupBy("session_id", "source").agg(F.min_by("name", "arrival").alias("name"))
 
 
-def merge_props(rows: DataFrame) -> DataFrame:
-    """Props of several sources by name: later sources overwrite what they give, required holds if all say so. Sources are ordered by `source_rank`."""
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("source_rank", c))).alias(c)
-    return rows.groupBy("component_key", "name").agg(last("type"), last("category"), F.bool_and("required").alias("required"))
+#: Fields of props that the last source that gives one decides.
+GIVEN = ("type", "category", "default_value", "description", "values")
 
 
-def cap_to_budget(files: DataFrame, budget: int = 80_000, per_token: int = 4) -> DataFrame:
-    """Add kept: the shortest files of a project whose tokens fit the budget, ties by path. Costs ascend, so the cut is a prefix."""
-    cost = F.ceil(F.length("content") / per_token)
-    order = Window.partitionBy("project").orderBy(F.length("content"), "path").rowsBetween(Window.unboundedPreceding, 0)
-    return files.withColumn("kept", F.sum(cost).over(order) <= budget)
+def merge_props(rows: DataFrame, replace: bool = False) -> DataFrame:
+    """Props of several sources by name, sources in order of source_rank: a later one overwrites what it gives, required holds if all say so.
+
+    The fields are those of GIVEN that rows has; an empty list of values gives nothing. With replace, the last source
+    that names a prop replaces it as a whole.
+    """
+    fields = [c for c in GIVEN if c in rows.columns]
+    if replace:
+        whole = F.max_by(F.struct(*fields, "required"), F.struct("source_rank", *(c for c in fields if c != "values"))).alias("p")
+        return rows.groupBy("component_key", "name").agg(whole).select("component_key", "name", "p.*")
+    there = lambda c: F.col(c).isNotNull() & (F.size(c) > 0 if c == "values" else F.lit(True))
+    last = lambda c: F.max_by(c, F.when(there(c), F.struct("source_rank", c))).alias(c)
+    return rows.groupBy("component_key", "name").agg(*map(last, fields), F.bool_and("required").alias("required"))
 
 
 def chunk(rows: DataFrame, order: str, size: int = 5, by: str = "session_id") -> DataFrame:
     """Add chunk and place, both from 0: rows in order, so many to a chunk."""
     n = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
     return rows.withColumn("chunk", F.floor(n / size)).withColumn("place", n % size)
-
-
-def batch_by_budget(files: DataFrame, budget: int = 6000, per_token: int = 4) -> DataFrame:
-    """project, path and batch: files of a project in order of path, a new batch where the next file doesn't fit; a file over the budget has one of its own.
-
-    Whether a file fits depends on all before it, so a project's paths and costs are folded as one sorted array.
-    """
-    cost = F.ceil(F.length("content") / per_token).cast("long")
-    listed = files.groupBy("project").agg(F.array_sort(F.collect_list(F.struct("path", cost.alias("cost")))).alias("files"))
-    fold = (
-        "aggregate(files, named_struct('batch', -1L, 'spent', 0L, 'open', false, 'out', CAST(array() AS ARRAY<STRUCT<path: STRING, batch: BIGINT>>)), (s, f) -> "
-        f"CASE WHEN f.cost > {budget} THEN named_struct('batch', s.batch + 1L, 'spent', 0L, 'open', false, 'out', concat(s.out, array(named_struct('path', f.path, 'batch', s.batch + 1L)))) "
-        f"WHEN s.open AND s.spent + f.cost <= {budget} THEN named_struct('batch', s.batch, 'spent', s.spent + f.cost, 'open', true, 'out', concat(s.out, array(named_struct('path', f.path, 'batch', s.batch)))) "
-        "ELSE named_struct('batch', s.batch + 1L, 'spent', f.cost, 'open', true, 'out', concat(s.out, array(named_struct('path', f.path, 'batch', s.batch + 1L)))) END).out"
-    )
-    return listed.select("project", F.explode(F.expr(fold)).alias("f")).select("project", "f.path", "f.batch")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
+from loomgraph.functions.lineage import cut, rows
+
 # Vocabularies of calls.
 CALL_TYPES = ["string", "enum", "richtext", "media", "boolean", "token", "link"]
 CATEGORIES = ["content", "design", "state"]
@@ -291,26 +293,95 @@ def parse_error_log(lines: DataFrame) -> DataFrame:
     return out.drop("__prefix", "__t", "__j", "__code", "__message", "__cycle")
 
 
-def apply_patch(components: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Components with the status of the first op (name, status, seq) of their name; and ops that name none."""
-    first = ops.groupBy("name").agg(F.min_by("status", "seq").alias("__s"))
-    return components.join(first, "name", "left").withColumn("status", F.coalesce("__s", "status")).drop("__s"), ops.join(components.select("name").distinct(), "name", "left_anti")
+# Characters of a path, keys that no path may hold, and how an item of a list is named.
+SAFE_PATH = r"^[a-zA-Z0-9_.$\[\]=]+$"
+FORBIDDEN_KEYS = ("__proto__", "constructor", "prototype")
+ITEM = r"^(.+)\[name=(.+)\]$"
+
+
+def set_at(proposal: dict, path: str, value) -> str | None:
+    """Set the value at a dotted path (field[name=x] is the first item of that name) of a parsed proposal, or say why it can't be."""
+    if not re.search(SAFE_PATH, path):
+        return f"path contains invalid characters: '{path}'"
+    *way, last = path.split(".")
+    if any(p in FORBIDDEN_KEYS for p in (*way, last)):
+        return f"path contains forbidden key: '{path}'"
+    at = proposal
+    for part in way:
+        if named := re.search(ITEM, part):
+            field, name = named.groups()
+            items = at.get(field) if isinstance(at, dict) else None
+            if isinstance(items, list):
+                at = next((x for x in items if isinstance(x, dict) and x.get("name") == name), None)
+                if at is None:
+                    return f"array item [name={name}] not found in '{field}'"
+            continue  # a field that is no list is passed over
+        inner = _entry(at, part)
+        if not isinstance(inner, (dict, list)):
+            return f"path '{path}' — '{part}' is not an object"
+        at = inner
+    if isinstance(at, dict):
+        at[last] = value
+    elif last.isdigit() and int(last) < len(at):
+        at[int(last)] = value
+    return None  # other names of a list aren't part of its JSON
+
+
+def _entry(at: dict | list, key: str):
+    if isinstance(at, dict):
+        return at.get(key)
+    return at[int(key)] if key.isdigit() and int(key) < len(at) else None
 
 
-def fuzzy_score(text: Column, query: str) -> Column:
+def apply_patch(components: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Components (name, status, proposal as JSON text) after the first op (name, seq, status, sets) of their name, and what went wrong: name, path and warning.
+
+    sets is an array of (path, value as JSON text), applied in order; a null status stays. Ops that name no component
+    are warned of too. A proposal that isn't an object takes no sets.
+    """
+    first = ops.groupBy("name").agg(F.min_by(F.struct("status", "sets"), "seq").alias("__op"))
+    named = components.join(first, "name", "left").withColumn("status", F.coalesce("__op.status", "status"))
+
+    @F.pandas_udf("proposal string, warnings array<struct<path: string, warning: string>>")
+    def patched(proposals: pd.Series, sets: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, listed in zip(proposals, sets, strict=True):
+            warnings = []
+            if listed is not None and len(listed):
+                proposal = json.loads(text) if text else None
+                for s in listed:
+                    said = set_at(proposal, s["path"], json.loads(s["value"])) if isinstance(proposal, dict) else "proposal is not an object"
+                    if said:
+                        warnings.append({"path": s["path"], "warning": said})
+                text = json.dumps(proposal, ensure_ascii=False, separators=(",", ":"))
+            out.append((text, warnings))
+        return pd.DataFrame(out, columns=["proposal", "warnings"])
+
+    done = named.withColumn("__p", patched("proposal", "__op.sets"))
+    warnings = done.select("name", F.explode("__p.warnings").alias("w")).select("name", "w.path", "w.warning")
+    unknown = ops.select("name").distinct().join(components.select("name").distinct(), "name", "left_anti")
+    warnings = warnings.unionByName(unknown.select("name", F.lit(None).cast("string").alias("path"), F.lit("no component of this name").alias("warning")))
+    return done.withColumn("proposal", F.col("__p.proposal")).drop("__op", "__p"), warnings
+
+
+def fuzzy_score_of(text: Column, query: Column) -> Column:
     """Score of query as a subsequence of text, null if it isn't one: 10 a letter, 5 more in the same case, 15 at the start, 5 next to the last, less a tenth of the length."""
-    letters = F.array(*map(F.lit, query))
-    lower = F.array(*map(F.lit, query.lower()))
+    letters, lower, size = F.split(query, ""), F.split(F.lower(query), ""), F.length(query)
     start = F.struct(F.lit(0).alias("q"), F.lit(-2).alias("last"), F.lit(0).alias("score"))
 
     def step(s: Column, i: Column) -> Column:
         c = text.substr(i + 1, F.lit(1))
-        hit = (s["q"] < len(query)) & (F.lower(c) == F.get(lower, s["q"]))
+        hit = (s["q"] < size) & (F.lower(c) == F.get(lower, s["q"]))
         gain = 10 + F.when(c == F.get(letters, s["q"]), 5).otherwise(0) + F.when((i == 0) & (s["q"] == 0), 15).otherwise(0) + F.when(i == s["last"] + 1, 5).otherwise(0)
         return F.struct(F.when(hit, s["q"] + 1).otherwise(s["q"]).alias("q"), F.when(hit, i).otherwise(s["last"]).alias("last"), F.when(hit, s["score"] + gain).otherwise(s["score"]).alias("score"))
 
     end = F.aggregate(F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0))), start, step)
-    return F.when(end["q"] == len(query), end["score"] - F.length(text) * 0.1)
+    return F.when(end["q"] == size, end["score"] - F.length(text) * 0.1)
+
+
+def fuzzy_score(text: Column, query: str) -> Column:
+    """fuzzy_score_of for one query."""
+    return fuzzy_score_of(text, F.lit(query))
 
 
 def fuzzy_search(names: DataFrame, query: str, k: int) -> DataFrame:
@@ -320,6 +391,31 @@ def fuzzy_search(names: DataFrame, query: str, k: int) -> DataFrame:
     return names.withColumn("score", F.round(fuzzy_score(F.col("name"), query), 6)).filter("score IS NOT NULL").orderBy(F.desc("score"), "arrival").limit(k)
 
 
+def _letters(text: Column) -> Column:
+    """Which of a-z, 0-9 and other characters a text holds, as bits."""
+    return F.aggregate(F.array_distinct(F.split(F.lower(text), "")), F.lit(0).cast("long"), lambda bits, c: bits.bitwiseOR(F.when(c == "", F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(c), F.lit(63)).cast("int")))))
+
+
+def fuzzy_search_all(names: DataFrame, queries: DataFrame, k: int, max_queries: int = 10_000) -> DataFrame:
+    """query, arrival, name, score and rank: the k best names (name, arrival) for each distinct query; a query of no letters takes the first names.
+
+    A name is scored only for queries all of whose letters it holds, which is told by 63 bits of each. Queries are sent
+    to the names in parts of max_queries; the best of each part of the names go on to the ranking.
+    """
+    asked = cut(queries.select("query").distinct().withColumn("bits", _letters(F.col("query"))).withColumn("__part", F.pmod(F.xxhash64("query"), F.lit(1 << 16))))
+    parts = max(1, -(-rows(asked) // max_queries))
+    signed = names.select("arrival", "name").withColumn("__bits", _letters(F.col("name")))
+    best = None
+    for i in range(parts):
+        part = F.broadcast(asked.filter(F.pmod("__part", F.lit(parts)) == i).select("query", "bits"))  # about max_queries rows
+        pairs = signed.join(part, (F.col("bits").bitwiseAND(F.bitwise_not("__bits")) == 0) & (F.length("query") <= F.length("name")))
+        scored = pairs.withColumn("score", F.when(F.col("query") == "", F.lit(0.0)).otherwise(F.round(fuzzy_score_of(F.col("name"), F.col("query")), 6))).filter("score IS NOT NULL")
+        order = Window.partitionBy("query").orderBy(F.desc("score"), "arrival")
+        top = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query", "arrival", "name", "score", "rank")
+        best = top if best is None else best.unionByName(top)
+    return best
+
+
 def collapse_warnings(warnings: DataFrame, least: int = 3) -> DataFrame:
     """Warnings (session_id, text, seq) of unresolved types: `least` or more of a session become one summary, placed first."""
     unresolved = F.col("text").contains("unresolved type")

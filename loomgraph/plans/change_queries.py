@@ -211,9 +211,9 @@ def j10(spark, sf):
     return U.fingerprint_saved(spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id", "fingerprint")
 
 
-@query("d12_composition_hash", with_carriers("SELECT file_id % 3 AS project, sha256(concat('agent|map|', string_agg(concat(path, ' ', sha256(content)), chr(10) ORDER BY concat(path, ' ', sha256(content))))) AS hash FROM files GROUP BY 1", "files"))
+@query("d12_composition_hash", with_carriers("SELECT file_id // 60 AS project, sha256(concat('agent|map|', string_agg(concat(path, ' ', sha256(content)), chr(10) ORDER BY concat(path, ' ', sha256(content))))) AS hash FROM files GROUP BY 1", "files"))
 def d12(spark, sf):
-    return U.composition_hash(carrier(spark, sf, "files").withColumn("project", F.col("file_id") % 3), "agent", "map")
+    return U.composition_hash(carrier(spark, sf, "files").withColumn("project", F.floor(F.col("file_id") / 60)), "agent", "map")
 
 
 @query("i11_component_input_hash", with_carriers("""+p AS (SELECT component_id, string_agg(concat(name, ':', type), ',' ORDER BY position) AS props FROM cat_props GROUP BY 1), s AS (SELECT component_id, string_agg(name, ',' ORDER BY position) AS slots FROM cat_slots GROUP BY 1)

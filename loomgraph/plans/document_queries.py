@@ -51,9 +51,9 @@ def a12(spark, sf):
     return M.upgrade_run_records(old, new).select("run_id", "project", "version", "pushed_to")
 
 
-@query("a16_concat_token_sources", with_carriers("SELECT file_id % 3 AS project, string_agg(content, concat(chr(10), chr(10)) ORDER BY path, content) AS text FROM files WHERE trim(content) <> '' GROUP BY 1", "files"))
+@query("a16_concat_token_sources", with_carriers("SELECT file_id // 60 AS project, string_agg(content, concat(chr(10), chr(10)) ORDER BY path, content) AS text FROM files WHERE trim(content) <> '' GROUP BY 1", "files"))
 def a16(spark, sf):
-    return M.concat_token_sources(carrier(spark, sf, "files").withColumn("project", F.col("file_id") % 3))
+    return M.concat_token_sources(carrier(spark, sf, "files").withColumn("project", F.floor(F.col("file_id") / 60)))
 
 
 _ENTRIES = "SELECT concat('C', CAST(src AS STRING)) AS key, slot, CAST(dst AS STRING) AS child FROM slot_edges"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomgraph.operators import budget as B
 from loomgraph.operators import dedupe as D
 from loomgraph.operators import edges as X
 from loomgraph.plans.carriers import carrier, with_carriers
@@ -48,22 +49,22 @@ def e4_conflicts(spark, sf):
 
 
 def _files(spark, sf):
-    return carrier(spark, sf, "files").withColumn("project", F.col("file_id") % 3)
+    return carrier(spark, sf, "files").withColumn("project", F.floor(F.col("file_id") / 60))
 
 
-@query("e5_cap_to_budget", with_carriers("SELECT file_id, sum(ceil(length(content) / 4)) OVER (PARTITION BY file_id % 3 ORDER BY length(content), path ROWS UNBOUNDED PRECEDING) <= 20000 AS kept FROM files", "files"))
+@query("e5_cap_to_budget", with_carriers("SELECT file_id, sum(ceil(length(content) / 4)) OVER (PARTITION BY file_id // 60 ORDER BY length(content), path ROWS UNBOUNDED PRECEDING) <= 20000 AS kept FROM files", "files"))
 def e5(spark, sf):
-    return D.cap_to_budget(_files(spark, sf), 20_000).select("file_id", "kept")
+    return B.cap_to_budget(_files(spark, sf), 20_000).select("file_id", "kept")
 
 
 @query("e6_batch_by_budget", with_carriers("""
-+f AS (SELECT file_id % 3 AS project, path, CAST(ceil(length(content) / 4) AS BIGINT) AS cost, row_number() OVER (PARTITION BY file_id % 3 ORDER BY path, ceil(length(content) / 4)) AS n FROM files),
++f AS (SELECT file_id // 60 AS project, path, CAST(ceil(length(content) / 4) AS BIGINT) AS cost, row_number() OVER (PARTITION BY file_id // 60 ORDER BY path, ceil(length(content) / 4)) AS n FROM files),
 b AS (SELECT project, path, n, 0 AS batch, CASE WHEN cost > 6000 THEN 0 ELSE cost END AS spent, cost <= 6000 AS opened FROM f WHERE n = 1
   UNION ALL SELECT f.project, f.path, f.n, batch + CASE WHEN f.cost <= 6000 AND opened AND spent + f.cost <= 6000 THEN 0 ELSE 1 END, CASE WHEN f.cost > 6000 THEN 0 WHEN opened AND spent + f.cost <= 6000 THEN spent + f.cost ELSE f.cost END, f.cost <= 6000
   FROM b JOIN f ON f.project = b.project AND f.n = b.n + 1)
 SELECT project, path, CAST(batch AS BIGINT) AS batch FROM b""", "files", recursive=True))
 def e6(spark, sf):
-    return D.batch_by_budget(_files(spark, sf))
+    return B.batch_by_budget(_files(spark, sf))
 
 
 @query("e7_chunk", with_carriers("SELECT arrival, (rn - 1) // 5 AS chunk, (rn - 1) % 5 AS place FROM (SELECT arrival, row_number() OVER (PARTITION BY session_id ORDER BY arrival) AS rn FROM components)", "components"))
@@ -81,12 +82,23 @@ def e14(spark, sf):
     return D.first_seen(carrier(spark, sf, "files"), "path", "file_id").select("file_id", "path")
 
 
-@query("e15_merge_props", with_carriers("""
-+p AS (SELECT component_key, name, type, CASE WHEN origin % 3 = 0 THEN NULL ELSE type END AS category, required, origin * 10 + position AS source_rank FROM props)
-SELECT component_key, name, arg_max(type, (source_rank, type)) AS type, arg_max(category, (source_rank, category)) FILTER (category IS NOT NULL) AS category, bool_and(required) AS required FROM p GROUP BY 1, 2""", "props"))
+_SOURCED = """SELECT component_key, name, type, CASE WHEN origin % 3 = 0 THEN NULL ELSE type END AS category, CASE WHEN origin % 4 = 0 THEN concat('d', CAST(origin AS STRING)) END AS default_value, CASE WHEN origin % 5 = 1 THEN concat('about ', CAST(origin AS STRING)) END AS description, CASE origin % 6 WHEN 0 THEN 'a,b' WHEN 1 THEN CAST(origin AS STRING) WHEN 2 THEN '' END AS listed, required, origin * 10 + position AS source_rank FROM props"""
+_LAST = "arg_max({c}, (source_rank, {c})) FILTER ({c} IS NOT NULL{more}) AS {c}"
+
+
+def _sourced(spark, sf):
+    carrier(spark, sf, "props").createOrReplaceTempView("props")
+    return spark.sql(_SOURCED).withColumn("values", F.expr("filter(split(listed, ','), x -> x <> '')")).drop("listed")
+
+
+@query("e15_merge_props", with_carriers(f"+p AS ({_SOURCED.replace('AS STRING', 'AS VARCHAR')}) SELECT component_key, name, {', '.join(_LAST.format(c=c, more='') for c in ('type', 'category', 'default_value', 'description'))}, arg_max(listed, (source_rank, string_split(listed, ','))) FILTER (listed <> '') AS listed, bool_and(required) AS required FROM p GROUP BY 1, 2", "props"))
 def e15(spark, sf):
-    props = carrier(spark, sf, "props").selectExpr("component_key", "name", "type", "CASE WHEN origin % 3 = 0 THEN NULL ELSE type END AS category", "required", "origin * 10 + position AS source_rank")
-    return D.merge_props(props)
+    return D.merge_props(_sourced(spark, sf)).withColumn("listed", F.array_join("values", ",")).drop("values")
+
+
+@query("e15_replace_props", with_carriers(f"+p AS ({_SOURCED.replace('AS STRING', 'AS VARCHAR')}) SELECT component_key, name, type, category, default_value, description, listed, required FROM (SELECT *, row_number() OVER (PARTITION BY component_key, name ORDER BY source_rank DESC, type DESC NULLS LAST, category DESC NULLS LAST, default_value DESC NULLS LAST, description DESC NULLS LAST) AS rn FROM p) WHERE rn = 1", "props"))
+def e15_replace(spark, sf):
+    return D.merge_props(_sourced(spark, sf), replace=True).withColumn("listed", F.array_join("values", ",")).drop("values")
 
 
 @query("a13_edges_to_map", with_carriers("SELECT parent, string_agg(DISTINCT child, ',' ORDER BY child) AS children FROM composition_edges GROUP BY 1", "composition_edges"))

@@ -169,11 +169,29 @@ def i9(spark, sf):
     return P.parse_error_log(lines).select("id", "code", "message", F.array_join("cycle", ",").alias("cycle"), shown.alias("diagnostics"))
 
 
-@query("i14_apply_patch", with_carriers("SELECT component_id, CASE WHEN name = (SELECT min(name) FROM cat_components) THEN 'accepted' ELSE status END AS status FROM cat_components", "cat_components"))
+_PROPOSED = """SELECT component_id, name, status, concat('{"name":"', name, '","meta":{"a":1},"props":[{"name":"label","type":"string"}]}') AS proposal FROM cat_components"""
+#: What the op of a name does, by the least id of its components.
+_KINDS = "+k AS (SELECT name, min(component_id) AS id, min(component_id) % 5 AS kind FROM cat_components GROUP BY 1)"
+
+
+def _patched(spark, sf):
+    carrier(spark, sf, "cat_components").createOrReplaceTempView("cat_components")
+    sets = """CASE component_id % 5 WHEN 0 THEN array(named_struct('path', 'meta.a', 'value', '2'), named_struct('path', 'props[name=label].type', 'value', '"enum"')) WHEN 1 THEN array(named_struct('path', 'meta.__proto__', 'value', '1'), named_struct('path', 'no spaces', 'value', '1'))
+      WHEN 2 THEN array(named_struct('path', 'props[name=none].type', 'value', '1')) WHEN 3 THEN array(named_struct('path', 'meta.a.b', 'value', '1'), named_struct('path', 'meta.new', 'value', '[1,2]')) END AS sets"""
+    ops = spark.sql(f"SELECT name, component_id AS seq, CASE WHEN component_id % 2 = 0 THEN 'accepted' END AS status, {sets} FROM cat_components UNION ALL SELECT concat('no ', name), component_id, 'accepted', NULL FROM cat_components")
+    return P.apply_patch(spark.sql(_PROPOSED), ops)
+
+
+@query("i14_apply_patch", with_carriers(_KINDS + """ SELECT component_id, CASE WHEN k.id % 2 = 0 THEN 'accepted' ELSE status END AS status, concat('{"name":"', c.name, '","meta":{"a":', CASE kind WHEN 0 THEN '2' WHEN 3 THEN '1,"new":[1,2]' ELSE '1' END, '},"props":[{"name":"label","type":"', CASE kind WHEN 0 THEN 'enum' ELSE 'string' END, '"}]}') AS proposal FROM cat_components c JOIN k ON k.name = c.name""", "cat_components"))
 def i14(spark, sf):
-    c = carrier(spark, sf, "cat_components")
-    ops = c.agg(F.min("name").alias("name")).select("name", F.explode(F.array(F.struct(F.lit("accepted").alias("status"), F.lit(1).alias("seq")), F.struct(F.lit("rejected").alias("status"), F.lit(2).alias("seq")))).alias("o")).select("name", "o.*")
-    return P.apply_patch(c, ops)[0].select("component_id", "status")
+    return _patched(spark, sf)[0].select("component_id", "status", "proposal")
+
+
+@query("i14_patch_warnings", with_carriers(_KINDS + """, n AS (SELECT name, count(*) AS n FROM cat_components GROUP BY 1)
+SELECT k.name, path, warning, n FROM k JOIN n ON n.name = k.name JOIN (VALUES (1, 'meta.__proto__', 'path contains forbidden key: ''meta.__proto__'''), (1, 'no spaces', 'path contains invalid characters: ''no spaces'''), (2, 'props[name=none].type', 'array item [name=none] not found in ''props'''), (3, 'meta.a.b', 'path ''meta.a.b'' — ''a'' is not an object')) w(kind, path, warning) ON w.kind = k.kind
+UNION ALL SELECT concat('no ', name), NULL, 'no component of this name', 1 FROM n""", "cat_components"))
+def i14_warnings(spark, sf):
+    return _patched(spark, sf)[1].groupBy("name", "path", "warning").agg(F.count("*").alias("n"))
 
 
 @query("f1_fuzzy_search", """
@@ -187,6 +205,20 @@ def f1(spark, sf):
     return P.fuzzy_search(names, "rEd", 20).select("arrival", "name", F.col("score").cast("double").alias("score"))
 
 
+@query("f1_fuzzy_search_all", """
+WITH RECURSIVE n AS (SELECT p_partkey AS arrival, p_name AS name FROM part), q AS (SELECT DISTINCT concat(p_name[1], upper(p_name[3]), p_name[5]) AS query FROM part),
+m AS (SELECT arrival, name, query, 0 AS i, 0 AS q, -2 AS prev, 0 AS score FROM n, q UNION ALL
+  SELECT arrival, name, query, i + 1, q + h, CASE WHEN h = 1 THEN i ELSE prev END, score + CASE WHEN h = 1 THEN 10 + CASE WHEN name[i + 1] = query[q + 1] THEN 5 ELSE 0 END + CASE WHEN i = 0 AND q = 0 THEN 15 ELSE 0 END + CASE WHEN i = prev + 1 THEN 5 ELSE 0 END ELSE 0 END
+  FROM (SELECT *, CASE WHEN q < 3 AND lower(name[i + 1]) = lower(query[q + 1]) THEN 1 ELSE 0 END AS h FROM m WHERE i < length(name))),
+r AS (SELECT query, arrival, name, round(score - length(name) * 0.1, 6) AS score FROM m WHERE i = length(name) AND q = 3)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, arrival) AS INTEGER) AS rank FROM r) WHERE rank <= 5""")
+def f1_all(spark, sf):
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    names = part.selectExpr("p_partkey AS arrival", "p_name AS name")
+    asked = part.selectExpr("concat(substr(p_name, 1, 1), upper(substr(p_name, 3, 1)), substr(p_name, 5, 1)) AS query")
+    return P.fuzzy_search_all(names, asked, 5).withColumn("score", F.col("score").cast("double"))
+
+
 _WARN = "SELECT event_id AS seq, user_id AS session_id, concat(event_type, ': ', CASE WHEN event_id % 5 = 0 THEN 'unresolved type' ELSE 'note' END) AS text FROM events"
 
 

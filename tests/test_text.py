@@ -128,3 +128,35 @@ def test_narrowing_of_values_and_slots_breaks(spark):
     changes = [(None, "s", "slot_allowed_components_narrowed"), ("p", None, "validation_narrowed"), (None, "s", "removed"), ("p", None, "slot_removed")]
     df = spark.createDataFrame([(changes,)], "breaking_changes array<struct<property_id:string,slot_id:string,reason:string>>")
     assert [b.reason for b in D.sanitize_breaking_changes(df).first()[0]] == ["slot_allowed_components_narrowed", "validation_narrowed"]
+
+
+def test_patches_by_path(spark):
+    proposal = '{"name":"Card","meta":{"a":{"b":1},"list":[1]},"props":[{"name":"label","type":"string"},{"name":"label","type":"x"}]}'
+    components = spark.createDataFrame([("Card", "extracted", proposal), ("Plain", "extracted", proposal), ("Odd", "extracted", None)], "name string, status string, proposal string")
+    sets = [("meta.a.b", "2"), ("props[name=label].type", '"enum"'), ("meta.new", '{"x":[1]}'), ("props[name=gone].type", "1"), ("a.constructor.b", "1"), ("meta.list.x", "1"), ("meta.list.0", "5"), ("meta.none.x", "1"), ("a b", "1"), ("title", '"é"'), ("none[name=x].top", "7")]
+    ops = spark.createDataFrame([("Card", 1, "accepted", sets), ("Card", 2, "rejected", None), ("Odd", 3, None, [("a", "1")]), ("Nobody", 4, "accepted", None)], "name string, seq int, status string, sets array<struct<path:string,value:string>>")
+    done, warnings = P.apply_patch(components, ops)
+    rows = {r.name: (r.status, r.proposal) for r in done.collect()}
+    assert rows["Card"] == ("accepted", '{"name":"Card","meta":{"a":{"b":2},"list":[5],"new":{"x":[1]}},"props":[{"name":"label","type":"enum"},{"name":"label","type":"x"}],"title":"é","top":7}')
+    assert rows["Plain"] == ("extracted", proposal) and rows["Odd"][0] == "extracted"
+    said = {(r.name, r.path): r.warning for r in warnings.collect()}
+    assert said == {
+        ("Card", "props[name=gone].type"): "array item [name=gone] not found in 'props'",
+        ("Card", "a.constructor.b"): "path contains forbidden key: 'a.constructor.b'",
+        ("Card", "meta.none.x"): "path 'meta.none.x' — 'none' is not an object",
+        ("Card", "a b"): "path contains invalid characters: 'a b'",
+        ("Odd", "a"): "proposal is not an object",
+        ("Nobody", None): "no component of this name",
+    }
+
+
+def test_many_fuzzy_queries_give_what_one_gives(spark):
+    names = spark.createDataFrame([(i, n) for i, n in enumerate(["Button", "button group", "Card", "BuTTon", "Abutment", "", "Été", "b"])], "arrival int, name string")
+    asked = ["btn", "BTN", "card", "b", "é", "zz", "tto", "buttongroupx"]
+    for most in (10_000, 2):
+        got = P.fuzzy_search_all(names, spark.createDataFrame([(q,) for q in [*asked, "b"]], "query string"), 3, max_queries=most)
+        found = {}
+        for r in got.orderBy("query", "rank").collect():
+            found.setdefault(r.query, []).append((r.arrival, float(r.score)))
+        for q in asked:
+            assert found.get(q, []) == [(r.arrival, float(r.score)) for r in P.fuzzy_search(names, q, 3).collect()], q
