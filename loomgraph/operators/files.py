@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +40,14 @@ def scanned(path: Column) -> Column:
     return (code | doc) & ~name.rlike(IGNORED_SUFFIXES) & ~F.arrays_overlap(folders, F.array(*map(F.lit, IGNORED_FOLDERS)))
 
 
+def is_scanned(name: str) -> bool:
+    """scanned() for a file's name alone, in Python."""
+    if re.search(IGNORED_SUFFIXES, name):
+        return False
+    code = re.search(CODE, name) and not name.endswith(".d.ts")
+    return bool(code or (re.search(r"\.(json|md)$", name) and name not in NOISE_NAMES and not re.search(NOISE, name)))
+
+
 def scan_source_files(files: DataFrame) -> DataFrame:
     return files.filter(scanned(F.col("path")))
 

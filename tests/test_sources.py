@@ -114,3 +114,63 @@ def test_a_write_touches_the_files_of_its_sessions_only(spark, tmp_path):
     plan = read_sessions(spark, folder, schema, [2])._jdf.queryExecution().toString()
     assert "PartitionFilters: [" in plan and read_sessions(spark, folder, schema, [2]).count() == 1
     assert table.filter(F.col("session_id") == 3).isEmpty()
+
+
+def plant(root, names):
+    for n in names:
+        path = root / n
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(f"// {n}")
+
+
+TREE = ["a.ts", "src/B.tsx", "src/deep/er/C.vue", "src/deep/README.md", "src/deep/notes.md", "node_modules/x/D.ts", "src/dist/E.ts", "src/F.test.ts", "src/G.d.ts", "package.json", "data.json", "src/H.css", "pkg/I.astro"]
+SCANNED = {"a.ts", "src/B.tsx", "src/deep/er/C.vue", "src/deep/notes.md", "data.json", "pkg/I.astro"}
+
+
+def test_a_tree_is_read_as_the_batch_reader_reads_it(spark, tmp_path, monkeypatch):
+    from loomgraph.operators.files import read_source_files
+    from loomgraph.sources import trees
+
+    plant(tmp_path, TREE)
+    trees.register(spark)
+    rows = spark.read.format("source_tree").option("tasks", 3).load(str(tmp_path))
+    got = {r.path.removeprefix(f"{tmp_path}/"): r.content for r in rows.collect()}
+    assert got == {n: f"// {n}" for n in SCANNED}
+    batch = {r.path.removeprefix(f"file:{tmp_path}/"): (r.mtime.replace(microsecond=0), r.content) for r in read_source_files(spark, str(tmp_path)).collect()}
+    assert batch == {r.path.removeprefix(f"{tmp_path}/"): (r.mtime.replace(microsecond=0), r.content) for r in rows.collect()}
+    deep = rows.filter(F.col("path").startswith(f"{tmp_path}/src/deep"))
+    assert {r.path.removeprefix(f"{tmp_path}/") for r in deep.collect()} == {"src/deep/er/C.vue", "src/deep/notes.md"}
+    assert rows.filter(F.col("path") == f"{tmp_path}/a.ts").count() == 1
+
+
+def test_ignored_folders_are_never_opened(tmp_path, monkeypatch):
+    from loomgraph.sources import trees
+
+    plant(tmp_path, TREE)
+    opened = []
+    scandir = os.scandir
+    monkeypatch.setattr(os, "scandir", lambda p: opened.append(os.path.relpath(p, tmp_path)) or scandir(p))
+    reader = trees.TreeReader({"path": str(tmp_path), "tasks": "2"})
+    list(reader.pushFilters([trees.StringStartsWith(("path",), f"{tmp_path}/src/deep/")]))
+    parts = reader.partitions()
+    assert sum(len(b) for p in parts for b in reader.read(p)) == 2
+    assert set(opened) == {".", "src", "src/deep", "src/deep/er"}
+
+
+def test_a_tree_as_a_stream(spark, tmp_path):
+    from loomgraph.sources import trees
+
+    root, out = tmp_path / "tree", str(tmp_path / "out")
+    plant(root, ["a.ts", "src/b.ts"])
+    trees.register(spark)
+
+    def go():
+        stream = spark.readStream.format("source_tree").load(str(root))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+        return sorted(os.path.relpath(r.path, root) for r in spark.read.schema(trees.SCHEMA).parquet(out).collect())
+
+    assert go() == ["a.ts", "src/b.ts"]
+    plant(root, ["c.ts", "node_modules/d.ts"])
+    assert go() == ["a.ts", "c.ts", "src/b.ts"]
+    os.utime(root / "a.ts", (time.time() + 5, time.time() + 5))
+    assert go() == ["a.ts", "a.ts", "c.ts", "src/b.ts"] == go()
