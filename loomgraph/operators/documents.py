@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -154,13 +155,23 @@ def extract_with(files: DataFrame, extractor: Callable[[str, str], list[dict]],
 
 
 def decide_with(chunks: DataFrame, decide: Callable[[list[str]], list[str]]) -> DataFrame:
-    """name and decision from a plug-in that sees one chunk of names at a time; chunks has chunk, place and name."""
+    """name and decision from a plug-in that sees one chunk of names at a time; chunks has session_id, chunk, place and name.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("place")
-        return pd.DataFrame({"name": rows.name, "decision": decide(list(rows.name))})
+    The rows of a chunk meet in one task, which goes through many chunks.
+    """
+    keys = ["session_id", "chunk"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                yield from zip(*(batch.column(c).to_pylist() for c in (*keys, "name")), strict=True)
+
+        for _, chunk in itertools.groupby(rows(), key=lambda r: r[:2]):
+            names = [r[2] for r in chunk]
+            yield pa.record_batch([pa.array(names, pa.string()), pa.array(decide(names), pa.string())], names=["name", "decision"])
 
-    return chunks.select("session_id", "chunk", "place", "name").groupBy("session_id", "chunk").applyInPandas(run, "name string, decision string")
+    dealt = chunks.select(*keys, "place", "name").repartition(*keys).sortWithinPartitions(*keys, "place")
+    return dealt.mapInArrow(run, "name string, decision string")
 
 
 def edges_with(files: DataFrame, names: DataFrame, parser: Callable[[str, str], list[dict]]) -> tuple[DataFrame, DataFrame]:

@@ -70,13 +70,18 @@ def write_component_documents(definitions: DataFrame, schema_url: str) -> tuple[
     return documents, definitions.filter(F.coalesce("description", F.lit("")) == "").select("session_id", "key")
 
 
-def rationale_view(components: DataFrame, props: DataFrame, slots: DataFrame) -> DataFrame:
-    """A row for each component with its props' categories and slots in order."""
-    p = _listed(props.withColumn("shown", F.coalesce("cdf_type", "category")), KEY, ["name", "shown"], "props")
-    s = _listed(slots, KEY, ["name"], "slots")
-    out = components.join(p, KEY, "left").join(s, KEY, "left")
-    text = F.array_join(F.transform("props", lambda x: F.concat(x["name"], F.lit("="), F.coalesce(x["shown"], F.lit("?")))), ",")
-    return out.select("session_id", "component_id", "name", F.coalesce(text, F.lit("")).alias("props"), F.coalesce(F.array_join(F.transform("slots", lambda x: x["name"]), ","), F.lit("")).alias("slots"))
+def rationale_view(components: DataFrame, props: DataFrame, slots: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """What is said of each component, or of those of names (session_id, name): descriptions and rationales of its own, of its props and of its slots.
+
+    props is an array of (name, category, description, rationale) in order, the category being what was decided or else
+    what was found; slots one of (name, description, rationale). Empty arrays stand for none.
+    """
+    picked = components if names is None else components.join(names.select("session_id", "name").distinct(), ["session_id", "name"], "left_semi")
+    shown = props.withColumn("category", F.coalesce("cdf_category", "category")) if "cdf_category" in props.columns else props
+    p = _listed(shown, KEY, ["name", "category", "description", "rationale"], "props")
+    s = _listed(slots, KEY, ["name", "description", "rationale"], "slots")
+    out = picked.select(*KEY, "name", "description", "description_rationale", "props_rationale", "slots_rationale").join(p, KEY, "left").join(s, KEY, "left")
+    return out.withColumns({c: F.coalesce(c, F.array().cast(out.schema[c].dataType)) for c in ("props", "slots")})
 
 
 def accepted_components(components: DataFrame, review: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -91,23 +93,23 @@ def first_call_per_component(batch: DataFrame, calls: DataFrame) -> DataFrame:
     return rows.select("name", decision.alias("decision"), F.coalesce("c.reason", F.when(F.col("c").isNull(), "no call names it")).alias("reason"))
 
 
-def walk_documents(docs: DataFrame, is_leaf, max_depth: int = 12) -> DataFrame:
+def walk_documents(docs: DataFrame, is_leaf, max_depth: int | None = None) -> DataFrame:
     """doc, path, node (JSON text) and whether it is a leaf, for the objects of JSON documents (doc, value) below keys without a dollar sign.
 
-    Levels are exploded until none is left; a document deeper than max_depth is an error.
+    Levels are exploded until none is left. With max_depth, a deeper document is an error.
     """
     front = docs.select("doc", F.lit("").alias("path"), F.col("value").alias("node"), F.lit(False).alias("leaf"))
     found = None
-    for depth in range(max_depth + 1):
+    for depth in itertools.count():
         grown = front.filter(~F.col("leaf")).select("doc", "path", F.explode(F.from_json("node", "map<string,string>")).alias("key", "node"))
         grown = grown.filter(~F.col("key").startswith("$") & F.col("node").startswith("{"))
         path = F.when(F.col("path") == "", F.col("key")).otherwise(F.concat("path", F.lit("."), "key"))
-        grown = grown.select("doc", path.alias("path"), "node").withColumn("leaf", F.coalesce(is_leaf(F.col("node")), F.lit(False)))
+        front = cut(grown.select("doc", path.alias("path"), "node").withColumn("leaf", F.coalesce(is_leaf(F.col("node")), F.lit(False))))
+        found = front if found is None else found.unionByName(front)
+        if not rows(front):
+            return found
         if depth == max_depth:
-            grown = grown.withColumn("path", F.raise_error(F.lit(f"deeper than {max_depth}")))
-        found = grown if found is None else found.unionByName(grown)
-        front = grown
-    return found
+            raise ValueError(f"a document is deeper than {max_depth}")
 
 
 def flatten_tokens(docs: DataFrame) -> DataFrame:
@@ -153,6 +155,75 @@ def validate_definitions(entries: DataFrame) -> DataFrame:
     return rows.select("doc", "key", "prop", F.explode(codes).alias("code"))
 
 
+# What a definition document may hold, and of which kind it is.
+COMPONENT_KEYS = {"$type": "string", "$description": "string", "$properties": "object", "$slots": "object"}
+PROPERTY_KEYS = {"$type": "string", "$category": "string", "$description": "string", "$required": "boolean", "$default": "any", "$values": "array of string", "$token.kind": "string"}
+SLOT_KEYS = {"$description": "string", "$required": "boolean", "$allowedComponents": "array of string"}
+
+
+def _kind(node: Column) -> Column:
+    """object, array of string, array, string, boolean, number or null: of what kind JSON text is."""
+    array = F.from_json(node, "array<string>")
+    strings = F.coalesce(node.startswith("[") & F.forall(F.try_variant_get(F.try_parse_json(node), "$", "array<variant>"), lambda v: F.schema_of_variant(v) == "STRING"), F.lit(False))
+    return (
+        F.when(node.startswith("{"), "object").when(strings, "array of string").when(node.startswith("[") & array.isNotNull(), "array")
+        .when(node == "null", "null").when(node.isin("true", "false"), "boolean").when(node.rlike(r"^-?[0-9]"), "number").otherwise("string")
+    )
+
+
+def _members(rows: DataFrame, node: str, name: str) -> DataFrame:
+    """A row for each key of an object in JSON text: name, and its value as JSON text in node; texts keep their quotes."""
+    keys = F.json_object_keys(node)
+    value = lambda k: F.to_json(F.try_variant_get(F.try_parse_json(node), F.concat(F.lit("$['"), k, F.lit("']")), "variant"))
+    return rows.withColumn("__m", F.explode(F.transform(keys, lambda k: F.struct(k.alias("k"), value(k).alias("v"))))).drop(node).withColumns({name: F.col("__m.k"), node: F.col("__m.v")}).drop("__m")
+
+
+def _checked(rows: DataFrame, allowed: dict[str, str], required: tuple[str, ...], values: dict[str, list[str]]) -> DataFrame:
+    """doc, path and code of objects (doc, path, node) that lack a required key or have another, of another kind or value."""
+    given = F.json_object_keys("node")
+    lacking = rows.select("doc", "path", F.explode(F.array_except(F.array(*map(F.lit, required)), given)).alias("k")).select("doc", "path", F.concat(F.lit("missing "), "k").alias("code")) if required else None
+    each = _members(rows.select("doc", "path", "node"), "node", "key").withColumn("node", F.coalesce("node", F.lit("null")))
+    wanted = F.element_at(F.create_map(*(F.lit(x) for kv in allowed.items() for x in kv)), F.col("key"))
+    code = F.when(wanted.isNull(), F.concat(F.lit("unknown key "), "key")).when((wanted != "any") & (wanted != _kind(F.col("node"))) & ~((wanted == "array of string") & (F.col("node") == "[]")), F.concat(F.lit("wrong kind of "), "key"))
+    for k, known in values.items():
+        code = F.coalesce(code, F.when((F.col("key") == k) & ~F.col("node").isin([json.dumps(v) for v in known]), F.lit(f"unknown {k}")))
+    wrong = each.select("doc", "path", code.alias("code")).filter("code IS NOT NULL")
+    return wrong if lacking is None else wrong.unionByName(lacking)
+
+
+def validate_documents(docs: DataFrame, schema_url: str, types=(*CALL_TYPES,), categories=tuple(CATEGORIES)) -> DataFrame:
+    """doc, path and code of what is wrong with definition documents (doc, value as JSON text).
+
+    A document is an object whose $schema is schema_url and whose other keys are components or groups of such. A
+    component has a $type and $properties; properties have a known $type and $category; slots have what slots may have.
+    """
+    parsed = docs.select("doc", F.col("value").alias("node"))
+    is_object = F.coalesce(F.try_parse_json("node").isNotNull() & F.ltrim("node").startswith("{"), F.lit(False))
+    bad = parsed.filter(~is_object).select("doc", F.lit("/").alias("path"), F.lit("not an object").alias("code"))
+    good = parsed.filter(is_object)
+    schema = F.when(~F.array_contains(F.json_object_keys("node"), "$schema"), "missing $schema").when(~F.coalesce(F.try_variant_get(F.try_parse_json("node"), "$['$schema']", "string") == schema_url, F.lit(False)), "wrong $schema")
+    top = good.select("doc", F.lit("/$schema").alias("path"), schema.alias("code")).filter("code IS NOT NULL")
+    nodes = cut(walk_documents(good.select("doc", F.col("node").alias("value")), lambda n: F.get_json_object(n, "$['$type']") == "component"))
+    groups = nodes.filter("NOT leaf").select("doc", "path", "node").unionByName(good.select("doc", F.lit("").alias("path"), "node"))
+    strays = _members(groups, "node", "key").filter(~F.col("key").startswith("$") & (_kind(F.col("node")) != "object"))
+    strays = strays.select("doc", F.when(F.col("path") == "", F.col("key")).otherwise(F.concat("path", F.lit("."), "key")).alias("path"), F.lit("neither component nor group").alias("code"))
+    notes = _members(nodes.filter("NOT leaf").select("doc", "path", "node"), "node", "key").filter(F.col("key").startswith("$"))
+    notes = notes.filter((F.col("key") != "$description") | (_kind(F.col("node")) != "string")).select("doc", "path", F.concat(F.when(F.col("key") == "$description", F.lit("wrong kind of ")).otherwise(F.lit("unknown key ")), "key").alias("code"))
+    components = nodes.filter("leaf").select("doc", "path", "node")
+
+    def below(key: str) -> DataFrame:
+        inner = components.select("doc", "path", F.to_json(F.try_variant_get(F.try_parse_json("node"), f"$['{key}']", "variant")).alias("node")).filter(F.col("node").startswith("{"))
+        each = _members(inner, "node", "name")
+        return each.select("doc", F.concat("path", F.lit("."), "name").alias("path"), F.coalesce("node", F.lit("null")).alias("node"))
+
+    props, slots = cut(below("$properties")), cut(below("$slots"))
+    found = [bad, top, strays, notes, _checked(components, COMPONENT_KEYS, ("$type", "$properties"), {})]
+    for table, rule in ((props, (PROPERTY_KEYS, ("$type", "$category"), {"$type": list(types), "$category": list(categories)})), (slots, (SLOT_KEYS, (), {}))):
+        objects = F.col("node").startswith("{")
+        found += [table.filter(~objects).select("doc", "path", F.lit("not an object").alias("code")), _checked(table.filter(objects), *rule)]
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
 def merge_token_documents(docs: DataFrame) -> DataFrame:
     """key and value of documents (path, value) merged by top-level key, the last path wins; text that isn't an object is skipped."""
     rows = docs.filter(F.try_parse_json("value").isNotNull()).select("path", F.explode(F.from_json("value", "map<string,string>")).alias("key", "v"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.lineage import new_folder
 from loomgraph.operators import catalog as K
 from loomgraph.plans.carriers import carrier, with_carriers
 from loomgraph.plans.registry import query
+from loomgraph.sources.session_tables import read_sessions, store_sessions
 
 _TABLES = ("k_components", "k_props", "k_values", "k_slots", "k_children")
 
@@ -151,6 +153,17 @@ def a8_store(spark, sf):
     return K.store_tokens(groups, tokens, groups.limit(0), new, new.select("session_id"))[1].select("session_id", "path")
 
 
+@query("a8_store_tokens_by_session", with_carriers("SELECT CAST(crc AS INT) AS session_id, path FROM (SELECT length(type) % 4 AS crc, path FROM tokens) WHERE crc NOT IN (0, 1) UNION ALL SELECT 1, concat('new.', path) FROM tokens WHERE type = 'color'", "tokens"))
+def a8_by_session(spark, sf):
+    """The table lies in folders by session: session 1 is replaced, session 0 has no tokens left, the others' files stay."""
+    tokens = carrier(spark, sf, "tokens").selectExpr("int(length(type) % 4) AS session_id", "path")
+    folder = new_folder(spark)
+    store_sessions(tokens, folder, tokens.select("session_id"))
+    new = carrier(spark, sf, "tokens").filter("type = 'color'").selectExpr("1 AS session_id", "concat('new.', path) AS path")
+    store_sessions(new, folder, spark.range(2).selectExpr("int(id) AS session_id"))
+    return read_sessions(spark, folder, "path string, session_id int")
+
+
 # ---- cached work: sessions 10 to 13 hold what was done before on the same components
 
 _HITS = "+src AS (SELECT session_id, component_id, name, CASE WHEN position % 2 = 0 THEN 'media' END AS cdf_type, 'state' AS category, NOT required AS required, 'cached' AS description FROM k_props WHERE CAST(component_id AS INT) % 5 = 1)"

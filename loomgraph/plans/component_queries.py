@@ -242,11 +242,19 @@ def a9(spark, sf):
     return documents.selectExpr("session_id", "bigint(size(json_object_keys(document)) - 1) AS entries")
 
 
-@query("c9_rationale_view", with_carriers("""
-+p AS (SELECT component_id, string_agg(concat(name, '=', coalesce(cdf_type, category, '?')), ',' ORDER BY position) AS props FROM cat_props GROUP BY 1), s AS (SELECT component_id, string_agg(name, ',' ORDER BY position) AS slots FROM cat_slots GROUP BY 1)
-SELECT session_id, component_id, name, coalesce(props, '') AS props, coalesce(slots, '') AS slots FROM cat_components LEFT JOIN p USING (component_id) LEFT JOIN s USING (component_id)""", *_CAT))
+_SAID = """+c AS (SELECT session_id, component_id, name, description, CASE WHEN CAST(component_id AS INT) % 3 = 0 THEN concat('why ', name) END AS description_rationale, CASE WHEN CAST(component_id AS INT) % 4 = 0 THEN 'props' END AS props_rationale FROM k_components WHERE CAST(component_id AS INT) % 5 <> 2),
+p AS (SELECT session_id, component_id, string_agg(concat(name, '=', coalesce(CASE WHEN position % 2 = 0 THEN 'state' END, category, '?'), '/', coalesce(description, '-'), '/', CASE WHEN position % 3 = 0 THEN concat('r', position) ELSE '-' END), ',' ORDER BY position) AS props FROM k_props GROUP BY 1, 2),
+s AS (SELECT session_id, component_id, string_agg(concat(name, '/', coalesce(description, '-'), '/', concat('s', position)), ',' ORDER BY position) AS slots FROM k_slots GROUP BY 1, 2)"""
+
+
+@query("c9_rationale_view", with_carriers(_SAID + " SELECT c.*, coalesce(props, '') AS props, coalesce(slots, '') AS slots FROM c LEFT JOIN p USING (session_id, component_id) LEFT JOIN s USING (session_id, component_id)", "k_components", "k_props", "k_slots"))
 def c9(spark, sf):
-    return T.rationale_view(carrier(spark, sf, "cat_components"), carrier(spark, sf, "cat_props"), carrier(spark, sf, "cat_slots"))
+    components = carrier(spark, sf, "k_components").withColumns({"description_rationale": F.expr("CASE WHEN int(component_id) % 3 = 0 THEN concat('why ', name) END"), "props_rationale": F.expr("CASE WHEN int(component_id) % 4 = 0 THEN 'props' END")})
+    props = carrier(spark, sf, "k_props").withColumns({"cdf_category": F.expr("CASE WHEN position % 2 = 0 THEN 'state' END"), "rationale": F.expr("CASE WHEN position % 3 = 0 THEN concat('r', position) END")})
+    slots = carrier(spark, sf, "k_slots").withColumn("rationale", F.expr("concat('s', position)"))
+    got = T.rationale_view(components, props, slots, components.filter("int(component_id) % 5 <> 2"))
+    shown = "array_join(transform({c}, x -> {x}), ',') AS {c}"
+    return got.selectExpr("session_id", "component_id", "name", "description", "description_rationale", "props_rationale", shown.format(c="props", x="concat(x.name, '=', coalesce(x.category, '?'), '/', coalesce(x.description, '-'), '/', coalesce(x.rationale, '-'))"), shown.format(c="slots", x="concat(x.name, '/', coalesce(x.description, '-'), '/', coalesce(x.rationale, '-'))"))
 
 
 @query("c10_scope_rows", with_carriers("""

@@ -9,6 +9,7 @@ from loomgraph.operators.dedupe import chunk
 from loomgraph.functions.lineage import new_folder
 from loomgraph.plans.carriers import carrier, with_carriers
 from loomgraph.plans.registry import query
+from loomgraph.sources.session_tables import read_sessions, store_sessions
 
 
 @query("a8_load_tokens", with_carriers("+g AS (SELECT DISTINCT regexp_replace(path, '\\.[^.]*$', '') AS group_path FROM tokens UNION SELECT 'none') SELECT group_path, coalesce((SELECT string_agg(path, ',' ORDER BY path) FROM tokens WHERE regexp_replace(path, '\\.[^.]*$', '') = group_path), '') AS members FROM g", "tokens"))
@@ -24,6 +25,15 @@ def a15(spark, sf):
     return M.replace_sessions(files, files.filter("session_id = 1").withColumn("path", F.concat(F.lit("new/"), "path")))
 
 
+@query("a15_record_by_session", with_carriers("SELECT file_id % 3 AS session_id, path FROM files WHERE file_id % 3 <> 1 UNION ALL SELECT 1, concat('new/', path) FROM files WHERE file_id % 3 = 1", "files"))
+def a15_by_session(spark, sf):
+    """a15 on a table in folders by session."""
+    files, folder = carrier(spark, sf, "files").selectExpr("file_id % 3 AS session_id", "path"), new_folder(spark)
+    store_sessions(files, folder, files.select("session_id"))
+    store_sessions(files.withColumn("path", F.concat(F.lit("new/"), "path")), folder, spark.sql("SELECT 1L AS session_id"))
+    return read_sessions(spark, folder, "path string, session_id long")
+
+
 @query("a10_write_token_tree", with_carriers("""
 +t AS (SELECT length(path) % 4 AS session_id, string_split(path, '.') AS seg, type, value FROM tokens),
 l AS (SELECT session_id, seg[1] AS a, seg[2] AS b, string_agg(concat('"', seg[3], '":{"$type":"', type, '","$value":"', value, '"}'), ',' ORDER BY seg[3]) AS body FROM t GROUP BY 1, 2, 3),

@@ -109,6 +109,18 @@ def i7(spark, sf):
     return P.validate_definitions(P.read_component_documents(spark.sql(_DEFS))).select("doc", "prop", "code")
 
 
+_WHOLE_DEFS = """SELECT p_partkey AS doc, CASE p_size % 8 WHEN 0 THEN '[1]' WHEN 1 THEN '{"a":{"$type":"component","$properties":{}}}' ELSE concat('{"$schema":"', CASE p_size % 8 WHEN 2 THEN 'other' ELSE 'https://example.org/v1' END, '","forms":{"$description":', CASE p_size % 8 WHEN 3 THEN '7' ELSE '"d"' END, ',"C', CAST(p_partkey AS STRING), '":{"$type":"component"', CASE p_size % 8 WHEN 4 THEN ',"more":1' ELSE concat(',"$properties":{"label":{"$type":"', CASE p_size % 8 WHEN 5 THEN 'odd' ELSE 'string' END, '","$category":"content","$required":', CASE p_size % 8 WHEN 6 THEN '"yes"' ELSE 'true' END, ',"$values":["a"]},"plain":{"$type":"enum"}}') END, ',"$slots":{"body":{"$allowedComponents":', CASE p_size % 8 WHEN 7 THEN '["A",1]' ELSE '[]' END, '}}}},"stray":', CASE p_size % 8 WHEN 3 THEN '"x"' ELSE '{}' END, '}') END AS value FROM part"""
+
+
+@query("i7_validate_documents", """
+SELECT p_partkey AS doc, path, code FROM part JOIN (VALUES (0, '/', 'not an object'), (1, '/$schema', 'missing $schema'), (2, '/$schema', 'wrong $schema'), (3, 'forms', 'wrong kind of $description'), (3, 'stray', 'neither component nor group')) v(kind, path, code) ON p_size % 8 = kind
+UNION ALL SELECT p_partkey, concat('forms.C', p_partkey, path), code FROM part JOIN (VALUES (4, '', 'missing $properties'), (4, '', 'unknown key more'), (5, '.label', 'unknown $type'), (6, '.label', 'wrong kind of $required'), (7, '.body', 'wrong kind of $allowedComponents')) v(kind, path, code) ON p_size % 8 = kind
+UNION ALL SELECT p_partkey, concat('forms.C', p_partkey, '.plain'), 'missing $category' FROM part WHERE p_size % 8 NOT IN (0, 1, 4)""")
+def i7_documents(spark, sf):
+    carrier(spark, sf, "nodes")
+    return P.validate_documents(spark.sql(_WHOLE_DEFS), "https://example.org/v1")
+
+
 @query("a2_read_token_documents", "WITH d AS (SELECT p_partkey AS path, concat('k', p_size % 7) AS key, CAST(p_partkey AS VARCHAR) AS value FROM part WHERE p_partkey % 9 <> 0) SELECT key, arg_max(value, path) AS value FROM d GROUP BY 1")
 def a2(spark, sf):
     part = spark.read.parquet(f"{sf}/part.parquet")

@@ -25,6 +25,26 @@ def stream_tool_calls(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parsing.parse_prop_calls(lines)
 
 
+def route_calls(lines: DataFrame, names: DataFrame) -> dict[str, DataFrame]:
+    """Calls of every kind in arriving or stored lines, and their warnings, by the rules of the batch parsers; names (name) are the known components."""
+    props, prop_warnings = parsing.parse_prop_calls(lines)
+    tokens, token_warnings = parsing.parse_token_calls(lines)
+    edges, edge_warnings = parsing.parse_edge_calls(lines, names)
+    return {"props": props, "prop_warnings": prop_warnings, "selects": parsing.parse_select_calls(lines), "tokens": tokens, "token_warnings": token_warnings, "edges": edges, "edge_warnings": edge_warnings}
+
+
+def stream_routed_calls(lines: DataFrame, names: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Write each kind of call of arriving lines to a table of its own under folder, in a folder for each batch: one that runs again replaces what it wrote."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        for kind, rows in route_calls(batch, names).items():
+            rows.write.mode("overwrite").parquet(f"{folder}/{kind}/batch={number}")
+        batch.unpersist()
+
+    return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def catalog_log(spark: SparkSession, folder: str, max_deltas: int = 20) -> GroupLog:
     """The catalog under a folder, as a log of changed components."""
     return GroupLog(spark, folder, catalog.COMPONENT, catalog.SCHEMAS, max_deltas)

@@ -23,6 +23,20 @@ def test_arriving_transcripts(spark, tmp_path):
     assert sorted(r.warning for r in run(warnings, "warnings").collect()) == ["bad JSON", "unknown tool"]
 
 
+def test_calls_of_every_kind_go_to_their_tables(spark, tmp_path):
+    lines = ['{"tool":"exclude_prop","prop":"a"}', '{"tool":"accept_component","name":"Card","confidence":9}', '{"tool":"set_token","path":"a.b","type":"color","value":null}', '{"tool":"set_token","path":"a.c","type":"color"}', '{"tool":"map_edge","parent":"Card","child":"Hero","confidence":7}', '{"tool":"map_edge","parent":"Card","child":"Nobody"}', "prose", "{bad"]
+    (tmp_path / "in").mkdir()
+    for i, part in enumerate((lines[:3], lines[3:])):
+        (tmp_path / "in" / f"{i}.txt").write_text("\n".join(part))
+    names = spark.createDataFrame([("Card",), ("Hero",)], "name string")
+    stream = spark.readStream.option("maxFilesPerTrigger", 1).text(str(tmp_path / "in")).withColumnRenamed("value", "line")
+    for _ in range(2):  # the second finds nothing new
+        jobs.stream_routed_calls(stream, names, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+    for kind, rows in jobs.route_calls(spark.createDataFrame([(x,) for x in lines], "line string"), names).items():
+        written = spark.read.schema(rows.schema).parquet(f"{tmp_path}/out/{kind}").select(rows.columns)
+        assert sorted(map(repr, written.collect())) == sorted(map(repr, rows.collect())), kind
+
+
 def test_starts_once(spark, tmp_path):
     rows = [(i, i % 3, f"2024-01-01 00:00:{i:02d}", "started") for i in range(9)]
     events = spark.createDataFrame(rows, "event_id long, session_id long, ts string, kind string").withColumn("ts", F.to_timestamp("ts"))

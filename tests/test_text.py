@@ -160,3 +160,18 @@ def test_many_fuzzy_queries_give_what_one_gives(spark):
             found.setdefault(r.query, []).append((r.arrival, float(r.score)))
         for q in asked:
             assert found.get(q, []) == [(r.arrival, float(r.score)) for r in P.fuzzy_search(names, q, 3).collect()], q
+
+
+def test_documents_of_definitions(spark):
+    url = "https://example.org/v1"
+    docs = {
+        1: '{"$schema":"%s","a":{"$type":"component","$properties":{"p":{"$type":"string","$category":"content","$default":[1],"$values":["x"],"$token.kind":"k","$description":"d"}},"$slots":{"s":{"$required":true,"$allowedComponents":[]}}},"g":{"$description":"d","b":{"$type":"component","$properties":{}}}}' % url,
+        2: '{"$schema":"%s","a":{"$type":"component","$properties":{"p":{"$type":"x","$category":"y","$values":[1],"extra":null},"q":5},"$slots":{"s":{"$required":"no","k":1},"t":"x"},"other":1},"g":{"$x":1,"h":3}}' % url,
+        3: '"text"', 4: "{oops", 5: '{"a":{"$type":"component"}}', 6: '{"$schema":5}', 7: None,
+    }
+    got = {(r.doc, r.path, r.code) for r in P.validate_documents(spark.createDataFrame(list(docs.items()), "doc int, value string"), url).collect()}
+    assert got == {
+        (2, "a.p", "unknown $type"), (2, "a.p", "unknown $category"), (2, "a.p", "wrong kind of $values"), (2, "a.p", "unknown key extra"), (2, "a.q", "not an object"),
+        (2, "a.s", "wrong kind of $required"), (2, "a.s", "unknown key k"), (2, "a.t", "not an object"), (2, "a", "unknown key other"), (2, "g", "unknown key $x"), (2, "g.h", "neither component nor group"),
+        (3, "/", "not an object"), (4, "/", "not an object"), (7, "/", "not an object"), (5, "/$schema", "missing $schema"), (5, "a", "missing $properties"), (6, "/$schema", "wrong $schema"),
+    }
