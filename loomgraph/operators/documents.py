@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgraph.functions.lineage import cut
 from loomgraph.operators.edges import sanitize_edges
 
 #: Fields that later versions of run records added.
@@ -154,6 +155,30 @@ def extract_with(files: DataFrame, extractor: Callable[[str, str], list[dict]],
     return files.select("path", "content").mapInArrow(run, schema)
 
 
+def extract_with_warnings(files: DataFrame, extractor: Callable[[str, str], tuple[list[dict], list[str]]], schema: str) -> tuple[DataFrame, DataFrame]:
+    """Rows that a plug-in extractor makes of each file's path and content, and its warnings (path, warning).
+
+    The extractor is called once for a file. One that fails gives a warning with its error, and the other files go on.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(T.StructType.fromDDL(f"path string, row struct<{schema}>, warning string"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    rows, warnings = extractor(path, content)
+                except Exception as error:
+                    rows, warnings = [], [f"{type(error).__name__}: {error}"]
+                out += [{"path": path, "row": r, "warning": None} for r in rows] + [{"path": path, "row": None, "warning": w} for w in warnings]
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    both = cut(files.select("path", "content").mapInArrow(run, f"path string, row struct<{schema}>, warning string"))
+    return both.filter("row IS NOT NULL").select("row.*"), both.filter("warning IS NOT NULL").select("path", "warning")
+
+
 def decide_with(chunks: DataFrame, decide: Callable[[list[str]], list[str]]) -> DataFrame:
     """name and decision from a plug-in that sees one chunk of names at a time; chunks has session_id, chunk, place and name.
 

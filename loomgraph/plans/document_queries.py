@@ -126,6 +126,30 @@ def l1(spark, sf):
     return M.extract_with(carrier(spark, sf, "files"), lambda path, content: [{"path": path, "size": len(content)}], "path string, size long")
 
 
+def _headings(path: str, content: str) -> tuple[list[dict], list[str]]:
+    """The headings of a page and a warning of each that is short; every third length of a page is an error."""
+    import re
+
+    if len(content) % 3 == 0:
+        raise ValueError("cannot be read")
+    found = re.findall("<h1>([^<]*)</h1>", content)
+    return [{"path": path, "heading": h} for h in found], [f"short heading: {h}" for h in found if len(h) < 30]
+
+
+def _extracted(spark, sf):
+    return M.extract_with_warnings(carrier(spark, sf, "files"), _headings, "path: string, heading: string")
+
+
+@query("l1_plugged_rows", with_carriers("SELECT path, unnest(regexp_extract_all(content, '<h1>([^<]*)</h1>', 1)) AS heading FROM files WHERE length(content) % 3 <> 0", "files"))
+def l1_rows(spark, sf):
+    return _extracted(spark, sf)[0]
+
+
+@query("l1_plugged_warnings", with_carriers("SELECT path, 'ValueError: cannot be read' AS warning FROM files WHERE length(content) % 3 = 0 UNION ALL SELECT path, concat('short heading: ', h) FROM (SELECT path, unnest(regexp_extract_all(content, '<h1>([^<]*)</h1>', 1)) AS h FROM files WHERE length(content) % 3 <> 0) WHERE length(h) < 30", "files"))
+def l1_warnings(spark, sf):
+    return _extracted(spark, sf)[1]
+
+
 @query("l3_plugged_decision", with_carriers("SELECT name, CASE WHEN starts_with(name, 'p') OR length(name) % 2 = 0 THEN 'accepted' ELSE 'rejected' END AS decision FROM components", "components"))
 def l3(spark, sf):
     chunks = chunk(carrier(spark, sf, "components"), "arrival")
