@@ -193,7 +193,7 @@ def _forest_of(rows: pa.RecordBatch, starts: np.ndarray, radius: int) -> pa.Reco
 
 def _star_links(large: DataFrame, radius: int) -> DataFrame:
     """Links between the members of each large shard and the one of most rows in it."""
-    centre = F.expr("max_by(fingerprint, struct(copies, -fingerprint))").alias("centre")
+    centre = F.expr("max_by(fingerprint, struct(copies, ~fingerprint))").alias("centre")
     both = large.join(large.groupBy("shard").agg(centre), "shard")
     near = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("centre"))) <= radius
     return both.filter(near & (F.col("fingerprint") != F.col("centre"))).select(F.col("fingerprint").alias("a"), F.col("centre").alias("b")).distinct()

@@ -68,7 +68,7 @@ def test_components_of_fingerprints(spark, monkeypatch):
     chained = [base[0]]
     for _ in range(60):
         chained.append(flipped(r, chained[-1], 3))
-    values = list({*chained, *(flipped(r, x, r.randrange(1, 9)) for x in base for _ in range(150)), *(r.getrandbits(64) for _ in range(100))})
+    values = list({*chained, *(flipped(r, x, r.randrange(1, 9)) for x in base for _ in range(150)), *(r.getrandbits(64) for _ in range(100)), 0, 1 << 63, (1 << 64) - 1})
     arr = np.array(values, np.uint64)
     want = union(len(arr), close(arr))
     nodes = spark.createDataFrame([(int(v), i % 7 + 1) for i, v in enumerate(arr.view(np.int64).tolist())], "fingerprint long, copies long")
