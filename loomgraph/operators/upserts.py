@@ -90,11 +90,17 @@ def backfill_unclassified(props: DataFrame, components: DataFrame) -> DataFrame:
     return rows.withColumn("category", category).withColumn("cdf_type", F.when(fill, "string").otherwise(F.col("cdf_type"))).drop("__g")
 
 
+#: What a proposal keeps of a component, where the table has it.
+PROPOSED = ("name", "source", "framework", "props", "slots", "extraction_confidence", "review_reasons", "needs_review")
+
+
 def snapshot_decisions(components: DataFrame, accepted: DataFrame) -> DataFrame:
-    """Each component accepted or rejected, with what was proposed: a struct of its other columns but the ids."""
+    """session_id, id, name, status (accepted or rejected), and what was proposed, as it was found and as it was edited, which is the same here; the source's path and text are left open."""
     named = accepted.select("session_id", "name").distinct().withColumn("__a", F.lit(True))
-    rows = components.withColumn("proposal", F.struct(*(c for c in components.columns if c not in ("session_id", "component_id")))).join(named, ["session_id", "name"], "left")
-    return rows.withColumn("decision", F.when(F.col("__a"), "accepted").otherwise("rejected")).drop("__a")
+    rows = components.join(named, ["session_id", "name"], "left")
+    proposal = F.struct(*(c for c in PROPOSED if c in components.columns))
+    status = F.when(F.col("__a"), "accepted").otherwise("rejected")
+    return rows.select("session_id", F.col("component_id").alias("id"), "name", F.lit("").alias("resolved_source_path"), F.lit(None).cast("string").alias("source_code"), proposal.alias("original_proposal"), proposal.alias("edited_proposal"), status.alias("status"))
 
 
 def fingerprint_saved(documents: DataFrame, text: str = "text") -> DataFrame:

@@ -200,10 +200,12 @@ def j8(spark, sf):
     return U.backfill_unclassified(carrier(spark, sf, "cat_props"), carrier(spark, sf, "cat_components")).select("component_id", "position", "cdf_type", "category")
 
 
-@query("j9_snapshot_decisions", with_carriers("SELECT component_id, CASE WHEN name IN (SELECT name FROM cat_components d WHERE d.session_id = c.session_id AND status = 'accepted') THEN 'accepted' ELSE 'rejected' END AS decision FROM cat_components c", "cat_components"))
+@query("j9_snapshot_decisions", with_carriers("""SELECT session_id, component_id AS id, name, '' AS resolved_source_path, CAST(NULL AS VARCHAR) AS source_code, concat('{"name":"', name, '","source":"', source, '","framework":"', framework, '"}') AS original, concat('{"name":"', name, '","source":"', source, '","framework":"', framework, '"}') AS edited,
+  CASE WHEN name IN (SELECT name FROM cat_components d WHERE d.session_id = c.session_id AND status = 'accepted') THEN 'accepted' ELSE 'rejected' END AS status FROM cat_components c""", "cat_components"))
 def j9(spark, sf):
     c = carrier(spark, sf, "cat_components")
-    return U.snapshot_decisions(c, c.filter("status = 'accepted'")).select("component_id", "decision")
+    got = U.snapshot_decisions(c, c.filter("status = 'accepted'"))
+    return got.select("session_id", "id", "name", "resolved_source_path", "source_code", F.to_json("original_proposal").alias("original"), F.to_json("edited_proposal").alias("edited"), "status")
 
 
 @query("j10_fingerprint_saved", "SELECT doc_id, sha256(text) AS fingerprint FROM documents")
