@@ -207,8 +207,35 @@ def with_parents(closures: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def closure_paths(closures: DataFrame, edges: DataFrame) -> DataFrame:
-    """closures with parent and path: from the root over the parents to the node."""
-    closures = cut(with_parents(closures, edges))
+    """closures with parent and path: from the root over the parents to the node.
+
+    A root's rows come to one task by depth, where each path is its parent's and one more; in graphs of more than
+    LOCAL_EDGES edges, levels are joined.
+    """
+    pairs = cut(_pairs(edges))
+    closures = cut(with_parents(closures, pairs))
+    if rows(pairs) > LOCAL_EDGES:
+        return _paths_in_rounds(closures)
+    drop(pairs)
+    kind, own = _type(closures, "node"), closures.select("root", "node", "depth", "parent")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths = {}
+        for batch in batches:
+            out = []
+            for _, node, depth, parent in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if depth == 0:
+                    paths = {}  # the next root's
+                paths[node] = [*paths[parent], node] if depth else [node]
+                out.append(paths[node])
+            yield pa.record_batch([*batch.columns, pa.array(out, pa.list_(kind.arrow))], names=[*batch.schema.names, "path"])
+
+    dealt = own.repartition("root").sortWithinPartitions("root", "depth")
+    return dealt.mapInArrow(run, f"root {kind}, node {kind}, depth int, parent {kind}, path array<{kind}>")
+
+
+def _paths_in_rounds(closures: DataFrame) -> DataFrame:
+    """Paths level by level, by joins."""
     front = cut(closures.filter("depth = 0").withColumn("path", F.array("node")))
     found = front
     while rows(front):
