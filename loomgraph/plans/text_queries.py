@@ -334,7 +334,7 @@ def b16(spark, sf):
 
 
 _MANIFESTS = """SELECT concat('/d/N', CAST(p_partkey AS STRING), CASE WHEN p_size % 7 = 0 THEN '/other.json' ELSE '/design/manifest.json' END) AS path,
-  CASE p_size % 5 WHEN 0 THEN '{"component":' WHEN 1 THEN concat('{"component":{"name":"n', CAST(p_partkey AS STRING), '-x"}}') ELSE concat('{"component":{"name":"n', CAST(p_partkey AS STRING), '-x"},"variantsMeta":{"componentPropertyDefinitions":{"Slot#1":{"type":"SLOT","preferredValues":[{"name":"n', CAST(p_partkey - 1 AS STRING), '-x"},{"name":"n', CAST(p_partkey AS STRING), '-x"},{"name":"none"},7,{"name":3}]},"Size":{"type":"VARIANT","preferredValues":[{"name":"n', CAST(p_partkey - 2 AS STRING), '-x"}]},"odd":null,"Slot#2":{"type":"SLOT","preferredValues":[{"name":"n', CAST(p_partkey - 3 AS STRING), '-x"}]}}}}') END AS content FROM part"""
+  CASE p_size % 5 WHEN 0 THEN '{"component":' WHEN 1 THEN concat('{"component":{"name":"n', CAST(p_partkey AS STRING), '-x"}}') ELSE concat('{"component":{"name":"n', CAST(p_partkey AS STRING), '-x"},"variantsMeta":{"componentPropertyDefinitions":{"Slot#1":{"type":"SLOT","preferredValues":[{"name":"n', CAST(p_partkey + 1 AS STRING), '-x"},{"name":"n', CAST(p_partkey AS STRING), '-x"},{"name":"none"},7,{"name":3}]},"Size":{"type":"VARIANT","preferredValues":[{"name":"n', CAST(p_partkey + 2 AS STRING), '-x"}]},"odd":null,"Slot#2":{"type":"SLOT","preferredValues":[{"name":"n', CAST(p_partkey + 3 AS STRING), '-x"}]}}}}') END AS content FROM part"""
 
 
 @query("b18_manifest_edges", f"""
