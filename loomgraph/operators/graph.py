@@ -1,6 +1,6 @@
 """Graph operators over slot edges (src, slot, dst).
 
-Graphs of up to LOCAL_EDGES distinct edges are sent to the tasks, which deal the starts among themselves and walk the
+Graphs of up to LOCAL_EDGES distinct edges (OBJECT_EDGES where nodes aren't integers) are sent to the tasks, which deal the starts among themselves and walk the
 edges as arrays. Larger ones are worked on by joins: strong components contract blocks of edges until so few are left,
 closures keep a row of BITS starts as the bits of a long for each node.
 """
@@ -20,11 +20,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 from loomgraph.functions.lineage import cut, drop, new_folder, rows
 from loomgraph.operators import local_graph as L
 
-#: Edges that one task holds and that are sent to all tasks, at most.
-LOCAL_EDGES = 1_000_000
+#: Edges that one task holds as arrays of numbers and that are sent to all tasks, at most: some 25 bytes each.
+LOCAL_EDGES = 12_000_000
+#: The same where nodes have names that aren't integers, or where edges are held as Python objects.
+OBJECT_EDGES = 1_000_000
 #: A round of contraction that leaves more than this part of the edges is the last one.
 SLOW_ROUND = 0.9
 _PATHS = 2000
+_ROWS = 1 << 16
 
 
 def _column(batch: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
@@ -45,6 +48,11 @@ def _type(df: DataFrame, column: str) -> Kind:
     return kind
 
 
+def _most(edges: DataFrame) -> int:
+    """How many of these edges one task holds."""
+    return LOCAL_EDGES if _type(edges, edges.columns[0]).arrow in (pa.int64(), pa.int32()) else min(LOCAL_EDGES, OBJECT_EDGES)
+
+
 def _arrow(values: np.ndarray, kind: Kind) -> pa.Array:
     return pa.array(values.tolist() if values.dtype == object else values, kind.arrow)
 
@@ -101,11 +109,24 @@ def roots(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, nodes: DataFrame, starts: DataFrame) -> DataFrame:
     """root, node and depth (steps on the shortest way) of all that each start reaches; a start outside the graph reaches itself."""
     steps, firsts = cut(_known(edges, nodes)), starts.select("node").distinct()
-    out = _local_closure(steps, firsts) if rows(steps) <= LOCAL_EDGES else _closure_in_rounds(steps, firsts)
+    out = _local_closure(steps, firsts) if rows(steps) <= _most(steps) else _closure_in_rounds(steps, firsts)
     drop(steps)
     return out
 
 
+def _levels(graph: L.Adjacency, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """depth, start (its place) and node for all that at most BITS starts reach, many levels at once."""
+    held, size = [], 0
+    for depth, start, node in L.spread(graph, starts):
+        held.append((np.full(len(node), depth, np.int32), start, node))
+        size += len(node)
+        if size >= _ROWS:
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            held, size = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
 def _local_closure(steps: DataFrame, starts: DataFrame) -> DataFrame:
     kind = _type(starts, "node")
     graph = _sent(steps, _adjacency)
@@ -116,8 +137,8 @@ def _local_closure(steps: DataFrame, starts: DataFrame) -> DataFrame:
         lone, known = names[at < 0], names[at >= 0]
         if len(lone):
             yield pa.record_batch([_arrow(lone, kind), _arrow(lone, kind), pa.array(np.zeros(len(lone), np.int32))], names=kept)
-        for depth, start, node in L.spread(g, at[at >= 0]) if len(known) else ():
-            yield pa.record_batch([_arrow(known[start], kind), _arrow(g.names[node], kind), pa.array(np.full(len(node), depth, np.int32))], names=kept)
+        for depth, start, node in _levels(g, at[at >= 0]):
+            yield pa.record_batch([_arrow(known[start], kind), _arrow(g.names[node], kind), pa.array(depth)], names=kept)
 
     return cut(_dealt(starts).mapInArrow(_in_bits(walk), f"root {kind}, node {kind}, depth int"))
 
@@ -161,7 +182,7 @@ def _closure_in_rounds(steps: DataFrame, starts: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, nodes: DataFrame, starts: DataFrame) -> DataFrame:
     """root and node of all that each start reaches, itself included, over the condensation: strong components stand as one node and are unfolded in the result."""
     steps, firsts = cut(_known(edges, nodes)), starts.select("node").distinct()
-    if rows(steps) <= LOCAL_EDGES:
+    if rows(steps) <= _most(steps):
         out = _local_reach(steps, firsts)
         drop(steps)
         return out
@@ -179,22 +200,16 @@ def reachable(edges: DataFrame, nodes: DataFrame, starts: DataFrame) -> DataFram
 def _local_reach(steps: DataFrame, starts: DataFrame) -> DataFrame:
     kind = _type(starts, "node")
 
-    def condensed(edges: pa.Table) -> tuple[L.Adjacency, L.Condensed]:
-        graph = _adjacency(edges)
-        return graph, L.Condensed(graph)
-
-    sent = _sent(steps, condensed)
+    graph = _sent(steps, _adjacency)
 
     def walk(names: np.ndarray) -> Iterator[pa.RecordBatch]:
-        g, c = sent.value
+        g = graph.value
         at = g.find(names)
         lone, known = names[at < 0], names[at >= 0]
         if len(lone):
             yield pa.record_batch([_arrow(lone, kind), _arrow(lone, kind)], names=["root", "node"])
-        if len(known):
-            start, node = c.reach(at[at >= 0])
-            for part in range(0, len(start), 1 << 16):
-                yield pa.record_batch([_arrow(known[start[part : part + (1 << 16)]], kind), _arrow(g.names[node[part : part + (1 << 16)]], kind)], names=["root", "node"])
+        for _, start, node in _levels(g, at[at >= 0]):
+            yield pa.record_batch([_arrow(known[start], kind), _arrow(g.names[node], kind)], names=["root", "node"])
 
     return cut(_dealt(starts).mapInArrow(_in_bits(walk), f"root {kind}, node {kind}"))
 
@@ -214,7 +229,7 @@ def closure_paths(closures: DataFrame, edges: DataFrame) -> DataFrame:
     """
     pairs = cut(_pairs(edges))
     closures = cut(with_parents(closures, pairs))
-    if rows(pairs) > LOCAL_EDGES:
+    if rows(pairs) > _most(pairs):
         return _paths_in_rounds(closures)
     drop(pairs)
     kind, own = _type(closures, "node"), closures.select("root", "node", "depth", "parent")
@@ -297,19 +312,20 @@ def ancestor_chains(edges: DataFrame, nodes: DataFrame, targets: DataFrame, max_
     Tasks walk up from their targets and give chains out as they end; more edges than LOCAL_EDGES are joined.
     """
     up = cut(edges.filter("src <> dst").join(_known(edges, nodes), ["src", "dst"], "left_semi").select(F.col("dst").alias("at"), F.col("src").alias("parent"), "slot").distinct())
-    if rows(up) > LOCAL_EDGES:
+    if rows(up) > _most(up):
         return _joined_chains(up, targets, max_len)
     kind, slot_kind = _type(targets, "node"), _type(up, "slot")
 
     def climbed(table: pa.Table):
         graph = L.Adjacency(_column(table, "at"), _column(table, "parent"))
-        slots = table.column("slot").to_pylist()
-        return graph, [slots[i] for i in graph.order.tolist()]
+        slots = table.column("slot").combine_chunks().dictionary_encode()
+        known = slots.dictionary.to_pylist()
+        return graph, slots.indices.fill_null(len(known)).to_numpy(zero_copy_only=False)[graph.order], [*known, None]
 
     sent = _sent(up, climbed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph, slots = sent.value
+        graph, slot_of, slots = sent.value
 
         def found() -> Iterator[tuple]:
             for batch in batches:
@@ -320,7 +336,7 @@ def ancestor_chains(edges: DataFrame, nodes: DataFrame, targets: DataFrame, max_
                         continue
                     for taken in L.chains(graph, at, max_len):
                         over = taken is None
-                        yield [name, *(graph.names[graph.targets[e]] for e in taken or ())], [slots[e] for e in taken or ()], over
+                        yield [name, *graph.names[graph.targets[taken or []]].tolist()], [slots[i] for i in slot_of[taken or []].tolist()], over
 
         yield from _in_batches(found(), kind, slot_kind)
 
@@ -384,10 +400,10 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
 def _all_units(pairs: DataFrame) -> DataFrame:
     """node and unit of the strong components of several nodes."""
-    if rows(pairs) <= LOCAL_EDGES:
+    if rows(pairs) <= _most(pairs):
         return _local_units(pairs)
     core, moves, key = _trimmed(pairs), [], "src"
-    while (before := rows(core)) > LOCAL_EDGES:
+    while (before := rows(core)) > _most(core):
         told = _contracted(core, key)
         moved = cut(told.filter("moved").select(F.col("a").alias("node"), F.col("b").alias("unit")))
         to = lambda c: moved.select(F.col("node").alias(c), F.col("unit").alias(f"__{c}"))  # noqa: B023, E731
@@ -398,7 +414,7 @@ def _all_units(pairs: DataFrame) -> DataFrame:
         moves.append(moved)
         if rows(core) > SLOW_ROUND * before:
             break
-    units = _local_units(core) if rows(core) <= LOCAL_EDGES else _coloured(core)
+    units = _local_units(core) if rows(core) <= _most(core) else _coloured(core)
     for moved in reversed(moves):
         above = moved.withColumnRenamed("unit", "top").join(units.withColumnRenamed("node", "top"), "top", "left").select("node", F.coalesce("unit", "top").alias("unit"))
         heads = moved.select(F.col("unit").alias("node")).distinct().join(units, "node", "left_anti").select("node", F.col("node").alias("unit"))
@@ -428,8 +444,8 @@ def _contracted(core: DataFrame, key: str) -> DataFrame:
     only. The edges of a key that has more than a block holds pass as they are.
     """
     kind = _type(core, "src")
-    many = -(-rows(core) // LOCAL_EDGES)
-    limit = LOCAL_EDGES
+    limit = min(LOCAL_EDGES, OBJECT_EDGES)
+    many = -(-rows(core) // limit)
     names = ["moved", "a", "b"]
 
     def told(table: pa.Table, contract: bool) -> Iterator[pa.RecordBatch]:
@@ -529,7 +545,7 @@ def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
 def _reach(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """All nodes reached from any start."""
     edges, starts = cut(edges.select("src", "dst")), starts.select("node").distinct()
-    if rows(edges) <= LOCAL_EDGES:
+    if rows(edges) <= _most(edges):
         out = _local_from_any(edges, starts)
         drop(edges)
         return out
@@ -577,7 +593,7 @@ def elementary_cycles(edges: DataFrame, max_len: int | None = None) -> DataFrame
     units = strong_components(edges)
     inner = edges.join(units.select(F.col("node").alias("src"), F.col("unit").alias("a")), "src").join(units.select(F.col("node").alias("dst"), F.col("unit").alias("b")), "dst")
     inner = cut(inner.filter("a = b").select("src", "slot", "dst").distinct())
-    if rows(inner) > LOCAL_EDGES:
+    if rows(inner) > min(LOCAL_EDGES, OBJECT_EDGES):
         return _joined_cycles(inner, max_len)
     kind, slot_kind = _type(inner, "src"), _type(inner, "slot")
 

@@ -22,9 +22,11 @@ class Adjacency:
 
     def __init__(self, src: np.ndarray, dst: np.ndarray):
         self.names, (s, d) = numbered(src, dst)
-        self.order = np.lexsort((d, s))  # edge numbers of those given, by source
-        self.targets = d[self.order]
-        self.first = np.searchsorted(s[self.order], np.arange(len(self.names) + 1))
+        number = np.int32 if max(len(self.names), len(s)) < 1 << 31 else np.int64
+        order = np.lexsort((d, s))
+        self.order = order.astype(number)  # edge numbers of those given, by source
+        self.targets = d[order].astype(number)
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(s, minlength=len(self.names)))]).astype(number)
 
     def __len__(self) -> int:
         return len(self.names)
@@ -43,9 +45,44 @@ class Adjacency:
         return place, self.targets[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.first[nodes], many)]
 
 
+#: Rounds in which nodes that are on no cycle are taken away before the depth-first walk.
+_PEELED = 1000
+
+
+def _peeled(graph: Adjacency) -> np.ndarray:
+    """Whether each node is left when nodes without in- or out-edges are taken away again and again, _PEELED times at most."""
+    left = np.ones(len(graph), bool)
+    out = np.diff(graph.first)
+    src = np.repeat(np.arange(len(graph), dtype=graph.targets.dtype), out)
+    by_target = np.argsort(graph.targets, kind="stable")
+    into = np.bincount(graph.targets, minlength=len(graph))
+    back = Adjacency.__new__(Adjacency)
+    back.targets, back.first = src[by_target], np.concatenate([[0], np.cumsum(into)])
+    for ahead, waits in ((graph, into), (back, out)):
+        front = np.flatnonzero((waits == 0) & left)
+        for _ in range(_PEELED):
+            if not len(front):
+                break
+            left[front] = False
+            met, times = np.unique(ahead.steps(front)[1], return_counts=True)
+            waits[met] -= times.astype(waits.dtype)
+            front = met[(waits[met] == 0) & left[met]]
+    return left
+
+
 def strong(graph: Adjacency) -> np.ndarray:
-    """Of each node, the least node of its strong component; one depth-first walk over the edges."""
-    n, first, targets = len(graph), graph.first.tolist(), graph.targets.tolist()
+    """Of each node, the least node of its strong component; one depth-first walk over the edges that can be on cycles."""
+    left = _peeled(graph)
+    kept = np.flatnonzero(left)
+    at, ahead = graph.steps(kept)
+    at, ahead = at[left[ahead]], np.searchsorted(kept, ahead[left[ahead]])
+    unit = np.arange(len(graph), dtype=np.int64)
+    unit[kept] = kept[_walked(np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(kept)))]), ahead)]
+    return unit
+
+
+def _walked(firsts: np.ndarray, aheads: np.ndarray) -> np.ndarray:
+    n, first, targets = len(firsts) - 1, firsts.tolist(), aheads.tolist()
     seen, low, unit = [-1] * n, [0] * n, list(range(n))
     open_: list[int] = []
     is_open = bytearray(n)
@@ -150,19 +187,20 @@ class Condensed:
 
 def chains(graph: Adjacency, start: int, max_len: int | None) -> Iterator[list[int] | None]:
     """Simple paths from start that end where every step leads back into the path, as edge numbers; None for one of more than max_len nodes."""
-    first, targets = graph.first.tolist(), graph.targets.tolist()
-    path, on_path, taken = [(start, first[start])], {start}, []
+    first, targets = graph.first.item, graph.targets.item  # the whole arrays as lists would cost each start the whole graph
+    path, on_path, taken = [(start, first(start))], {start}, []
     went = [False]
     while path:
         node, edge = path.pop()
-        while edge < first[node + 1] and targets[edge] in on_path:
+        stop = first(node + 1)
+        while edge < stop and targets(edge) in on_path:
             edge += 1
-        if edge < first[node + 1]:
+        if edge < stop:
             if max_len is not None and len(path) + 2 > max_len:
                 yield None
                 return
-            ahead = targets[edge]
-            path += [(node, edge + 1), (ahead, first[ahead])]
+            ahead = targets(edge)
+            path += [(node, edge + 1), (ahead, first(ahead))]
             went[-1] = True
             went.append(False)
             on_path.add(ahead)

@@ -158,3 +158,22 @@ def test_entries_go_until_what_is_left_is_valid(spark):
     got = {r.node for r in exclude_until_valid(e, n, offenders).collect()}
     assert rounds == [[1, 2, 3, 4, 5, 6, 7, 8], [1, 2, 3, 4, 6, 7, 8]]
     assert got == {1, 3, 4, 6, 7}  # the cycle 1, 2, 3 breaks at its first edge, whose target is 2; 6 is on none any more
+
+
+def test_a_start_costs_no_more_than_it_reaches(spark):
+    """Chains of one start don't turn the whole graph into lists, and nodes on no cycle are left out of the depth-first walk."""
+
+    class Whole(np.ndarray):
+        def tolist(self):
+            raise AssertionError("the whole graph as a list")
+
+    graph = L.Adjacency(np.array([0, 1, 1, 5, 6, 6]), np.array([1, 2, 3, 6, 5, 7]))
+    graph.first, graph.targets = graph.first.view(Whole), graph.targets.view(Whole)
+    assert [[int(graph.targets[e]) for e in taken] for taken in L.chains(graph, 0, None)] == [[1, 2], [1, 3]]
+    assert L._peeled(L.Adjacency(np.array([0, 1, 1, 5, 6, 6]), np.array([1, 2, 3, 6, 5, 7]))).tolist() == [False] * 4 + [True] * 2 + [False]
+    assert L.strong(L.Adjacency(np.array([0, 1, 1, 5, 6, 6]), np.array([1, 2, 3, 6, 5, 7]))).tolist() == [0, 1, 2, 3, 4, 4, 6]
+    numbers, names = (spark.createDataFrame([], f"src {t}, dst {t}") for t in ("long", "string"))
+    assert (G._most(numbers), G._most(names)) == (G.LOCAL_EDGES, G.OBJECT_EDGES)
+    slots = spark.createDataFrame([(1, None, 2), (2, "s", 3)], "src long, slot string, dst long")
+    nodes = spark.createDataFrame([(3,)], "node long")
+    assert [tuple(r) for r in G.ancestor_chains(slots, nodes.union(slots.select("src")), nodes).collect()] == [(3, [3, 2, 1], ["s", None])]
