@@ -74,13 +74,13 @@ def route_files(files: DataFrame) -> DataFrame:
     return files.select("path", F.explode(F.array_compact(F.array(*(F.when(t, F.lit(n)) for n, t in takes.items())))).alias("extractor"))
 
 
-def select_candidate_files(files: DataFrame, names=NAME_PATTERNS, markers=MARKERS) -> DataFrame:
-    """Files that may define composition, with the first reason: a name pattern in any part of the path, else a marker in the text. The first of a path counts."""
+def select_candidate_files(files: DataFrame, names=NAME_PATTERNS, markers=MARKERS, keys=("path",)) -> DataFrame:
+    """Files that may define composition, with the first reason: a name pattern in any part of the path, else a marker in the text. The first row of a file, which keys name, counts."""
     parts = F.filter(F.split(F.lower("path"), "/"), lambda s: s != "")
     by_name = [F.when(F.contains(F.array_join(parts, "\n"), F.lit(n)), F.lit(f"name:{n}")) for n in names]
     by_text = [F.when(F.col("content").contains(m), F.lit(f"content:{m}")) for m in markers]
     rows = files.withColumn("reason", F.coalesce(*by_name, *by_text)).filter("reason IS NOT NULL")
-    return rows.withColumn("__rn", F.row_number().over(Window.partitionBy("path").orderBy("file_id"))).filter("__rn = 1").drop("__rn")
+    return rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy("file_id"))).filter("__rn = 1").drop("__rn")
 
 
 def slice_regions(files: DataFrame, markers=MARKERS, window: int = 3) -> DataFrame:
@@ -197,9 +197,10 @@ def resolve_local_imports(imports: DataFrame, files: DataFrame, root: str, exten
     base = F.when(F.col("source").startswith("."), resolved(F.concat(folder_of("importer"), F.lit("/"), F.col("source"))))
     tries = ["", *extensions, *(f"/index{e}" for e in extensions)]
     local = imports.select("importer", "source", base.alias("base")).distinct().filter("base IS NOT NULL")
-    offered = local.select("importer", "source", F.posexplode(F.array(*(F.concat("base", F.lit(t)) for t in tries))).alias("at", "candidate"))
-    there = offered.join(files.select(F.col("path").alias("candidate")).distinct(), "candidate", "left_semi").filter(within(F.col("candidate"), root))
-    first = local.join(there.groupBy("importer", "source").agg(F.min_by("candidate", "at").alias("candidate")), ["importer", "source"], "left")
+    ends = F.filter(F.array(*(F.struct(F.lit(n).alias("at"), F.lit(t).alias("end")) for n, t in enumerate(tries))), lambda t: F.col("path").endswith(t["end"]))
+    meant = files.select("path").filter(within(F.col("path"), root)).select("path", F.explode(ends).alias("t"))  # a file offers itself for the few bases it ends, an import not its tries
+    meant = meant.groupBy(F.expr("left(path, length(path) - length(t.end))").alias("base")).agg(F.min_by("path", "t.at").alias("candidate"))
+    first = local.join(meant, "base", "left")
     found = F.coalesce("candidate", F.when(within(F.col("base"), root), F.col("base")))
     return imports.join(first.select("importer", "source", F.substring(found, F.lit(len(root) + 2), F.length(found)).alias("path")), ["importer", "source"], "left")
 
