@@ -15,3 +15,9 @@ def test_files_that_share_a_path(spark):
     files = spark.createDataFrame([(1, "a/mapping.ts", ""), (2, "a/mapping.ts", ""), (3, "b.ts", "")], "file_id long, path string, content string")
     found = lambda **keys: sorted(r.file_id for r in S.select_candidate_files(files, names=("mapping",), **keys).collect())
     assert (found(), found(keys=("file_id",))) == ([1], [1, 2])
+
+
+@pytest.mark.parametrize("name", ["a16_concat_token_sources", "e6_batch_by_budget"])
+def test_projects_are_the_whole_table_in_three(spark, name):
+    assert {r.project for r in registry.QUERIES[name](spark, "/root/testdata/sf0.001").select("project").distinct().collect()} == {0, 1, 2}
+    assert "file_id % 3 AS project" in registry.ORACLE_SQL[name]
