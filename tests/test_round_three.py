@@ -21,3 +21,10 @@ def test_files_that_share_a_path(spark):
 def test_projects_are_the_whole_table_in_three(spark, name):
     assert {r.project for r in registry.QUERIES[name](spark, "/root/testdata/sf0.001").select("project").distinct().collect()} == {0, 1, 2}
     assert "file_id % 3 AS project" in registry.ORACLE_SQL[name]
+
+
+def test_budgets_by_lengths_alone(spark):
+    files = spark.createDataFrame([(1, p, "x" * n) for p, n in [("a", 9), ("b", 4), ("c", 13), ("d", 4)]], "project long, path string, content string")
+    short = files.selectExpr("project", "path", "length(content) AS length")
+    kept = lambda df: {r.path: r.kept for r in B.cap_to_budget(df, 5).collect()}
+    assert kept(short) == kept(files) == {"b": True, "d": True, "a": True, "c": False}
