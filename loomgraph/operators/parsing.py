@@ -470,17 +470,22 @@ def _letters(text: Column) -> Column:
 def fuzzy_search_all(names: DataFrame, queries: DataFrame, k: int, max_queries: int = 10_000) -> DataFrame:
     """query, arrival, name, score and rank: the k best names (name, arrival) for each distinct query; a query of no letters takes the first names.
 
-    A name is scored only for queries all of whose letters it holds, which is told by 63 bits of each. Queries are sent
-    to the names in parts of max_queries; the best of each part of the names go on to the ranking.
+    A name is scored once, for its k first arrivals, and only for queries all of whose letters it holds, which is told by
+    63 bits of each. Queries are sent to the names in parts of max_queries; the best of each part of the names go on to
+    the ranking.
     """
     asked = cut(queries.select("query").distinct().withColumn("bits", _letters(F.col("query"))).withColumn("__part", F.pmod(F.xxhash64("query"), F.lit(1 << 16))))
     parts = max(1, -(-rows(asked) // max_queries))
-    signed = names.select("arrival", "name").withColumn("__bits", _letters(F.col("name")))
+    place = F.row_number().over(Window.partitionBy("name").orderBy("arrival"))
+    firsts = names.select("arrival", "name").filter("name IS NOT NULL").withColumn("__place", place).filter(F.col("__place") <= k)
+    kept = firsts.groupBy("name").agg(F.array_sort(F.collect_list("arrival")).alias("__arrivals"))
+    signed = cut(kept.withColumn("__bits", _letters(F.col("name"))))
     best = None
     for i in range(parts):
         part = F.broadcast(asked.filter(F.pmod("__part", F.lit(parts)) == i).select("query", "bits"))  # about max_queries rows
         pairs = signed.join(part, (F.col("bits").bitwiseAND(F.bitwise_not("__bits")) == 0) & (F.length("query") <= F.length("name")))
         scored = pairs.withColumn("score", F.when(F.col("query") == "", F.lit(0.0)).otherwise(F.round(fuzzy_score_of(F.col("name"), F.col("query")), 6))).filter("score IS NOT NULL")
+        scored = scored.select("query", "name", "score", F.explode("__arrivals").alias("arrival"))
         order = Window.partitionBy("query").orderBy(F.desc("score"), "arrival")
         top = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query", "arrival", "name", "score", "rank")
         best = top if best is None else best.unionByName(top)

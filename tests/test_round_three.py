@@ -28,3 +28,12 @@ def test_budgets_by_lengths_alone(spark):
     short = files.selectExpr("project", "path", "length(content) AS length")
     kept = lambda df: {r.path: r.kept for r in B.cap_to_budget(df, 5).collect()}
     assert kept(short) == kept(files) == {"b": True, "d": True, "a": True, "c": False}
+
+
+def test_a_name_is_scored_once(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(P, "cut", lambda df, own=P.cut: tables.append(own(df)) or tables[-1])
+    names = spark.createDataFrame([(i, ("red pin", "rod")[i % 2]) for i in range(12)], "arrival long, name string")
+    got = P.fuzzy_search_all(names, spark.createDataFrame([("rd",)], "query string"), 3).orderBy("rank").collect()
+    assert [(r.arrival, r.name) for r in got] == [(0, "red pin"), (2, "red pin"), (4, "red pin")] or [(r.arrival, r.name) for r in got] == [(1, "rod"), (3, "rod"), (5, "rod")]
+    assert [t.count() for t in tables if "name" in t.columns] == [2]
