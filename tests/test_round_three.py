@@ -37,3 +37,11 @@ def test_a_name_is_scored_once(spark, monkeypatch):
     got = P.fuzzy_search_all(names, spark.createDataFrame([("rd",)], "query string"), 3).orderBy("rank").collect()
     assert [(r.arrival, r.name) for r in got] == [(0, "red pin"), (2, "red pin"), (4, "red pin")] or [(r.arrival, r.name) for r in got] == [(1, "rod"), (3, "rod"), (5, "rod")]
     assert [t.count() for t in tables if "name" in t.columns] == [2]
+
+
+def test_imports_meet_files_without_all_their_tries(spark):
+    imports = spark.createDataFrame([("/r/a/x.ts", s) for s in ("./y", "./z", "./w.ts", "./none", "lib", "../../out")], "importer string, source string")
+    files = spark.createDataFrame([(p,) for p in ("/r/a/y.ts", "/r/a/y.js", "/r/a/z/index.tsx", "/r/a/w.ts", "/out.ts")], "path string")
+    got = S.resolve_local_imports(imports, files, "/r")
+    assert {r.source: r.path for r in got.collect()} == {"./y": "a/y.js", "./z": "a/z/index.tsx", "./w.ts": "a/w.ts", "./none": "a/none", "lib": None, "../../out": None}
+    assert "posexplode" not in got._jdf.queryExecution().optimizedPlan().toString()
