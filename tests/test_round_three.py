@@ -45,3 +45,12 @@ def test_imports_meet_files_without_all_their_tries(spark):
     got = S.resolve_local_imports(imports, files, "/r")
     assert {r.source: r.path for r in got.collect()} == {"./y": "a/y.js", "./z": "a/z/index.tsx", "./w.ts": "a/w.ts", "./none": "a/none", "lib": None, "../../out": None}
     assert "posexplode" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_lines_of_one_key_in_any_order(spark, tmp_path, turned):
+    day = datetime.datetime(2000, 1, 1)
+    lines = [(1, 7, s, 2, 10.0, 1.0, 0.0, 0.0, flag, "F", day) for s, flag in ((4, "A"), (3, "N"))]
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    spark.createDataFrame(lines[::-1] if turned else lines, schema).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [(r.cdf_type, r.category) for r in carrier(spark, str(tmp_path), "cat_props").collect()] == [("enum", None)]
