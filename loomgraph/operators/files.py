@@ -89,8 +89,8 @@ def slice_regions(files: DataFrame, markers=MARKERS, window: int = 3) -> DataFra
     hit = F.lit(False)
     for m in markers:
         hit = hit | F.col("line").contains(m)
-    around = lines.filter(hit).select("file_id", F.greatest(F.lit(0), F.col("n") - window).alias("a"), F.least(F.col("total") - 1, F.col("n") + window).alias("b"))
-    order = Window.partitionBy("file_id").orderBy("a", "b")
+    around = lines.filter(hit).select("file_id", "n", F.greatest(F.lit(0), F.col("n") - window).alias("a"), F.least(F.col("total") - 1, F.col("n") + window).alias("b"))
+    order = Window.partitionBy("file_id").orderBy("a", "b", "n")
     fresh = F.col("a") > F.coalesce(F.lag("b").over(order), F.lit(-9)) + 1
     islands = around.withColumn("fresh", fresh.cast("int")).withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     spans = islands.groupBy("file_id", "island").agg(F.min("a").alias("start"), F.max("b").alias("stop"))

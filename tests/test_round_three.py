@@ -54,3 +54,8 @@ def test_lines_of_one_key_in_any_order(spark, tmp_path, turned):
     schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
     spark.createDataFrame(lines[::-1] if turned else lines, schema).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     assert [(r.cdf_type, r.category) for r in carrier(spark, str(tmp_path), "cat_props").collect()] == [("enum", None)]
+
+
+def test_lines_with_one_range_are_one_region(spark):
+    files = spark.createDataFrame([(1, "motion\nnation")], "file_id long, content string")
+    assert [tuple(r) for r in S.slice_regions(files, ("tion",), 1).collect()] == [(1, 0, 1, "motion\nnation")]
