@@ -2,13 +2,14 @@
 
 import datetime
 
+import duckdb
 import pytest
 
 from loomgraph.operators import budget as B
 from loomgraph.operators import files as S
 from loomgraph.operators import parsing as P
 from loomgraph.plans import registry
-from loomgraph.plans.carriers import carrier
+from loomgraph.plans.carriers import CARRIERS, carrier
 
 
 def test_files_that_share_a_path(spark):
@@ -59,3 +60,17 @@ def test_lines_of_one_key_in_any_order(spark, tmp_path, turned):
 def test_lines_with_one_range_are_one_region(spark):
     files = spark.createDataFrame([(1, "motion\nnation")], "file_id long, content string")
     assert [tuple(r) for r in S.slice_regions(files, ("tion",), 1).collect()] == [(1, 0, 1, "motion\nnation")]
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_tied_lines_in_the_order_of_their_file(spark, tmp_path, turned):
+    day = datetime.datetime(2000, 1, 1)
+    lines = [(1, 7, s, 2, 10.0, 1.0, 0.0, 0.0, flag, "F", day) for s, flag in ((4, "A"), (3, "N"))]
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    spark.createDataFrame(lines[::-1] if turned else lines, schema).coalesce(1).write.parquet(f"{tmp_path}/parts")
+    next((tmp_path / "parts").glob("*.parquet")).rename(tmp_path / "lineitem.parquet")
+    got = [(r.cdf_type, r.category) for r in carrier(spark, str(tmp_path), "cat_props").collect()]
+    assert got == ([("enum", None)] if turned else [(None, "content")])
+    duck = duckdb.connect()
+    duck.sql(f"SET threads = 1; CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    assert duck.sql(f"SELECT cdf_type, category FROM ({CARRIERS['cat_props']})").fetchall() == got
