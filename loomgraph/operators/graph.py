@@ -71,14 +71,14 @@ def _dealt(starts: DataFrame) -> DataFrame:
     return starts.repartition(max(1, starts.sparkSession.sparkContext.defaultParallelism))
 
 
-def _in_bits(walk):
-    """A function for mapInArrow over starts (node): the record batches that walk gives for BITS of them at a time."""
+def _in_parts(walk):
+    """A function for mapInArrow over starts (node): the record batches that walk gives for some of them at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = _column(batch, "node")
-            for at in range(0, len(names), L.BITS):
-                yield from walk(names[at : at + L.BITS])
+            for at in range(0, len(names), L.STARTS):
+                yield from walk(names[at : at + L.STARTS])
 
     return run
 
@@ -115,9 +115,9 @@ def closure(edges: DataFrame, nodes: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def _levels(graph: L.Adjacency, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """depth, start (its place) and node for all that at most BITS starts reach, many levels at once."""
+    """depth, start (its place) and node for all that the starts reach, many levels at once."""
     held, size = [], 0
-    for depth, start, node in L.spread(graph, starts):
+    for depth, start, node in L.spread_many(graph, starts):
         held.append((np.full(len(node), depth, np.int32), start, node))
         size += len(node)
         if size >= _ROWS:
@@ -140,7 +140,7 @@ def _local_closure(steps: DataFrame, starts: DataFrame) -> DataFrame:
         for depth, start, node in _levels(g, at[at >= 0]):
             yield pa.record_batch([_arrow(known[start], kind), _arrow(g.names[node], kind), pa.array(depth)], names=kept)
 
-    return cut(_dealt(starts).mapInArrow(_in_bits(walk), f"root {kind}, node {kind}, depth int"))
+    return cut(_dealt(starts).mapInArrow(_in_parts(walk), f"root {kind}, node {kind}, depth int"))
 
 
 def _numbered_starts(starts: DataFrame) -> DataFrame:
@@ -211,7 +211,7 @@ def _local_reach(steps: DataFrame, starts: DataFrame) -> DataFrame:
         for _, start, node in _levels(g, at[at >= 0]):
             yield pa.record_batch([_arrow(known[start], kind), _arrow(g.names[node], kind)], names=["root", "node"])
 
-    return cut(_dealt(starts).mapInArrow(_in_bits(walk), f"root {kind}, node {kind}"))
+    return cut(_dealt(starts).mapInArrow(_in_parts(walk), f"root {kind}, node {kind}"))
 
 
 def with_parents(closures: DataFrame, edges: DataFrame) -> DataFrame:

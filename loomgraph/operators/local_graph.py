@@ -145,6 +145,47 @@ def spread(graph: Adjacency, starts: np.ndarray) -> Iterator[tuple[int, np.ndarr
         depth += 1
 
 
+#: Starts that walk together as pairs (start, node), and how many pairs they may come to before they walk as bits.
+STARTS, PAIRS = 1 << 12, 1 << 20
+
+
+def spread_many(graph: Adjacency, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """spread for any number of starts: as sorted pairs while these are few, otherwise BITS starts at a time.
+
+    Pairs cost nothing for each start and level by themselves, which is most of the work where starts reach little.
+    """
+    for at in range(0, len(starts), STARTS):
+        part = starts[at : at + STARTS]
+        levels = _spread_pairs(graph, part)
+        if levels is not None:
+            yield from ((depth, start + at, node) for depth, start, node in levels)
+            continue
+        for low in range(0, len(part), BITS):
+            yield from ((depth, start + at + low, node) for depth, start, node in spread(graph, part[low : low + BITS]))
+
+
+def _spread_pairs(graph: Adjacency, starts: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]] | None:
+    """The levels of spread; None if there are more than PAIRS pairs, seen ones counted again in each level."""
+    n, levels, work = len(graph), [], 0
+    new = seen = np.arange(len(starts), dtype=np.int64) * n + starts
+    active = len(starts)
+    while len(new):
+        work += len(seen)
+        if work > PAIRS:
+            return None
+        start, node = np.divmod(new, n)
+        levels.append((len(levels), start, node))
+        place, ahead = graph.steps(node)
+        new = np.unique(start[place] * n + ahead)
+        at = np.searchsorted(seen, new)
+        fresh = seen[np.minimum(at, len(seen) - 1)] != new
+        seen, new = np.insert(seen, at[fresh], new[fresh]), new[fresh]
+        going = np.unique(new // n)
+        if 2 * len(going) < active:  # starts that have ended meet nothing any more
+            seen, active = seen[np.isin(seen // n, going)], len(going)
+    return levels
+
+
 class Condensed:
     """The acyclic graph of strong components, by topological level: each edge is used once for BITS starts."""
 

@@ -177,3 +177,18 @@ def test_a_start_costs_no_more_than_it_reaches(spark):
     slots = spark.createDataFrame([(1, None, 2), (2, "s", 3)], "src long, slot string, dst long")
     nodes = spark.createDataFrame([(3,)], "node long")
     assert [tuple(r) for r in G.ancestor_chains(slots, nodes.union(slots.select("src")), nodes).collect()] == [(3, [3, 2, 1], ["s", None])]
+
+
+@pytest.mark.parametrize("most", [1 << 20, 300])
+def test_many_starts_walk_together(monkeypatch, most):
+    rng = np.random.default_rng(5)
+    graph = L.Adjacency(rng.integers(0, 900, 950), rng.integers(0, 900, 950))
+    starts = rng.permutation(len(graph))
+    want = {(int(s) + at, int(n), d) for at in range(0, len(starts), L.BITS) for d, first, nodes in L.spread(graph, starts[at : at + L.BITS]) for s, n in zip(first, nodes)}
+    calls = []
+    monkeypatch.setattr(L, "PAIRS", most)
+    monkeypatch.setattr(L.Adjacency, "steps", lambda self, nodes, own=L.Adjacency.steps: calls.append(1) or own(self, nodes))
+    got = [(int(s), int(n), d) for d, first, nodes in L.spread_many(graph, starts) for s, n in zip(first, nodes)]
+    assert len(got) == len(set(got)) and set(got) == want
+    depth = max(d for *_, d in want) + 1
+    assert most < len(want) or len(calls) <= depth  # not once more for every 64 starts
