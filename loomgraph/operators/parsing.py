@@ -173,9 +173,8 @@ def _kind(node: Column) -> Column:
 
 def _members(rows: DataFrame, node: str, name: str) -> DataFrame:
     """A row for each key of an object in JSON text: name, and its value as JSON text in node; texts keep their quotes."""
-    keys = F.json_object_keys(node)
-    value = lambda k: F.to_json(F.try_variant_get(F.try_parse_json(node), F.concat(F.lit("$['"), k, F.lit("']")), "variant"))
-    return rows.withColumn("__m", F.explode(F.transform(keys, lambda k: F.struct(k.alias("k"), value(k).alias("v"))))).drop(node).withColumns({name: F.col("__m.k"), node: F.col("__m.v")}).drop("__m")
+    each = rows.select("*", F.explode(F.from_json(node, "map<string,variant>")).alias("__k", "__v")).drop(node)  # the object is parsed once, not for each key
+    return each.withColumns({name: F.col("__k"), node: F.to_json("__v")}).drop("__k", "__v")
 
 
 def _checked(rows: DataFrame, allowed: dict[str, str], required: tuple[str, ...], values: dict[str, list[str]]) -> DataFrame:
@@ -197,7 +196,7 @@ def validate_documents(docs: DataFrame, schema_url: str, types=(*CALL_TYPES,), c
     A document is an object whose $schema is schema_url and whose other keys are components or groups of such. A
     component has a $type and $properties; properties have a known $type and $category; slots have what slots may have.
     """
-    parsed = docs.select("doc", F.col("value").alias("node"))
+    parsed = docs.select("doc", F.col("value").alias("node")).repartition(docs.sparkSession.sparkContext.defaultParallelism)  # small files hold many documents
     is_object = F.coalesce(F.try_parse_json("node").isNotNull() & F.ltrim("node").startswith("{"), F.lit(False))
     bad = parsed.filter(~is_object).select("doc", F.lit("/").alias("path"), F.lit("not an object").alias("code"))
     good = parsed.filter(is_object)

@@ -74,3 +74,9 @@ def test_tied_lines_in_the_order_of_their_file(spark, tmp_path, turned):
     duck = duckdb.connect()
     duck.sql(f"SET threads = 1; CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
     assert duck.sql(f"SELECT cdf_type, category FROM ({CARRIERS['cat_props']})").fetchall() == got
+
+
+def test_members_of_an_object_parsed_once(spark):
+    rows = spark.createDataFrame([(1, """{"it's":1,"b":null,"c":{"d":"x"}}"""), (2, "[1]")], "doc long, node string")
+    got = P._members(rows, "node", "key")
+    assert {(r.doc, r.key, r.node) for r in got.collect()} == {(1, "it's", "1"), (1, "b", "null"), (1, "c", '{"d":"x"}')}
