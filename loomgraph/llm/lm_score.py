@@ -9,7 +9,7 @@ first word has c(w) / N. A document's score is the sum of the logarithms of its
 2. Bigrams of two common words, with more than 1 / COMMON of all places each, are counted apart. Where one of them is
    frequent, its places add to their document's sum where the document is read, by a broadcast of fewer than FREQUENT
    rows, so that no bigram in many documents meets in one task. So do frequent words that open documents.
-3. All other places are exploded to rows (document, v, w), hash-partitioned by their rare word or, without one, by the
+3. In the same pass, all other places become rows (document, v, w), hash-partitioned by their rare word or, without one, by the
    bigram. A partition has all places of its rare words and bigrams, so their part of the count tables is made there and
    joined to the rows by windows. No key of this shuffle has more than 1 / COMMON of the rows. What a row still needs,
    the count of v after a bigram that counts and of w after one that doesn't, comes by broadcast for a frequent word and
@@ -19,14 +19,21 @@ first word has c(w) / N. A document's score is the sum of the logarithms of its
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from loomgraph.llm.common import WORD, materialize
+from loomgraph.llm.common import WORD, materialize, of_texts
 
 BACKOFF, LEAST = 0.4, 2
 #: Words and bigrams with a share over 1 / FREQUENT are broadcast: fewer than so many rows of two or three numbers each.
 FREQUENT, COMMON = 2_000_000, 50_000
+#: Documents whose places are numbered at once.
+DOCS = 100
 _SEED = 29
 
 
@@ -63,12 +70,60 @@ def frequent_words(words: DataFrame, total: int, frequent: int) -> DataFrame:
     return materialize(few.select("h", (F.row_number().over(Window.orderBy(F.desc("n"), "h")) - 1).cast("long").alias("id"), "n"), "frequent")
 
 
-def _numbered(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """places() with numbers for words, and pair: a number for a bigram of two frequent words."""
+def _pairs(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """pair: a number for each place of a bigram of two known words."""
     side = lambda x: F.broadcast(known.select(F.col("h").alias(x), F.col("id").alias(f"{x}_id")))
-    rows = places(docs).join(side("w"), "w", "left").join(side("v"), "v", "left")
-    pair = F.shiftleft("v_id", 32) + F.col("w_id")
-    return rows.select("doc_id", F.coalesce("v_id", "v").alias("v"), F.coalesce("w_id", "w").alias("w"), pair.alias("pair"))
+    rows = places(docs).select("v", "w").join(side("w"), "w").join(side("v"), "v")
+    return rows.select((F.shiftleft("v_id", 32) + F.col("w_id")).alias("pair"))
+
+
+def _sorted(table: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """Two columns of a table of fewer than FREQUENT rows, by the first."""
+    keys, values = (c.combine_chunks().to_numpy() for c in table.select(key, value).toArrow().columns)
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
+def _looked_up(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each value in sorted keys, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+    return at, keys[at] == values
+
+
+def dealt(docs: DataFrame, known: DataFrame, bigrams: DataFrame) -> DataFrame:
+    """What all places give, in one pass: doc_id, v, w and s.
+
+    Places of the given bigrams are summed up for their document: a row with s. Each other place is a row with the numbers
+    of its words, without s; a frequent word that opens a document gives none.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((*_sorted(known, "h", "id"), *_sorted(bigrams, "pair", "s")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "v", "w", "s"]
+        hashes, ids, pairs, sums = sent.value
+        for part in (batch.slice(at, DOCS) for batch in batches for at in range(0, batch.num_rows, DOCS)):
+            doc_id, ws = part.columns
+            many, raw = ws.value_lengths().fill_null(0).to_numpy(), ws.flatten().to_numpy()
+            doc, opens = np.repeat(np.arange(len(many)), many), np.zeros(len(raw), bool)
+            opens[(np.cumsum(many) - many)[many > 0]] = True
+            at, there = _looked_up(hashes, raw)
+            w = np.where(there, ids[at], raw) if len(ids) else raw
+            v = np.roll(w, 1)
+            both = np.flatnonzero(~opens & (v >= 0) & (w >= 0))
+            at, there = _looked_up(pairs, (v[both] << 32) + w[both])
+            met, left = both[there], ~opens | (w < 0)
+            left[met] = False
+            left = np.flatnonzero(left)
+            yield pa.record_batch([doc_id.take(pa.array(doc[left])), pa.array(v[left], mask=opens[left]), pa.array(w[left]), pa.nulls(len(left), pa.float64())], names=names)
+            if len(met):
+                total, own = np.bincount(doc[met], sums[at[there]], len(many)), np.unique(doc[met])
+                none = pa.nulls(len(own), pa.int64())
+                yield pa.record_batch([doc_id.take(pa.array(own)), none, none, pa.array(total[own])], names=names)
+
+    schema = StructType([docs.schema["doc_id"]]).add("v", "long").add("w", "long").add("s", "double")
+    return of_texts(docs).select("doc_id", F.transform(words_of("text"), _hash).alias("ws")).mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, least: int = LEAST, backoff: float = BACKOFF, frequent: int = FREQUENT, common: int = COMMON) -> DataFrame:
@@ -81,30 +136,28 @@ def score(docs: DataFrame, least: int = LEAST, backoff: float = BACKOFF, frequen
     total = words.agg(F.sum("n")).first()[0] or 0
     known = frequent_words(words, total, frequent)
     limit = known.filter(F.col("n") * common > total).count()  # ids below it are common words
-    rows = _numbered(docs, known)
 
     of_id = lambda x: F.broadcast(known.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}")))
     backed_off = F.log(F.lit(backoff)) - F.log(F.lit(max(total, 1)))
 
     first, second = F.shiftright("pair", 32), F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))
-    counted = rows.filter((F.col("v") < limit) & (F.col("w") < limit) & F.col("pair").isNotNull()).groupBy("pair").agg(F.count("*").alias("n"))
+    counted = _pairs(docs, known.filter(F.col("id") < limit)).groupBy("pair").agg(F.count("*").alias("n"))
     counted = counted.filter(F.col("n") * frequent > total).select("pair", "n", first.alias("v"), second.alias("w"))
     counted = counted.join(of_id("v"), "v").join(of_id("w"), "w")
     values = F.when(F.col("n") >= least, F.log("n") - F.log("n_v")).otherwise(backed_off + F.log("n_w"))
     bigrams = materialize(counted.select("pair", values.alias("s")), "bigrams")
-    at_once = rows.join(F.broadcast(bigrams), "pair").groupBy("doc_id").agg(F.sum("s").alias("s"))
     start = F.log(F.lit(max(total, 1)))
     openers = docs.select("doc_id", F.regexp_extract("text", WORD, 0).alias("w")).filter("w <> ''").select("doc_id", _hash("w").alias("h"))
     openers = openers.join(F.broadcast(known), "h").select("doc_id", (F.log("n") - start).alias("s"))
 
-    rest = rows.filter((F.col("v").isNotNull()) | (F.col("w") < 0)).join(F.broadcast(bigrams.select("pair")), "pair", "left_anti").select("doc_id", "v", "w")
-    key = F.when(F.col("w") < 0, F.col("w")).when(F.col("v") < 0, F.col("v")).otherwise(F.shiftleft("v", 32) + F.col("w"))
+    rest = dealt(docs, known, bigrams)
+    key = F.when(F.col("s").isNotNull(), F.xxhash64("doc_id")).when(F.col("w") < 0, F.col("w")).when(F.col("v") < 0, F.col("v")).otherwise(F.shiftleft("v", 32) + F.col("w"))
     rest = rest.repartition(key).withColumn("key", key)
     rest = rest.withColumn("n", F.count("*").over(Window.partitionBy("key", "v", "w")))
     rest = rest.withColumn("n_rare", F.count_if(F.col("w") == F.col("key")).over(Window.partitionBy("key")))
     counts = F.col("v").isNotNull() & (F.col("n") >= least)
     need = F.when(counts, F.col("v")).otherwise(F.col("w"))
-    part = F.when(counts, F.log("n")).when(F.col("v").isNull(), -start).otherwise(backed_off)
+    part = F.when(F.col("s").isNotNull(), F.col("s")).when(counts, F.log("n")).when(F.col("v").isNull(), -start).otherwise(backed_off)
     rest = rest.select("doc_id", need.alias("need"), F.when(counts, -1).otherwise(1).alias("sign"), part.alias("s"), F.when((need < 0) & (need == F.col("key")), F.col("n_rare")).alias("n_rare"))
     rest = rest.join(of_id("need"), "need", "left").withColumn("n", F.coalesce("n_need", "n_rare"))
     open_ = F.when(F.col("n").isNull(), F.col("need"))
@@ -114,7 +167,7 @@ def score(docs: DataFrame, least: int = LEAST, backoff: float = BACKOFF, frequen
     # only a bigram that counts leaves its first word open
     rare = parts.filter("need IS NOT NULL").join(words.select(F.col("h").alias("need"), "n"), "need")
     sums = rare.select("doc_id", (-F.col("times") * F.log("n")).alias("s"))
-    sums = parts.select("doc_id", "s").unionByName(sums).unionByName(at_once).unionByName(openers).groupBy(F.col("doc_id").alias("__id")).agg(F.sum("s").alias("s"))
+    sums = parts.select("doc_id", "s").unionByName(sums).unionByName(openers).groupBy(F.col("doc_id").alias("__id")).agg(F.sum("s").alias("s"))
     own = docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
     times = own.groupBy(F.col("doc_id").alias("__key")).agg(F.count("*").alias("times"))
     sums = sums.join(times, F.col("__id").eqNullSafe(F.col("__key"))).select("__id", (F.col("s") / F.col("times")).alias("s"))

@@ -464,3 +464,15 @@ def test_groups_equal_brute_force(spark, monkeypatch):
     kept = near_dedup.dedupe(docs(spark, rows)).collect()
     assert sorted(x.doc_id for x in kept) == sorted(set(want.values()))
     assert near_dedup.groups(docs(spark, rows).limit(0)).count() == 0
+
+
+def test_one_pass_gives_each_place_once(spark):
+    rows = spark.createDataFrame([(1, "a b c a b"), (2, None), (3, "x"), (None, "b c"), (5, "a")], "doc_id long, text string")
+    number = {w: h for w, h in spark.createDataFrame([(w,) for w in "abcx"], "w string").select("w", lm_score._hash("w")).collect()}
+    known = spark.createDataFrame([(number["a"], 0, 3), (number["b"], 1, 3)], "h long, id long, n long")
+    bigrams = spark.createDataFrame([((0 << 32) + 1, -0.5)], "pair long, s double")
+    got = lm_score.dealt(rows, known, bigrams).collect()
+    assert [(r.doc_id, r.s) for r in got if r.s is not None] == [(1, -1.0)]
+    c, x = number["c"], number["x"]
+    assert {tuple(r)[:3] for r in got if r.s is None} == {(1, 1, c), (1, c, 0), (3, None, x), (None, 1, c)}
+    assert len(got) == 5
