@@ -196,13 +196,17 @@ def resolve_local_imports(imports: DataFrame, files: DataFrame, root: str, exten
     root = root.rstrip("/")
     base = F.when(F.col("source").startswith("."), resolved(F.concat(folder_of("importer"), F.lit("/"), F.col("source"))))
     tries = ["", *extensions, *(f"/index{e}" for e in extensions)]
-    local = imports.select("importer", "source", base.alias("base")).distinct().filter("base IS NOT NULL")
     ends = F.filter(F.array(*(F.struct(F.lit(n).alias("at"), F.lit(t).alias("end")) for n, t in enumerate(tries))), lambda t: F.col("path").endswith(t["end"]))
     meant = files.select("path").filter(within(F.col("path"), root)).select("path", F.explode(ends).alias("t"))  # a file offers itself for the few bases it ends, an import not its tries
     meant = meant.groupBy(F.expr("left(path, length(path) - length(t.end))").alias("base")).agg(F.min_by("path", "t.at").alias("candidate"))
-    first = local.join(meant, "base", "left")
-    found = F.coalesce("candidate", F.when(within(F.col("base"), root), F.col("base")))
-    return imports.join(first.select("importer", "source", F.substring(found, F.lit(len(root) + 2), F.length(found)).alias("path")), ["importer", "source"], "left")
+    # what has no file to look for meets none, and is dealt out by its own text
+    apart = F.when(F.col("base").isNull(), F.xxhash64("importer", "source"))
+    own = imports.withColumn("base", F.when(within(base, root), base)).withColumn("__apart", F.coalesce(apart, F.lit(0).cast("long")))
+    meant = meant.withColumn("__apart", F.lit(0).cast("long")).hint("merge")  # a small file's paths may be too many for a broadcast
+    found = own.join(meant, ["base", "__apart"], "left")
+    path = F.coalesce("candidate", "base")
+    others = [c for c in imports.columns if c not in ("importer", "source")]
+    return found.select("importer", "source", *others, F.substring(path, F.lit(len(root) + 2), F.length(path)).alias("path"))
 
 
 def sibling_files(components: DataFrame, files: DataFrame, k: int = 5, snippet_chars: int = 1200) -> DataFrame:

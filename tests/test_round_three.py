@@ -80,3 +80,14 @@ def test_members_of_an_object_parsed_once(spark):
     rows = spark.createDataFrame([(1, """{"it's":1,"b":null,"c":{"d":"x"}}"""), (2, "[1]")], "doc long, node string")
     got = P._members(rows, "node", "key")
     assert {(r.doc, r.key, r.node) for r in got.collect()} == {(1, "it's", "1"), (1, "b", "null"), (1, "c", '{"d":"x"}')}
+
+
+def test_imports_are_joined_once(spark):
+    files = spark.createDataFrame([("/r/a/b.ts",), ("/r/c/index.vue",), ("/r/c.ts",), ("/x/d.ts",)], "path string")
+    rows = [("/r/a/b.ts", "../c", 1), ("/r/a/b.ts", "../c", 2), ("/r/a/b.ts", "./gone", 3), ("/r/a/b.ts", "../../x/d", 4), ("/r/a/b.ts", "lib", 5), ("/r/a/b.ts", None, 6), (None, "./b", 7), ("/r/c.ts", "./c/index.vue", 8)]
+    got = S.resolve_local_imports(spark.createDataFrame(rows, "importer string, source string, place int"), files, "/r/")
+    assert got.columns == ["importer", "source", "place", "path"]
+    assert sorted((r.place, r.path) for r in got.collect()) == [(1, "c.ts"), (2, "c.ts"), (3, "a/gone"), (4, None), (5, None), (6, None), (7, None), (8, "c/index.vue")]
+    plans = got._jdf.queryExecution()
+    assert plans.optimizedPlan().toString().count("Join ") == 1
+    assert "SortMergeJoin" in plans.executedPlan().toString() and "BroadcastHashJoin" not in plans.executedPlan().toString()
