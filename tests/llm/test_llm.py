@@ -6,6 +6,7 @@ import zlib
 from array import array
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -476,3 +477,21 @@ def test_one_pass_gives_each_place_once(spark):
     c, x = number["c"], number["x"]
     assert {tuple(r)[:3] for r in got if r.s is None} == {(1, 1, c), (1, c, 0), (3, None, x), (None, 1, c)}
     assert len(got) == 5
+
+
+def test_keys_are_counted_whole_and_in_few_rows():
+    rows = [(k, i) for k in (1, 2, 2, 2, 2, 2, 3, 4, 4) for i in range(3)]
+    batches = [pa.record_batch([pa.array([k for k, _ in rows[i : i + 2]])], names=["key"]) for i in range(0, len(rows), 2)]
+    tables = [t.column("key").to_pylist() for t in lm_score._whole_keys(iter(batches), 4)]
+    assert sum(tables, []) == [k for k, _ in rows] and len(tables) > 2
+    assert all(not set(a) & set(b) for i, a in enumerate(tables) for b in tables[i + 1 :])
+
+
+def test_rows_meet_by_one_sort_of_their_key(spark):
+    rows = [(1, 5, -7, -7), (1, 5, -7, -7), (2, None, -7, -7), (3, -7, 5, -7), (3, -9, -7, -7), (4, 0, 1, 1)]
+    rest = spark.createDataFrame([(d, v, w, None, k) for d, v, w, k in rows] + [(5, None, None, -2.5, -7)], "doc_id long, v long, w long, s double, key long")
+    known = spark.createDataFrame([(i, 10 + i) for i in range(6)], "id long, n long")
+    got = lm_score.settled(rest.coalesce(1).sortWithinPartitions("key"), known, 100, 2, 0.4).collect()
+    backed = np.log(0.4 / 100)
+    want = [(1, None, np.log(2 / 15)), (1, None, np.log(2 / 15)), (2, None, np.log(4 / 100)), (3, None, backed + np.log(15)), (3, None, backed + np.log(4)), (4, None, backed + np.log(11)), (5, None, -2.5)]
+    assert sorted((r.doc_id, r.need, round(r.s, 9)) for r in got) == sorted((d, n, round(s, 9)) for d, n, s in want)
