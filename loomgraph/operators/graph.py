@@ -268,6 +268,13 @@ def contains_cycle(closures: DataFrame, units: DataFrame) -> DataFrame:
     return closures.join(marks, "node", "left").groupBy("root").agg(F.coalesce(F.bool_or("__cycle"), F.lit(False)).alias("contains_cycle"))
 
 
+def reaches_cycle(edges: DataFrame, starts: DataFrame, units: DataFrame) -> DataFrame:
+    """contains_cycle of the closures of all starts, without these: the nodes on cycles are walked up from, each once."""
+    found = cycle_auto_reject(edges, units).select(F.col("node").alias("root"), F.lit(True).alias("__cycle"))
+    roots = starts.select(F.col("node").alias("root")).distinct()
+    return roots.join(found, "root", "left").select("root", F.coalesce("__cycle", F.lit(False)).alias("contains_cycle"))
+
+
 def all_closures(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The closure of every root."""
     return closure(edges, nodes, roots(edges, nodes))

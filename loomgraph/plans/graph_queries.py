@@ -68,7 +68,7 @@ def h3(spark, sf):
 @query("h3_contains_cycle", graph_sql(_closed("nodes") + ",\n" + _REACH.split(",\n", 2)[2], "SELECT root, bool_or(node IN (SELECT node FROM un)) AS contains_cycle FROM cl GROUP BY 1"))
 def h3_cycle(spark, sf):
     edges, nodes = _known(spark, sf)
-    return G.contains_cycle(G.closure(edges, nodes, nodes), G.strong_components(edges))
+    return G.reaches_cycle(edges, nodes, G.strong_components(edges))
 
 
 @query("h4_all_closures", graph_sql(_CLOSE, "SELECT root, node, depth FROM cl"))

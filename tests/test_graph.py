@@ -192,3 +192,16 @@ def test_many_starts_walk_together(monkeypatch, most):
     assert len(got) == len(set(got)) and set(got) == want
     depth = max(d for *_, d in want) + 1
     assert most < len(want) or len(calls) <= depth  # not once more for every 64 starts
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 1])
+def test_cycles_below_starts_need_no_closures(spark, monkeypatch, limit):
+    monkeypatch.setattr(G, "LOCAL_EDGES", limit)
+    pairs = sorted(set(PAIRS))
+    e = spark.createDataFrame([(a, "s", b) for a, b in pairs], "src long, slot string, dst long")
+    n = spark.createDataFrame([(x,) for x in [*sorted({x for p in pairs for x in p}), 999, 999]], "node long")
+    units = G.strong_components(e)
+    want = sorted(tuple(r) for r in G.contains_cycle(G.closure(e, n, n), units).collect())
+    assert {c for _, c in want} == {True, False} and (999, False) in want
+    monkeypatch.setattr(G, "closure", None)
+    assert sorted(tuple(r) for r in G.reaches_cycle(e, n, units).collect()) == want
